@@ -1,15 +1,17 @@
-"""The queries of this subpackage."""
+"""The queries of this subpackage and the SQL for those that SQL can express."""
 
 from __future__ import annotations
 
+from . import personal_data
+from .personal_data import op4_personal_data
 from .secret_scan import op10_secret_scan
 from .shards import op9_shards
 from .token_counts import op2_token_counts
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_token_counts, op9_shards, op10_secret_scan)}
+    return {f.__name__: f for f in (op2_token_counts, op4_personal_data, op9_shards, op10_secret_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_personal_data": personal_data.ORACLE}
