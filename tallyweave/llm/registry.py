@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from . import personal_data
+from .packing import op7_packing
 from .personal_data import op4_personal_data
 from .secret_scan import op10_secret_scan
 from .shards import op9_shards
@@ -10,7 +11,7 @@ from .token_counts import op2_token_counts
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_token_counts, op4_personal_data, op9_shards, op10_secret_scan)}
+    return {f.__name__: f for f in (op2_token_counts, op4_personal_data, op7_packing, op9_shards, op10_secret_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
