@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from . import personal_data
+from . import decontamination, personal_data
+from .decontamination import op6_decontamination
 from .packing import op7_packing
 from .personal_data import op4_personal_data
 from .secret_scan import op10_secret_scan
@@ -11,8 +12,8 @@ from .token_counts import op2_token_counts
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_token_counts, op4_personal_data, op7_packing, op9_shards, op10_secret_scan)}
+    return {f.__name__: f for f in (op2_token_counts, op4_personal_data, op6_decontamination, op7_packing, op9_shards, op10_secret_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_personal_data": personal_data.ORACLE}
+    return {"op4_personal_data": personal_data.ORACLE, "op6_decontamination": decontamination.ORACLE}
