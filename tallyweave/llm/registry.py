@@ -9,10 +9,11 @@ from .personal_data import op4_personal_data
 from .secret_scan import op10_secret_scan
 from .shards import op9_shards
 from .token_counts import op2_token_counts
+from .toxicity import op1_toxicity
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_token_counts, op4_personal_data, op6_decontamination, op7_packing, op9_shards, op10_secret_scan)}
+    return {f.__name__: f for f in (op1_toxicity, op2_token_counts, op4_personal_data, op6_decontamination, op7_packing, op9_shards, op10_secret_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
