@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from . import decontamination, personal_data
 from .decontamination import op6_decontamination
+from .embedding_links import op3_embedding_links
 from .packing import op7_packing
 from .personal_data import op4_personal_data
 from .secret_scan import op10_secret_scan
@@ -13,7 +14,7 @@ from .toxicity import op1_toxicity
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_toxicity, op2_token_counts, op4_personal_data, op6_decontamination, op7_packing, op9_shards, op10_secret_scan)}
+    return {f.__name__: f for f in (op1_toxicity, op2_token_counts, op3_embedding_links, op4_personal_data, op6_decontamination, op7_packing, op9_shards, op10_secret_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
