@@ -11,10 +11,11 @@ from .secret_scan import op10_secret_scan
 from .shards import op9_shards
 from .token_counts import op2_token_counts
 from .toxicity import op1_toxicity
+from .weighted_minhash import op5_near_duplicates
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_toxicity, op2_token_counts, op3_embedding_links, op4_personal_data, op6_decontamination, op7_packing, op9_shards, op10_secret_scan)}
+    return {f.__name__: f for f in (op1_toxicity, op2_token_counts, op3_embedding_links, op4_personal_data, op5_near_duplicates, op6_decontamination, op7_packing, op9_shards, op10_secret_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
