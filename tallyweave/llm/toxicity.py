@@ -24,7 +24,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -144,21 +144,21 @@ def features(text: str | None, words: Words) -> tuple[np.ndarray, int, int]:
     return out, n, aside
 
 
-def learned_terms(toxic: list[list[str]], clean: list[list[str]]) -> tuple[list[str], list[str]]:
-    """Stems and whole terms from the distinct words of toxic and clean documents."""
+def _stems(words: Iterable[str]) -> set[str]:
+    return {w[:n] for w in words for n in range(SHORTEST_STEM, min(len(w), 12) + 1)}
 
-    def counted(documents: list[list[str]]) -> tuple[Counter, Counter, int]:
-        # Copies share their least hashes of words; they count once.
-        alike = {}
-        for d in documents:
-            alike.setdefault(tuple(min((xxhash.xxh32_intdigest(w, k) for w in d), default=0) for k in range(3)), d)
-        whole, stems = Counter(), Counter()
-        for d in alike.values():
-            whole.update(set(d))
-            stems.update({w[:n] for w in d for n in range(SHORTEST_STEM, min(len(w), 12) + 1)})
-        return whole, stems, len(alike)
 
-    (t_whole, t_stems, nt), (c_whole, c_stems, nc) = counted(toxic), counted(clean)
+def learned_terms(documents: Callable[[int], Iterable[list[str]]]) -> tuple[list[str], list[str]]:
+    """Stems and whole terms from the distinct words of toxic (1) and clean (0) documents.
+
+    Only what toxic documents hold often enough to matter is counted in clean ones.
+    """
+    t_whole, t_stems, nt = Counter(), Counter(), 0
+    for d in documents(1):
+        t_whole.update(d)
+        t_stems.update(_stems(d))
+        nt += 1
+    nc = sum(1 for _ in documents(0))
 
     def evidence(t: int, c: int) -> float:
         """Half the likelihood ratio statistic of more toxic than clean documents, 0 if it isn't pure enough."""
@@ -168,12 +168,18 @@ def learned_terms(toxic: list[list[str]], clean: list[list[str]]) -> tuple[list[
         cells = ((t, nt * held), (c, nc * held), (nt - t, nt * (n - held)), (nc - c, nc * (n - held)))
         return sum(k * math.log(k * n / e) for k, e in cells if k)
 
+    t_whole = {w: t for w, t in t_whole.items() if len(w) >= 3 and evidence(t, 0) > SURE}
+    t_stems = {s: t for s, t in t_stems.items() if evidence(t, 0) > SURE}
+    c_whole, c_stems = Counter(), Counter()
+    for d in documents(0):
+        c_whole.update(t_whole.keys() & set(d))
+        c_stems.update(t_stems.keys() & _stems(d))
     stems: list[str] = []
     told = {s: g for s, t in t_stems.items() if (g := evidence(t, c_stems[s])) > SURE}
     for s in sorted(told, key=lambda s: (-told[s], -len(s), s)):
         if not any(s.startswith(x) or x.startswith(s) for x in stems) and len(stems) < MOST_TERMS:
             stems.append(s)
-    told = {w: g for w, t in t_whole.items() if len(w) >= 3 and (g := evidence(t, c_whole[w])) > SURE}
+    told = {w: g for w, t in t_whole.items() if (g := evidence(t, c_whole[w])) > SURE}
     terms = sorted(told, key=lambda w: (-told[w], w))[:MOST_TERMS]
     return stems, terms
 
@@ -205,16 +211,23 @@ def fitted(docs: DataFrame, labels: DataFrame, per_label: tuple[int, int] = PER_
 
     def distinct_words(batch: pa.RecordBatch) -> pa.RecordBatch:
         told = [sorted(set(WORDS.findall((t or "").lower()))) for t in column(batch, "text").to_pylist()]
-        return pa.RecordBatch.from_arrays([pa.array(told, pa.list_(pa.string())), column(batch, "toxic")], ["words", "toxic"])
+        # Copies share their least hashes of words.
+        alike = [" ".join(str(min((xxhash.xxh32_intdigest(w, k) for w in d), default=0)) for k in range(3)) for d in told]
+        return pa.RecordBatch.from_arrays([pa.array(told, pa.list_(pa.string())), pa.array(alike), column(batch, "toxic")], ["words", "alike", "toxic"])
+
+    read = by_batch(sample, "words array<string>, alike string, toxic int", distinct_words).dropDuplicates(["alike", "toxic"]).toArrow()
+
+    def documents(label: int) -> Iterator[list[str]]:
+        """The distinct words of a document at a time, out of Arrow's memory."""
+        for k in np.flatnonzero(read["toxic"].to_numpy() == label).tolist():
+            yield read["words"][k].as_py()
 
-    read = by_batch(sample, "words array<string>, toxic int", distinct_words).toPandas()
-    toxic, clean = ([list(w) for w in read.words[read.toxic == k]] for k in (1, 0))
-    if not toxic:
+    if next(documents(1), None) is None:
         return Model((), SEEDS, frozenset(), frozenset(), tuple(PRIOR))
-    stems, terms = learned_terms(toxic, clean)
-    clean_words = set().union(*clean) if clean else set()
-    terms = list(dict.fromkeys([*terms, *(s for s in SEEDS if s not in clean_words)]))
-    exactly, known = _misleading(terms, clean_words)
+    stems, terms = learned_terms(documents)
+    in_clean = {w for d in documents(0) for w in set(SEEDS) & set(d)}
+    terms = list(dict.fromkeys([*terms, *(s for s in SEEDS if s not in in_clean)]))
+    exactly, known = _misleading(terms, documents(0))
     model = Model(tuple(stems), tuple(terms), exactly, known, tuple(PRIOR))
 
     def measured(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -226,10 +239,10 @@ def fitted(docs: DataFrame, labels: DataFrame, per_label: tuple[int, int] = PER_
     return Model(model.stems, model.terms, exactly, known, tuple(fit_weights(np.stack([np.asarray(v) for v in read.x]), read.toxic.to_numpy(float))))
 
 
-def _misleading(terms: list[str], clean: Iterable[str]) -> tuple[frozenset[str], frozenset[str]]:
+def _misleading(terms: list[str], clean: Iterable[list[str]]) -> tuple[frozenset[str], frozenset[str]]:
     """Terms that have several neighbours among the words of clean documents, and the neighbours of the others."""
     lexicon = Lexicon((), terms)
-    near = [w for w in clean if (found := lexicon.match(w)) and found[1] > 0]
+    near = {w for d in clean for w in d if (found := lexicon.match(w)) and found[1] > 0}
     exactly, known = set(), set()
     for term in terms:
         alone = Lexicon((), (term,))
