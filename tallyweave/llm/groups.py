@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -76,3 +77,33 @@ def components(edges: DataFrame) -> DataFrame:
         hooked = large.join(least, "x").where("y <> m").selectExpr("y AS x", "m AS y")
         e = checkpointed(hooked.unionByName(least.selectExpr("x", "m AS y")).distinct())
     return e.selectExpr("x AS node", "y AS component").unionByName(e.selectExpr("y AS node", "y AS component").distinct())
+
+
+def summed(df: DataFrame, size: int, count: Callable[[pa.RecordBatch], np.ndarray], parts: int = 32) -> np.ndarray:
+    """The sum over all batches of vectors of a fixed size, on the driver.
+
+    A task adds up its own; its vector travels in parts, and these are added in two steps, so that no task holds many.
+    """
+    width = -(-size // parts)
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(parts * width, np.int64)
+        for batch in batches:
+            total[:size] += count(batch)
+        if total.any():
+            context = TaskContext.get()
+            task = context.partitionId() if context else 0
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(parts)), pa.array(np.full(parts, task % 64)), pa.array([p.tobytes() for p in total.reshape(parts, -1)], pa.binary())], ["part", "salt", "sums"])
+
+    def add(t: pa.Table) -> pa.RecordBatch:
+        total = np.zeros(width, np.int64)
+        for x in t["sums"]:
+            total += np.frombuffer(x.as_buffer(), np.int64)
+        return pa.RecordBatch.from_arrays([t["part"][:1].combine_chunks(), pa.array([0]), pa.array([total.tobytes()], pa.binary())], ["part", "salt", "sums"])
+
+    schema = "part long, salt long, sums binary"
+    out = by_group(by_group(df.mapInArrow(fill, schema), ["part", "salt"], schema, add), ["part"], schema, add).collect()
+    total = np.zeros((parts, width), np.int64)
+    for row in out:
+        total[row["part"]] = np.frombuffer(row["sums"], np.int64)
+    return total.ravel()[:size]

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import decontamination, personal_data
+from . import decontamination, lm_scores, personal_data
 from .decontamination import op6_decontamination
 from .embedding_links import op3_embedding_links
+from .lm_scores import op8_lm_scores
 from .packing import op7_packing
 from .personal_data import op4_personal_data
 from .secret_scan import op10_secret_scan
@@ -15,8 +16,8 @@ from .weighted_minhash import op5_near_duplicates
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_toxicity, op2_token_counts, op3_embedding_links, op4_personal_data, op5_near_duplicates, op6_decontamination, op7_packing, op9_shards, op10_secret_scan)}
+    return {f.__name__: f for f in (op1_toxicity, op2_token_counts, op3_embedding_links, op4_personal_data, op5_near_duplicates, op6_decontamination, op7_packing, op8_lm_scores, op9_shards, op10_secret_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_personal_data": personal_data.ORACLE, "op6_decontamination": decontamination.ORACLE}
+    return {"op4_personal_data": personal_data.ORACLE, "op6_decontamination": decontamination.ORACLE, "op8_lm_scores": lm_scores.ORACLE}
