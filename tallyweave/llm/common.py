@@ -15,21 +15,28 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df, computed once and written to the shared folder of spark.checkpoint.dir.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir, which all executors share.
 
     Local sessions without that setting (tests) get a folder of their own; a
     cluster without it is an error, as a machine-local folder is not shared.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
+    held = context._jsc.sc().getCheckpointDir()
+    if held.isEmpty():
         where = spark.conf.get("spark.checkpoint.dir", None)
         if where is None:
             if not context.master.startswith("local"):
                 raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
             where = tempfile.mkdtemp(prefix="tallyweave-checkpoints-")
         context.setCheckpointDir(where)
+        held = context._jsc.sc().getCheckpointDir()
+    return held.get()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df, computed once and written to the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
