@@ -77,7 +77,7 @@ def positions(ledger: DataFrame, mergers: DataFrame | None = None, cutoff: datet
     asked = events.where("side = -1").groupBy("key").agg(F.count("*").alias("asked"))
     # What was ever incoherent stays so: running sums after each event.
     line = fifo.running(fifo.running(events.withColumns({"_b": F.when(F.col("side") == 1, F.col("quantity")).otherwise(0), "_s": F.when(F.col("side") == -1, F.col("quantity")).otherwise(0)}), ["key"], "event_timestamp", ORDER, "_b", "b"), ["key"], "event_timestamp", ORDER, "_s", "s")
-    flags = line.groupBy("key").agg(F.bool_or("s > 0 AND b = 0").alias("orphan"), F.bool_or("s > b").alias("negative"), F.bool_or("s > b AND b > 0").alias("oversold"))
+    flags = line.groupBy("key").agg(F.bool_or(F.expr("s > 0 AND b = 0")).alias("orphan"), F.bool_or(F.expr("s > b")).alias("negative"), F.bool_or(F.expr("s > b AND b > 0")).alias("oversold"))
     zero = F.lit(0).cast(Q)
     out = totals
     for part in (gains, held, took, asked, flags):

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE: dict[str, str] = {}
+from . import ledger_queries
+
+_MODULES = (ledger_queries,)
 
 
 def queries() -> dict:
-    return dict(QUERIES)
+    return {name: f for m in _MODULES for name, f in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(ORACLE)
+    return {name: sql for m in _MODULES for name, sql in m.ORACLE.items()}
