@@ -11,10 +11,10 @@ words. That lets whole slices of documents travel together:
 
 1. Frequent n-grams are found and counted exactly (two passes, fixed number,
    broadcast): they are answered where they are read. Hot keys end here.
-2. All other n-grams meet the count table by hash. A slice of documents sends a
-   part of the hash space its counts, and its n-grams with the documents they
-   stand in. A task merges the counts of a part first and then streams the
-   requests past them, so a part's requests are never held together.
+2. All other n-grams meet by hash: a slice of documents sends to each part of
+   the hash space its n-grams there, without any of their rows on their own. No
+   n-gram left is hot, so a part is PART n-grams, about; its task counts them,
+   which makes its part of the count table, and looks each one's count up.
 3. What comes back is a sum per document and part; these are added up.
 
 Sums are whole millionths of natural logarithms, rounded per n-gram, so the
@@ -38,14 +38,14 @@ from pyspark.sql import functions as F
 
 from . import words
 from .common import column, slices, table, text_bytes
-from .groups import summed
+from .groups import by_group, summed
 
 ALPHA = 0.4
 MICRO = 1_000_000
 #: Frequent n-grams that are broadcast, whatever the input, and how many a task proposes.
 FREQUENT, PROPOSED = 200_000, 40_000
 #: Bytes of text counted together; n-grams of the corpus to a part of the hash space.
-SLICE, PART = 12 << 20, 6_000_000
+SLICE, PART = 4 << 20, 2_000_000
 ONE, TWO = np.uint64(0x632BE59BD9B4E019), np.uint64(0x9E6C63D0876A9A47)
 
 
@@ -129,7 +129,9 @@ def grams_of(texts: pa.Array) -> tuple[np.ndarray, ...]:
     return tuple(map(np.concatenate, zip(*found, strict=True))) if found else (np.zeros(0, np.uint64),) * 2 + (np.zeros(0, np.int64),) * 3
 
 
-_SENT = "part int, kind int, rows binary, of binary, keys binary"
+_SENT = "part int, rows binary, of binary, keys binary"
+#: What an n-gram's logarithm counts: bigrams, inner words, first and last words, words that stand alone.
+SIGNS = (1, -1, 0, 1)
 
 
 def self_scores(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -141,74 +143,64 @@ def self_scores(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
     parts = max(32, math.ceil(total / PART))
     log_total = int(round(math.log(max(total, 1)) * MICRO))
 
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def sent(texts: pa.Array, row: int) -> list[tuple]:
+        """Rows for each part: documents, how many n-grams of each sign a document has there, keys in that order; and one of sums known here."""
         frequent, logs = held.value
+        one, two, of_one, of_two, counts = grams_of(texts)
+        ends = np.cumsum(counts)
+        sign = np.ones(len(one), np.int64)
+        # The first word's count is a numerator and a denominator, the last one's is neither, unless it stands alone.
+        sign[(ends - counts)[counts > 1]] = sign[(ends - 1)[counts > 1]] = 2
+        sign[(ends - 1)[counts == 1]] = 3
+        names, sums = np.arange(row, row + len(texts)), np.where(counts > 0, -log_total, 0)
+        rest = []
+        for s in range(len(SIGNS)):
+            keys, of = (two, of_two) if s == 0 else (one[sign == s], of_one[sign == s])
+            at = frequent.find(keys)
+            here = at >= 0
+            sums += SIGNS[s] * np.bincount(of[here], logs[at[here]], len(texts)).astype(np.int64)
+            keys, of = keys[~here], of[~here]
+            part = part_of(keys, parts)
+            order = np.argsort(part, kind="stable")
+            rest.append((keys[order], of[order], np.searchsorted(part[order], np.arange(parts + 1))))
+        out = [(row % parts, names.tobytes(), np.stack([sums, counts]).tobytes(), b"")]
+        for p in range(parts):
+            mine = [(k[c[p] : c[p + 1]], o[c[p] : c[p + 1]]) for k, o, c in rest]
+            own = np.unique(np.concatenate([o for _, o in mine]))
+            if len(own):
+                often = np.stack([np.bincount(np.searchsorted(own, o), minlength=len(own)) for _, o in mine]).astype(np.int32)
+                out.append((p, names[own].tobytes(), often.tobytes(), np.concatenate([k for k, _ in mine]).tobytes()))
+        return out
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context = TaskContext.get()
         row = (context.partitionId() if context else 0) << 40
+        kinds = [pa.int32(), pa.binary(), pa.binary(), pa.binary()]
         for batch in batches:
             for first, last in slices(column(batch, "text"), SLICE):
-                texts = column(batch, "text").slice(first, last - first)
-                n = len(texts)
-                one, two, of_one, of_two, counts = grams_of(texts)
-                ends = np.cumsum(counts)
-                asked = np.ones(len(one), bool)
-                # The first word's count is a numerator and a denominator, the last one's is neither, unless it stands alone.
-                asked[(ends - counts)[counts > 1]] = asked[(ends - 1)[counts > 1]] = False
-                sign_one = np.where(counts[of_one] == 1, 1, -1)
-                keys, of, sign = np.concatenate([one, two]), np.concatenate([of_one, of_two]), np.concatenate([sign_one, np.ones(len(two), np.int64)])
-                asked = np.append(asked, np.ones(len(two), bool))
-                at = frequent.find(keys)
-                here = asked & (at >= 0)
-                sums = np.zeros(n, np.int64)
-                np.add.at(sums, of[here], sign[here] * logs[at[here]])
-                sums -= np.where(counts > 0, log_total, 0)
-                names = np.arange(row, row + n)
-                out = [(int(names[0] % parts), 2, names.tobytes(), np.stack([sums, counts]).tobytes(), b"")]
-                rare = at < 0
-                new, times = np.unique(keys[rare], return_counts=True)
-                cut = np.searchsorted(part_of(new, parts), np.arange(parts + 1))
-                out += [(p, 0, b"", times[a:b].astype(np.int32).tobytes(), new[a:b].tobytes()) for p, (a, b) in enumerate(zip(cut, cut[1:], strict=False)) if b > a]
-                want = np.flatnonzero(rare & asked)
-                p = part_of(keys[want], parts)
-                order = np.argsort(p, kind="stable")
-                want, cut = want[order], np.searchsorted(p[order], np.arange(parts + 1))
-                for p, (a, b) in enumerate(zip(cut, cut[1:], strict=False)):
-                    if b > a:
-                        w = want[a:b]
-                        own, at_own = np.unique(of[w], return_inverse=True)
-                        out.append((p, 1, (names[own]).tobytes(), ((at_own + 1) * sign[w]).astype(np.int32).tobytes(), keys[w].tobytes()))
-                kinds = [pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out, strict=True), kinds, strict=True)], ["part", "kind", "rows", "of", "keys"])
-                row += n
-
-    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, counted, known, logs = None, [], np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        for batch in batches:
-            for r in batch.to_pylist():
-                rows = np.frombuffer(r["rows"], np.int64)
-                if r["part"] != part:
-                    part, counted, known = r["part"], [], None
-                if r["kind"] == 0:
-                    counted.append((np.frombuffer(r["keys"], np.uint64), np.frombuffer(r["of"], np.int32)))
-                elif r["kind"] == 2:
-                    sums, n = np.frombuffer(r["of"], np.int64).reshape(2, -1)
-                    yield _sums(rows, sums, n)
-                else:
-                    if known is None:
-                        known, at = np.unique(np.concatenate([k for k, _ in counted]), return_inverse=True)
-                        logs = micro_log(np.bincount(at, np.concatenate([n for _, n in counted]), len(known)))
-                        counted = []
-                    of = np.frombuffer(r["of"], np.int32)
-                    value = logs[np.searchsorted(known, np.frombuffer(r["keys"], np.uint64))]
-                    sums = np.zeros(len(rows), np.int64)
-                    np.add.at(sums, np.abs(of) - 1, np.sign(of) * value)
-                    yield _sums(rows, sums, np.zeros(len(rows), np.int64))
-
-    sent = texts.mapInArrow(send, _SENT)
-    summed_up = (
-        sent.repartition("part").sortWithinPartitions("part", "kind").mapInArrow(answer, "row long, micro long, n long")
-        .groupBy("row").agg(F.sum("micro").alias("micro_log"), F.sum("n").alias("n_words"))
-    )
+                out = sent(column(batch, "text").slice(first, last - first), row)
+                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out, strict=True), kinds, strict=True)], ["part", "rows", "of", "keys"])
+                row += last - first
+
+    def answer(t: pa.Table) -> pa.RecordBatch:
+        keys = np.concatenate([np.frombuffer(x.as_buffer(), np.uint64) for x in t["keys"]])
+        _, at, counts = np.unique(keys, return_inverse=True, return_counts=True)
+        logs, done, found = micro_log(counts)[at], 0, []
+        del keys, at
+        for rows, of, own in zip(t["rows"], t["of"], t["keys"], strict=True):
+            rows, n = np.frombuffer(rows.as_buffer(), np.int64), len(own.as_buffer()) // 8
+            if not n:
+                sums, words_of_row = np.frombuffer(of.as_buffer(), np.int64).reshape(2, -1)
+            else:
+                often = np.frombuffer(of.as_buffer(), np.int32).reshape(len(SIGNS), -1)
+                who = np.tile(np.arange(len(rows)), len(SIGNS)).repeat(often.ravel())
+                signed = logs[done : done + n] * np.repeat(SIGNS, often.sum(1))
+                sums, words_of_row = np.bincount(who, signed, len(rows)).astype(np.int64), np.zeros(len(rows), np.int64)
+            done += n
+            found.append((rows, sums, words_of_row))
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found, strict=True)], ["row", "micro", "n"])
+
+    summed_up = by_group(texts.mapInArrow(send, _SENT), ["part"], "row long, micro long, n long", answer).groupBy("row").agg(F.sum("micro").alias("micro_log"), F.sum("n").alias("n_words"))
     named = texts.select("id").mapInArrow(_numbered, f"row long, id {kind}")
     return named.join(summed_up, "row", "left").select(
         F.col("id").alias(id_column), F.coalesce("n_words", F.lit(0)).alias("n_words"), F.when(F.col("n_words") > 0, F.col("micro_log")).alias("micro_log"),
@@ -221,10 +213,6 @@ def part_of(keys: np.ndarray, parts: int) -> np.ndarray:
     return ((keys >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
 
 
-def _sums(rows: np.ndarray, sums: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(rows), pa.array(sums), pa.array(n)], ["row", "micro", "n"])
-
-
 def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     context = TaskContext.get()
     row = (context.partitionId() if context else 0) << 40
