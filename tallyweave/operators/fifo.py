@@ -19,21 +19,21 @@ Q = "decimal(28,6)"
 BLOCK = 4096
 
 
-def running(df: DataFrame, keys: list[str], at: str, order: list[str], value: str, out: str) -> DataFrame:
-    """Sums of value up to and with each row, by keys in the order of (at, *order); at is a timestamp."""
-    month = F.date_trunc("month", F.col(at))
-    df = df.withColumn("_month", month)
-    months = df.groupBy(*keys, "_month").agg(F.sum(value).alias("_sum"))
+def running(df: DataFrame, keys: list[str], at: str, order: list[str], sums: dict[str, str]) -> DataFrame:
+    """Sums (column to new name) up to and with each row, by keys in the order of (at, *order); at is a timestamp."""
+    df = df.withColumn("_month", F.date_trunc("month", F.col(at)))
+    months = df.groupBy(*keys, "_month").agg(*(F.sum(c).alias(f"_{out}") for c, out in sums.items()))
     before = Window.partitionBy(*keys).orderBy("_month").rowsBetween(Window.unboundedPreceding, -1)
-    months = months.select(*keys, "_month", F.coalesce(F.sum("_sum").over(before), F.lit(0)).cast(Q).alias("_before"))
+    months = months.select(*keys, "_month", *(F.coalesce(F.sum(f"_{out}").over(before), F.lit(0)).cast(Q).alias(f"_before_{out}") for out in sums.values()))
     within = Window.partitionBy(*keys, "_month").orderBy(at, *order).rowsBetween(Window.unboundedPreceding, 0)
-    inside = df.withColumn("_inside", F.sum(value).over(within))
-    return inside.join(months, [*keys, "_month"]).withColumn(out, (F.col("_before") + F.col("_inside")).cast(Q)).drop("_month", "_before", "_inside")
+    inside = df.withColumns({f"_inside_{out}": F.sum(c).over(within) for c, out in sums.items()})
+    found = inside.join(months, [*keys, "_month"]).withColumns({out: (F.col(f"_before_{out}") + F.col(f"_inside_{out}")).cast(Q) for out in sums.values()})
+    return found.drop("_month", *(f"_{kind}_{out}" for kind in ("before", "inside") for out in sums.values()))
 
 
 def intervals(df: DataFrame, keys: list[str], at: str, order: list[str], quantity: str = "quantity") -> DataFrame:
     """df with lo and hi: where a row's quantity lies on its keys' line."""
-    return running(df, keys, at, order, quantity, "hi").withColumn("lo", (F.col("hi") - F.col(quantity)).cast(Q))
+    return running(df, keys, at, order, {quantity: "hi"}).withColumn("lo", (F.col("hi") - F.col(quantity)).cast(Q))
 
 
 def overlaps(left: DataFrame, right: DataFrame, keys: list[str], block: int = BLOCK) -> DataFrame:
@@ -60,17 +60,16 @@ def overlaps(left: DataFrame, right: DataFrame, keys: list[str], block: int = BL
     return found.groupBy(*keys, "l", "r").agg(F.sum("matched").cast(Q).alias("matched"))
 
 
-def accepted_sales(events: DataFrame, keys: list[str], at: str, order: list[str]) -> DataFrame:
-    """Sales that the lots so far cover, whole; events have side 1 (buy) or -1 (sell) and quantity.
+def accepted(events: DataFrame, keys: list[str], at: str, order: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(events that take place, running totals of all): sales that the lots so far do not cover are left out whole.
 
-    Keys whose running balance never goes below zero need no state. The others
-    are streamed in order, one number held a key.
+    events have side 1 (buy) or -1 (sell) and quantity; both results have bought and sold, up to and with each row.
+    Keys whose running balance never goes below zero need no state. The others are streamed in order, one number held a key.
     """
-    balance = running(events.withColumn("_signed", F.col("side") * F.col("quantity")), keys, at, order, "_signed", "_balance")
-    short = balance.where("_balance < 0").select(*keys).distinct()
-    sales = events.where("side = -1")
-    easy = sales.join(short, keys, "left_anti")
-    hard = events.join(short, keys, "left_semi").repartition(*keys).sortWithinPartitions(*keys, at, *order)
+    sides = events.withColumns({"_b": F.when(F.col("side") == 1, F.col("quantity")).otherwise(0), "_s": F.when(F.col("side") == -1, F.col("quantity")).otherwise(0)})
+    line = running(sides, keys, at, order, {"_b": "bought", "_s": "sold"})
+    short = line.where("sold > bought").select(*keys).distinct()
+    hard = sides.join(short, keys, "left_semi").repartition(*keys).sortWithinPartitions(*keys, at, *order)
 
     def fold(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         last, available = None, 0
@@ -79,12 +78,17 @@ def accepted_sales(events: DataFrame, keys: list[str], at: str, order: list[str]
             for key, side, quantity in zip(zip(*(rows[k] for k in keys), strict=True), rows["side"], rows["quantity"], strict=True):
                 if key != last:
                     last, available = key, 0
-                good = side == -1 and quantity <= available
-                available += quantity if side == 1 else -quantity if good else 0
+                good = side == 1 or quantity <= available
+                available += quantity * side if good else 0
                 keep.append(good)
             yield rows[keep]
 
-    return easy.unionByName(hard.mapInPandas(fold, hard.schema))
+    kept = running(hard.mapInPandas(fold, hard.schema), keys, at, order, {"_b": "bought", "_s": "sold"})
+    return line.join(short, keys, "left_anti").unionByName(kept).drop("_b", "_s"), line.drop("_b", "_s")
+
+
+def accepted_sales(events: DataFrame, keys: list[str], at: str, order: list[str]) -> DataFrame:
+    return accepted(events, keys, at, order)[0].where("side = -1").drop("bought", "sold")
 
 
 def matched(lots: DataFrame, sales: DataFrame, keys: list[str], at: str, order: list[str]) -> DataFrame:
@@ -92,7 +96,11 @@ def matched(lots: DataFrame, sales: DataFrame, keys: list[str], at: str, order:
 
     Both sides have quantity, unit_price and fees; fees are shared by quantity.
     """
-    found = overlaps(intervals(lots, keys, at, order), intervals(sales, keys, at, order), keys)
+    return priced(overlaps(intervals(lots, keys, at, order), intervals(sales, keys, at, order), keys))
+
+
+def priced(found: DataFrame) -> DataFrame:
+    """Overlaps with cost, proceeds and gain."""
     cost = F.col("matched") * F.col("l.unit_price") + shared(F.col("l.fees"), F.col("matched"), F.col("l.quantity"))
     proceeds = F.col("matched") * F.col("r.unit_price") - shared(F.col("r.fees"), F.col("matched"), F.col("r.quantity"))
     out = found.withColumns({"cost": cost.cast(Q), "proceeds": proceeds.cast(Q)})
@@ -107,6 +115,11 @@ def shared(fees: Column, part: Column, whole: Column) -> Column:
 def open_lots(lots: DataFrame, sold: DataFrame, keys: list[str], at: str, order: list[str]) -> DataFrame:
     """lots with remaining quantity and cost, after sold (keys, quantity) was taken from the oldest."""
     placed = intervals(lots, keys, at, order).join(sold.groupBy(*keys).agg(F.sum("quantity").cast(Q).alias("_sold")), keys, "left")
+    return remaining(placed)
+
+
+def remaining(placed: DataFrame) -> DataFrame:
+    """Lots (hi, _sold) that are not sold out, with remaining quantity and cost."""
     left = F.greatest(F.lit(0).cast(Q), F.least(F.col("quantity").cast(Q), F.col("hi") - F.coalesce("_sold", F.lit(0).cast(Q)))).cast(Q)
     placed = placed.withColumn("remaining", left).where("remaining > 0")
     cost = F.col("remaining") * F.col("unit_price") + shared(F.col("fees"), F.col("remaining"), F.col("quantity"))

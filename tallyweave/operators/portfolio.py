@@ -70,17 +70,17 @@ def positions(ledger: DataFrame, mergers: DataFrame | None = None, cutoff: datet
         F.count("*").alias("transactions"), F.max("event_timestamp").alias("last_activity"), F.array_sort(F.collect_set("warning")).alias("warnings"),
     )
     events = rows.where("action <> 'dividend'").withColumn("side", F.when(F.col("action") == "buy", 1).otherwise(-1)).select("key", "id", "event_timestamp", "side", "quantity", "unit_price", "fees")
-    lots, sales = events.where("side = 1").drop("side"), fifo.accepted_sales(events, ["key"], "event_timestamp", ORDER).drop("side")
-    gains = fifo.matched(lots, sales, ["key"], "event_timestamp", ORDER).groupBy("key").agg(F.sum("gain").cast(Q).alias("realized"))
-    held = fifo.open_lots(lots, sales, ["key"], "event_timestamp", ORDER).groupBy("key").agg(F.sum("remaining").cast(Q).alias("quantity"), F.sum("remaining_cost").cast(Q).alias("cost"))
-    took = sales.groupBy("key").agg(F.count("*").alias("accepted"))
-    asked = events.where("side = -1").groupBy("key").agg(F.count("*").alias("asked"))
+    done, line = fifo.accepted(events, ["key"], "event_timestamp", ORDER)
+    lots = done.where("side = 1").withColumns({"hi": F.col("bought"), "lo": (F.col("bought") - F.col("quantity")).cast(Q)}).drop("side", "bought", "sold")
+    sales = done.where("side = -1").withColumns({"hi": F.col("sold"), "lo": (F.col("sold") - F.col("quantity")).cast(Q)}).drop("side", "bought", "sold")
+    gains = fifo.priced(fifo.overlaps(lots, sales, ["key"])).groupBy("key").agg(F.sum("gain").cast(Q).alias("realized"))
+    took = done.groupBy("key").agg(F.count_if(F.col("side") == -1).alias("accepted"), F.max("sold").alias("_sold"))
+    held = fifo.remaining(lots.join(took.select("key", "_sold"), "key")).groupBy("key").agg(F.sum("remaining").cast(Q).alias("quantity"), F.sum("remaining_cost").cast(Q).alias("cost"))
     # What was ever incoherent stays so: running sums after each event.
-    line = fifo.running(fifo.running(events.withColumns({"_b": F.when(F.col("side") == 1, F.col("quantity")).otherwise(0), "_s": F.when(F.col("side") == -1, F.col("quantity")).otherwise(0)}), ["key"], "event_timestamp", ORDER, "_b", "b"), ["key"], "event_timestamp", ORDER, "_s", "s")
-    flags = line.groupBy("key").agg(F.bool_or(F.expr("s > 0 AND b = 0")).alias("orphan"), F.bool_or(F.expr("s > b")).alias("negative"), F.bool_or(F.expr("s > b AND b > 0")).alias("oversold"))
+    flags = line.groupBy("key").agg(F.bool_or(F.expr("sold > 0 AND bought = 0")).alias("orphan"), F.bool_or(F.expr("sold > bought")).alias("negative"), F.bool_or(F.expr("sold > bought AND bought > 0")).alias("oversold"), F.count_if(F.col("side") == -1).alias("asked"))
     zero = F.lit(0).cast(Q)
     out = totals
-    for part in (gains, held, took, asked, flags):
+    for part in (gains, held, took.drop("_sold"), flags):
         out = out.join(part, "key", "left")
     rejected = F.coalesce("asked", F.lit(0)) > F.coalesce("accepted", F.lit(0))
     reasons = F.array_compact(F.concat(

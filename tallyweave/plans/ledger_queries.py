@@ -57,3 +57,264 @@ def portfolio_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     numbers = ("bought_quantity", "sold_quantity", "bought_cost", "sold_proceeds", "dividends", "current_quantity")
     return found.select("key", *(F.col(c).cast("double").alias(c) for c in numbers), "transactions", "last_activity", F.col("realized_pnl").cast("double").alias("realized_pnl"), "is_incoherent")
 
+from pyspark.sql import Window  # noqa: E402
+
+from ..functions import numbers  # noqa: E402
+from ..operators import fifo, mergers, reads, store, tax, validation  # noqa: E402
+
+L = P.LEDGER_SQL
+
+
+@query(f"SELECT count(*) FILTER (held > 0) AS active_positions, count(*) FILTER (odd) AS incoherent_positions, CAST(sum(dv) AS DOUBLE) AS total_dividends FROM ({ORACLE['portfolio_positions'].replace('CAST(coalesce(held, 0) AS DOUBLE) AS current_quantity', 'coalesce(held, 0) AS held').replace('odd AS is_incoherent', 'odd').replace('CAST(dv AS DOUBLE) AS dividends', 'dv')})")
+def portfolio_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals of all positions."""
+    return portfolio.totals(_positions(spark, sf_dir)).select("active_positions", "incoherent_positions", F.col("total_dividends").cast("double").alias("total_dividends"))
+
+
+@query(f"""WITH l AS ({L}), k AS (SELECT *, lower(concat_ws('|', isin, provider, account_country)) AS key FROM l WHERE event_timestamp <= TIMESTAMP '1999-12-31' AND account_country = 'NATION_3')
+SELECT key, CAST(sum(CASE action WHEN 'buy' THEN quantity ELSE 0 END) AS DOUBLE) AS bought_quantity, count(*) AS transactions FROM k GROUP BY key HAVING sum(CASE action WHEN 'buy' THEN quantity ELSE 0 END) > 0 AND contains(key, '7')""")
+def portfolio_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Positions of a country as of a day whose text holds a 7; the country prunes the ledger first."""
+    rows = P.ledger(spark, sf_dir).where("account_country = 'NATION_3'")
+    found = portfolio.filtered(portfolio.positions(rows, cutoff="1999-12-31"), portfolio.Filters(country="nation_3", status="all"))
+    return found.where("bought_quantity > 0").where(F.col("key").contains("7")).select("key", F.col("bought_quantity").cast("double").alias("bought_quantity"), "transactions")
+
+
+@query(f"SELECT id, isin, CAST(quantity AS DOUBLE) AS quantity FROM ({L}) WHERE lower(action) = 'sell' AND quantity >= 40 AND tax_year = 1997 AND event_timestamp >= TIMESTAMP '1997-03-01' AND event_timestamp < TIMESTAMP '1997-06-01'")
+def ledger_filter_and(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conditions; an end at midnight means the whole day."""
+    return reads.ledger_filter(P.ledger(spark, sf_dir), action="SELL", quantity_over=40, tax_year=1997, since="1997-03-01", until="1997-05-31").select("id", "isin", F.col("quantity").cast("double").alias("quantity"))
+
+
+@query(f"SELECT id, action, CAST(quantity AS DOUBLE) AS quantity FROM ({L}) WHERE isin = 'XX0000000007' OR quantity >= 50")
+def ledger_filter_or(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Any condition."""
+    return reads.ledger_filter(P.ledger(spark, sf_dir), isin="xx0000000007", quantity_over=50, logic="OR").select("id", "action", F.col("quantity").cast("double").alias("quantity"))
+
+
+@query(f"SELECT id, event_timestamp, account_country FROM ({L}) WHERE provider = 'S1' AND tax_year = 1996 AND action = 'buy' AND asset_type = 'etf'")
+def ledger_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Equality filters."""
+    return reads.equal_filter(P.ledger(spark, sf_dir), provider="S1", tax_year=1996, action="buy", asset_type="etf", currency=None).select("id", "event_timestamp", "account_country")
+
+
+@query(f"SELECT id, event_timestamp FROM ({L}) WHERE isin = 'XX0000000011' AND action = 'buy' AND event_timestamp > TIMESTAMP '1996-01-01' AND event_timestamp <= TIMESTAMP '2000-01-01'")
+def purchases_in_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A half-open window of purchases."""
+    return reads.purchases_in_window(P.ledger(spark, sf_dir), "xx0000000011", "1996-01-01", "2000-01-01").select("id", "event_timestamp")
+
+
+@query(f"SELECT id, isin FROM ({L}) WHERE contains(lower(concat(symbol, ' ', provider, ' ', isin, ' ', asset_name)), 'p19 s')")
+def ledger_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A text across columns."""
+    return reads.searched(P.ledger(spark, sf_dir), "P19 S").select("id", "isin")
+
+
+@query(f"SELECT isin, max(effective_date) AS effective_date FROM (SELECT old_isin AS isin, effective_date FROM ({P.MERGERS_SQL}) UNION ALL SELECT old_isin, effective_date + INTERVAL 400 DAY FROM ({P.MERGERS_SQL}) WHERE id % 100 = 0) GROUP BY isin")
+def latest_mergers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The latest merger of each ISIN."""
+    m = P.mergers(spark, sf_dir)
+    return reads.latest_mergers(m.unionByName(m.where("id % 100 = 0").withColumn("effective_date", F.expr("effective_date + INTERVAL 400 DAYS")))).select(F.col("old_isin").alias("isin"), "effective_date")
+
+
+@query(f"WITH l AS ({L}) SELECT id, action IN ('buy', 'sell', 'dividend') AND quantity > 25 AS good FROM (SELECT id, action, CASE WHEN quantity > 25 THEN quantity ELSE 0 END AS quantity FROM l WHERE action <> 'dividend')")
+def ledger_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """V1-V3: rows whose quantity is not positive are told apart."""
+    rows = P.ledger(spark, sf_dir).where("action <> 'dividend'").withColumn("quantity", F.when(F.col("quantity") > 25, F.col("quantity")).otherwise(F.lit(0).cast("decimal(18,6)")))
+    return validation.validated(rows).select("id", (F.size("errors") == 0).alias("good"))
+
+
+@query(f"SELECT id, CASE WHEN quantity > 30 THEN '' ELSE 'quantity' END AS missing FROM ({L}) WHERE action = 'buy' UNION ALL SELECT id, '' FROM ({L}) WHERE action = 'dividend'")
+def staged_missing_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """V5: what a staged row lacks; dividends need no quantity."""
+    rows = P.ledger(spark, sf_dir).where("action <> 'sell'").withColumn("quantity", F.when(F.col("quantity") > 30, F.col("quantity")))
+    return rows.select("id", F.array_join(validation.missing_fields(), ",").alias("missing"))
+
+
+_FIFO = f"""l AS ({L}), e AS (SELECT isin, id, event_timestamp AS t, action, quantity AS q, unit_price AS p, fees AS f, sum(quantity) OVER (PARTITION BY isin, action ORDER BY event_timestamp, id) AS hi FROM l WHERE action <> 'dividend'),
+x AS (SELECT b.isin, b.id AS lot_id, s.id AS sale_id, least(b.hi, s.hi) - greatest(b.hi - b.q, s.hi - s.q) AS m, b.p AS bp, b.f AS bf, b.q AS bq, s.p AS sp, s.f AS sf, s.q AS sq FROM e b JOIN e s ON b.isin = s.isin AND b.action = 'buy' AND s.action = 'sell' AND b.hi - b.q < s.hi AND s.hi - s.q < b.hi)"""
+
+
+@query(f"WITH {_FIFO} SELECT isin, lot_id, sale_id, CAST(m AS DOUBLE) AS matched, CAST(round(m * bp * 1000000 + CAST(bf * m * 1000000 AS DOUBLE) / bq) AS BIGINT) AS cost_micro FROM x")
+def fifo_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lots and sales of an asset by overlap of their cumulative quantities."""
+    rows = P.ledger(spark, sf_dir).select("isin", "id", "event_timestamp", "action", "quantity", F.col("unit_price").cast("decimal(20,6)").alias("unit_price"), F.col("fees").cast("decimal(20,6)").alias("fees"))
+    found = fifo.matched(rows.where("action = 'buy'"), rows.where("action = 'sell'"), ["isin"], "event_timestamp", ["id"])
+    return found.select("isin", F.col("l.id").alias("lot_id"), F.col("r.id").alias("sale_id"), F.col("matched").cast("double").alias("matched"), (F.col("cost") * 1000000).cast("long").alias("cost_micro"))
+
+
+@query(f"""WITH l AS ({L}), b AS (SELECT isin, id, quantity, sum(quantity) OVER (PARTITION BY isin ORDER BY event_timestamp, id) AS hi FROM l WHERE action = 'buy'), s AS (SELECT isin, sum(quantity) AS sold FROM l WHERE action = 'sell' GROUP BY isin)
+SELECT b.isin, b.id, CAST(least(quantity, hi - coalesce(sold, 0)) AS DOUBLE) AS remaining FROM b LEFT JOIN s ON b.isin = s.isin WHERE hi > coalesce(sold, 0)""")
+def open_lots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """L4, C11: what plain FIFO leaves of each lot."""
+    return tax.open_quantities(P.ledger(spark, sf_dir), "2100-01-01").select("isin", "id", F.col("remaining").cast("double").alias("remaining"))
+
+
+@query(f"""WITH l AS ({L}) SELECT concat('XX', '0000000050') AS asset, CAST(coalesce(sum(quantity), 0) AS DOUBLE) AS old_quantity, count(*) AS lots, CAST(coalesce(sum(quantity), 0) * 0.145107 AS DOUBLE) AS new_quantity, CAST(floor(coalesce(sum(quantity), 0) * 0.145107) AS BIGINT) AS whole_units FROM l WHERE action = 'buy' AND isin = 'XX0000000050'""")
+def merger_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An asset's lots in a merger."""
+    lots = P.ledger(spark, sf_dir).where("action = 'buy'").select(F.col("isin").alias("asset"), F.col("event_timestamp").alias("acquired"), "quantity")
+    found = fifo.merger_totals(lots, "XX0000000050", "0.145107")
+    return found.select(F.lit("XX0000000050").alias("asset"), F.coalesce(F.col("old_quantity").cast("double"), F.lit(0.0)).alias("old_quantity"), "lots", F.coalesce(F.col("new_quantity").cast("double"), F.lit(0.0)).alias("new_quantity"), F.coalesce("whole_units", F.lit(0)).alias("whole_units"))
+
+
+def _disposals(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    rows = P.ledger(spark, sf_dir)
+    return tax.disposals_of(rows), tax.lots_of(rows)
+
+
+_MATCHES = f"""l AS ({L}), d AS (SELECT id AS disposal_id, isin, event_timestamp AS sold_at, quantity AS dq, unit_price AS dp, fees AS df FROM l WHERE action = 'sell'), b AS (SELECT id AS lot_id, isin, event_timestamp AS bought_at, quantity AS q, unit_price AS p, fees AS f FROM l WHERE action = 'buy'),
+x AS (SELECT *, coalesce(sum(q) OVER (PARTITION BY disposal_id ORDER BY CASE WHEN date_diff('day', bought_at, sold_at) > 28 THEN 1 ELSE 0 END, bought_at, lot_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, row_number() OVER (PARTITION BY disposal_id ORDER BY CASE WHEN date_diff('day', bought_at, sold_at) > 28 THEN 1 ELSE 0 END, bought_at, lot_id) AS position FROM d JOIN b USING (isin) WHERE bought_at <= sold_at),
+m AS (SELECT *, least(q, dq - before) AS matched FROM x WHERE least(q, dq - before) > 0),
+g AS (SELECT *, CAST(round(matched * p * 1000000) AS HUGEINT) + CAST(round(CAST(f * matched * 1000000 AS DOUBLE) / q) AS HUGEINT) AS cost, CAST(round(matched * dp * 1000000) AS HUGEINT) - CAST(round(CAST(df * matched * 1000000 AS DOUBLE) / dq) AS HUGEINT) AS proceeds FROM m)"""
+
+
+@query(f"WITH {_MATCHES} SELECT disposal_id, lot_id, position, CAST(matched AS DOUBLE) AS matched, CAST(cost AS DOUBLE) AS cost_micro, CAST(proceeds AS DOUBLE) AS proceeds_micro FROM g")
+def lot_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each disposal against its ISIN's purchases, those of the last 28 days first."""
+    found = tax.lot_matches(*_disposals(spark, sf_dir))
+    return found.select("disposal_id", "lot_id", "position", F.col("matched").cast("double").alias("matched"), (F.col("cost") * 1000000).cast("double").alias("cost_micro"), (F.col("proceeds") * 1000000).cast("double").alias("proceeds_micro"))
+
+
+_GAINS = f"""{_MATCHES}, c AS ({P.CLASSES_SQL}), y AS (SELECT year(sold_at) AS y, disposal_id, isin, sold_at, dq FROM d), k AS (SELECT *, CASE y % 3 WHEN 0 THEN 'resident_domiciled' WHEN 1 THEN 'resident_non_domiciled' ELSE 'non_resident' END AS r FROM y JOIN c USING (isin)),
+rep AS (SELECT disposal_id, sum(b.q) AS cap FROM d JOIN b ON b.isin = d.isin AND b.bought_at > d.sold_at AND b.bought_at <= d.sold_at + INTERVAL 28 DAY GROUP BY disposal_id),
+z AS (SELECT g.*, proceeds - cost AS gain, CASE WHEN proceeds < cost THEN matched ELSE 0 END AS loss_q FROM g),
+z2 AS (SELECT *, sum(loss_q) OVER (PARTITION BY disposal_id ORDER BY position) AS loss_hi FROM z),
+z3 AS (SELECT z2.*, CASE WHEN k.tax_regime IN ('cgt_standard', 'offshore_distributing', 'etc_commodity') AND gain < 0 THEN greatest(0, least(loss_q, coalesce(cap, 0) - (loss_hi - loss_q))) ELSE 0 END AS held FROM z2 JOIN k USING (disposal_id) LEFT JOIN rep USING (disposal_id)),
+s AS (SELECT disposal_id, sum(matched) AS covered, sum(cost) AS cost, sum(proceeds) AS proceeds, sum(gain) AS gain, sum(held) AS held_q, sum(CASE WHEN held > 0 THEN -gain * held / matched ELSE 0 END) AS quarantined FROM z3 GROUP BY disposal_id),
+o AS (SELECT k.disposal_id, k.isin, k.sold_at, tax_regime, dq - coalesce(covered, 0) AS shortfall, coalesce(cost, 0) AS cost, coalesce(proceeds, 0) AS proceeds, coalesce(gain, 0) AS gain, coalesce(quarantined, 0) AS quarantined,
+  CASE tax_regime WHEN 'exit_tax' THEN CASE WHEN y <= 2025 THEN 0.41 ELSE 0.38 END WHEN 'offshore_distributing' THEN 0.40 WHEN 'offshore_non_distributing' THEN 0.40 ELSE 0.33 END AS rate,
+  r = 'resident_domiciled' OR (r = 'resident_non_domiciled' AND (tax_regime = 'exit_tax' OR domicile_country = 'IE')) AS taxable, r = 'resident_non_domiciled' AND tax_regime <> 'exit_tax' AND domicile_country <> 'IE' AS basis FROM k LEFT JOIN s USING (disposal_id))"""
+
+
+@query(f"WITH {_GAINS} SELECT disposal_id, tax_regime, CAST(shortfall AS DOUBLE) AS shortfall, CAST(cost AS DOUBLE) AS cost_micro, CAST(proceeds AS DOUBLE) AS proceeds_micro, CAST(gain AS DOUBLE) AS gain_micro, CAST(floor(CAST(quarantined AS DOUBLE) / 1000000 + 0.001) AS BIGINT) AS quarantined, CAST(rate AS DOUBLE) AS rate, taxable, basis AS remittance_basis FROM o")
+def disposal_gains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Disposals with totals, quarantined losses, rates and taxability."""
+    found = _gains(spark, sf_dir)
+    return found.select("disposal_id", "tax_regime", F.col("shortfall").cast("double").alias("shortfall"), *((F.col(c) * 1000000).cast("double").alias(f"{c}_micro") for c in ("cost", "proceeds", "gain")), F.floor(F.col("quarantined_loss").cast("double") + 0.001).alias("quarantined"), F.col("rate").cast("double").alias("rate"), "taxable", "remittance_basis")
+
+
+def _gains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tax.disposal_gains(*_disposals(spark, sf_dir), P.classifications(spark, sf_dir), P.profiles(spark))
+
+
+@query(f"WITH {_GAINS} SELECT CAST(year(sold_at) AS INT) AS tax_year, count(*) AS disposals, CAST(sum(proceeds) AS DOUBLE) AS proceeds_micro, CAST(floor(CAST(sum(quarantined) AS DOUBLE) / 1000000 + 0.001) AS BIGINT) AS quarantined FROM o GROUP BY 1")
+def annual_cgt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A year's disposals added up."""
+    return tax.annual_summary(_gains(spark, sf_dir)).select("tax_year", "disposals", (F.col("proceeds") * 1000000).cast("double").alias("proceeds_micro"), F.floor(F.col("quarantined").cast("double") + 0.001).alias("quarantined"))
+
+
+@query(f"""WITH l AS ({L}), b AS (SELECT isin, id, event_timestamp, unit_price, quantity, sum(quantity) OVER (PARTITION BY isin ORDER BY event_timestamp, id) AS hi FROM l WHERE action = 'buy'), s AS (SELECT isin, sum(quantity) AS sold FROM l WHERE action = 'sell' GROUP BY isin),
+o AS (SELECT b.isin, id, event_timestamp, unit_price, least(quantity, hi - coalesce(sold, 0)) AS q, CAST(p_retailprice AS DECIMAL(18,2)) AS price FROM b LEFT JOIN s ON b.isin = s.isin JOIN part ON b.isin = concat('XX', lpad(CAST(p_partkey AS VARCHAR), 10, '0')) WHERE hi > coalesce(sold, 0)),
+t AS (SELECT *, unnest([8, 16, 24]) AS y FROM o)
+SELECT id, CAST(CAST(event_timestamp + INTERVAL 1 YEAR * y AS DATE) AS VARCHAR) AS trigger_date, CAST(q * price AS DOUBLE) AS market_value, CAST(greatest(0, q * price - q * CASE WHEN y = 8 THEN unit_price ELSE price END) AS DOUBLE) AS deemed_gain FROM t WHERE CAST(event_timestamp + INTERVAL 1 YEAR * y AS DATE) <= DATE '2012-06-30'""")
+def deemed_disposals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Eighth anniversaries of open lots, each stepping up the next one's cost."""
+    lots = tax.open_quantities(P.ledger(spark, sf_dir), "2012-06-30")
+    market = P.table(spark, sf_dir, "part").select(F.concat(F.lit("XX"), F.lpad(F.col("p_partkey").cast("string"), 10, "0")).alias("isin"), F.col("p_retailprice").cast("decimal(18,2)").alias("price"))
+    found = tax.deemed_disposals(lots, "2012-06-30", market)
+    return found.select("id", F.col("trigger_date").cast("string").alias("trigger_date"), F.col("market_value").cast("double").alias("market_value"), F.col("deemed_gain").cast("double").alias("deemed_gain"))
+
+
+@query("""SELECT c_custkey, CAST(a.earned AS DOUBLE) AS earnings_limit, CAST(relief AS DOUBLE) AS relief, CAST(round_even(a.earned * relief, 2) AS DOUBLE) AS max_contribution FROM (
+  SELECT c_custkey, CASE WHEN g <= 0 THEN 0 ELSE least(g, 115000) END AS earned, CASE WHEN g <= 0 THEN 0 WHEN age < 30 THEN 0.15 WHEN age <= 39 THEN 0.20 WHEN age <= 49 THEN 0.25 WHEN age <= 54 THEN 0.30 WHEN age <= 59 THEN 0.35 ELSE 0.40 END AS relief FROM (
+    SELECT c_custkey, CAST(CAST(c_acctbal AS DECIMAL(12,2)) * 20 AS DECIMAL(14,2)) AS g, 20 + c_custkey % 50 AS age FROM customer)) a""")
+def pension_relief(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What may be relieved at an age of 20 to 69."""
+    rows = P.table(spark, sf_dir, "customer").select("c_custkey", (F.col("c_acctbal").cast("decimal(12,2)") * 20).alias("g"), (F.col("c_custkey") % 50 + 20).alias("age"))
+    told = rows.select("c_custkey", tax.pension_limit(F.col("age"), F.col("g")).alias("x"))
+    return told.select("c_custkey", F.col("x.earnings_limit").cast("double").alias("earnings_limit"), F.col("x.relief").cast("double").alias("relief"), F.col("x.limit").cast("double").alias("max_contribution"))
+
+
+@query("""SELECT c_custkey, CAST(t AS DOUBLE) AS taxable_income, CAST(round_even(least(t, 44000) * 0.20 + greatest(0, t - 44000) * 0.40, 2) AS DOUBLE) AS gross_tax, CAST(round_even(greatest(0, least(t, 44000) * 0.20 + greatest(0, t - 44000) * 0.40 - 4000), 2) AS DOUBLE) AS net_tax FROM (
+  SELECT c_custkey, greatest(0, g - least(5000, CASE WHEN g <= 0 THEN 0 ELSE round_even(least(g, 115000) * 0.20, 2) END)) AS t FROM (SELECT c_custkey, CAST(CAST(c_acctbal AS DECIMAL(12,2)) * 20 AS DECIMAL(14,2)) AS g FROM customer))""")
+def paye(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """C17: income tax at 35, with 5000 of pension, 4000 of credits and a cut-off of 44000."""
+    rows = P.table(spark, sf_dir, "customer").select("c_custkey", (F.col("c_acctbal").cast("decimal(12,2)") * 20).alias("g"))
+    told = rows.select("c_custkey", tax.paye(F.col("g"), F.lit(5000), F.lit(35), F.lit(4000), F.lit(44000)).alias("x"))
+    return told.select("c_custkey", *(F.col(f"x.{c}").cast("double").alias(c) for c in ("taxable_income", "gross_tax", "net_tax")))
+
+
+@query("""SELECT n_name, CASE WHEN n_nationkey % 4 <> 0 THEN 'non_resident' WHEN n_regionkey % 2 = 0 THEN 'resident_domiciled' ELSE 'resident_non_domiciled' END AS residency FROM nation""")
+def residency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Residence and domicile to a kind of resident."""
+    rows = P.table(spark, sf_dir, "nation")
+    return rows.select("n_name", tax.residency(F.when(F.col("n_nationkey") % 4 == 0, "ie").otherwise("IT"), F.when(F.col("n_regionkey") % 2 == 0, " IE ").otherwise("IT")).alias("residency"))
+
+
+@query("""SELECT p_partkey, CASE WHEN p_partkey % 4 = 0 THEN 'exit_tax' WHEN p_partkey % 4 = 1 THEN 'etc_commodity' WHEN p_partkey % 4 = 2 THEN 'offshore_distributing' ELSE 'cgt_standard' END AS regime, CASE WHEN p_partkey % 2 = 0 THEN 'LU' END AS domicile FROM part""")
+def asset_traits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names and ISIN prefixes to regime and domicile."""
+    k = F.col("p_partkey") % 4
+    name = F.concat("p_name", F.when(k == 0, " ucits fund").when(k == 1, " physical gold").when(k == 2, " offshore distributing").otherwise(""))
+    isin = F.concat(F.when(F.col("p_partkey") % 2 == 0, "lu").otherwise("ZZ"), F.col("p_partkey").cast("string"))
+    return P.table(spark, sf_dir, "part").select("p_partkey", tax.category_regime(tax.asset_category(name)).alias("regime"), tax.domicile_of(isin).alias("domicile"))
+
+
+@query("""SELECT p_partkey, CAST(round_even(o / n, 6) AS DOUBLE) AS ratio, CAST(floor(100 * CAST(round_even(o / n, 6) AS DECIMAL(18,6))) AS BIGINT) AS whole_units FROM (SELECT p_partkey, CAST(p_retailprice AS DOUBLE) AS o, CAST(p_size + 1 AS DOUBLE) AS n FROM part)""")
+def nav_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M1: exchange ratios of prices, whole units of a hundred."""
+    rows = P.table(spark, sf_dir, "part").select("p_partkey", F.col("p_retailprice").cast("decimal(18,6)").alias("old_nav"), (F.col("p_size") + 1).cast("decimal(18,6)").alias("new_nav"), F.lit(100).alias("old_quantity"))
+    return mergers.resolved(rows).select("p_partkey", F.col("ratio").cast("double").alias("ratio"), "whole_units")
+
+
+@query("SELECT p_partkey, CASE WHEN p_partkey % 10 = 0 THEN 1.5 WHEN p_partkey % 3 = 0 THEN CAST(p_retailprice AS DOUBLE) WHEN p_partkey % 7 = 0 THEN CAST(p_size AS DOUBLE) END AS price FROM part")
+def nav_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An override, else the first source that has the very day."""
+    part = P.table(spark, sf_dir, "part").withColumn("isin", F.col("p_partkey").cast("string")).withColumn("price_date", F.to_date(F.lit("2020-01-02")))
+    asked = part.select("p_partkey", "isin", "price_date", F.when(F.col("p_partkey") % 10 == 0, 1.5).alias("override"))
+    prices = [part.where("p_partkey % 3 = 0").select("isin", "price_date", F.col("p_retailprice").alias("price")), part.where("p_partkey % 7 = 0").select("isin", "price_date", F.col("p_size").cast("double").alias("price"))]
+    return mergers.nav(asked, prices, "override").select("p_partkey", "price")
+
+
+def _staged(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Staged rows of 1996 and 1997, and the ledger of 1996 with numbers for ids."""
+    rows = P.ledger(spark, sf_dir).withColumn("name", F.col("id"))
+    order = Window.partitionBy("tax_year").orderBy("event_timestamp", "name")
+    rows = rows.where("tax_year IN (1996, 1997)").withColumn("id", (F.row_number().over(order) + F.when(F.col("tax_year") == 1996, 0).otherwise(1000000)).cast("long"))
+    staged = rows.withColumn("approved_financial_record_id", F.lit(None).cast("long"))
+    return staged, rows.where("tax_year = 1996 AND quantity % 2 = 1")
+
+
+@query(f"""WITH l AS ({L}) SELECT a.id AS name, count(b.id) > 0 AS is_duplicate FROM (SELECT * FROM l WHERE tax_year IN (1996, 1997)) a LEFT JOIN (SELECT * FROM l WHERE tax_year = 1996 AND quantity % 2 = 1) b
+ON CAST(a.event_timestamp AS DATE) = CAST(b.event_timestamp AS DATE) AND a.action = b.action AND a.quantity = b.quantity AND a.isin = b.isin GROUP BY a.id""")
+def duplicate_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Staged rows that the ledger has already."""
+    return store.duplicates(*_staged(spark, sf_dir)).select("name", "is_duplicate")
+
+
+@query(f"""WITH l AS ({L}), b AS (SELECT * FROM l WHERE tax_year = 1996 AND quantity % 2 = 1), a AS (SELECT * FROM l WHERE tax_year IN (1996, 1997))
+SELECT CAST(tax_year AS INT) AS tax_year, count(*) AS n, CAST(sum(quantity) AS DOUBLE) AS quantity FROM (SELECT tax_year, quantity FROM b UNION ALL SELECT tax_year, quantity FROM a WHERE NOT EXISTS (SELECT 1 FROM b WHERE CAST(a.event_timestamp AS DATE) = CAST(b.event_timestamp AS DATE) AND a.action = b.action AND a.quantity = b.quantity AND a.isin = b.isin)) GROUP BY tax_year""")
+def promotion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Complete staged rows that are no duplicates move to the ledger."""
+    ledger = store.promoted(*_staged(spark, sf_dir))[0]
+    return ledger.groupBy("tax_year").agg(F.count("*").alias("n"), F.sum("quantity").cast("double").alias("quantity"))
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN 'merged' ELSE o_orderstatus END AS o_orderstatus FROM orders WHERE o_orderkey % 11 <> 0 UNION ALL SELECT -o_orderkey, 'new' FROM orders WHERE o_orderkey % 1000 = 1")
+def keyed_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An upsert by key and a delete."""
+    old = P.table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus")
+    new = old.where("o_orderkey % 5 = 0").withColumn("o_orderstatus", F.lit("merged")).unionByName(old.where("o_orderkey % 1000 = 1").select((-F.col("o_orderkey")).alias("o_orderkey"), F.lit("new").alias("o_orderstatus")))
+    return store.deleted(store.upserted(old, new, ["o_orderkey"]), (F.col("o_orderkey") >= 0) & (F.col("o_orderkey") % 11 == 0))
+
+
+@query("SELECT c_custkey, CAST(c_acctbal AS DOUBLE) AS thousands, CAST(abs(c_acctbal) AS DOUBLE) AS magnitude FROM customer")
+def decimal_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbers as people of two countries write them."""
+    rows = P.table(spark, sf_dir, "customer").select("c_custkey", F.col("c_acctbal").cast("decimal(12,2)").alias("b"))
+    english = F.concat(F.lit("$ "), F.format_number("b", 2))
+    italian = F.concat(F.translate(F.format_number("b", 2), ".,", ",."), F.lit(" €"))
+    return rows.select("c_custkey", numbers.italian_decimal(italian).cast("double").alias("thousands"), numbers.voter_decimal(english).cast("double").alias("magnitude"))
+
+
+@query("SELECT o_orderkey, CAST(CAST(CAST(o_orderdate AS TIMESTAMP) + INTERVAL 8 YEAR AS DATE) AS VARCHAR) AS anniversary FROM orders")
+def anniversaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same day eight years on."""
+    return P.table(spark, sf_dir, "orders").select("o_orderkey", F.to_date(numbers.add_years(F.col("o_orderdate").cast("timestamp"), 8)).cast("string").alias("anniversary"))
+
+
+@query(f"SELECT CAST(sum(CASE action WHEN 'buy' THEN quantity WHEN 'sell' THEN -quantity ELSE 0 END) AS DOUBLE) AS holding FROM ({L}) WHERE isin = 'XX0000000019' AND event_timestamp <= TIMESTAMP '1999-01-01'")
+def net_holding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bought less sold by a day."""
+    return reads.net_holding(P.ledger(spark, sf_dir), "xx0000000019", "1999-01-01").select(F.col("holding").cast("double").alias("holding"))
