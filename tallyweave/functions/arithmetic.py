@@ -8,6 +8,7 @@ from decimal import Decimal
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _BINARY = {ast.Add: operator.add, ast.Sub: operator.sub, ast.Mult: operator.mul, ast.Div: operator.truediv, ast.Pow: operator.pow}
 _SIGNS = {ast.UAdd: operator.pos, ast.USub: operator.neg}
@@ -36,7 +37,7 @@ def evaluated(expression: str) -> Decimal:
         raise ValueError(f"not arithmetic: {expression!r}") from e
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def arithmetic(expressions: pd.Series) -> pd.Series:
     """The value as text, `error: ...` where there is none, NULL for NULL."""
 

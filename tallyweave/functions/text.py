@@ -71,15 +71,16 @@ def json_object(text: Column) -> Column:
 
 
 #: Frequent short words of the two languages told apart.
-_ITALIAN = "il|lo|la|le|gli|di|del|della|che|per|con|una|uno|sono|non|dei|delle|nel|alla|euro"
-_ENGLISH = "the|of|and|to|in|is|that|for|with|was|are|this|from|by|on|as|at|be|or|an"
+ITALIAN = ("il", "lo", "la", "le", "gli", "di", "del", "della", "che", "per", "con", "una", "uno", "sono", "non", "dei", "delle", "nel", "alla", "euro")
+ENGLISH = ("the", "of", "and", "to", "in", "is", "that", "for", "with", "was", "are", "this", "from", "by", "on", "as", "at", "be", "or", "an")
 LOOKED_AT = 10_000
 
 
 def language(text: Column) -> Column:
     """`it` or `en`, by frequent words near the start; `en` where nothing tells."""
-    s = F.lower(F.substring(F.coalesce(text, F.lit("")), 1, LOOKED_AT))
-    return F.when(F.regexp_count(s, F.lit(rf"\b({_ITALIAN})\b")) > F.regexp_count(s, F.lit(rf"\b({_ENGLISH})\b")), "it").otherwise("en")
+    words = F.regexp_extract_all(F.lower(F.substring(F.coalesce(text, F.lit("")), 1, LOOKED_AT)), F.lit(r"\p{L}+"), F.lit(0))
+    italian, english = (F.size(F.filter(words, lambda w, known=known: w.isin(*known))) for known in (ITALIAN, ENGLISH))
+    return F.when(italian > english, "it").otherwise("en")
 
 
 def _choice(text: Column, joined: str, names: dict[str, str], default: Column | None, what: str) -> Column:

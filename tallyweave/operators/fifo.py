@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .materialize import stored
+
 Q = "decimal(28,6)"
 #: Units of quantity to a block.
 BLOCK = 4096
@@ -63,13 +65,13 @@ def overlaps(left: DataFrame, right: DataFrame, keys: list[str], block: int = BL
 def accepted(events: DataFrame, keys: list[str], at: str, order: list[str]) -> tuple[DataFrame, DataFrame]:
     """(events that take place, running totals of all): sales that the lots so far do not cover are left out whole.
 
-    events have side 1 (buy) or -1 (sell) and quantity; both results have bought and sold, up to and with each row.
+    Both results and the events, which are read twice, are stored. events have side 1 (buy) or -1 (sell) and quantity; both results have bought and sold, up to and with each row.
     Keys whose running balance never goes below zero need no state. The others are streamed in order, one number held a key.
     """
     sides = events.withColumns({"_b": F.when(F.col("side") == 1, F.col("quantity")).otherwise(0), "_s": F.when(F.col("side") == -1, F.col("quantity")).otherwise(0)})
-    line = running(sides, keys, at, order, {"_b": "bought", "_s": "sold"})
+    line = stored(running(sides, keys, at, order, {"_b": "bought", "_s": "sold"}))
     short = line.where("sold > bought").select(*keys).distinct()
-    hard = sides.join(short, keys, "left_semi").repartition(*keys).sortWithinPartitions(*keys, at, *order)
+    hard = line.drop("bought", "sold").join(short, keys, "left_semi").repartition(*keys).sortWithinPartitions(*keys, at, *order)
 
     def fold(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         last, available = None, 0
@@ -83,8 +85,8 @@ def accepted(events: DataFrame, keys: list[str], at: str, order: list[str]) -> t
                 keep.append(good)
             yield rows[keep]
 
-    kept = running(hard.mapInPandas(fold, hard.schema), keys, at, order, {"_b": "bought", "_s": "sold"})
-    return line.join(short, keys, "left_anti").unionByName(kept).drop("_b", "_s"), line.drop("_b", "_s")
+    kept = running(stored(hard.mapInPandas(fold, hard.schema)), keys, at, order, {"_b": "bought", "_s": "sold"})
+    return stored(line.join(short, keys, "left_anti").unionByName(kept).drop("_b", "_s")), line.drop("_b", "_s")
 
 
 def accepted_sales(events: DataFrame, keys: list[str], at: str, order: list[str]) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import fifo
+from .materialize import stored
 from .validation import identity
 
 ORDER = ["id"]
@@ -58,10 +59,10 @@ def positions(ledger: DataFrame, mergers: DataFrame | None = None, cutoff: datet
     rows = ledger if cutoff is None else ledger.where(F.col("event_timestamp") <= F.lit(cutoff).cast("timestamp"))
     rows = remapped(rows, mergers, scale_price) if mergers is not None else rows.withColumn("warning", F.lit(None).cast("string"))
     action = F.lower("action")
-    rows = rows.where(action.isin("buy", "sell", "dividend")).select(
+    rows = stored(rows.where(action.isin("buy", "sell", "dividend")).select(
         position_key().alias("key"), "id", "event_timestamp", action.alias("action"), "isin", "symbol", "asset_name", "asset_type", "provider", "account_country", "currency",
         F.col("quantity").cast("decimal(18,6)").alias("quantity"), F.col("unit_price").cast("decimal(20,6)").alias("unit_price"), F.col("fees").cast("decimal(20,6)").alias("fees"), F.col("local_total_amount").cast(Q).alias("amount"), "warning",
-    )
+    ))
     bought, sold = F.when(action == "buy", F.col("quantity")), F.when(action == "sell", F.col("quantity"))
     totals = rows.groupBy("key").agg(
         F.min_by(F.struct("isin", "symbol", "asset_name", "asset_type", "provider", "account_country", "currency"), F.struct("event_timestamp", "id")).alias("first"),

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.numbers import add_years, money
 from . import fifo
 from .fifo import Q
+from .materialize import stored
 
 #: Rates, bands and windows of the law.
 CGT, EXIT_UNTIL_2025, EXIT_FROM_2026, DISTRIBUTING = "0.33", "0.41", "0.38", "0.40"
@@ -151,7 +152,7 @@ def disposal_gains(disposals: DataFrame, lots: DataFrame, classes: DataFrame, pr
         sold = disposals.select("disposal_id", F.year("sold_at").alias("_sold"))
         sums = remittances.join(sold, "disposal_id").groupBy("disposal_id").agg(F.lit(True).alias("remitted"), F.coalesce(F.sum(F.when(F.year("remitted_at") == F.col("_sold"), F.col("amount"))), F.lit(0)).cast(Q).alias("remitted_amount"))
         known = known.join(sums, "disposal_id", "left").withColumns({"remitted": F.coalesce("remitted", F.lit(False)), "remitted_amount": F.coalesce("remitted_amount", F.lit(0).cast(Q))})
-    matches = lot_matches(disposals, lots)
+    matches = stored(lot_matches(disposals, lots))
     cgt = known.where(F.col("tax_regime").isin(*CGT_REGIMES)).select("disposal_id")
     split = quarantined(matches, repurchases(disposals, lots).join(cgt, "disposal_id", "left_semi"))
     sums = split.groupBy("disposal_id").agg(

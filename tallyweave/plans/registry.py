@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import ledger_queries
+from . import document_queries, ledger_queries
 
-_MODULES = (ledger_queries,)
+_MODULES = (ledger_queries, document_queries)
 
 
 def queries() -> dict:
