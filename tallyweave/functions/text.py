@@ -79,7 +79,7 @@ LOOKED_AT = 10_000
 def language(text: Column) -> Column:
     """`it` or `en`, by frequent words near the start; `en` where nothing tells."""
     words = F.regexp_extract_all(F.lower(F.substring(F.coalesce(text, F.lit("")), 1, LOOKED_AT)), F.lit(r"\p{L}+"), F.lit(0))
-    italian, english = (F.size(F.filter(words, lambda w, known=known: w.isin(*known))) for known in (ITALIAN, ENGLISH))
+    italian, english = F.size(F.filter(words, lambda w: w.isin(*ITALIAN))), F.size(F.filter(words, lambda w: w.isin(*ENGLISH)))
     return F.when(italian > english, "it").otherwise("en")
 
 

@@ -27,7 +27,7 @@ def decoded(content: Column) -> Column:
 
 def whole_texts(spark: SparkSession, folder: str, suffix: str = ".md") -> DataFrame:
     """(path, text) of all files below a folder."""
-    rows = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", f"*{suffix}").text(folder)
+    rows = spark.read.text(folder, wholetext=True, recursiveFileLookup=True, pathGlobFilter=f"*{suffix}")
     return rows.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
 
 
