@@ -35,6 +35,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from . import words
 from .common import column, slices, table, text_bytes
@@ -129,7 +130,7 @@ def grams_of(texts: pa.Array) -> tuple[np.ndarray, ...]:
     return tuple(map(np.concatenate, zip(*found, strict=True))) if found else (np.zeros(0, np.uint64),) * 2 + (np.zeros(0, np.int64),) * 3
 
 
-_SENT = "part int, rows binary, of binary, keys binary"
+_SENT = "part int, rows binary, of binary, keys binary, ids array<{0}>"
 #: What an n-gram's logarithm counts: bigrams, inner words, first and last words, words that stand alone.
 SIGNS = (1, -1, 0, 1)
 
@@ -172,6 +173,8 @@ def self_scores(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
                 out.append((p, names[own].tobytes(), often.tobytes(), np.concatenate([k for k, _ in mine]).tobytes()))
         return out
 
+    id_type = to_arrow_type(docs.schema[id_column].dataType)
+
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context = TaskContext.get()
         row = (context.partitionId() if context else 0) << 40
@@ -179,15 +182,17 @@ def self_scores(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
         for batch in batches:
             for first, last in slices(column(batch, "text"), SLICE):
                 out = sent(column(batch, "text").slice(first, last - first), row)
-                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out, strict=True), kinds, strict=True)], ["part", "rows", "of", "keys"])
+                # The names of the slice's documents go with their own sums, which come first.
+                ids = pa.ListArray.from_arrays([0, *[last - first] * len(out)], column(batch, "id").slice(first, last - first).cast(id_type))
+                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out, strict=True), kinds, strict=True)] + [ids], ["part", "rows", "of", "keys", "ids"])
                 row += last - first
 
     def answer(t: pa.Table) -> pa.RecordBatch:
         keys = np.concatenate([np.frombuffer(x.as_buffer(), np.uint64) for x in t["keys"]])
         _, at, counts = np.unique(keys, return_inverse=True, return_counts=True)
-        logs, done, found = micro_log(counts)[at], 0, []
+        logs, done, found, named = micro_log(counts)[at], 0, [], []
         del keys, at
-        for rows, of, own in zip(t["rows"], t["of"], t["keys"], strict=True):
+        for rows, of, own, ids in zip(t["rows"], t["of"], t["keys"], t["ids"], strict=True):
             rows, n = np.frombuffer(rows.as_buffer(), np.int64), len(own.as_buffer()) // 8
             if not n:
                 sums, words_of_row = np.frombuffer(of.as_buffer(), np.int64).reshape(2, -1)
@@ -198,14 +203,13 @@ def self_scores(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
                 sums, words_of_row = np.bincount(who, signed, len(rows)).astype(np.int64), np.zeros(len(rows), np.int64)
             done += n
             found.append((rows, sums, words_of_row))
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found, strict=True)], ["row", "micro", "n"])
+            named.append(pa.nulls(len(rows), id_type) if n else ids.values.cast(id_type))
+        return pa.RecordBatch.from_arrays([*(pa.array(np.concatenate(x)) for x in zip(*found, strict=True)), pa.concat_arrays(named)], ["row", "micro", "n", "id"])
 
-    summed_up = by_group(texts.mapInArrow(send, _SENT), ["part"], "row long, micro long, n long", answer).groupBy("row").agg(F.sum("micro").alias("micro_log"), F.sum("n").alias("n_words"))
-    named = texts.select("id").mapInArrow(_numbered, f"row long, id {kind}")
-    return named.join(summed_up, "row", "left").select(
-        F.col("id").alias(id_column), F.coalesce("n_words", F.lit(0)).alias("n_words"), F.when(F.col("n_words") > 0, F.col("micro_log")).alias("micro_log"),
-        F.when(F.col("n_words") > 0, F.col("micro_log") / F.col("n_words") / MICRO).alias("score"),
-    )
+    sums = by_group(texts.mapInArrow(send, _SENT.format(kind)), ["part"], f"row long, micro long, n long, id {kind}", answer).groupBy("row").agg(F.sum("micro").alias("micro_log"), F.sum("n").alias("n_words"), F.max("id").alias("id"))
+    return sums.select(
+        F.col("id").alias(id_column), "n_words", F.when(F.col("n_words") > 0, F.col("micro_log")).alias("micro_log"), F.when(F.col("n_words") > 0, F.col("micro_log") / F.col("n_words") / MICRO).alias("score")
+    )
 
 
 def part_of(keys: np.ndarray, parts: int) -> np.ndarray:
@@ -213,14 +217,6 @@ def part_of(keys: np.ndarray, parts: int) -> np.ndarray:
     return ((keys >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
 
 
-def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    context = TaskContext.get()
-    row = (context.partitionId() if context else 0) << 40
-    for batch in batches:
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(row, row + batch.num_rows)), batch.column(0)], ["row", "id"])
-        row += batch.num_rows
-
-
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
@@ -251,8 +247,8 @@ def score_against(docs: DataFrame, counts: DataFrame, order: int = 2, alpha: flo
     """
     total = counts.where("n = 1").agg(F.coalesce(F.sum("count"), F.lit(0)).alias("total"))
     w = docs.select(F.monotonically_increasing_id().alias("_row"), F.col(id_column).alias("_id"), word_array(F.col(text_column)).alias("w"))
-    at = w.select("_row", F.posexplode("w").alias("i", "word"), "w").withColumn("_at", F.col("i"))
-    rows = at.select("_row", "_at", *(F.when(F.col("i") >= n - 1, F.array_join(F.slice("w", F.col("i") - n + 2, F.lit(n)), " ")).alias(f"g{n}") for n in range(1, order + 1)),
+    at = w.select("_row", "_id", F.posexplode_outer("w").alias("i", "word"), "w").withColumn("_at", F.col("i"))
+    rows = at.select("_row", "_id", "_at", *(F.when(F.col("i") >= n - 1, F.array_join(F.slice("w", F.col("i") - n + 2, F.lit(n)), " ")).alias(f"g{n}") for n in range(1, order + 1)),
                      *(F.when(F.col("i") >= n, F.array_join(F.slice("w", F.col("i") - n + 1, F.lit(n)), " ")).alias(f"c{n}") for n in range(1, order)))
     for n in range(1, order + 1):
         own = counts.where(F.col("n") == n)
@@ -263,8 +259,8 @@ def score_against(docs: DataFrame, counts: DataFrame, order: int = 2, alpha: flo
     value = F.log(F.coalesce("ng1", F.lit(0.5)) / F.greatest("total", F.lit(1)))
     for n in range(2, order + 1):
         value = F.when(F.col(f"ng{n}").isNotNull(), F.log(F.col(f"ng{n}") / F.col(f"nc{n - 1}"))).otherwise(F.when(F.col("_at") >= n - 1, F.lit(math.log(alpha))).otherwise(0.0) + value)
-    scores = rows.groupBy("_row").agg(F.count("*").alias("n_words"), F.avg(value).alias("score"))
-    return w.select("_row", "_id").join(scores, "_row", "left").select(F.col("_id").alias(id_column), F.coalesce("n_words", F.lit(0)).alias("n_words"), "score")
+    found = rows.groupBy("_row").agg(F.max("_id").alias(id_column), F.count("_at").alias("n_words"), F.avg(F.when(F.col("_at").isNotNull(), value)).alias("score"))
+    return found.select(id_column, "n_words", "score")
 
 
 def op8_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
