@@ -272,3 +272,7 @@ def paye(gross: Column, pension: Column, age: Column, credits: Column, cut_off:
         money(gross).alias("gross_salary"), money(pension).alias("pension_contribution"), money(allowed).alias("allowed_deduction"), money(F.greatest(zero, pension - limit)).alias("unused_relief"),
         money(taxable).alias("taxable_income"), money(tax).alias("gross_tax"), money(credits).alias("tax_credits"), money(F.greatest(zero, tax - credits)).alias("net_tax"),
     )
+
+
+def deemed_totals(events: DataFrame) -> DataFrame:
+    return events.agg(F.coalesce(F.sum("deemed_gain"), F.lit(0)).cast(Q).alias("total_gain"), F.coalesce(F.sum("tax_due"), F.lit(0)).cast(Q).alias("total_tax"))

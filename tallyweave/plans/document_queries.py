@@ -55,16 +55,23 @@ def _embedded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.chunks(spark, sf_dir).join(P.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding"), "id")
 
 
-@query()
+_NEAR = "list_distance(CAST(embedding AS DOUBLE[]), {}::DOUBLE[])"
+_WORDS = "(" + " + ".join(f"CAST(contains(lower(text_content), '{w}') AS INT)" for w in ("the", "and", "of", "with")) + ")"
+
+
+@query(f"""WITH c AS (SELECT k.*, embedding FROM ({C}) k JOIN embeddings ON id = vec_id), n AS (SELECT id FROM c ORDER BY {_NEAR.format(_QUERY)}, id LIMIT 200),
+s AS (SELECT id FROM c WHERE contains(lower(text_content), 'the and') OR contains(lower(text_content), 'and of') OR contains(lower(text_content), 'of with') ORDER BY id LIMIT 50)
+SELECT id, {_WORDS} / 4.0 AS rerank_score FROM c WHERE id IN (SELECT id FROM n UNION SELECT id FROM s) ORDER BY rerank_score DESC, id LIMIT 10""")
 def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nearest and keyword candidates, each once, the best by the share of words they hold."""
     return retrieval.hybrid(_embedded(spark, sf_dir), "the and of with", _QUERY, 10).select("id", "rerank_score")
 
 
-@query()
+@query(f"""WITH a AS (SELECT vec_id AS id, {_NEAR.format(_QUERY)} AS d FROM embeddings WHERE vec_id IN (SELECT doc_id FROM documents) ORDER BY d, id LIMIT 15), b AS (SELECT vec_id AS id, {_NEAR.format(_QUERY[::-1])} AS d FROM embeddings WHERE vec_id IN (SELECT doc_id FROM documents) ORDER BY d, id LIMIT 15)
+SELECT id, phrase FROM (SELECT id, d, 'a' AS phrase FROM a UNION ALL SELECT id, d, 'b' FROM b WHERE id NOT IN (SELECT id FROM a)) ORDER BY d, id LIMIT 15""")
 def evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Several phrases at once, each chunk as the first found it."""
-    return retrieval.evidence(_embedded(spark, sf_dir), [("a", _QUERY), ("b", _QUERY[::-1])], 15).select("id", "phrase", "distance")
+    return retrieval.evidence(_embedded(spark, sf_dir), [("a", _QUERY), ("b", _QUERY[::-1])], 15).select("id", "phrase")
 
 
 @query("SELECT a.conv_id AS conv_id, a.turn AS of_turn, b.turn AS turn, b.role FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn BETWEEN a.turn - 1 AND a.turn + 1 WHERE a.turn % 3 = 1")

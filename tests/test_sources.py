@@ -79,3 +79,28 @@ def test_stream_takes_a_file_once(spark, tmp_path):
     run()
     assert spark.read.parquet(str(tmp_path / "ledger")).count() == 4
     assert spark.read.parquet(str(tmp_path / "manifest")).count() == 2
+
+
+def test_failed_files_are_noted(spark, tmp_path):
+    from tallyweave.operators import ingestion
+
+    (tmp_path / "good.csv").write_text(STATEMENT, encoding="utf-8")
+    (tmp_path / "bad.csv").write_text(STATEMENT.replace("5,75", "x"), encoding="utf-8")
+    (tmp_path / "done.csv").write_text(STATEMENT.replace("5,75", "6,75"), encoding="utf-8")
+    found = files.binary(spark, str(tmp_path), (".csv",))
+    manifest = found.where("file_name = 'done.csv'").select("file_sha", F.lit("SUCCESS").alias("status"))
+    rows, noted = ingestion.statements(found, manifest, files.broker_statement)
+    assert {r.file_name: (r.status, r.transaction_count, r.error_message) for r in noted.collect()} == {"good.csv": ("SUCCESS", 2, None), "bad.csv": ("FAILED", 0, "no such amount")}
+    assert {r.source_file_name for r in rows.collect()} == {"good.csv"} and rows.count() == 2
+
+
+def test_documents_are_skipped_or_replaced(spark):
+    from tallyweave.operators import ingestion
+    from tallyweave.schemas import CHUNKS
+
+    docs = spark.createDataFrame([("s1", "A", "ireland", "One. Two."), ("s2", "B", None, "Three.")], "document_sha string, document_name string, jurisdiction string, text string")
+    chunks = ingestion.documents(spark.createDataFrame([], CHUNKS), docs)
+    assert chunks.count() == 2 and chunks.columns == CHUNKS.fieldNames()
+    changed = docs.where("document_sha = 's1'").withColumn("text", F.lit("Other."))
+    assert {r.text_content for r in ingestion.documents(chunks, changed).collect()} == {"One. Two.", "Three."}
+    assert {r.text_content for r in ingestion.documents(chunks, changed, replace=True).collect()} == {"Other.", "Three."}
