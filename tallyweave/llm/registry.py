@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, lm_scores, personal_data
+from . import decontamination, embedding_links, lm_scores, personal_data, secret_scan, weighted_minhash
 from .decontamination import op6_decontamination
 from .embedding_links import op3_embedding_links
 from .lm_scores import op8_lm_scores
@@ -20,4 +20,8 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_personal_data": personal_data.ORACLE, "op6_decontamination": decontamination.ORACLE, "op8_lm_scores": lm_scores.ORACLE}
+    modules = {
+        "op3_embedding_links": embedding_links, "op4_personal_data": personal_data, "op5_near_duplicates": weighted_minhash, "op6_decontamination": decontamination,
+        "op8_lm_scores": lm_scores, "op10_secret_scan": secret_scan,
+    }
+    return {name: m.ORACLE for name, m in modules.items()}

@@ -331,3 +331,19 @@ def without_near_duplicates(docs: DataFrame, least: float = SIMILARITY, id_colum
 
 def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+#: All pairs that share a shingle, and what each document reaches.
+ORACLE = rf"""
+WITH RECURSIVE d AS (SELECT doc_id, text, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents WHERE text IS NOT NULL),
+s AS (SELECT doc_id, array_to_string(w[i:i + {SHINGLE - 1}], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - {SHINGLE - 1}, 1) + 1)) AS i FROM d WHERE len(w) > 0)),
+t AS (SELECT doc_id, g, count(*) AS tf FROM s GROUP BY ALL),
+f AS (SELECT g, 1 + ln(n / greatest(count(*), 1, {FLOOR} * n)) AS idf FROM t, (SELECT count(*) AS n FROM d) GROUP BY g, n),
+x AS (SELECT doc_id, g, tf * idf AS weight FROM t JOIN f USING (g)),
+total AS (SELECT doc_id, sum(weight) AS weight FROM x GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, sum(least(a.weight, b.weight)) AS common FROM x a JOIN x b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+near AS (SELECT a, b FROM p JOIN total u ON u.doc_id = a JOIN total v ON v.doc_id = b WHERE common >= {SIMILARITY} * (u.weight + v.weight - common) - 1e-9 UNION SELECT a.doc_id, b.doc_id FROM d a JOIN d b ON a.text = b.text AND a.doc_id < b.doc_id),
+l AS (SELECT a, b FROM near UNION SELECT b, a FROM near),
+r AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+c AS (SELECT a AS doc_id, min(b) AS class_id FROM r GROUP BY a)
+SELECT doc_id, class_id, doc_id = class_id AS kept FROM documents JOIN c USING (doc_id)"""
