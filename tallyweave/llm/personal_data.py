@@ -121,7 +121,7 @@ def spans_of(kind: Kind, text: Column, matches: Column) -> Column:
 
 
 def personal_spans(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """docs with spans: (kind, start, end, value, score) by kind as listed, then start."""
+    """docs with spans: (kind, start, end, value, score) by kind as listed, then start; a column of that name gives way."""
     text = F.coalesce(F.col(text_column), F.lit(""))
     found = docs.withColumns({
         f"_{k.name}": F.when(text.contains(k.literal) if k.literal else F.lit(True), F.regexp_extract_all(text, F.lit(k.pattern), F.lit(0))).otherwise(F.array().cast("array<string>"))
@@ -132,9 +132,11 @@ def personal_spans(docs: DataFrame, id_column: str = "doc_id", text_column: str
 
 
 def masked(docs: DataFrame, text_column: str = "text") -> DataFrame:
-    """docs with every span of its text, the earliest first and the longest of those, replaced by [kind]."""
-    spans = personal_spans(docs.withColumnRenamed(text_column, "_text") if text_column != "_text" else docs, text_column="_text")
-    text = F.coalesce(F.col("_text"), F.lit(""))
+    """docs with every span of its text, the earliest first and the longest of those, replaced by [kind]; any column names may stand."""
+    mine = [f"_{k}" for k in range(len(docs.columns))]
+    body = mine[docs.columns.index(text_column)]
+    spans = personal_spans(docs.toDF(*mine), text_column=body)
+    text = F.coalesce(F.col(body), F.lit(""))
     ordered = F.array_sort(F.transform("spans", lambda x: F.struct(x["start"].alias("start"), (-x["end"]).alias("back"), x["kind"].alias("kind"))))
     walked = F.aggregate(
         ordered,
@@ -144,8 +146,8 @@ def masked(docs: DataFrame, text_column: str = "text") -> DataFrame:
         ),
         lambda a: F.concat(a["out"], F.substring(text, (a["at"] + 1).cast("int"), F.length(text))),
     )
-    new = F.when(F.size("spans") > 0, walked).otherwise(F.col("_text"))
-    return spans.withColumn(text_column, new).drop("_text").drop("spans")
+    out = spans.withColumn(body, F.when(F.size("spans") > 0, walked).otherwise(F.col(body)))
+    return out.select(*(F.col(a).alias(b) for a, b in zip(mine, docs.columns, strict=True)))
 
 
 def op4_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:

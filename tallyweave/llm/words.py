@@ -57,16 +57,23 @@ def spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return folded, begins, ends, np.searchsorted(begins, offsets)
 
 
+#: Bytes hashed together, so that a very long text needs no more memory than this.
+TOGETHER = 1 << 20
+
+
 def hashes(folded: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit number for each word, equal for equal words."""
-    if not len(begins):
-        return np.zeros(0, np.uint64)
-    size = 1 << max(16, int(len(folded)).bit_length())
-    up, down = _powers(size)
-    sums = np.zeros(len(folded) + 1, np.uint64)
-    np.cumsum(folded * up[: len(folded)], out=sums[1:])
-    lengths = (ends - begins).astype(np.uint64)
-    return mixed((sums[ends] - sums[begins]) * down[begins] + lengths * np.uint64(0xD6E8FEB86659FD93))
+    """A 64-bit number for each word, equal for equal words wherever they stand."""
+    out, first = np.empty(len(begins), np.uint64), 0
+    while first < len(begins):
+        start = int(begins[first])
+        last = max(first + 1, int(np.searchsorted(begins, start + TOGETHER)))
+        part, b, e = folded[start : int(ends[last - 1])], begins[first:last] - start, ends[first:last] - start
+        up, down = _powers(1 << max(16, len(part).bit_length()))
+        sums = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum(part * up[: len(part)], out=sums[1:])
+        out[first:last] = mixed((sums[e] - sums[b]) * down[b] + (e - b).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+        first = last
+    return out
 
 
 def of_text(text: str | None) -> list[str]:
