@@ -53,6 +53,12 @@ def slices(array: pa.Array, most_bytes: int = 1 << 20) -> Iterator[tuple[int, in
         first = min(last, n)
 
 
+def each_text(array: pa.Array) -> Iterator[str | None]:
+    """The texts of a batch as strings, a few megabytes of them at a time."""
+    for first, last in slices(array, 4 << 20):
+        yield from array.slice(first, last - first).to_pylist()
+
+
 def text_bytes(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of a string array, null as empty, and where each text starts, with the end."""
     if array.null_count:

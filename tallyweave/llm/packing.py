@@ -28,13 +28,13 @@ import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import column, table
+from .common import column, each_text, table
 from .token_counts import spelled
 
 WINDOW = 2048
 END_ID = 1
 BLOCK = 1_000_000
-CACHE_ENTRIES = 700_000
+CACHE_ENTRIES = 500_000
 PIECES = regex.compile(public_tokenizers.PATTERN)
 #: Only Latin letters and marks on which all tables of letters and spaces agree.
 PLAIN = re.compile("[^\x00-\x1b\x20-\x7e\xa1-\xac\xae-ɏ]")
@@ -149,7 +149,7 @@ def pieces(docs: DataFrame, path: str, window: int, end_id: int, id_column: str,
         encode = encoder(path)
         for batch in batches:
             row, start, length, crc, total = [], [], [], [], []
-            for i, text in enumerate(column(batch, "text").to_pylist()):
+            for i, text in enumerate(each_text(column(batch, "text"))):
                 ids = encode(text) + end
                 for s in range(0, len(ids), step):
                     part = ids[s : s + step]

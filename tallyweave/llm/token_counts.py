@@ -17,15 +17,17 @@ are not read.
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pyarrow.compute as pc
 import regex
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import by_batch, column, table
+from .common import by_batch, column, each_text, table
 
 LIMIT = 2048
 CACHE_ENTRIES = 500_000
@@ -98,19 +100,22 @@ class Counter:
         return sum(len(self.lengths.model.tokenize(x)) for x, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(text))
 
 
+@lru_cache(1)
+def counter(path: str, frequent: Broadcast) -> Counter:
+    """One for all tasks of a worker."""
+    return Counter(path, frequent.value)
+
+
 def token_counts(docs: DataFrame, path: str | None = None, limit: int = LIMIT, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """id, n_bytes, n_tokens and over_limit for every row of docs."""
     from tokenizers import Tokenizer
 
     path = path or public_tokenizers.path("word_bpe_49k.json")
     frequent = docs.sparkSession.sparkContext.broadcast(frequent_lengths(Tokenizer.from_file(path)))
-    held: list[Counter] = []
 
     def rows(batch: pa.RecordBatch) -> pa.RecordBatch:
-        if not held:
-            held.append(Counter(path, frequent.value))
         texts = column(batch, "text")
-        tokens = np.fromiter(map(held[0], texts.to_pylist()), np.int64, len(texts))
+        tokens = np.fromiter(map(counter(path, frequent), each_text(texts)), np.int64, len(texts))
         n_bytes = pc.fill_null(pc.cast(pc.binary_length(texts), pa.int64()), 0)
         return pa.RecordBatch.from_arrays([column(batch, "id"), n_bytes, pa.array(tokens), pa.array(tokens > limit)], ["id", "n_bytes", "n_tokens", "over_limit"])
 

@@ -25,7 +25,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import lru_cache
 
 import numpy as np
@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import by_batch, checkpointed, column, table
+from .common import by_batch, checkpointed, column, each_text, table
 from .levenshtein import Lexicon
 
 #: Labelled rows of label 1 and of label 0 that a fit reads, at most.
@@ -44,7 +44,7 @@ SURE, PURE = 16.0, 0.97
 SHORTEST_STEM, MOST_TERMS = 4, 2000
 #: A term near so many words of clean documents has no misspellings that could be told from words.
 CROWDED = 3
-CACHE_ENTRIES = 1_000_000
+CACHE_ENTRIES = 300_000
 WINDOW = 6
 
 WORDS = re.compile(r"[^\W_]+")
@@ -99,12 +99,16 @@ class Words(dict):
         return None if word in self.known else "fuzzy"
 
 
-@lru_cache(4)
-def words_of(model: Model) -> Words:
-    """One for all tasks of a worker."""
+@lru_cache(1)
+def _words(model: Model) -> Words:
     return Words(model)
 
 
+def words_of(model: Model) -> Words:
+    """One for all tasks of a worker, whatever the weights."""
+    return _words(replace(model, weights=()))
+
+
 def _quoted(text: str, start: int, end: int) -> bool:
     """Whether a quotation mark opened on this line before the hit is closed after it."""
     line, rest = text[text.rfind("\n", 0, start) + 1 : start], text[end : (text.find("\n", end) + 1 or len(text) + 1) - 1]
@@ -210,7 +214,7 @@ def fitted(docs: DataFrame, labels: DataFrame, per_label: tuple[int, int] = PER_
     sample = checkpointed(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "toxic"))
 
     def distinct_words(batch: pa.RecordBatch) -> pa.RecordBatch:
-        told = [sorted(set(WORDS.findall((t or "").lower()))) for t in column(batch, "text").to_pylist()]
+        told = [sorted(set(WORDS.findall((t or "").lower()))) for t in each_text(column(batch, "text"))]
         # Copies share their least hashes of words.
         alike = [" ".join(str(min((xxhash.xxh32_intdigest(w, k) for w in d), default=0)) for k in range(3)) for d in told]
         return pa.RecordBatch.from_arrays([pa.array(told, pa.list_(pa.string())), pa.array(alike), column(batch, "toxic")], ["words", "alike", "toxic"])
@@ -232,7 +236,7 @@ def fitted(docs: DataFrame, labels: DataFrame, per_label: tuple[int, int] = PER_
 
     def measured(batch: pa.RecordBatch) -> pa.RecordBatch:
         words = words_of(model)
-        x = [features(t, words)[0].tolist() for t in column(batch, "text").to_pylist()]
+        x = [features(t, words)[0].tolist() for t in each_text(column(batch, "text"))]
         return pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), column(batch, "toxic")], ["x", "toxic"])
 
     read = by_batch(sample, "x array<double>, toxic int", measured).toPandas()
@@ -261,7 +265,7 @@ def scored(docs: DataFrame, model: Model, id_column: str = "doc_id", text_column
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = words_of(model)
         for batch in batches:
-            found = [features(t, words) for t in column(batch, "text").to_pylist()]
+            found = [features(t, words) for t in each_text(column(batch, "text"))]
             score = [1 / (1 + math.exp(-max(-30.0, min(30.0, float(x @ weights))))) for x, _, _ in found]
             yield pa.RecordBatch.from_arrays(
                 [column(batch, "id"), pa.array(score, pa.float64()), pa.array([n for _, n, _ in found], pa.int64()), pa.array([a for _, _, a in found], pa.int64())],
@@ -281,7 +285,7 @@ def without_toxic(docs: DataFrame, model: Model, threshold: float = 0.5) -> Data
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = words_of(model)
         for batch in batches:
-            keep = [float(features(t, words)[0] @ weights) < limit for t in column(batch, "text").to_pylist()]
+            keep = [float(features(t, words)[0] @ weights) < limit for t in each_text(column(batch, "text"))]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
