@@ -17,12 +17,20 @@ from pyspark.sql import functions as F
 CHILD, PARENT, ENCODED = 1400, 3000, 8000
 PAGES_TOGETHER = 5
 Span = tuple[int, int]
-_SENTENCE = re.compile(r"\S.*?(?:[.!?]+(?=\s|$)|\n\s*\n|$)", re.S)
+_END = re.compile(r"[.!?]+(?=\s|$)|\n\s*\n")
 
 
 def sentences(text: str) -> list[Span]:
-    """Start and end of each sentence."""
-    return [(m.start(), m.start() + len(m.group().rstrip())) for m in _SENTENCE.finditer(text) if m.group().strip()]
+    """Start and end of each sentence: up to punctuation before a blank, or to an empty line."""
+    out, start = [], 0
+    for stop in [*(m.end() for m in _END.finditer(text)), len(text)]:
+        piece = text[start:stop]
+        first = stop - len(piece.lstrip())
+        last = start + len(piece.rstrip())
+        if first < last:
+            out.append((first, last))
+        start = stop
+    return out
 
 
 def packed(lengths: list[int], most: int) -> list[Span]:
