@@ -1,0 +1,211 @@
+"""Operator 8, stupid backoff with counts that leave the scored document out.
+
+Each word is scored by the longest n-gram up to ORDER that ends in it and occurs
+in another document; each order given up costs a factor ALPHA. Counts are those
+of the whole corpus less the document's own, so text found nowhere else backs
+off to single words, and a word of no other document counts as seen half a time.
+
+1. Documents are cut into slices of some megabytes, written to the shared folder.
+2. A slice sends each of its distinct n-grams once, with its count there, to the
+   n-gram's part of the hash space. No n-gram is hot: it comes once a slice.
+3. A part adds the counts up, which makes its part of the count table, and sends
+   each slice the totals of its n-grams in the same order.
+4. Slices meet their totals; what a document has itself is counted there.
+
+Sums are whole millionths of natural logarithms, rounded per count, so the
+result does not depend on the order of addition.
+
+Null and empty texts, and texts without words, have n_words 0 and a null score.
+Repeated rows are documents of their own, and count for each other. An empty
+table gives an empty result. Further columns are not read.
+"""
+
+from __future__ import annotations
+
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+
+from . import words
+from .common import checkpointed, column, slices, table, text_bytes
+from .groups import by_group
+from .lm_scores import ALPHA, MICRO, ONE, TWO, WORD, micro_log, part_of
+
+ORDER = 3
+#: Bytes of text counted together; bytes of the corpus to a part of the hash space.
+SLICE, PART = 9 << 20, 12 << 20
+
+
+def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of some texts: a hash of each word, words of each text; a megabyte at a time."""
+    texts = pa.Array.from_buffers(pa.large_string(), len(offsets) - 1, [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(data)])
+    found = []
+    for first, last in slices(texts):
+        folded, begins, ends, heads = words.spans(*text_bytes(texts.slice(first, last - first)))
+        found.append((words.hashes(folded, begins, ends), np.diff(heads)))
+    return tuple(map(np.concatenate, zip(*found, strict=True))) if found else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+
+
+def grams(h: np.ndarray, of: np.ndarray, order: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For n from 1 to order: keys of the n-grams, and the word that each begins at."""
+    out, acc = [], h
+    for n in range(1, order + 1):
+        if n > 1:
+            acc = acc[:-1] * words.BASE + h[n - 1 :] * TWO
+        at = np.flatnonzero(of[n - 1 :] == of[: len(of) - n + 1]) if len(of) >= n else np.zeros(0, np.int64)
+        out.append((words.mixed(acc[at] + np.uint64(int(ONE) * n % (1 << 64))), at))
+    return out
+
+
+def planes(x: np.ndarray) -> bytes:
+    """Numbers byte by byte, all lowest bytes first."""
+    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes()
+
+
+def unplaned(data: bytes, kind: type) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
+
+
+def told_keys(keys: np.ndarray) -> bytes:
+    """Ascending keys as differences: the five low bytes are noise, the others compress."""
+    raw = planes(np.diff(keys, prepend=np.uint64(0)))
+    return raw[: 5 * len(keys)] + zipped(raw[5 * len(keys) :])
+
+
+def heard_keys(data: pa.Buffer, n: int) -> np.ndarray:
+    return np.cumsum(unplaned(data[: 5 * n].to_pybytes() + unzipped(data[5 * n :], 3 * n), np.uint64), dtype=np.uint64)
+
+
+def told_counts(counts: np.ndarray) -> bytes:
+    """How many, how many bytes each, then these."""
+    kind = np.uint8 if counts.max() < 1 << 8 else np.uint32 if counts.max() < 1 << 32 else np.uint64
+    return np.array([len(counts), np.dtype(kind).itemsize], "<i8").tobytes() + zipped(planes(counts.astype(kind)))
+
+
+def heard_counts(data: pa.Buffer) -> np.ndarray:
+    n, width = np.frombuffer(data[:16], "<i8").tolist()
+    return unplaned(unzipped(data[16:], n * width), {1: np.uint8, 4: np.uint32, 8: np.uint64}[width]).astype(np.int64)
+
+
+def zipped(data: bytes, level: int = 1) -> bytes:
+    return pa.Codec("zstd", level).compress(data, asbytes=True)
+
+
+def unzipped(data: pa.Buffer, size: int) -> bytes:
+    return pa.Codec("zstd").decompress(data, size, asbytes=True) if size else b""
+
+
+def _texts(size: int, data: pa.Buffer, rows: int, lengths: pa.Buffer) -> tuple[np.ndarray, np.ndarray]:
+    return np.frombuffer(unzipped(data, size), np.uint8), np.append(0, np.cumsum(unplaned(unzipped(lengths, 8 * rows), np.int64)))
+
+
+def left_out_scores(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """id, n_words, micro_log (millionths, of the product of all words' scores) and score (mean log per word) for every row of docs."""
+    kind, id_type = docs.schema[id_column].dataType.simpleString(), to_arrow_type(docs.schema[id_column].dataType)
+    texts = docs.select(docs[id_column].alias("id"), docs[text_column].alias("text"))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        context = TaskContext.get()
+        name = (context.partitionId() if context else 0) << 32
+        for batch in batches:
+            for first, last in slices(column(batch, "text"), SLICE):
+                data, offsets = text_bytes(column(batch, "text").slice(first, last - first))
+                ids = pa.ListArray.from_arrays([0, last - first], column(batch, "id").slice(first, last - first).cast(id_type))
+                packed = zipped(data.tobytes(), 12)
+                count = len(word_hashes(data, offsets)[0])
+                yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([len(data)]), pa.array([count]), pa.array([last - first]), pa.array([packed], pa.binary()), pa.array([zipped(planes(np.diff(offsets)))], pa.binary()), ids], ["slice", "size", "words", "rows", "data", "lengths", "ids"])
+                name += 1
+
+    cuts = checkpointed(texts.mapInArrow(cut, f"slice long, size long, words long, rows long, data binary, lengths binary, ids array<{kind}>"))
+    size, total = cuts.agg(F.coalesce(F.sum("size"), F.lit(0)), F.coalesce(F.sum("words"), F.lit(0))).first()
+    parts = max(32, math.ceil(size / PART))
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, size, data, rows, lengths in zip(*(column(batch, x) for x in ("slice", "size", "data", "rows", "lengths")), strict=True):
+                h, counts = word_hashes(*_texts(size.as_py(), data.as_buffer(), rows.as_py(), lengths.as_buffer()))
+                of = np.repeat(np.arange(len(counts)), counts)
+                keys, often = np.unique(np.concatenate([k for k, _ in grams(h, of, order)]), return_counts=True)
+                bounds = np.searchsorted(part_of(keys, parts), np.arange(parts + 1))
+                on = np.flatnonzero(np.diff(bounds))
+                told = [(told_keys(keys[a:b]), told_counts(often[a:b])) for a, b in zip(bounds[on], bounds[on + 1], strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(on.astype(np.int32)), pa.array([name.as_py()] * len(on), pa.int64()), pa.array([x for x, _ in told], pa.binary()), pa.array([x for _, x in told], pa.binary())], ["part", "slice", "keys", "counts"])
+
+    def add(t: pa.Table) -> pa.RecordBatch:
+        often = [heard_counts(x.as_buffer()) for x in t["counts"]]
+        keys = [heard_keys(x.as_buffer(), len(n)) for x, n in zip(t["keys"], often, strict=True)]
+        ends = np.cumsum([len(x) for x in keys])
+        _, at = np.unique(np.concatenate(keys), return_inverse=True)
+        del keys
+        sums = np.bincount(at, np.concatenate(often)).astype(np.int64)[at]
+        back = [told_counts(x) for x in np.split(sums, ends[:-1])]
+        return pa.RecordBatch.from_arrays([t["slice"].combine_chunks(), t["part"].combine_chunks(), pa.array(back, pa.binary())], ["slice", "part", "counts"])
+
+    def score(t: pa.Table) -> pa.RecordBatch:
+        t = t.sort_by("part")
+        held, ids = t.slice(0, 1).to_pylist()[0], t["ids"][0].values.cast(id_type)
+        h, counts = word_hashes(*_texts(held["size"], pa.py_buffer(held["data"]), held["rows"], pa.py_buffer(held["lengths"])))
+        of = np.repeat(np.arange(len(counts)), counts)
+        found = grams(h, of, order)
+        heads = [at for _, at in found]
+        together = np.concatenate([k for k, _ in found])
+        del found
+        distinct, all_at = np.unique(together, return_inverse=True)
+        many = len(distinct)
+        del together, distinct
+        totals = np.concatenate([np.zeros(0, np.int64), *(heard_counts(x.as_buffer()) for x in t["counts"][1:])])
+        # What other documents have of the n-gram that begins at each word; 0 where none does.
+        others, done = np.zeros((order, len(h)), np.int64), 0
+        for n, at in enumerate(heads):
+            mine = all_at[done : done + len(at)]
+            done += len(at)
+            _, pair, own = np.unique(of[at] * many + mine, return_inverse=True, return_counts=True)
+            others[n, at] = totals[mine] - own[pair]
+        rest = np.maximum(total - counts, 1)
+        value = np.where(others[0] > 0, micro_log(np.maximum(others[0], 1)), half) - micro_log(rest)[of]
+        for n in range(1, order):
+            # The n-gram that ends in a word begins n words before; words with fewer before them have no such order to give up.
+            top, under = others[n, : len(h) - n], others[n - 1, : len(h) - n]
+            seen = micro_log(np.maximum(top, 1)) - micro_log(np.maximum(under, 1))
+            has = of[n:] == of[: len(h) - n] if len(h) > n else np.zeros(0, bool)
+            if len(h) > n:
+                value[n:] = np.where(has, np.where(top > 0, seen, value[n:] + give_up), value[n:])
+        sums = np.bincount(of, value, len(counts)).astype(np.int64) if len(h) else np.zeros(len(counts), np.int64)
+        return pa.RecordBatch.from_arrays([ids, pa.array(counts), pa.array(sums)], ["id", "n_words", "micro"])
+
+    half, give_up = round(math.log(0.5) * MICRO), round(math.log(alpha) * MICRO)
+    back = by_group(cuts.select("slice", "size", "rows", "data", "lengths").mapInArrow(send, "part int, slice long, keys binary, counts binary"), ["part"], "slice long, part int, counts binary", add)
+    whole = cuts.select("slice", F.lit(-1).alias("part"), F.lit(None).cast("binary").alias("counts"), "size", "rows", "data", "lengths", "ids")
+    met = whole.unionByName(back, allowMissingColumns=True)
+    out = by_group(met, ["slice"], f"id {kind}, n_words long, micro long", score)
+    return out.select(
+        F.col("id").alias(id_column), "n_words", F.when(F.col("n_words") > 0, F.col("micro")).alias("micro_log"), F.when(F.col("n_words") > 0, F.col("micro") / F.col("n_words") / MICRO).alias("score")
+    )
+
+
+def op8_backoff_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return left_out_scores(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "micro_log")
+
+
+#: Trigrams, bigrams, words: what other documents have of each n-gram and of what stands before its last word.
+ORACLE = rf"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{WORD}') AS w FROM documents),
+u AS (SELECT doc_id, w, len(w) AS n, unnest(range(1, len(w) + 1)) AS i FROM d WHERE len(w) > 0),
+x AS (SELECT doc_id, n, i, w[i] AS a, CASE WHEN i > 1 THEN w[i - 1] END AS b, CASE WHEN i > 2 THEN w[i - 2] END AS c FROM u),
+g AS (SELECT doc_id, i, n, a AS g1, b || ' ' || a AS g2, c || ' ' || b || ' ' || a AS g3, b AS c1, c || ' ' || b AS c2 FROM x),
+own AS (SELECT doc_id, g1 AS g, count(*) AS k FROM g GROUP BY ALL UNION ALL SELECT doc_id, g2, count(*) FROM g WHERE g2 IS NOT NULL GROUP BY ALL UNION ALL SELECT doc_id, g3, count(*) FROM g WHERE g3 IS NOT NULL GROUP BY ALL),
+whole AS (SELECT g, sum(k) AS k FROM own GROUP BY g),
+o AS (SELECT doc_id, g, whole.k - own.k AS k FROM own JOIN whole USING (g)),
+t AS (SELECT count(*) AS t FROM x),
+m AS (SELECT g.doc_id, i, n, o1.k AS k1, o2.k AS k2, o3.k AS k3, p1.k AS j1, p2.k AS j2 FROM g JOIN o o1 ON o1.doc_id = g.doc_id AND o1.g = g1 LEFT JOIN o o2 ON o2.doc_id = g.doc_id AND o2.g = g2 LEFT JOIN o o3 ON o3.doc_id = g.doc_id AND o3.g = g3
+LEFT JOIN o p1 ON p1.doc_id = g.doc_id AND p1.g = c1 LEFT JOIN o p2 ON p2.doc_id = g.doc_id AND p2.g = c2),
+s AS (SELECT doc_id, sum(CASE WHEN k3 > 0 THEN CAST(round(ln(k3) * {MICRO}) AS BIGINT) - CAST(round(ln(j2) * {MICRO}) AS BIGINT)
+WHEN k2 > 0 THEN CASE WHEN i > 2 THEN 1 ELSE 0 END * CAST(round(ln({ALPHA}) * {MICRO}) AS BIGINT) + CAST(round(ln(k2) * {MICRO}) AS BIGINT) - CAST(round(ln(j1) * {MICRO}) AS BIGINT)
+ELSE least(i - 1, 2) * CAST(round(ln({ALPHA}) * {MICRO}) AS BIGINT) + CAST(round(ln(CASE WHEN k1 > 0 THEN k1 ELSE 0.5 END) * {MICRO}) AS BIGINT) - CAST(round(ln(greatest(t - n, 1)) * {MICRO}) AS BIGINT) END) AS x FROM m, t GROUP BY doc_id)
+SELECT d.doc_id, len(w) AS n_words, CAST(s.x AS BIGINT) AS micro_log FROM d LEFT JOIN s ON d.doc_id = s.doc_id"""

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from . import decontamination, embedding_links, lm_scores, personal_data, secret_scan, weighted_minhash
+from . import backoff_scores, decontamination, embedding_links, lm_scores, personal_data, secret_scan, weighted_minhash
+from .backoff_scores import op8_backoff_scores
 from .decontamination import op6_decontamination
 from .embedding_links import op3_embedding_links
 from .lm_scores import op8_lm_scores
@@ -16,12 +17,12 @@ from .weighted_minhash import op5_near_duplicates
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_toxicity, op2_token_counts, op3_embedding_links, op4_personal_data, op5_near_duplicates, op6_decontamination, op7_packing, op8_lm_scores, op9_shards, op10_secret_scan)}
+    return {f.__name__: f for f in (op1_toxicity, op2_token_counts, op3_embedding_links, op4_personal_data, op5_near_duplicates, op6_decontamination, op7_packing, op8_lm_scores, op8_backoff_scores, op9_shards, op10_secret_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
     modules = {
         "op3_embedding_links": embedding_links, "op4_personal_data": personal_data, "op5_near_duplicates": weighted_minhash, "op6_decontamination": decontamination,
-        "op8_lm_scores": lm_scores, "op10_secret_scan": secret_scan,
+        "op8_lm_scores": lm_scores, "op8_backoff_scores": backoff_scores, "op10_secret_scan": secret_scan,
     }
     return {name: m.ORACLE for name, m in modules.items()}

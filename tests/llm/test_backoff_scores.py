@@ -1,0 +1,55 @@
+"""Scores by counts that leave the scored document out, against a plain version."""
+
+import math
+from collections import Counter
+
+import numpy as np
+import pytest
+
+from tallyweave.llm import backoff_scores, words
+from tests.llm.test_operators import ODD, none, odd, table, texts  # noqa: F401
+
+
+def micro(n):
+    return int(np.rint(math.log(n) * 1e6))
+
+
+def brute(rows, order):
+    told = [words.of_text(t) for t in rows]
+    counts = [Counter(tuple(d[i : i + n]) for n in range(1, order + 1) for i in range(len(d) - n + 1)) for d in told]
+    whole, total = sum(counts, Counter()), sum(map(len, told))
+    out = []
+    for d, own in zip(told, counts, strict=True):
+        value = 0
+        for i in range(len(d)):
+            for n in range(min(order, i + 1), 0, -1):
+                gram = tuple(d[i - n + 1 : i + 1])
+                others = whole[gram] - own[gram]
+                if n == 1:
+                    value += micro(others or 0.5) - micro(max(total - len(d), 1))
+                elif others:
+                    value += micro(others) - micro(whole[gram[:-1]] - own[gram[:-1]])
+                    break
+                else:
+                    value += micro(0.4)
+        out.append(value if d else None)
+    return out
+
+
+@pytest.mark.parametrize("order", [1, 2, 3, 4])
+@pytest.mark.parametrize("size", [backoff_scores.SLICE, 100])
+def test_left_out(spark, order, size, monkeypatch):
+    monkeypatch.setattr(backoff_scores, "SLICE", size)
+    rows = texts(12, 50) + ODD
+    found = {r.doc_id: r.micro_log for r in backoff_scores.left_out_scores(table(spark, rows), order).collect()}
+    assert found == dict(enumerate(brute(rows, order)))
+
+
+def test_gibberish_scores_low(spark):
+    rows = ["the cat sat on the mat", "the cat sat on the mat today", "qx zv wk jj pq ww"]
+    found = {r.doc_id: r.score for r in backoff_scores.left_out_scores(table(spark, rows)).collect()}
+    assert found[2] < -3 < -1 < found[0]
+
+
+def test_odd(spark, odd, none):  # noqa: F811
+    assert backoff_scores.left_out_scores(odd).count() == odd.count() and backoff_scores.left_out_scores(none).count() == 0
