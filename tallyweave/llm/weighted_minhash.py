@@ -215,7 +215,7 @@ def _payload(texts: DataFrame, seats: DataFrame) -> DataFrame:
                 for k, name in enumerate(names):
                     a, b = heads[k], heads[k + 1]
                     told, often = ids[a:b].tobytes(), times[a:b]
-                    often = np.minimum(often, 0xFFFF).astype(np.uint16).tobytes() if (often > 1).any() else b""
+                    often = often.astype(np.uint16 if often.max() < 1 << 16 else np.uint32).tobytes() if (often > 1).any() else b""
                     out += [(s["band"], s["chunk"], s["block"], name, s["own"], s["leader"], told, often) for s in places[k]]
                     if len(out) > 2000:
                         yield _batch(out)
@@ -234,7 +234,8 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 def _met(t: pa.Table, frequency: Frequencies) -> tuple[np.ndarray, np.ndarray, Group]:
     t = t.sort_by("id")
     ids = [np.frombuffer(x, np.uint32) for x in t["ids"].to_pylist()]
-    times = [np.frombuffer(x, np.uint16) if x else 1 for x in t["times"].to_pylist()]
+    # Two bytes a count, four where a count needs them, none where each is 1.
+    times = [np.frombuffer(x, np.uint16 if len(x) == 2 * len(i) else np.uint32) if x else 1 for i, x in zip(ids, t["times"].to_pylist(), strict=True)]
     return t["id"].to_numpy(), t["own"].to_numpy(), Group(ids, [frequency.idf(i) * n for i, n in zip(ids, times, strict=True)])
 
 
