@@ -51,6 +51,15 @@ def nearest_each(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.knn_join(rows, queries, 5, id_column="vec_id").select("query_id", "vec_id", "rank")
 
 
+@query("""SELECT query_id, vec_id, CAST(rank AS INT) AS rank FROM (SELECT q.vec_id AS query_id, e.vec_id, row_number() OVER (PARTITION BY q.vec_id ORDER BY list_distance(CAST(q.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])), e.vec_id) AS rank
+FROM embeddings e, (SELECT * FROM embeddings WHERE vec_id % 20 = 0) q) WHERE rank <= 5""")
+def nearest_each_twentieth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K2 for every row whose id is divisible by 20."""
+    rows = P.table(spark, sf_dir, "embeddings")
+    queries = rows.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    return retrieval.knn_join(rows, queries, 5, id_column="vec_id").select("query_id", "vec_id", "rank")
+
+
 def _embedded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.chunks(spark, sf_dir).join(P.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding"), "id")
 
@@ -82,6 +91,14 @@ def neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("document_name").alias("conv_id"), F.col("of_index").alias("of_turn"), F.col("chunk_index").alias("turn"), "role")
 
 
+@query("SELECT a.conv_id AS conv_id, a.turn AS of_turn, b.turn AS turn, b.role FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn BETWEEN a.turn - 1 AND a.turn + 1")
+def neighbours_of_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K6, J14, W: the window of every turn."""
+    rows = P.table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("document_name"), F.col("turn").alias("chunk_index"), "role")
+    found = retrieval.neighbours(rows, rows, 1)
+    return found.select(F.col("document_name").alias("conv_id"), F.col("of_index").alias("of_turn"), F.col("chunk_index").alias("turn"), "role")
+
+
 @query(f"""SELECT lower(document_name) AS document, jurisdiction, page_number, sha256(string_agg(text_content, chr(10) || chr(10) ORDER BY chunk_index)) AS sha, count(*) AS chunks, page_number > any_value(first) AS has_previous, page_number < any_value(last) AS has_next
 FROM (SELECT *, min(page_number) OVER (PARTITION BY lower(document_name)) AS first, max(page_number) OVER (PARTITION BY lower(document_name)) AS last FROM ({C})) GROUP BY 1, 2, 3""")
 def page_reassembly(spark: SparkSession, sf_dir: str) -> DataFrame:
