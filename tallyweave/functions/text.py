@@ -73,16 +73,20 @@ def json_object(text: Column) -> Column:
 #: Frequent short words of the two languages told apart.
 ITALIAN = ("il", "lo", "la", "le", "gli", "di", "del", "della", "che", "per", "con", "una", "uno", "sono", "non", "dei", "delle", "nel", "alla", "euro")
 ENGLISH = ("the", "of", "and", "to", "in", "is", "that", "for", "with", "was", "are", "this", "from", "by", "on", "as", "at", "be", "or", "an")
-LOOKED_AT = 10_000
 
 
 def language(text: Column) -> Column:
-    """`it` or `en`, by frequent words near the start; `en` where nothing tells."""
-    words = F.regexp_extract_all(F.lower(F.substring(F.coalesce(text, F.lit("")), 1, LOOKED_AT)), F.lit(r"\p{L}+"), F.lit(0))
+    """`it` or `en`, by the frequent words of the whole text; `en` where nothing tells."""
+    words = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"\p{L}+"), F.lit(0))
     italian, english = F.size(F.filter(words, lambda w: w.isin(*ITALIAN))), F.size(F.filter(words, lambda w: w.isin(*ENGLISH)))
     return F.when(italian > english, "it").otherwise("en")
 
 
+def file_language(text: Column, max_chars: int = 10_000) -> Column:
+    """language() of the head of a file's text."""
+    return language(F.substring(text, 1, max_chars))
+
+
 def _choice(text: Column, joined: str, names: dict[str, str], default: Column | None, what: str) -> Column:
     key = F.regexp_replace(F.lower(F.trim(text)), "[ _-]" if joined == "" else "[ -]", joined)
     out = F.when(text.isNull(), default if default is not None else F.raise_error(F.lit(f"{what} is missing")).cast("string"))

@@ -271,5 +271,5 @@ def page_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT doc_id, CASE WHEN len(list_filter(w, lambda x: x IN {X.ITALIAN})) > len(list_filter(w, lambda x: x IN {X.ENGLISH})) THEN 'it' ELSE 'en' END AS language FROM (SELECT doc_id, regexp_extract_all(lower(text[:10000]), '\\p{{L}}+') AS w FROM documents)")
 def languages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """X11: a language by its frequent words, in what stands near the start."""
+    """X11: a language by its frequent words."""
     return P.table(spark, sf_dir, "documents").select("doc_id", X.language(F.col("text")).alias("language"))

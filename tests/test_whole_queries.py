@@ -4,6 +4,7 @@ import os
 
 import pytest
 
+from tallyweave.functions import text as X
 from tallyweave.plans import projections as P
 from tallyweave.plans import registry
 from tests.test_registry import SF
@@ -23,3 +24,9 @@ def test_every_twentieth_vector(spark):
 def test_every_turn_has_a_window(spark):
     turns = {tuple(r) for r in P.table(spark, SF, "conversations").select("conv_id", "turn").collect()}
     assert {(r.conv_id, r.of_turn) for r in registry.queries()["neighbours_of_all"](spark, SF).collect()} == turns
+
+
+def test_language_of_whole_texts(rows):
+    df = rows("text string", ("the of and to " * 800 + "che per con una " * 4000,), ("che per con " * 10,), (None,))
+    found = df.select(X.language(df.text), X.file_language(df.text), X.file_language(df.text, 40_000)).collect()
+    assert [tuple(r) for r in found] == [("it", "en", "it"), ("it", "it", "it"), ("en", "en", "en")]
