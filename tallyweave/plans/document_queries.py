@@ -248,6 +248,13 @@ def drill_down(spark: SparkSession, sf_dir: str) -> DataFrame:
     return portfolio.drill_down(found, rows).select("key", "id")
 
 
+@query(f"SELECT lower(concat_ws('|', isin, provider, account_country)) AS key, l.id FROM ({P.LEDGER_SQL}) l")
+def drill_down_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """R18 for every position."""
+    rows = P.ledger(spark, sf_dir)
+    return portfolio.drill_down(portfolio.positions(rows), rows).select("key", "id")
+
+
 @query()
 def masked_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with placeholders in place of personal data, and how many each has."""

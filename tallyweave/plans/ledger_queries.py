@@ -291,6 +291,29 @@ def promotion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ledger.groupBy("tax_year").agg(F.count("*").alias("n"), F.sum("quantity").cast("double").alias("quantity"))
 
 
+def _staged_all(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The whole ledger as staged rows, and the rows of odd quantity as the ledger, with numbers for ids."""
+    order = Window.partitionBy("tax_year").orderBy("event_timestamp", "name")
+    rows = P.ledger(spark, sf_dir).withColumn("name", F.col("id"))
+    rows = rows.withColumn("id", F.row_number().over(order) + F.col("tax_year").cast("long") * 10_000_000_000)
+    return rows.withColumn("approved_financial_record_id", F.lit(None).cast("long")), rows.where("quantity % 2 = 1")
+
+
+@query(f"""WITH l AS ({L}) SELECT a.id AS name, count(b.id) > 0 AS is_duplicate FROM l a LEFT JOIN (SELECT * FROM l WHERE quantity % 2 = 1) b
+ON CAST(a.event_timestamp AS DATE) = CAST(b.event_timestamp AS DATE) AND a.action = b.action AND a.quantity = b.quantity AND a.isin = b.isin GROUP BY a.id""")
+def duplicate_probe_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """J12 over all years."""
+    return store.duplicates(*_staged_all(spark, sf_dir)).select("name", "is_duplicate")
+
+
+@query(f"""WITH l AS ({L}), b AS (SELECT * FROM l WHERE quantity % 2 = 1)
+SELECT CAST(tax_year AS INT) AS tax_year, count(*) AS n, CAST(sum(quantity) AS DOUBLE) AS quantity FROM (SELECT tax_year, quantity FROM b UNION ALL SELECT tax_year, quantity FROM l a WHERE NOT EXISTS (SELECT 1 FROM b WHERE CAST(a.event_timestamp AS DATE) = CAST(b.event_timestamp AS DATE) AND a.action = b.action AND a.quantity = b.quantity AND a.isin = b.isin)) GROUP BY tax_year""")
+def promotion_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """U5 over all years."""
+    ledger = store.promoted(*_staged_all(spark, sf_dir))[0]
+    return ledger.groupBy("tax_year").agg(F.count("*").alias("n"), F.sum("quantity").cast("double").alias("quantity"))
+
+
 @query("SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN 'merged' ELSE o_orderstatus END AS o_orderstatus FROM orders WHERE o_orderkey % 11 <> 0 UNION ALL SELECT -o_orderkey, 'new' FROM orders WHERE o_orderkey % 1000 = 1")
 def keyed_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An upsert by key and a delete."""

@@ -30,3 +30,10 @@ def test_language_of_whole_texts(rows):
     df = rows("text string", ("the of and to " * 800 + "che per con una " * 4000,), ("che per con " * 10,), (None,))
     found = df.select(X.language(df.text), X.file_language(df.text), X.file_language(df.text, 40_000)).collect()
     assert [tuple(r) for r in found] == [("it", "en", "it"), ("it", "it", "it"), ("en", "en", "en")]
+
+
+def test_all_years_and_positions(spark):
+    ledger = P.ledger(spark, SF)
+    ids, years = {r[0] for r in ledger.select("id").collect()}, {r[0] for r in ledger.select("tax_year").distinct().collect()}
+    assert asked(spark, "duplicate_probe_all", "name") == ids == asked(spark, "drill_down_all", "id")
+    assert asked(spark, "promotion_all", "tax_year") == years and len(years) > 2
