@@ -325,7 +325,7 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY, id_column: str =
 
 
 def without_near_duplicates(docs: DataFrame, least: float = SIMILARITY, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """docs with one document of each group, with all columns; rows that repeat an id leave one, those without an id stay."""
+    """docs with one document of each group, with all columns; rows of a kept id all stay, however often it occurs, and so do those without an id."""
     dropped = near_duplicates(docs, least, id_column, text_column).where("NOT kept").select(F.col(id_column).alias("_gone")).distinct()
     return docs.join(dropped, docs[id_column] == dropped["_gone"], "left_anti")
 
