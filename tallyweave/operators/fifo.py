@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -71,21 +71,24 @@ def accepted(events: DataFrame, keys: list[str], at: str, order: list[str]) -> t
     sides = events.withColumns({"_b": F.when(F.col("side") == 1, F.col("quantity")).otherwise(0), "_s": F.when(F.col("side") == -1, F.col("quantity")).otherwise(0)})
     line = stored(running(sides, keys, at, order, {"_b": "bought", "_s": "sold"}))
     short = line.where("sold > bought").select(*keys).distinct()
-    hard = line.drop("bought", "sold").join(short, keys, "left_semi").repartition(*keys).sortWithinPartitions(*keys, at, *order)
+    # Stored before it is dealt out: behind a join by the same keys the planner would leave the exchange out, and then read the join's own in pieces.
+    hard = stored(line.drop("bought", "sold").join(short, keys, "left_semi").withColumn("_units", (F.col("quantity").cast(Q) * 1_000_000).cast("long")))
+    hard = hard.repartition(*keys).sortWithinPartitions(*keys, at, *order)
 
-    def fold(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def fold(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, available = None, 0
         for rows in parts:
             keep = []
-            for key, side, quantity in zip(zip(*(rows[k] for k in keys), strict=True), rows["side"], rows["quantity"], strict=True):
+            for key, side, quantity in zip(zip(*(rows.column(k).to_pylist() for k in keys), strict=True), rows.column("side").to_pylist(), rows.column("_units").to_pylist(), strict=True):
                 if key != last:
                     last, available = key, 0
                 good = side == 1 or quantity <= available
-                available += quantity * side if good else 0
+                if good:
+                    available += quantity * side
                 keep.append(good)
-            yield rows[keep]
+            yield rows.filter(pa.array(keep, pa.bool_()))
 
-    kept = running(stored(hard.mapInPandas(fold, hard.schema)), keys, at, order, {"_b": "bought", "_s": "sold"})
+    kept = running(stored(hard.mapInArrow(fold, hard.schema).drop("_units")), keys, at, order, {"_b": "bought", "_s": "sold"})
     return stored(line.join(short, keys, "left_anti").unionByName(kept).drop("_b", "_s")), line.drop("_b", "_s")
 
 
