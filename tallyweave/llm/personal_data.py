@@ -59,7 +59,7 @@ KINDS = (
     Kind("ip", r"(?:\G|(?<![0-9]))[0-9]++(?:\.[0-9]++){3}", ".", 60, "ip|host|server|address|login", "version|release|section|chapter"),
     Kind("card", r"(?:\G|(?<![0-9]))[0-9](?:[\x20-]?[0-9])++", "", 60, "card|visa|credit|pay|account", "order|invoice|tracking|isbn"),
     Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", "+", 60, "phone|tel|call|mobile|fax", "order|invoice|score"),
-    Kind("iban", rf"(?<![A-Za-z0-9])(?=[A-Z]{{2}}[0-9]{{2}}){_IBAN}(?![A-Za-z0-9])", "", 60, "iban|account|bank|konto", "example|sample"),
+    Kind("iban", rf"(?<![A-Za-z0-9])(?=[A-Z]{{2}}[0-9]{{2}}){_IBAN}(?![A-Za-z0-9])", "", 60, "iban|account|bank|konto", "part|order|invoice"),
     Kind("ssn", r"[0-9]{3}-[0-9]{2}-[0-9]{4}", "-", 30, "ssn|social security|taxpayer", "example|order|invoice"),
 )
 BASE = tuple(k.name for k in KINDS[:4])
