@@ -19,6 +19,11 @@ def bound(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def some(a: Column, first: Column, stop: Column) -> Column:
+    """The elements of an array from first up to stop, by themselves: slice() reads the whole array each time."""
+    return F.when(stop > first, F.transform(F.sequence(first, stop - 1), lambda k: F.get(a, k))).otherwise(F.slice(a, F.lit(1), F.lit(0)))
+
+
 def scanned(values: Column, merge: Callable[[Column, Column], Column], levels: int = LEVELS) -> Column:
     """What merge makes of an array of longs up to and with each of them, from 0 on; merge is associative, and 0 changes nothing.
 
@@ -33,7 +38,7 @@ def scanned(values: Column, merge: Callable[[Column, Column], Column], levels: i
         return plain(values)
 
     def split(a: Column) -> Column:
-        runs = F.transform(F.sequence(F.lit(0), F.floor((F.size(a) - 1) / WIDTH).cast("int")), lambda k: plain(F.slice(a, k * WIDTH + 1, F.lit(WIDTH))))
+        runs = F.transform(F.sequence(F.lit(0), F.floor((F.size(a) - 1) / WIDTH).cast("int")), lambda k: plain(some(a, k * WIDTH, F.least((k + 1) * WIDTH, F.size(a)))))
         shifted = lambda own, before: F.transform(own, lambda r, k: F.when(k == 0, r).otherwise(F.transform(r, lambda x: merge(F.get(before, k - 1), x))))
         return bound(runs, lambda own: bound(scanned(F.transform(own, lambda r: F.element_at(r, -1)), merge, levels - 1), lambda before: F.flatten(shifted(own, before))))
 
@@ -50,5 +55,6 @@ def between(cut: Column, a: Column, b: Column) -> Column:
     i, j = F.shiftright(a, BITS).cast("int"), F.shiftright(b, BITS).cast("int")
     first, last = (F.coalesce(F.get(cut, x), F.lit("")) for x in (i, j))
     at = (a % PIECE + 1).cast("int")
-    many = F.concat(F.substring(first, at, F.lit(PIECE)), F.array_join(F.slice(cut, i + 2, j - i - 1), ""), F.substring(last, F.lit(1), (b % PIECE).cast("int")))
+    inner = F.when(j > i + 1, F.array_join(some(cut, i + 1, F.least(j, F.size(cut))), "")).otherwise(F.lit(""))
+    many = F.concat(F.substring(first, at, F.lit(PIECE)), inner, F.substring(last, F.lit(1), (b % PIECE).cast("int")))
     return F.when(b <= a, F.lit("")).when(i == j, F.substring(first, at, (b - a).cast("int"))).otherwise(many)
