@@ -5,6 +5,10 @@ from __future__ import annotations
 from collections.abc import Iterable
 
 
+#: (trie node, edits) pairs and moves that a lexicon keeps.
+MOST_PAIRS = 2_000_000
+
+
 def allowed(term: str) -> int:
     """Edits that a misspelling of a term may have."""
     return 0 if len(term) < 5 else 1 if len(term) < 9 else 2
@@ -15,8 +19,9 @@ class Lexicon:
 
     A state is a set of (trie node, edits spent); states and their transitions
     are made when first needed and kept, so that walking a word costs one
-    lookup a character and ends where no term can be reached any more. Terms
-    named in exactly have no misspellings.
+    lookup a character and ends where no term can be reached any more. When the
+    kept sets hold more than MOST_PAIRS they are made anew from the next word on.
+    Terms named in exactly have no misspellings.
     """
 
     def __init__(self, stems: Iterable[str], terms: Iterable[str], exactly: frozenset[str] = frozenset()):
@@ -24,11 +29,17 @@ class Lexicon:
         self.stem_ends: set[int] = set()
         self.term_ends: dict[int, int] = {}
         self.most: list[int] = [0]
+        self.names: dict[int, str] = {}
         for term in stems:
             self.stem_ends.add(self._add(term, 0))
         for term in terms:
             most = 0 if term in exactly else allowed(term)
-            self.term_ends[self._add(term, most)] = most
+            node = self._add(term, most)
+            self.term_ends[node], self.names[node] = most, term
+        self._forget()
+
+    def _forget(self) -> None:
+        self.held = 0
         self.states: dict[frozenset, int] = {}
         self.sets: list[frozenset] = []
         self.moves: list[dict[str, int]] = []
@@ -66,6 +77,7 @@ class Lexicon:
         found = self.states.get(pairs)
         if found is None:
             found = self.states[pairs] = len(self.sets)
+            self.held += len(pairs) + 1
             self.sets.append(pairs)
             self.moves.append({})
             self.at_stem.append(any(e == 0 and n in self.stem_ends for n, e in pairs))
@@ -80,10 +92,13 @@ class Lexicon:
             for d, child in self.children[node].items():
                 out.add((child, e if c == d else e + 1))
         nxt = self.moves[state][c] = self._state(self._closed(out))
+        self.held += 1
         return nxt
 
     def match(self, word: str) -> tuple[str, int] | None:
         """("stem", 0), ("term", edits) or None."""
+        if self.held > MOST_PAIRS:
+            self._forget()
         state, moves = self.start, self.moves
         for c in word:
             nxt = moves[state].get(c)
@@ -94,3 +109,11 @@ class Lexicon:
                 return ("stem", 0)
         e = self.edits[state]
         return None if e is None else ("term", e)
+
+    def near(self, word: str) -> list[tuple[str, int]]:
+        """All terms that word is within their edits of, with the edits."""
+        state = self.start
+        for c in word:
+            nxt = self.moves[state].get(c)
+            state = self._step(state, c) if nxt is None else nxt
+        return sorted((self.names[n], e) for n, e in self.sets[state] if e <= self.term_ends.get(n, -1))

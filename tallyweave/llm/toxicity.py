@@ -2,15 +2,19 @@
 
 fitted() learns from a bounded sample of labelled rows (PER_LABEL rows of each,
 those with the smallest hash of their id): terms and stems that tell toxic from
-clean documents, words of clean documents that look like misspelled terms but
-are none, and the weights of a few features. Copies count once while terms are
-learned. What it reads of a document is its text alone.
+clean documents, words that look like misspelled terms but are clearly more
+frequent in clean documents than in toxic ones, and the weights of a few
+features. Copies count once while terms are learned. What it reads of a document
+is its text alone. Words are counted where the sample lies; the driver gets the
+terms that are frequent enough to be learned, their near neighbours and a few
+numbers for each sampled document, however long the documents are.
 
 scored() walks every distinct word of every whole text through the automata
 (levenshtein.py) where the text is read; nothing is shuffled. A hit's context
 decides what it counts for: within quotation marks or after a reporting word it
 counts little, near a word of address it counts more. The score is logistic in
-the strongest hits and their sum, and so lies between 0 and 1.
+the strongest hits and their sum, and so lies between 0 and 1. Quotation marks are
+looked up by bisection, so a line may be as long as it likes and all of it hits.
 
 Null and empty texts have no hits and the score of a text without any. Labels
 that are null, and labels of documents that are not there, are not used; a
@@ -23,7 +27,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter
+from bisect import bisect_left
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, replace
 from functools import lru_cache
@@ -41,10 +45,11 @@ from .levenshtein import Lexicon
 PER_LABEL = (3000, 6000)
 #: Half the likelihood ratio statistic that a term needs (about one chance in ten million, as very many are tried), and its share of toxic among balanced documents.
 SURE, PURE = 16.0, 0.97
-SHORTEST_STEM, MOST_TERMS = 4, 2000
-#: A term near so many words of clean documents has no misspellings that could be told from words.
-CROWDED = 3
-CACHE_ENTRIES = 300_000
+SHORTEST_STEM = 4
+#: A term near so many innocent words has no misspellings that could be told from words; a word is innocent if its share of clean documents is so many times that of toxic ones.
+CROWDED, INNOCENT = 3, 2.0
+#: Characters of words that a worker keeps answers for; a longer word is walked each time.
+CACHE_CHARACTERS, LONGEST_KEPT = 8 << 20, 64
 WINDOW = 6
 
 WORDS = re.compile(r"[^\W_]+")
@@ -52,6 +57,8 @@ SEEDS = ("idiot", "moron", "stupid", "loser", "scum", "pathetic", "worthless", "
 REPORTING = frozenset("said says saying called calls calling word words term quote quoted quotes slur insult insults wrote writes sagte sagt nannte wort dit disait mot dijo dice palabra".split())
 ADDRESS = frozenset("you your youre yourself du dich dein euch tu toi vous te usted vosotros".split())
 QUOTES = {"\"": "\"", "“": "”", "„": "“", "«": "»", "‘": "’"}
+_MARKS = ("\n", *dict.fromkeys([*QUOTES, *QUOTES.values()]))
+_ANY_MARK = re.compile("[" + "".join(_MARKS) + "]")
 LEET = str.maketrans("01345789", "oieastbg")
 REPEATED = re.compile(r"(.)\1{2,}")
 
@@ -75,11 +82,17 @@ class Words(dict):
     def __init__(self, model: Model):
         super().__init__()
         self.lexicon, self.terms, self.known = Lexicon(model.stems, model.terms, model.exactly), frozenset(model.terms), model.known
+        self.held = 0
 
     def __missing__(self, word: str) -> str | None:
-        if len(self) > CACHE_ENTRIES:
-            self.clear()
-        self[word] = kind = self._kind(word)
+        kind = self._kind(word)
+        if len(word) <= LONGEST_KEPT:
+            # An entry costs some 60 characters besides its own.
+            self.held += len(word) + 60
+            if self.held > CACHE_CHARACTERS:
+                self.clear()
+                self.held = len(word) + 60
+            self[word] = kind
         return kind
 
     def _kind(self, word: str) -> str | None:
@@ -109,14 +122,37 @@ def words_of(model: Model) -> Words:
     return _words(replace(model, weights=()))
 
 
-def _quoted(text: str, start: int, end: int) -> bool:
-    """Whether a quotation mark opened on this line before the hit is closed after it."""
-    line, rest = text[text.rfind("\n", 0, start) + 1 : start], text[end : (text.find("\n", end) + 1 or len(text) + 1) - 1]
-    for opening, closing in QUOTES.items():
-        inside = line.count(opening) % 2 == 1 if opening == closing else line.rfind(opening) > line.rfind(closing)
-        if inside and closing in rest:
-            return True
-    return False
+class Marks:
+    """Where the quotation marks and line ends of a text are."""
+
+    def __init__(self, text: str):
+        self.at: dict[str, list[int]] = {c: [] for c in _MARKS}
+        for m in _ANY_MARK.finditer(text):
+            self.at[m.group()].append(m.start())
+
+    def _before(self, c: str, place: int) -> int:
+        """The last c before a place, -1 if there is none."""
+        k = bisect_left(self.at[c], place)
+        return self.at[c][k - 1] if k else -1
+
+    def quoted(self, start: int, end: int) -> bool:
+        """Whether a quotation mark opened on this line before the hit is closed after it."""
+        line, ends = self._before("\n", start), self.at["\n"]
+        k = bisect_left(ends, end)
+        last = ends[k] if k < len(ends) else math.inf
+        for opening, closing in QUOTES.items():
+            at = self.at[closing]
+            k = bisect_left(at, end)
+            if k == len(at) or at[k] > last:
+                continue
+            if opening == closing:
+                inside = (bisect_left(at, start) - bisect_left(at, line + 1)) % 2 == 1
+            else:
+                opened = self._before(opening, start)
+                inside = opened > line and opened > self._before(closing, start)
+            if inside:
+                return True
+        return False
 
 
 def features(text: str | None, words: Words) -> tuple[np.ndarray, int, int]:
@@ -127,14 +163,14 @@ def features(text: str | None, words: Words) -> tuple[np.ndarray, int, int]:
     hits = {w for w in set(WORDS.findall(low)) if words[w]}
     if not hits:
         return out, 0, 0
-    spans = [m.span() for m in WORDS.finditer(low)]
+    spans, marks = [m.span() for m in WORDS.finditer(low)], Marks(low)
     told = [low[a:b] for a, b in spans]
     strongest, total, aside, n = {"exact": 0.0, "stem": 0.0, "fuzzy": 0.0}, 0.0, 0, 0
     for i, w in enumerate(told):
         if w in hits:
             near = told[max(0, i - WINDOW) : i + WINDOW + 1]
             weight = 1.0
-            if _quoted(low, *spans[i]):
+            if marks.quoted(*spans[i]):
                 weight = 0.25
             elif not REPORTING.isdisjoint(told[max(0, i - WINDOW) : i]):
                 weight = 0.5
@@ -152,40 +188,45 @@ def _stems(words: Iterable[str]) -> set[str]:
     return {w[:n] for w in words for n in range(SHORTEST_STEM, min(len(w), 12) + 1)}
 
 
-def learned_terms(documents: Callable[[int], Iterable[list[str]]]) -> tuple[list[str], list[str]]:
-    """Stems and whole terms from the distinct words of toxic (1) and clean (0) documents.
+def grams(words: Iterable[str]) -> set[str]:
+    """What of a document may be learned: whole words, marked =, and stems, marked ^."""
+    return {f"={w}" for w in words if len(w) >= 3} | {f"^{x}" for x in _stems(words)}
+
+
+def evidence(t: int, c: int, nt: int, nc: int) -> float:
+    """Half the likelihood ratio statistic of t of nt toxic against c of nc clean documents, 0 if it isn't pure enough."""
+    if t < 3 or t / nt < PURE * (t / nt + c / max(nc, 1)):
+        return 0.0
+    n, held = nt + nc, t + c
+    cells = ((t, nt * held), (c, nc * held), (nt - t, nt * (n - held)), (nc - c, nc * (n - held)))
+    return sum(k * math.log(k * n / e) for k, e in cells if k)
+
+
+def learned_terms(read: DataFrame, nt: int, nc: int) -> tuple[list[str], list[str], set[str]]:
+    """Stems, whole terms and the seeds that clean documents hold, from read (words, toxic).
 
     Only what toxic documents hold often enough to matter is counted in clean ones.
     """
-    t_whole, t_stems, nt = Counter(), Counter(), 0
-    for d in documents(1):
-        t_whole.update(d)
-        t_stems.update(_stems(d))
-        nt += 1
-    nc = sum(1 for _ in documents(0))
-
-    def evidence(t: int, c: int) -> float:
-        """Half the likelihood ratio statistic of more toxic than clean documents, 0 if it isn't pure enough."""
-        if t < 3 or t / nt < PURE * (t / nt + c / max(nc, 1)):
-            return 0.0
-        n, held = nt + nc, t + c
-        cells = ((t, nt * held), (c, nc * held), (nt - t, nt * (n - held)), (nc - c, nc * (n - held)))
-        return sum(k * math.log(k * n / e) for k, e in cells if k)
-
-    t_whole = {w: t for w, t in t_whole.items() if len(w) >= 3 and evidence(t, 0) > SURE}
-    t_stems = {s: t for s, t in t_stems.items() if evidence(t, 0) > SURE}
-    c_whole, c_stems = Counter(), Counter()
-    for d in documents(0):
-        c_whole.update(t_whole.keys() & set(d))
-        c_stems.update(t_stems.keys() & _stems(d))
-    stems: list[str] = []
-    told = {s: g for s, t in t_stems.items() if (g := evidence(t, c_stems[s])) > SURE}
-    for s in sorted(told, key=lambda s: (-told[s], -len(s), s)):
-        if not any(s.startswith(x) or x.startswith(s) for x in stems) and len(stems) < MOST_TERMS:
-            stems.append(s)
-    told = {w: g for w, t in t_whole.items() if (g := evidence(t, c_whole[w])) > SURE}
-    terms = sorted(told, key=lambda w: (-told[w], w))[:MOST_TERMS]
-    return stems, terms
+    fewest = next((t for t in range(3, nt + 1) if evidence(t, 0, nt, nc) > SURE), nt + 1)
+
+    def counted(label: int, pick: Callable[[set[str]], Iterable[str]]) -> DataFrame:
+        def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([g for d in column(batch, "words") for g in pick(grams(d.as_py()))], pa.string())], ["g"])
+
+        return by_batch(read.where(F.col("toxic") == label).select("words"), "g string", run).groupBy("g").agg(F.count("*").alias("n"))
+
+    toxic = {r["g"]: r["n"] for r in counted(1, lambda g: g).where(F.col("n") >= fewest).collect()}
+    asked = frozenset(toxic) | {f"={w}" for w in SEEDS}
+    clean = {r["g"]: r["n"] for r in counted(0, lambda g: g & asked).collect()}
+    told = {g: e for g, t in toxic.items() if (e := evidence(t, clean.get(g, 0), nt, nc)) > SURE}
+    stems, longer = set(), set()  # and all beginnings of the stems
+    for g in sorted((g for g in told if g[0] == "^"), key=lambda g: (-told[g], -len(g), g)):
+        stem = g[1:]
+        if stem not in longer and not any(stem[:n] in stems for n in range(SHORTEST_STEM, len(stem))):
+            stems.add(stem)
+            longer.update(stem[:n] for n in range(1, len(stem) + 1))
+    terms = [g[1:] for g in sorted((g for g in told if g[0] == "="), key=lambda g: (-told[g], g))]
+    return sorted(stems), terms, {w for w in SEEDS if f"={w}" in clean}
 
 
 def fit_weights(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -219,19 +260,15 @@ def fitted(docs: DataFrame, labels: DataFrame, per_label: tuple[int, int] = PER_
         alike = [" ".join(str(min((xxhash.xxh32_intdigest(w, k) for w in d), default=0)) for k in range(3)) for d in told]
         return pa.RecordBatch.from_arrays([pa.array(told, pa.list_(pa.string())), pa.array(alike), column(batch, "toxic")], ["words", "alike", "toxic"])
 
-    read = by_batch(sample, "words array<string>, alike string, toxic int", distinct_words).dropDuplicates(["alike", "toxic"]).toArrow()
-
-    def documents(label: int) -> Iterator[list[str]]:
-        """The distinct words of a document at a time, out of Arrow's memory."""
-        for k in np.flatnonzero(read["toxic"].to_numpy() == label).tolist():
-            yield read["words"][k].as_py()
-
-    if next(documents(1), None) is None:
+    read = by_batch(sample, "words array<string>, alike string, toxic int", distinct_words)
+    # Which of two copies stays is a matter of their words alone.
+    read = checkpointed(read.groupBy("alike", "toxic").agg(F.min("words").alias("words")))
+    n = {r["toxic"]: r["n"] for r in read.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    if not n.get(1):
         return Model((), SEEDS, frozenset(), frozenset(), tuple(PRIOR))
-    stems, terms = learned_terms(documents)
-    in_clean = {w for d in documents(0) for w in set(SEEDS) & set(d)}
+    stems, terms, in_clean = learned_terms(read, n[1], n.get(0, 0))
     terms = list(dict.fromkeys([*terms, *(s for s in SEEDS if s not in in_clean)]))
-    exactly, known = _misleading(terms, documents(0))
+    exactly, known = _misleading(terms, read, n[1], n.get(0, 0))
     model = Model(tuple(stems), tuple(terms), exactly, known, tuple(PRIOR))
 
     def measured(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -243,19 +280,24 @@ def fitted(docs: DataFrame, labels: DataFrame, per_label: tuple[int, int] = PER_
     return Model(model.stems, model.terms, exactly, known, tuple(fit_weights(np.stack([np.asarray(v) for v in read.x]), read.toxic.to_numpy(float))))
 
 
-def _misleading(terms: list[str], clean: Iterable[list[str]]) -> tuple[frozenset[str], frozenset[str]]:
-    """Terms that have several neighbours among the words of clean documents, and the neighbours of the others."""
-    lexicon = Lexicon((), terms)
-    near = {w for d in clean for w in d if (found := lexicon.match(w)) and found[1] > 0}
-    exactly, known = set(), set()
-    for term in terms:
-        alone = Lexicon((), (term,))
-        own = [w for w in near if (found := alone.match(w)) and found[1] > 0]
-        if len(own) >= CROWDED:
-            exactly.add(term)
-        else:
-            known.update(own)
-    return frozenset(exactly), frozenset(known)
+def _misleading(terms: list[str], read: DataFrame, nt: int, nc: int) -> tuple[frozenset[str], frozenset[str]]:
+    """Terms that have several innocent words for neighbours, and the innocent neighbours of the others."""
+    held: list[Lexicon] = []
+
+    def near(batch: pa.RecordBatch) -> pa.RecordBatch:
+        if not held:
+            held.append(Lexicon((), terms))
+        found = [(w, t) for d, t in zip(column(batch, "words").to_pylist(), column(batch, "toxic").to_pylist(), strict=True) for w in d if (m := held[0].match(w)) and m[1] > 0]
+        return pa.RecordBatch.from_arrays([pa.array([w for w, _ in found], pa.string()), pa.array([t for _, t in found], pa.int32())], ["word", "toxic"])
+
+    rows = by_batch(read.select("words", "toxic"), "word string, toxic int", near).groupBy("word").agg(F.count_if(F.col("toxic") == 1).alias("t"), F.count_if(F.col("toxic") == 0).alias("c")).collect()
+    innocent = [r["word"] for r in rows if r["c"] / max(nc, 1) > INNOCENT * r["t"] / nt]
+    lexicon, own = Lexicon((), terms), {}
+    for w in innocent:
+        for term, _ in lexicon.near(w):
+            own.setdefault(term, []).append(w)
+    exactly = {t for t, words in own.items() if len(words) >= CROWDED}
+    return frozenset(exactly), frozenset(w for t, words in own.items() if t not in exactly for w in words)
 
 
 def scored(docs: DataFrame, model: Model, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:

@@ -1,11 +1,12 @@
 """Texts with very many matches, lines without an end, and the places that native expressions give."""
 
 import itertools
+import random
 import time
 
 from pyspark.sql import functions as F
 
-from tallyweave.llm import cutting, personal_data
+from tallyweave.llm import cutting, levenshtein, personal_data, toxicity
 
 DOCS = "doc_id long, text string"
 
@@ -46,3 +47,36 @@ def test_masking_leaves_nothing_of_spans_that_overlap(spark):
     # The card ends inside the address, which goes on behind it.
     text = "pay 4111 1111 1111 1111@a.bc today"
     assert personal_data.masked(spark.createDataFrame([(1, text)], DOCS)).first().text == "pay [card] today"
+
+
+def test_quotes_as_lines_tell_them():
+    rng = random.Random(2)
+
+    def plainly(text, start, end):
+        line, rest = text[text.rfind("\n", 0, start) + 1 : start], text[end : (text.find("\n", end) + 1 or len(text) + 1) - 1]
+        return any((line.count(a) % 2 == 1 if a == b else line.rfind(a) > line.rfind(b)) and b in rest for a, b in toxicity.QUOTES.items())
+
+    for _ in range(400):
+        text = "".join(rng.choice('ab c\n"“”„«»‘’') for _ in range(rng.randint(1, 60)))
+        marks = toxicity.Marks(text)
+        for m in toxicity.WORDS.finditer(text):
+            assert marks.quoted(*m.span()) == plainly(text, *m.span()), text
+
+
+def test_a_long_line_of_hits():
+    words = toxicity.Words(toxicity.Model((), toxicity.SEEDS, frozenset(), frozenset(), tuple(toxicity.PRIOR)))
+    began = time.time()
+    _, n, aside = toxicity.features('"' + "idiot " * 300_000 + '"', words)
+    assert (n, aside) == (300_000, 300_000) and time.time() - began < 20
+
+
+def test_kept_states_are_bounded(monkeypatch):
+    monkeypatch.setattr(levenshtein, "MOST_PAIRS", 500)
+    lexicon, other = levenshtein.Lexicon((), toxicity.SEEDS), levenshtein.Lexicon((), toxicity.SEEDS)
+    rng = random.Random(1)
+    for _ in range(3000):
+        w = "".join(rng.choice("idotscumlerap") for _ in range(rng.randint(2, 9)))
+        other._forget()
+        assert lexicon.match(w) == other.match(w)
+    assert lexicon.held < 3000
+    assert levenshtein.Lexicon((), ("idiot", "worthless")).near("idiots") == [("idiot", 1)]
