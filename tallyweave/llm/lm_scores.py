@@ -1,28 +1,31 @@
-"""Operator 8, stupid-backoff scores from n-gram counts.
+"""Operator 8, stupid-backoff scores from n-gram count tables, in joins.
 
-score_against() is the general operator: count tables of any corpus, left-joined
-to the exploded n-grams of any documents, with backoff where an n-gram is not in
-the table, summed per document; all DataFrame joins and aggregations.
+Each word is scored by the longest n-gram up to ORDER that ends in it and that
+the counts hold; each order given up costs a factor ALPHA.
 
-self_scores() scores a corpus by its own counts, over all its documents. There
-each n-gram is in its table, so stupid backoff always takes the top order, and a
-document's log score falls apart into a sum over its bigrams and one over its
-words. That lets whole slices of documents travel together:
+left_out_scores() scores a corpus by its own counts less those of the document
+itself, so text found nowhere else backs off to single words, and a word of no
+other document counts as seen half a time:
 
-1. Frequent n-grams are found and counted exactly (two passes, fixed number,
-   broadcast): they are answered where they are read. Hot keys end here.
-2. All other n-grams meet by hash: a slice of documents sends to each part of
-   the hash space its n-grams there, without any of their rows on their own. No
-   n-gram left is hot, so a part is PART n-grams, about; its task counts them,
-   which makes its part of the count table, and looks each one's count up.
-3. What comes back is a sum per document and part; these are added up.
+1. Documents are cut into slices of some megabytes, written to the shared folder.
+2. A slice explodes into its distinct n-grams, added up there: a row (key, slice,
+   n) each, dealt out by the hash of the key. No n-gram is hot, as it comes once
+   a slice, and the rows grow with the corpus and no faster.
+3. Where they lie, they are added up to the count table, and joined to it; both
+   read that one exchange. N-grams that no other slice has need no answer.
+4. Answers meet their slice again, where what a document has itself is taken off
+   and its words' scores are added up.
 
-Sums are whole millionths of natural logarithms, rounded per n-gram, so the
-result does not depend on the order of addition.
+score_against() scores documents by the count tables of any other corpus
+(ngram_counts()), in plain joins.
+
+Sums of left_out_scores() are whole millionths of natural logarithms, rounded
+per count, so the result does not depend on the order of addition. N-grams are
+64-bit hashes of their words there.
 
 Null and empty texts, and texts without words, have n_words 0 and a null score.
-Repeated rows are documents of their own, and count. An empty table gives an
-empty result. Further columns are not read.
+Repeated rows are documents of their own, and count for each other. An empty
+table gives an empty result. Further columns are not read.
 """
 
 from __future__ import annotations
@@ -38,183 +41,136 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from . import words
-from .common import column, slices, table, text_bytes
-from .groups import by_group, summed
+from .common import checkpointed, column, slices, table, text_bytes
 
 ALPHA = 0.4
 MICRO = 1_000_000
-#: Frequent n-grams that are broadcast, whatever the input, and how many a task proposes.
-FREQUENT, PROPOSED = 200_000, 40_000
-#: Bytes of text counted together; n-grams of the corpus to a part of the hash space.
-SLICE, PART = 4 << 20, 2_000_000
+ORDER = 3
+#: Bytes of text counted together.
+SLICE = 9 << 20
 ONE, TWO = np.uint64(0x632BE59BD9B4E019), np.uint64(0x9E6C63D0876A9A47)
 
 
-def grams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of some texts: unigram keys, bigram keys, text of each unigram, text of each bigram, words of each text."""
-    folded, begins, ends, heads = words.spans(data, offsets)
-    h = words.hashes(folded, begins, ends)
-    counts = np.diff(heads)
-    of = np.repeat(np.arange(len(counts)), counts)
-    within = of[1:] == of[:-1] if len(of) else np.zeros(0, bool)
-    return words.mixed(h + ONE), words.mixed(h[:-1][within] * words.BASE + h[1:][within] * TWO), of, of[1:][within] if len(of) else of, counts
+def micro_log(counts: np.ndarray) -> np.ndarray:
+    return np.rint(np.log(counts) * MICRO).astype(np.int64)
 
 
-class Frequent:
-    """Keys, ascending, with their counts; found through a filter of the leading bits."""
+def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of some texts: a hash of each word, words of each text; a megabyte at a time."""
+    texts = pa.Array.from_buffers(pa.large_string(), len(offsets) - 1, [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(data)])
+    found = []
+    for first, last in slices(texts):
+        folded, begins, ends, heads = words.spans(*text_bytes(texts.slice(first, last - first)))
+        found.append((words.hashes(folded, begins, ends), np.diff(heads)))
+    return tuple(map(np.concatenate, zip(*found, strict=True))) if found else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
 
-    def __init__(self, keys: np.ndarray, counts: np.ndarray | None = None):
-        self.keys, self.counts = keys, counts
-        self.filter = np.zeros(1 << 22, bool)
-        self.filter[(keys >> np.uint64(42)).astype(np.int64)] = True
 
-    def find(self, keys: np.ndarray) -> np.ndarray:
-        """Where each key is, -1 if nowhere."""
-        out = np.full(len(keys), -1)
-        maybe = np.flatnonzero(self.filter[(keys >> np.uint64(42)).astype(np.int64)])
-        if len(maybe) and len(self.keys):
-            at = np.minimum(np.searchsorted(self.keys, keys[maybe]), len(self.keys) - 1)
-            good = self.keys[at] == keys[maybe]
-            out[maybe[good]] = at[good]
-        return out
+def grams(h: np.ndarray, of: np.ndarray, order: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For n from 1 to order: keys of the n-grams, and the word that each begins at."""
+    out, acc = [], h
+    for n in range(1, order + 1):
+        if n > 1:
+            acc = acc[:-1] * words.BASE + h[n - 1 :] * TWO
+        at = np.flatnonzero(of[n - 1 :] == of[: len(of) - n + 1]) if len(of) >= n else np.zeros(0, np.int64)
+        out.append((words.mixed(acc[at] + np.uint64(int(ONE) * n % (1 << 64))), at))
+    return out
 
 
-def micro_log(counts: np.ndarray) -> np.ndarray:
-    return np.rint(np.log(counts) * MICRO).astype(np.int64)
+def zipped(data: bytes) -> bytes:
+    return pa.Codec("zstd", 3).compress(data, asbytes=True)
 
 
-def frequent_grams(texts: DataFrame) -> tuple[Frequent, int]:
-    """n-grams that are frequent in some task, with exact counts, and the number of all words."""
+def unzipped(data: pa.Buffer, size: int) -> bytes:
+    return pa.Codec("zstd").decompress(data, size, asbytes=True) if size else b""
 
-    def propose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        for batch in batches:
-            for first, last in slices(column(batch, "text"), SLICE):
-                one, two, *_ = grams_of(column(batch, "text").slice(first, last - first))
-                new, n = np.unique(np.concatenate([one, two]), return_counts=True)
-                top = np.argsort(-n, kind="stable")[: 2 * PROPOSED]
-                keys, at = np.unique(np.concatenate([keys, new[top]]), return_inverse=True)
-                counts = np.bincount(at, np.concatenate([counts, n[top]]), len(keys)).astype(np.int64)
-                top = np.sort(np.argsort(-counts, kind="stable")[: 2 * PROPOSED])
-                keys, counts = keys[top], counts[top]
-        top = np.argsort(-counts, kind="stable")[:PROPOSED]
-        top = top[counts[top] > 1]
-        if len(top):
-            yield pa.RecordBatch.from_arrays([pa.array(keys[top].view(np.int64)), pa.array(counts[top])], ["key", "n"])
-
-    proposed = texts.mapInArrow(propose, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "key").limit(FREQUENT)
-    keys = np.sort(proposed.select("key").toPandas()["key"].to_numpy(np.int64).view(np.uint64))
-    held = texts.sparkSession.sparkContext.broadcast(Frequent(keys))
-
-    def count(batch: pa.RecordBatch) -> np.ndarray:
-        total = np.zeros(len(keys) + 1, np.int64)
-        for first, last in slices(column(batch, "text")):
-            one, two, *_ = grams_of(column(batch, "text").slice(first, last - first))
-            total[-1] += len(one)
-            for g in (one, two):
-                at = held.value.find(g)
-                total[:-1] += np.bincount(at[at >= 0], minlength=len(keys))
-        return total
-
-    total = summed(texts, len(keys) + 1, count)
-    return Frequent(keys, total[:-1]), int(total[-1])
-
-
-def grams_of(texts: pa.Array) -> tuple[np.ndarray, ...]:
-    """grams(), a megabyte at a time."""
-    found, base = [], 0
-    for first, last in slices(texts):
-        one, two, of_one, of_two, counts = grams(*text_bytes(texts.slice(first, last - first)))
-        found.append((one, two, of_one + base, of_two + base, counts))
-        base += len(counts)
-    return tuple(map(np.concatenate, zip(*found, strict=True))) if found else (np.zeros(0, np.uint64),) * 2 + (np.zeros(0, np.int64),) * 3
 
+def _texts(size: int, data: pa.Buffer, rows: int, lengths: pa.Buffer) -> tuple[np.ndarray, np.ndarray]:
+    return np.frombuffer(unzipped(data, size), np.uint8), np.append(0, np.cumsum(np.frombuffer(unzipped(lengths, 8 * rows), np.int64)))
 
-_SENT = "part int, rows binary, of binary, keys binary, ids array<{0}>"
-#: What an n-gram's logarithm counts: bigrams, inner words, first and last words, words that stand alone.
-SIGNS = (1, -1, 0, 1)
 
+def slices_of(texts: DataFrame) -> DataFrame:
+    """Texts (id, text) a slice to a row: its name, bytes, words, rows, the texts and their lengths, packed, and the ids."""
+    kind, id_type = texts.schema["id"].dataType.simpleString(), to_arrow_type(texts.schema["id"].dataType)
 
-def self_scores(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """id, n_words, micro_log (millionths, of the product of all words' scores) and score (mean log per word) for every row of docs."""
-    kind = docs.schema[id_column].dataType.simpleString()
-    texts = docs.select(docs[id_column].alias("id"), docs[text_column].alias("text"))
-    frequent, total = frequent_grams(texts.select("text"))
-    held = docs.sparkSession.sparkContext.broadcast((frequent, micro_log(np.maximum(frequent.counts, 1))))
-    parts = max(32, math.ceil(total / PART))
-    log_total = int(round(math.log(max(total, 1)) * MICRO))
-
-    def sent(texts: pa.Array, row: int) -> list[tuple]:
-        """Rows for each part: documents, how many n-grams of each sign a document has there, keys in that order; and one of sums known here."""
-        frequent, logs = held.value
-        one, two, of_one, of_two, counts = grams_of(texts)
-        ends = np.cumsum(counts)
-        sign = np.ones(len(one), np.int64)
-        # The first word's count is a numerator and a denominator, the last one's is neither, unless it stands alone.
-        sign[(ends - counts)[counts > 1]] = sign[(ends - 1)[counts > 1]] = 2
-        sign[(ends - 1)[counts == 1]] = 3
-        names, sums = np.arange(row, row + len(texts)), np.where(counts > 0, -log_total, 0)
-        rest = []
-        for s in range(len(SIGNS)):
-            keys, of = (two, of_two) if s == 0 else (one[sign == s], of_one[sign == s])
-            at = frequent.find(keys)
-            here = at >= 0
-            sums += SIGNS[s] * np.bincount(of[here], logs[at[here]], len(texts)).astype(np.int64)
-            keys, of = keys[~here], of[~here]
-            part = part_of(keys, parts)
-            order = np.argsort(part, kind="stable")
-            rest.append((keys[order], of[order], np.searchsorted(part[order], np.arange(parts + 1))))
-        out = [(row % parts, names.tobytes(), np.stack([sums, counts]).tobytes(), b"")]
-        for p in range(parts):
-            mine = [(k[c[p] : c[p + 1]], o[c[p] : c[p + 1]]) for k, o, c in rest]
-            own = np.unique(np.concatenate([o for _, o in mine]))
-            if len(own):
-                often = np.stack([np.bincount(np.searchsorted(own, o), minlength=len(own)) for _, o in mine]).astype(np.int32)
-                out.append((p, names[own].tobytes(), often.tobytes(), np.concatenate([k for k, _ in mine]).tobytes()))
-        return out
-
-    id_type = to_arrow_type(docs.schema[id_column].dataType)
-
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context = TaskContext.get()
-        row = (context.partitionId() if context else 0) << 40
-        kinds = [pa.int32(), pa.binary(), pa.binary(), pa.binary()]
+        name = (context.partitionId() if context else 0) << 32
         for batch in batches:
             for first, last in slices(column(batch, "text"), SLICE):
-                out = sent(column(batch, "text").slice(first, last - first), row)
-                # The names of the slice's documents go with their own sums, which come first.
-                ids = pa.ListArray.from_arrays([0, *[last - first] * len(out)], column(batch, "id").slice(first, last - first).cast(id_type))
-                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out, strict=True), kinds, strict=True)] + [ids], ["part", "rows", "of", "keys", "ids"])
-                row += last - first
-
-    def answer(t: pa.Table) -> pa.RecordBatch:
-        keys = np.concatenate([np.frombuffer(x.as_buffer(), np.uint64) for x in t["keys"]])
-        _, at, counts = np.unique(keys, return_inverse=True, return_counts=True)
-        logs, done, found, named = micro_log(counts)[at], 0, [], []
-        del keys, at
-        for rows, of, own, ids in zip(t["rows"], t["of"], t["keys"], t["ids"], strict=True):
-            rows, n = np.frombuffer(rows.as_buffer(), np.int64), len(own.as_buffer()) // 8
-            if not n:
-                sums, words_of_row = np.frombuffer(of.as_buffer(), np.int64).reshape(2, -1)
-            else:
-                often = np.frombuffer(of.as_buffer(), np.int32).reshape(len(SIGNS), -1)
-                who = np.tile(np.arange(len(rows)), len(SIGNS)).repeat(often.ravel())
-                signed = logs[done : done + n] * np.repeat(SIGNS, often.sum(1))
-                sums, words_of_row = np.bincount(who, signed, len(rows)).astype(np.int64), np.zeros(len(rows), np.int64)
-            done += n
-            found.append((rows, sums, words_of_row))
-            named.append(pa.nulls(len(rows), id_type) if n else ids.values.cast(id_type))
-        return pa.RecordBatch.from_arrays([*(pa.array(np.concatenate(x)) for x in zip(*found, strict=True)), pa.concat_arrays(named)], ["row", "micro", "n", "id"])
-
-    sums = by_group(texts.mapInArrow(send, _SENT.format(kind)), ["part"], f"row long, micro long, n long, id {kind}", answer).groupBy("row").agg(F.sum("micro").alias("micro_log"), F.sum("n").alias("n_words"), F.max("id").alias("id"))
-    return sums.select(
-        F.col("id").alias(id_column), "n_words", F.when(F.col("n_words") > 0, F.col("micro_log")).alias("micro_log"), F.when(F.col("n_words") > 0, F.col("micro_log") / F.col("n_words") / MICRO).alias("score")
-    )
+                data, offsets = text_bytes(column(batch, "text").slice(first, last - first))
+                ids = pa.ListArray.from_arrays([0, last - first], column(batch, "id").slice(first, last - first).cast(id_type))
+                told = [[name], [len(data)], [len(word_hashes(data, offsets)[0])], [last - first]]
+                packed = [zipped(data.tobytes()), zipped(np.diff(offsets).tobytes())]
+                yield pa.RecordBatch.from_arrays([*map(pa.array, told), *(pa.array([x], pa.binary()) for x in packed), ids], ["slice", "size", "words", "rows", "data", "lengths", "ids"])
+                name += 1
+
+    return texts.mapInArrow(cut, f"slice long, size long, words long, rows long, data binary, lengths binary, ids array<{kind}>")
+
+
+def exploded(cuts: DataFrame, order: int) -> DataFrame:
+    """A row (key, slice, n) for each distinct n-gram of each slice."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, size, data, rows, lengths in zip(*(column(batch, x) for x in ("slice", "size", "data", "rows", "lengths")), strict=True):
+                h, counts = word_hashes(*_texts(size.as_py(), data.as_buffer(), rows.as_py(), lengths.as_buffer()))
+                of = np.repeat(np.arange(len(counts)), counts)
+                for keys, _ in grams(h, of, order):
+                    keys, often = np.unique(keys, return_counts=True)
+                    for first in range(0, len(keys), 200_000):
+                        part = slice(first, first + 200_000)
+                        n = len(keys[part])
+                        yield pa.RecordBatch.from_arrays([pa.array(keys[part].view(np.int64)), pa.array(np.full(n, name.as_py(), np.int64)), pa.array(often[part])], ["key", "slice", "n"])
+
+    return cuts.select("slice", "size", "rows", "data", "lengths").mapInArrow(run, "key long, slice long, n long")
 
 
-def part_of(keys: np.ndarray, parts: int) -> np.ndarray:
-    """Ascending with the key."""
-    return ((keys >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+def left_out_scores(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """id, n_words, micro_log (millionths, of the product of all words' scores) and score (mean log per word) for every row of docs."""
+    kind, id_type = docs.schema[id_column].dataType.simpleString(), to_arrow_type(docs.schema[id_column].dataType)
+    cuts = checkpointed(slices_of(docs.select(docs[id_column].alias("id"), docs[text_column].alias("text"))))
+    total = cuts.agg(F.coalesce(F.sum("words"), F.lit(0))).first()[0]
+
+    dealt = exploded(cuts, order).repartition("key")
+    # Sums, and the first and last slice that has the n-gram: both sides of the join read the same columns of the same exchange.
+    counts = dealt.groupBy("key").agg(F.sum("n").alias("total"), F.min("slice").alias("first"), F.max("slice").alias("last")).where("first < last")
+    answers = dealt.join(counts, "key").select("slice", "key", (F.col("total") - F.col("n")).alias("elsewhere"))
+
+    def score(own: pa.Table, answers: pa.Table) -> pa.Table:
+        held, ids = own.drop_columns(["ids"]).to_pylist()[0], own["ids"].combine_chunks()[0].values.cast(id_type)
+        h, counts = word_hashes(*_texts(held["size"], pa.py_buffer(held["data"]), held["rows"], pa.py_buffer(held["lengths"])))
+        of = np.repeat(np.arange(len(counts)), counts)
+        found = grams(h, of, order)
+        heads = [at for _, at in found]
+        distinct, all_at = np.unique(np.concatenate([k for k, _ in found]), return_inverse=True)
+        del found
+        many, totals = len(distinct), np.bincount(all_at, minlength=len(distinct))
+        totals[np.searchsorted(distinct, answers["key"].to_numpy().view(np.uint64))] += answers["elsewhere"].to_numpy()
+        # What other documents have of the n-gram that begins at each word; 0 where none does.
+        others, done = np.zeros((order, len(h)), np.int64), 0
+        for n, at in enumerate(heads):
+            mine = all_at[done : done + len(at)]
+            done += len(at)
+            _, pair, own = np.unique(of[at] * many + mine, return_inverse=True, return_counts=True)
+            others[n, at] = totals[mine] - own[pair]
+        rest = np.maximum(total - counts, 1)
+        value = np.where(others[0] > 0, micro_log(np.maximum(others[0], 1)), half) - micro_log(rest)[of]
+        for n in range(1, order):
+            # The n-gram that ends in a word begins n words before; words with fewer before them have no such order to give up.
+            top, under = others[n, : len(h) - n], others[n - 1, : len(h) - n]
+            seen = micro_log(np.maximum(top, 1)) - micro_log(np.maximum(under, 1))
+            has = of[n:] == of[: len(h) - n] if len(h) > n else np.zeros(0, bool)
+            if len(h) > n:
+                value[n:] = np.where(has, np.where(top > 0, seen, value[n:] + give_up), value[n:])
+        sums = np.bincount(of, value, len(counts)).astype(np.int64) if len(h) else np.zeros(len(counts), np.int64)
+        return pa.Table.from_arrays([ids, pa.array(counts), pa.array(sums)], ["id", "n_words", "micro"])
+
+    half, give_up = round(math.log(0.5) * MICRO), round(math.log(alpha) * MICRO)
+    whole = cuts.select("slice", "size", "rows", "data", "lengths", "ids")
+    out = whole.groupBy("slice").cogroup(answers.groupBy("slice")).applyInArrow(score, f"id {kind}, n_words long, micro long")
+    return out.select(
+        F.col("id").alias(id_column), "n_words", F.when(F.col("n_words") > 0, F.col("micro")).alias("micro_log"), F.when(F.col("n_words") > 0, F.col("micro") / F.col("n_words") / MICRO).alias("score")
+    )
 
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -264,16 +220,22 @@ def score_against(docs: DataFrame, counts: DataFrame, order: int = 2, alpha: flo
 
 
 def op8_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return self_scores(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "micro_log")
+    return left_out_scores(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "micro_log")
 
 
+#: Trigrams, bigrams, words: what other documents have of each n-gram and of what stands before its last word.
 ORACLE = rf"""
 WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{WORD}') AS w FROM documents),
-u AS (SELECT doc_id, unnest(w) AS a, unnest(range(1, len(w) + 1)) AS i, unnest(list_append(w[2:], NULL)) AS b, len(w) AS n FROM d WHERE len(w) > 0),
-one AS (SELECT a, count(*) AS c FROM u GROUP BY a),
-two AS (SELECT a, b, count(*) AS c FROM u WHERE b IS NOT NULL GROUP BY a, b),
-total AS (SELECT CAST(round(ln(count(*)) * {MICRO}) AS BIGINT) AS t FROM u),
-s AS (SELECT doc_id, sum(CAST(round(ln(two.c) * {MICRO}) AS BIGINT)) AS x FROM u JOIN two ON u.a = two.a AND u.b = two.b GROUP BY doc_id),
-q AS (SELECT doc_id, sum(CASE WHEN n = 1 THEN 1 WHEN i = 1 OR i = n THEN 0 ELSE -1 END * CAST(round(ln(one.c) * {MICRO}) AS BIGINT)) AS x FROM u JOIN one ON u.a = one.a GROUP BY doc_id)
-SELECT d.doc_id, len(w) AS n_words, CAST(CASE WHEN len(w) > 0 THEN coalesce(s.x, 0) + coalesce(q.x, 0) - t END AS BIGINT) AS micro_log
-FROM d CROSS JOIN total LEFT JOIN s ON d.doc_id = s.doc_id LEFT JOIN q ON d.doc_id = q.doc_id"""
+u AS (SELECT doc_id, w, len(w) AS n, unnest(range(1, len(w) + 1)) AS i FROM d WHERE len(w) > 0),
+x AS (SELECT doc_id, n, i, w[i] AS a, CASE WHEN i > 1 THEN w[i - 1] END AS b, CASE WHEN i > 2 THEN w[i - 2] END AS c FROM u),
+g AS (SELECT doc_id, i, n, a AS g1, b || ' ' || a AS g2, c || ' ' || b || ' ' || a AS g3, b AS c1, c || ' ' || b AS c2 FROM x),
+own AS (SELECT doc_id, g1 AS g, count(*) AS k FROM g GROUP BY ALL UNION ALL SELECT doc_id, g2, count(*) FROM g WHERE g2 IS NOT NULL GROUP BY ALL UNION ALL SELECT doc_id, g3, count(*) FROM g WHERE g3 IS NOT NULL GROUP BY ALL),
+whole AS (SELECT g, sum(k) AS k FROM own GROUP BY g),
+o AS (SELECT doc_id, g, whole.k - own.k AS k FROM own JOIN whole USING (g)),
+t AS (SELECT count(*) AS t FROM x),
+m AS (SELECT g.doc_id, i, n, o1.k AS k1, o2.k AS k2, o3.k AS k3, p1.k AS j1, p2.k AS j2 FROM g JOIN o o1 ON o1.doc_id = g.doc_id AND o1.g = g1 LEFT JOIN o o2 ON o2.doc_id = g.doc_id AND o2.g = g2 LEFT JOIN o o3 ON o3.doc_id = g.doc_id AND o3.g = g3
+LEFT JOIN o p1 ON p1.doc_id = g.doc_id AND p1.g = c1 LEFT JOIN o p2 ON p2.doc_id = g.doc_id AND p2.g = c2),
+s AS (SELECT doc_id, sum(CASE WHEN k3 > 0 THEN CAST(round(ln(k3) * {MICRO}) AS BIGINT) - CAST(round(ln(j2) * {MICRO}) AS BIGINT)
+WHEN k2 > 0 THEN CASE WHEN i > 2 THEN 1 ELSE 0 END * CAST(round(ln({ALPHA}) * {MICRO}) AS BIGINT) + CAST(round(ln(k2) * {MICRO}) AS BIGINT) - CAST(round(ln(j1) * {MICRO}) AS BIGINT)
+ELSE least(i - 1, 2) * CAST(round(ln({ALPHA}) * {MICRO}) AS BIGINT) + CAST(round(ln(CASE WHEN k1 > 0 THEN k1 ELSE 0.5 END) * {MICRO}) AS BIGINT) - CAST(round(ln(greatest(t - n, 1)) * {MICRO}) AS BIGINT) END) AS x FROM m, t GROUP BY doc_id)
+SELECT d.doc_id, len(w) AS n_words, CAST(s.x AS BIGINT) AS micro_log FROM d LEFT JOIN s ON d.doc_id = s.doc_id"""

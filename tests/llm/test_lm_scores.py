@@ -6,7 +6,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from tallyweave.llm import backoff_scores, words
+from tallyweave.llm import lm_scores, words
 from tests.llm.test_operators import ODD, none, odd, table, texts  # noqa: F401
 
 
@@ -37,19 +37,19 @@ def brute(rows, order):
 
 
 @pytest.mark.parametrize("order", [1, 2, 3, 4])
-@pytest.mark.parametrize("size", [backoff_scores.SLICE, 100])
+@pytest.mark.parametrize("size", [lm_scores.SLICE, 100])
 def test_left_out(spark, order, size, monkeypatch):
-    monkeypatch.setattr(backoff_scores, "SLICE", size)
+    monkeypatch.setattr(lm_scores, "SLICE", size)
     rows = texts(12, 50) + ODD
-    found = {r.doc_id: r.micro_log for r in backoff_scores.left_out_scores(table(spark, rows), order).collect()}
+    found = {r.doc_id: r.micro_log for r in lm_scores.left_out_scores(table(spark, rows), order).collect()}
     assert found == dict(enumerate(brute(rows, order)))
 
 
 def test_gibberish_scores_low(spark):
     rows = ["the cat sat on the mat", "the cat sat on the mat today", "qx zv wk jj pq ww"]
-    found = {r.doc_id: r.score for r in backoff_scores.left_out_scores(table(spark, rows)).collect()}
+    found = {r.doc_id: r.score for r in lm_scores.left_out_scores(table(spark, rows)).collect()}
     assert found[2] < -3 < -1 < found[0]
 
 
 def test_odd(spark, odd, none):  # noqa: F811
-    assert backoff_scores.left_out_scores(odd).count() == odd.count() and backoff_scores.left_out_scores(none).count() == 0
+    assert lm_scores.left_out_scores(odd).count() == odd.count() and lm_scores.left_out_scores(none).count() == 0

@@ -393,18 +393,6 @@ def brute_scores(rows):
     return [None if not d else micro(one[d[0]]) - micro(sum(one.values())) + sum(micro(two[p]) - micro(one[p[0]]) for p in zip(d, d[1:], strict=False)) for d in told]
 
 
-@pytest.mark.parametrize("frequent", [200_000, 10, 1])
-def test_self_scores(spark, frequent, monkeypatch):
-    monkeypatch.setattr(lm_scores, "FREQUENT", frequent)
-    rows = texts(12, 50) + ODD
-    found = {r.doc_id: r.micro_log for r in lm_scores.self_scores(table(spark, rows)).collect()}
-    assert found == dict(enumerate(brute_scores(rows)))
-
-
-def test_self_scores_odd(spark, odd, none):
-    assert lm_scores.self_scores(odd).count() == odd.count() and lm_scores.self_scores(none).count() == 0
-
-
 def test_backoff(spark):
     counts = lm_scores.ngram_counts(table(spark, ["a b a b c"]), 2)
     assert {(r.n, r.gram): r["count"] for r in counts.collect()} == {(1, "a"): 2, (1, "b"): 2, (1, "c"): 1, (2, "a b"): 2, (2, "b a"): 1, (2, "b c"): 1}
@@ -413,7 +401,8 @@ def test_backoff(spark):
     assert np.allclose([found[0], found[1], found[2]], [(log(2 / 5) + log(2 / 2)) / 2, (log(1 / 5) + log(0.4) + log(2 / 5)) / 2, log(0.5 / 5)]) and found[3] is None and found[4] is None
     # Scored by its own counts a corpus needs no backoff, and both ways agree.
     docs = table(spark, texts(13, 20, 30))
-    own = {r.doc_id: r.score for r in lm_scores.self_scores(docs).collect()}
+    plain = brute_scores([r.text for r in docs.orderBy("doc_id").collect()])
+    own = {k: None if x is None else x / 1e6 / len(words.of_text(t)) for k, (x, t) in enumerate(zip(plain, [r.text for r in docs.orderBy("doc_id").collect()], strict=True))}
     other = {r.doc_id: r.score for r in lm_scores.score_against(docs, lm_scores.ngram_counts(docs)).collect()}
     assert all((own[k] is None) == (other[k] is None) and (own[k] is None or abs(own[k] - other[k]) < 1e-5) for k in own)
 
