@@ -54,7 +54,8 @@ BASE = (
 #: Added by this operator.
 MORE = (
     Rule("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
-    Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
+    # From the beginning of a run, and with what a run holds taken at once: a run is read once, whatever it is made of.
+    Rule("jwt", r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}+\.eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+"),
     Rule("forge", r"(?:ghp|gho|ghu|ghs|ghr|glpat)[_-][A-Za-z0-9_-]{20,}"),
 )
 
@@ -149,12 +150,14 @@ def _oracle() -> str:
     either = "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in "(password|passwd|secret|token|api_?key)")
     parts = []
     for n, rule in enumerate(BASE + MORE):
-        p = rule.pattern.replace("(?i:(password|passwd|secret|token|api_?key))", either).replace("'", "''")
+        # SQL's expressions know no lookbehind and need no possessive quantifiers; what stands before is tested apart.
+        p = rule.pattern.replace("(?i:(password|passwd|secret|token|api_?key))", either).replace("(?<![A-Za-z0-9_-])", "").replace("}+", "}").replace("'", "''")
+        free = " AND NOT regexp_matches(substring(t, s, 1), '[A-Za-z0-9_-]')" if rule.pattern.startswith("(?<!") else ""
         parts.append(f"""
-  SELECT doc_id, {n} AS n, '{rule.kind}' AS kind, e - len(m) AS s, e FROM (
-    SELECT doc_id, m, sum(len(m) + len(gap)) OVER (PARTITION BY doc_id ORDER BY i) AS e FROM (
-      SELECT doc_id, unnest(ms) AS m, unnest(gaps[:len(ms)]) AS gap, unnest(range(len(ms))) AS i FROM (SELECT doc_id, regexp_extract_all(t, '{p}') AS ms, string_split_regex(t, '{p}') AS gaps FROM d)))
-  WHERE len(regexp_extract(m, '{p}', {rule.group})) >= {rule.least}""")
+  SELECT doc_id, n, kind, s, e FROM (SELECT doc_id, t, m, {n} AS n, '{rule.kind}' AS kind, CAST(e - len(m) AS BIGINT) AS s, e FROM (
+    SELECT doc_id, t, m, sum(len(m) + len(gap)) OVER (PARTITION BY doc_id ORDER BY i) AS e FROM (
+      SELECT doc_id, t, unnest(ms) AS m, unnest(gaps[:len(ms)]) AS gap, unnest(range(len(ms))) AS i FROM (SELECT doc_id, t, regexp_extract_all(t, '{p}') AS ms, string_split_regex(t, '{p}') AS gaps FROM d))))
+  WHERE len(regexp_extract(m, '{p}', {rule.group})) >= {rule.least}{free}""")
     told = "string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, n)"
     return f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), spans AS ({' UNION ALL '.join(parts)})
 SELECT d.doc_id, {', '.join(f"count(*) FILTER (kind = '{r.kind}') AS n_{r.kind}" for r in BASE)}, sha256(coalesce({told} FILTER (n < {len(BASE)}), '')) AS base_sha256, coalesce({told}, '') AS spans

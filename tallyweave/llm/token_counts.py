@@ -2,12 +2,14 @@
 
 Texts are cut into pre-tokens where they are read, and the lengths of the
 pre-tokens are summed there: no pre-token is ever shuffled. Two tiers give the
-lengths. The first is a broadcast table: every entry of the tokenizer's own
-vocabulary that ends a word is a frequent pre-token by construction of its
-merges; the driver encodes them once. Its size is that of the vocabulary,
-whatever the data. The second is a cache in each Python worker, which encodes
-a missed pre-token with the library, once, and is emptied when it holds
-CACHE_ENTRIES.
+lengths, for all texts alike. The first is a broadcast hash table, some flat
+arrays: every entry of the tokenizer's own vocabulary that ends a word is a
+frequent pre-token by construction of its merges; the driver encodes them once.
+Its size is that of the vocabulary, whatever the data. The second is a cache in
+each Python worker, which encodes a pre-token that the table misses with the
+library, once, and is emptied when it holds CACHE_BYTES. Texts in which the
+library's tables of letters may differ from the expression's are cut by the
+library, and their pieces go through the same two tiers.
 
 Null and empty texts have 0 bytes and 0 tokens. Texts of any length are
 counted whole. Repeated rows give repeated rows; further columns of the input
@@ -24,13 +26,15 @@ import public_tokenizers
 import pyarrow as pa
 import pyarrow.compute as pc
 import regex
+import xxhash
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import by_batch, column, each_text, table
 
 LIMIT = 2048
-CACHE_ENTRIES = 500_000
+#: Bytes that a worker's cache holds, about; a longer pre-token than LONGEST_KEPT is encoded each time.
+CACHE_BYTES, LONGEST_KEPT = 64 << 20, 256
 #: Fixed value: the pattern that word_bpe_49k.json splits by.
 PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 #: Latin letters without combining marks: normal form C leaves them alone. Texts with other characters are cut by the library, whose tables of letters may be newer or older.
@@ -53,41 +57,77 @@ def spelled(piece: str) -> str:
     return piece.encode("utf-8").decode("latin-1").translate(BYTE_CHARACTERS)
 
 
+class FrequentTable:
+    """Tier one: pre-tokens as models see them, with their lengths, in an open hash table of flat arrays."""
+
+    def __init__(self, lengths: dict[str, int]):
+        told = [x.encode() for x in lengths]
+        self.names, self.at = b"".join(told), np.cumsum([0, *map(len, told)]).astype(np.uint32)
+        self.lengths = np.array(list(lengths.values()), np.uint16)
+        self.slots = np.full(1 << max(4, (2 * len(told)).bit_length()), -1, np.int32)
+        for k, x in enumerate(told):
+            i = self._first(x)
+            while self.slots[i] >= 0:
+                i = (i + 1) & (len(self.slots) - 1)
+            self.slots[i] = k
+
+    def _first(self, name: bytes) -> int:
+        return xxhash.xxh3_64_intdigest(name) & (len(self.slots) - 1)
+
+    def get(self, piece: str) -> int | None:
+        name = piece.encode("utf-8", "surrogatepass")
+        i = self._first(name)
+        while (k := self.slots[i]) >= 0:
+            if self.names[self.at[k] : self.at[k + 1]] == name:
+                return int(self.lengths[k])
+            i = (i + 1) & (len(self.slots) - 1)
+        return None
+
+
 class Lengths(dict):
-    """Tokens of a pre-token: the broadcast table, then this worker's cache."""
+    """Tokens of a pre-token: this worker's cache, which asks the broadcast table and then the library.
+
+    Pre-tokens are keyed as the texts have them, or as models see them where told so.
+    """
 
-    def __init__(self, tokenizer, frequent: dict[str, int], most: int = CACHE_ENTRIES):
-        super().__init__(frequent)
-        self.model, self.frequent, self.most = tokenizer.model, frequent, most
+    def __init__(self, tokenizer, frequent: FrequentTable | None = None, as_seen: bool = False, most: int | None = None):
+        super().__init__()
+        self.model, self.frequent, self.as_seen, self.most, self.held = tokenizer.model, frequent, as_seen, most or CACHE_BYTES, 0
 
     def __missing__(self, piece: str) -> int:
-        if len(self) > len(self.frequent) + self.most:
-            self.clear()
-            self.update(self.frequent)
-        n = len(self.model.tokenize(piece if piece.isascii() and piece.isprintable() else spelled(piece)))
-        self[piece] = n
+        seen = piece if self.as_seen or piece.isascii() and piece.isprintable() else spelled(piece)
+        n = self.frequent.get(seen) if self.frequent else None
+        if n is None:
+            n = len(self.model.tokenize(seen))
+        if len(piece) <= LONGEST_KEPT:
+            # What an entry takes of a dictionary and its string's head, and four bytes a character at most.
+            self.held += 160 + (len(piece) if piece.isascii() else 4 * len(piece))
+            if self.held > self.most:
+                self.clear()
+                self.held = 0
+            self[piece] = n
         return n
 
 
-def frequent_lengths(tokenizer) -> dict[str, int]:
+def frequent_lengths(tokenizer) -> FrequentTable:
     """Tier one, from the vocabulary alone: pre-tokens that it holds as ends of words."""
-    lengths = Lengths(tokenizer, {})
+    lengths = Lengths(tokenizer, as_seen=True, most=1 << 40)
     for entry in tokenizer.get_vocab(with_added_tokens=False):
-        if entry.endswith("</w>") and (piece := entry[:-4]).isascii() and PIECES.fullmatch(piece):
-            lengths[piece]
-    return dict(lengths)
+        if entry.endswith("</w>") and len(entry) <= LONGEST_KEPT and (not entry.isascii() or PIECES.fullmatch(entry[:-4])):
+            lengths[entry[:-4]]
+    return FrequentTable(dict(lengths))
 
 
 class Counter:
     """Counts the tokens of texts as the library does with its defaults."""
 
-    def __init__(self, path: str, frequent: dict[str, int] | None = None):
+    def __init__(self, path: str, frequent: FrequentTable | None = None):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.lengths = Lengths(self.tokenizer, frequent or {})
+        self.lengths, self.seen = Lengths(self.tokenizer, frequent), Lengths(self.tokenizer, frequent, as_seen=True)
 
     def __call__(self, text: str | None) -> int:
         if not text:
@@ -97,7 +137,7 @@ class Counter:
         if text.isascii() or not PLAIN.search(text):
             return sum(map(self.lengths.__getitem__, PIECES.findall(text.lower())))
         text = self.tokenizer.normalizer.normalize_str(text)
-        return sum(len(self.lengths.model.tokenize(x)) for x, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(text))
+        return sum(self.seen[x] for x, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(text))
 
 
 @lru_cache(1)

@@ -6,7 +6,10 @@ import time
 
 from pyspark.sql import functions as F
 
-from tallyweave.llm import cutting, levenshtein, personal_data, toxicity
+import public_tokenizers
+from tokenizers import Tokenizer
+
+from tallyweave.llm import cutting, levenshtein, personal_data, secret_scan, token_counts, toxicity
 
 DOCS = "doc_id long, text string"
 
@@ -80,3 +83,29 @@ def test_kept_states_are_bounded(monkeypatch):
         assert lexicon.match(w) == other.match(w)
     assert lexicon.held < 3000
     assert levenshtein.Lexicon((), ("idiot", "worthless")).near("idiots") == [("idiot", 1)]
+
+
+def test_runs_are_read_once_by_every_rule():
+    began = time.time()
+    for unit in ("eyJ", "-----BEGIN A", "ghp_", "password  ", "AKIA", "a1"):
+        text = unit * (3_000_000 // len(unit))
+        for rule in secret_scan.BASE + secret_scan.MORE:
+            secret_scan.matches(rule, secret_scan.compiled(rule), text)
+    assert time.time() - began < 60
+    told = "x eyJhbGciOiJI.eyJzdWIiOiIx.SflKxwRJSM-y xeyJhbGciOiJI.eyJzdWIiOiIx.SflKxwRJSM"
+    assert [m for r in secret_scan.MORE for m in secret_scan.matches(r, secret_scan.compiled(r), told)] == [(2, 40)]
+
+
+def test_both_tiers_answer_all_texts(monkeypatch):
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    table = token_counts.frequent_lengths(tokenizer)
+    assert table.get("the") == 1 and table.get("no such word") is None and len(table.lengths) > 20_000
+    monkeypatch.setattr(token_counts, "CACHE_BYTES", 4000)
+    counter = token_counts.Counter(public_tokenizers.path("word_bpe_49k.json"), table)
+    asked = []
+    tokenize = tokenizer.model.tokenize
+    for lengths in (counter.lengths, counter.seen):
+        lengths.model = type("Model", (), {"tokenize": staticmethod(lambda x: asked.append(x) or tokenize(x))})
+    for text in ("the cat — the “cat” sat", "the cat sat", "日本 the cat 😀 zqxj zqxj", " ".join(f"w{k}" for k in range(300))):
+        assert counter(text) == len(tokenizer.encode(text, add_special_tokens=False).ids)
+    assert "the" not in asked and asked.count("zqxj") == 1 and counter.lengths.held <= 4000
