@@ -2,11 +2,14 @@
 
 Where the texts are read each becomes token ids, an end id is added, and the
 ids are cut into full windows and a rest. Only (id, start, length, checksum)
-goes on from there. Rests are dealt out by a hash of the document's id; each
-task packs its own, longest first: a segment tree indexed by remaining capacity
-finds the tightest open window that still holds a rest. Tasks hold their rests
-in blocks of BLOCK rows at most, so memory is bounded; each block leaves at
-most one window that best fit could not have filled further.
+goes on from there, numbered and written to the shared folder. Full windows are
+sequences as they are. Rests are dealt out by a hash of their number, so rows
+that repeat, ids and texts alike, go everywhere; each task packs its own, longest
+first: a segment tree indexed by remaining capacity finds the tightest open
+window that still holds a rest. Tasks hold their rests in blocks of BLOCK rows at
+most, in the order of the numbers, so memory is bounded and a task that is run
+again gives the same windows; each block leaves at most one window that best fit
+could not have filled further.
 
 Null and empty texts are the end id alone. Texts of any length are encoded
 whole. Repeated rows are packed each for itself. An empty table gives an empty
@@ -27,14 +30,18 @@ import pyarrow as pa
 import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from .common import column, each_text, table
+from .common import checkpointed, column, each_text, table
 from .token_counts import spelled
 
 WINDOW = 2048
 END_ID = 1
 BLOCK = 1_000_000
-CACHE_ENTRIES = 500_000
+#: Bytes that a worker's cache holds, about; a longer pre-token than LONGEST_KEPT is encoded each time.
+CACHE_BYTES, LONGEST_KEPT = 96 << 20, 256
+#: Numbers of sequences that are one full window start here.
+WHOLE = 1 << 62
 PIECES = regex.compile(public_tokenizers.PATTERN)
 #: Only Latin letters and marks on which all tables of letters and spaces agree.
 PLAIN = re.compile("[^\x00-\x1b\x20-\x7e\xa1-\xac\xae-ɏ]")
@@ -44,15 +51,20 @@ SPECIAL = "<|endoftext|>"
 class Ids(dict):
     """The ids of a pre-token, as little-endian 32-bit numbers; a cache emptied when full."""
 
-    def __init__(self, tokenizer, most: int = CACHE_ENTRIES):
+    def __init__(self, tokenizer, most: int = CACHE_BYTES):
         super().__init__()
-        self.model, self.most = tokenizer.model, most
+        self.model, self.most, self.held = tokenizer.model, most, 0
 
     def __missing__(self, piece: str) -> bytes:
-        if len(self) > self.most:
-            self.clear()
         ids = [x.id for x in self.model.tokenize(spelled(piece))]
-        self[piece] = out = struct.pack(f"<{len(ids)}I", *ids)
+        out = struct.pack(f"<{len(ids)}I", *ids)
+        if len(piece) <= LONGEST_KEPT:
+            # What an entry takes of a dictionary, its string's and its bytes' heads, and what these hold.
+            self.held += 190 + (len(piece) if piece.isascii() else 4 * len(piece)) + len(out)
+            if self.held > self.most:
+                self.clear()
+                self.held = 0
+            self[piece] = out
         return out
 
 
@@ -175,8 +187,7 @@ def packed(docs: DataFrame, path: str | None = None, window: int = WINDOW, end_i
 
         def done() -> Iterator[pa.RecordBatch]:
             nonlocal first, held, rows
-            # Shuffled rows come in any order; a fixed order makes a repeated task give the same windows.
-            t = pa.Table.from_batches(held).sort_by([("length", "descending"), ("id", "ascending"), ("start", "ascending")])
+            t = pa.Table.from_batches(held).sort_by([("length", "descending"), ("_row", "ascending")]).drop_columns(["_row"])
             at, offset = best_fit(t["length"].to_numpy(), window)
             t = t.append_column("sequence_id", pa.array(at + first)).append_column("offset", pa.array(offset))
             first, held, rows = first + int(at.max()) + 1, [], 0
@@ -192,7 +203,11 @@ def packed(docs: DataFrame, path: str | None = None, window: int = WINDOW, end_i
             yield from done()
 
     cut = pieces(docs, path or public_tokenizers.path("byte_bpe_50k.json"), window, end_id, id_column, text_column)
-    return cut.repartition("id").mapInArrow(pack, PIECE.format("id", kind) + ", sequence_id long, offset long").withColumnRenamed("id", id_column)
+    # Written, so that the numbers stay what they are.
+    cut = checkpointed(cut.withColumn("_row", F.monotonically_increasing_id()))
+    whole = cut.where(F.col("length") == window).withColumns({"sequence_id": F.lit(WHOLE) + F.col("_row"), "offset": F.lit(0).cast("long")}).drop("_row")
+    dealt = cut.where(F.col("length") < window).repartition(F.xxhash64("_row")).sortWithinPartitions("_row")
+    return whole.unionByName(dealt.mapInArrow(pack, PIECE.format("id", kind) + ", sequence_id long, offset long")).withColumnRenamed("id", id_column)
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
