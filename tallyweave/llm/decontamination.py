@@ -4,11 +4,15 @@ Words are longest runs of a-z, 0-9 and non-ASCII characters after A-Z became
 a-z. A phrase is ten consecutive words of an item, or all of a shorter item.
 A task cuts the texts it reads into shards of SHARD_BYTES, indexes each by
 fm_index.py, searches all phrases backward, locates their occurrences by
-sampled suffix positions and merges them into removal spans. Nothing is
-shuffled. Benchmarks are broadcast in blocks of BLOCK_WORDS words at most, one
-pass over the rows per block, so what a task holds does not grow with them.
+sampled suffix positions and merges them into removal spans. A benchmark of up
+to BLOCK_WORDS words is broadcast, and nothing is shuffled. A larger one is dealt
+into blocks of about so many; each takes a pass of its own, whose hits are written
+to the shared folder before the next block is broadcast, and hits meet their
+documents by row at the end. So neither the driver nor a task ever holds more
+than a block, and an item of more words is cut into overlapping parts.
 
-Words are compared by a 64-bit hash of their bytes and length.
+Words are found by a 64-bit hash of their bytes and length, and those of each
+occurrence are then compared with the phrase's own.
 
 Null texts and texts without words have no words and no hits; null and empty
 items have no phrases; an item that repeats, with its id, counts once. Repeated
@@ -28,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import words
-from .common import column, slices, table, text_bytes
+from .common import by_batch, checkpointed, column, slices, table, text_bytes
 from .fm_index import FMIndex
 
 WINDOW = 10
@@ -37,12 +41,17 @@ BLOCK_WORDS = 2_000_000
 
 
 class Phrases:
-    """Items' phrases over a vocabulary: sorted word hashes; rows of symbols from 1; item of each phrase."""
+    """Items' phrases over a vocabulary: sorted word hashes with the words; rows of symbols from 1; item of each phrase.
 
-    def __init__(self, items: list[tuple[str, np.ndarray]], window: int):
-        self.vocabulary = np.unique(np.concatenate([h for _, h in items]))
+    items: name, hashes of the words, the words.
+    """
+
+    def __init__(self, items: list[tuple[str, np.ndarray, list[bytes]]], window: int):
+        self.vocabulary, first = np.unique(np.concatenate([h for _, h, _ in items]), return_index=True)
+        every = [w for _, _, told in items for w in told]
+        self.words = [every[k] for k in first.tolist()]
         rows, lengths, self.names, of = [], [], [], []
-        for name, hashes in items:
+        for name, hashes, _ in items:
             symbols = np.searchsorted(self.vocabulary, hashes) + 1
             if len(symbols) < window:
                 cut = np.zeros((1, window), np.int64)
@@ -61,20 +70,36 @@ class Phrases:
         return np.where(self.vocabulary[at] == hashes, at + 1, 0)
 
 
-def blocks(benchmark: DataFrame, window: int, id_column: str, text_column: str) -> Iterator[Phrases]:
-    """The benchmark a block at a time; the driver holds one block and the partition it comes from."""
-    held, n = [], 0
-    for row in benchmark.select(F.col(id_column).cast("string").alias("i"), F.col(text_column).alias("t")).where("i IS NOT NULL AND t IS NOT NULL").dropDuplicates().toLocalIterator():
-        data = np.frombuffer(row["t"].encode(), np.uint8)
-        folded, begins, ends, _ = words.spans(data, np.array([0, len(data)]))
-        if len(begins):
-            held.append((row["i"], words.hashes(folded, begins, ends)))
-            n += len(begins)
-        if n >= BLOCK_WORDS:
-            yield Phrases(held, window)
-            held, n = [], 0
-    if held:
-        yield Phrases(held, window)
+def hashed_items(benchmark: DataFrame, window: int, id_column: str, text_column: str) -> DataFrame:
+    """(item, n, hashes, words) of each item, or of its overlapping parts; items without words and repeats are left out."""
+    block = BLOCK_WORDS
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        names, sizes, hashes, told = [], [], [], []
+        for name, text in zip(column(batch, "i").to_pylist(), column(batch, "t").to_pylist(), strict=True):
+            data = np.frombuffer(text.encode(), np.uint8)
+            folded, begins, ends, _ = words.spans(data, np.array([0, len(data)]))
+            h = words.hashes(folded, begins, ends)
+            for first in range(0, max(1, len(h) - window + 1) if len(h) else 0, block):
+                last = first + block + window - 1
+                own = folded[begins[first] : ends[min(last, len(h)) - 1]]
+                names.append(name)
+                hashes.append(h[first:last].tobytes())
+                sizes.append(len(h[first:last]))
+                told.append(own.tobytes())
+        return pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(sizes, pa.int64()), pa.array(hashes, pa.binary()), pa.array(told, pa.binary())], ["item", "n", "hashes", "words"])
+
+    rows = benchmark.select(F.col(id_column).cast("string").alias("i"), F.col(text_column).alias("t")).where("i IS NOT NULL AND t IS NOT NULL").dropDuplicates()
+    return by_batch(rows, "item string, n long, hashes binary, words binary", run)
+
+
+def phrases_of(items: DataFrame, window: int) -> Phrases | None:
+    """A block's phrases, on the driver."""
+    t = items.toArrow()
+    if not t.num_rows:
+        return None
+    told = zip(t["item"].to_pylist(), t["hashes"].to_pylist(), t["words"].to_pylist(), strict=True)
+    return Phrases([(name, np.frombuffer(h, np.uint64), [x for x in raw.split(b"\0") if x]) for name, h, raw in told], window)
 
 
 class Hits:
@@ -96,20 +121,17 @@ class Hits:
         n, counts = len(texts), np.diff(self.heads)
         of = np.repeat(np.arange(n), counts)
         # In the indexed text a 0 follows each document: word w is at w + its document's number.
+        places = np.arange(base) + of
         line = np.zeros(base + n, np.int64)
-        line[np.arange(base) + of] = np.concatenate(parts)
-        index = FMIndex(line, len(phrases.vocabulary))
-        low, high = index.search(phrases.rows, phrases.lengths)
-        found = high - low
-        phrase = np.repeat(np.arange(len(found)), found)
-        rows = np.arange(len(phrase)) - np.repeat(np.cumsum(found) - found, found) + low[phrase]
-        at = index.locate(rows)
-        stop = at + phrases.lengths[phrase]
-        marks = np.bincount(at, minlength=len(line) + 1) - np.bincount(stop, minlength=len(line) + 1)
-        hit = np.cumsum(marks)[np.arange(base) + of] > 0
+        line[places] = np.concatenate(parts)
+        while True:
+            at, phrase, hit = self._occurrences(line, places, phrases)
+            wrong = [w for w in np.flatnonzero(hit).tolist() if words.FOLD[self.data[self.begins[w] : self.ends[w]]].tobytes() != phrases.words[line[places[w]] - 1]]
+            if not wrong:
+                break
+            # Another word of the same hash, which is no word of a phrase.
+            line[places[wrong]] = 0
         self.counts = counts
-        sums = np.concatenate([[0], np.cumsum(hit)])
-        self.hits = sums[self.heads[1:]] - sums[self.heads[:-1]]
         text = np.searchsorted(self.heads + np.arange(n + 1), at, "right") - 1
         pairs = np.unique(text * len(phrases.names) + phrases.of[phrase])
         self.items: list[list[str]] = [[] for _ in range(n)]
@@ -124,15 +146,28 @@ class Hits:
                 i = int(of[a])
                 self.spans[i].append([int(self.begins[a] - offsets[i]), int(self.ends[b] - offsets[i])])
 
+    @staticmethod
+    def _occurrences(line: np.ndarray, places: np.ndarray, phrases: Phrases) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Where phrases occur in the line, which, and the words inside an occurrence."""
+        index = FMIndex(line, len(phrases.vocabulary))
+        low, high = index.search(phrases.rows, phrases.lengths)
+        found = high - low
+        phrase = np.repeat(np.arange(len(found)), found)
+        rows = np.arange(len(phrase)) - np.repeat(np.cumsum(found) - found, found) + low[phrase]
+        at = index.locate(rows)
+        stop = at + phrases.lengths[phrase]
+        marks = np.bincount(at, minlength=len(line) + 1) - np.bincount(stop, minlength=len(line) + 1)
+        return at, phrase, np.cumsum(marks)[places] > 0
+
 
 _FOUND = "n_words long, spans array<array<long>>, items array<string>"
 
 
-def found(docs: DataFrame, phrases: Phrases, text_column: str) -> DataFrame:
-    """docs with n_words, spans (byte ranges of hit words) and items, joined to those of earlier blocks."""
-    held = docs.sparkSession.sparkContext.broadcast(phrases)
-    more = [x for x in docs.columns if x not in ("n_words", "spans", "items")]
-    again = len(more) < len(docs.columns)
+def found(docs: DataFrame, phrases: Phrases | None, text_column: str) -> DataFrame:
+    """docs with n_words, spans (byte ranges of hit words) and items."""
+    # A word that no text has stands for no phrases.
+    held = docs.sparkSession.sparkContext.broadcast(phrases or Phrases([("", np.zeros(1, np.uint64), [b""])], 1))
+    names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -140,14 +175,10 @@ def found(docs: DataFrame, phrases: Phrases, text_column: str) -> DataFrame:
             for first, last in slices(texts, SHARD_BYTES):
                 part = batch.slice(first, last - first)
                 hits = Hits(texts.slice(first, last - first), held.value)
-                spans, items = hits.spans, hits.items
-                if again:
-                    spans = [merged(a + b) for a, b in zip(spans, column(part, "spans").to_pylist(), strict=True)]
-                    items = [list({*a, *b}) for a, b in zip(items, column(part, "items").to_pylist(), strict=True)]
-                out = [column(part, x) for x in more] + [pa.array(hits.counts, pa.int64()), pa.array(spans, pa.list_(pa.list_(pa.int64()))), pa.array(items, pa.list_(pa.string()))]
-                yield pa.RecordBatch.from_arrays(out, [*more, "n_words", "spans", "items"])
-
-    fields = ", ".join(f"`{x}` {docs.schema[x].dataType.simpleString()}" for x in more)
+                out = [column(part, x) for x in names] + [pa.array(hits.counts, pa.int64()), pa.array(hits.spans, pa.list_(pa.list_(pa.int64()))), pa.array(hits.items, pa.list_(pa.string()))]
+                yield pa.RecordBatch.from_arrays(out, [*names, "n_words", "spans", "items"])
+
+    fields = ", ".join(f"`{x}` {docs.schema[x].dataType.simpleString()}" for x in names)
     return docs.mapInArrow(run, f"{fields}, {_FOUND}")
 
 
@@ -164,12 +195,29 @@ def merged(spans: list[list[int]]) -> list[list[int]]:
 
 def removal_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, text_column: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """docs with n_words, spans and items (sorted); docs must have no columns of these names."""
-    out, any_block = docs, False
-    for phrases in blocks(benchmark, window, item_id, item_text):
-        out, any_block = found(out, phrases, text_column), True
-    if not any_block:
-        out = found(out, Phrases([("", np.zeros(1, np.uint64))], window), text_column)  # a word that no text has
-    return out.withColumn("items", F.array_sort("items"))
+    items = checkpointed(hashed_items(benchmark, window, item_id, item_text))
+    total = items.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    if total <= BLOCK_WORDS:
+        return found(docs, phrases_of(items, window), text_column).withColumn("items", F.array_sort("items"))
+    # Many blocks: rows are numbered and written, so that a row has the same number in each pass.
+    rows = checkpointed(docs.withColumn("_row", F.monotonically_increasing_id()))
+    count = -(-total // BLOCK_WORDS)
+    parts = []
+    for k in range(count):
+        phrases = phrases_of(items.where(F.pmod(F.xxhash64("item", "hashes"), F.lit(count)) == k), window)
+        if phrases is not None:
+            told = found(rows.select("_row", F.col(text_column).alias("text")), phrases, "text").drop("text")
+            parts.append(checkpointed(told if not parts else told.where(F.size("spans") > 0)))
+
+    def joined(batch: pa.RecordBatch) -> pa.RecordBatch:
+        spans = [merged(x) for x in column(batch, "spans").to_pylist()]
+        return pa.RecordBatch.from_arrays([column(batch, "_row"), column(batch, "n_words"), pa.array(spans, pa.list_(pa.list_(pa.int64()))), column(batch, "items")], ["_row", "n_words", "spans", "items"])
+
+    every = parts[0]
+    for p in parts[1:]:
+        every = every.unionByName(p)
+    met = every.groupBy("_row").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    return rows.join(by_batch(met, f"_row long, {_FOUND}", joined), "_row").drop("_row")
 
 
 def words_in(spans: str, text: str) -> F.Column:
@@ -185,12 +233,10 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
     body = mine[docs.columns.index(text_column)]
     out = removal_spans(docs.toDF(*mine), benchmark, window, body)
     raw = F.col(body).cast("binary")
-    cut = F.aggregate(
-        "spans",
-        F.struct(F.lit(0).cast("long").alias("at"), F.lit("").cast("binary").alias("kept")),
-        lambda a, x: F.struct(x[1].alias("at"), F.concat(a["kept"], F.substring(raw, (a["at"] + 1).cast("int"), (x[0] - a["at"]).cast("int"))).alias("kept")),
-        lambda a: F.concat(a["kept"], F.substring(raw, (a["at"] + 1).cast("int"), F.octet_length(body))).cast("string"),
-    )
+    # What stands between the spans, joined once; spans begin and end with words, so pieces are whole characters.
+    upto = lambda k: F.when(k == 0, F.lit(0).cast("long")).otherwise(F.get(F.get(F.col("spans"), k - 1), F.lit(1)))
+    kept = F.transform("spans", lambda x, k: F.substring(raw, (upto(k) + 1).cast("int"), (x[0] - upto(k)).cast("int")).cast("string"))
+    cut = F.concat(F.array_join(kept, ""), F.substring(raw, (F.element_at(F.element_at("spans", -1), 2) + 1).cast("int"), F.octet_length(body)).cast("string"))
     out = out.withColumn(body, F.when(F.size("spans") > 0, cut).otherwise(F.col(body)))
     return out.select(*(F.col(a).alias(b) for a, b in zip(mine, docs.columns, strict=True)))
 
