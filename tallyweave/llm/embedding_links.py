@@ -4,10 +4,10 @@ The filters are unit vectors in random product codes: a direction is one
 codeword for each block of coordinates. A vector passes the filters (caps) that
 it exceeds a threshold for; list decoding finds them from the blocks' inner
 products without visiting the directions that cannot reach it. Vectors of a
-high cosine share filters with near certainty, others hardly ever. The size of
-the code follows from the number of vectors, so that a filter is passed by a
-handful of unrelated ones whatever the input; a vector that passes few filters
-takes its BEST best ones.
+high cosine share filters with near certainty, others hardly ever. The number of
+codewords grows with the fourth root of the number of vectors, without a limit,
+so that a filter is passed by a handful of unrelated ones whatever the input; a
+vector that passes few filters takes its BEST best ones.
 
 Equal vectors are one vector with a weight. Vectors meet by filter; a filter
 with many is split into chunks that meet two at a time, so no task holds more
@@ -42,19 +42,25 @@ CHUNK = 1000
 
 @lru_cache(8)
 def code(dimension: int, rows: int) -> tuple[tuple[np.ndarray, ...], float]:
-    """Codewords of each block, and the threshold that random vectors exceed for PASSED filters on average."""
+    """Codewords of each block, and the threshold that random vectors exceed for PASSED filters on average.
+
+    The threshold is found by counting, never by listing all filters: there are as many as vectors, about.
+    """
     draw = np.random.default_rng(dimension)
     blocks = min(BLOCKS, dimension)
-    words = int(min(64, max(4, math.ceil((PASSED * max(rows, TOGETHER) / TOGETHER) ** (1 / blocks)))))
+    words = max(4, math.ceil((PASSED * max(rows, TOGETHER) / TOGETHER) ** (1 / blocks)))
     books = []
     for part in np.array_split(np.arange(dimension), blocks):
         w = draw.standard_normal((words, len(part))).astype(np.float32)
         books.append(w / np.linalg.norm(w, axis=1, keepdims=True) / np.float32(math.sqrt(blocks)))
-    x = draw.standard_normal((max(16, min(1000, 200_000_000 // words**blocks)), dimension))
-    x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
-    scores = np.concatenate([np.add.outer(*halves(v, books)).ravel() for v in x[:64]])
-    k = max(1, int(len(scores) * PASSED / words**blocks))
-    return tuple(books), float(np.partition(scores, len(scores) - k)[len(scores) - k])
+    x = draw.standard_normal((64, dimension))
+    sums = [(np.sort(a), np.sort(b)) for a, b in (halves(v, books) for v in (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32))]
+    low, high = -1.0, 1.0
+    for _ in range(24):
+        middle = (low + high) / 2
+        passed = sum(int((len(b) - np.searchsorted(b, np.float32(middle) - a)).sum()) for a, b in sums) / len(sums)
+        low, high = (middle, high) if passed > PASSED else (low, middle)
+    return tuple(books), low
 
 
 def halves(v: np.ndarray, books) -> tuple[np.ndarray, np.ndarray]:
@@ -90,6 +96,7 @@ def decode(v: np.ndarray, books, threshold: float) -> np.ndarray:
 
 def unit(vectors: pa.Array, width: int) -> np.ndarray:
     x = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, width)
+    x = x / np.abs(x).max(axis=1, keepdims=True)  # squares of very large or small numbers leave the range
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
@@ -104,9 +111,9 @@ def linked(vectors: DataFrame, cosine: float = COSINE, id_column: str = "vec_id"
         for batch in batches:
             found = []
             for x in column(batch, "v").to_pylist():
-                x = np.asarray(x, np.float64)
+                x = unit(pa.array([x], pa.list_(pa.float64())), len(x))[0]
                 books, threshold = code(len(x), rows)
-                found.append(decode((x / np.linalg.norm(x)).astype(np.float32), books, threshold))
+                found.append(decode(x.astype(np.float32), books, threshold))
             told = pa.array(found, pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([column(batch, "rep"), column(batch, "n"), column(batch, "v"), told], ["rep", "n", "v", "filters"])
 
