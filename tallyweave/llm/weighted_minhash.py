@@ -3,11 +3,14 @@
 A document is its weighted set of shingles of five consecutive words (fewer
 words: one shingle of all). A weight is the number of times that the shingle
 occurs in the document times its inverse document frequency over all documents.
-Document frequencies are kept in a sketch of fixed size (two rows of counters,
-the lesser counts): frequencies under FLOOR of all documents count as FLOOR, so
-only frequent shingles need to be told apart, and these the sketch tells.
-
-1. One pass fills the sketch; the driver gets its counters, a fixed number.
+Document frequencies under FLOOR of all documents count as FLOOR, at every size,
+so the frequent shingles alone need exact counts.
+
+1. One pass fills a sketch of fixed size (two rows of counters, the lesser
+   counts), whose counters the driver gets; no frequency is above its counter. A
+   second pass counts the shingles whose counters are above the floor, exactly;
+   the driver gets those that are frequent: on average shingles a document over
+   FLOOR at most.
 2. One pass signs each text: improved consistent weighted sampling draws SAMPLES
    samples, ROWS of them make a band. Equal texts are one class with one
    representative from here on, so copies cost a row each.
@@ -36,13 +39,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import words
-from .common import checkpointed, column, slices, table, text_bytes
+from .common import by_batch, checkpointed, column, slices, table, text_bytes
 from .groups import by_group, components
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 10, 3
 SAMPLES = BANDS * ROWS
-FLOOR = 0.1
+FLOOR = 0.03
 #: Counters of a row of the sketch, and in how many parts they travel.
 BUCKETS, PARTS = 1 << 19, 32
 CHUNK = 1000
@@ -79,25 +82,23 @@ def buckets(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass(frozen=True)
 class Frequencies:
-    """Document frequencies above the floor: counters in both rows, ascending, with their counts."""
+    """Exact document frequencies above the floor: shingles, ascending, with their counts."""
 
     documents: int
     floor: float
-    heavy: tuple[tuple[np.ndarray, np.ndarray], ...]
+    names: np.ndarray
+    counts: np.ndarray
 
     def idf(self, ids: np.ndarray) -> np.ndarray:
-        df = np.full(len(ids), np.inf)
-        for where, (names, counts) in zip(buckets(ids), self.heavy, strict=True):
-            if not len(names):
-                df[:] = self.floor
-                break
-            at = np.minimum(np.searchsorted(names, where), len(names) - 1)
-            df = np.minimum(df, np.where(names[at] == where, counts[at], self.floor))
-        return 1 + np.log(max(self.documents, 1) / np.maximum(df, self.floor))
+        df = np.full(len(ids), self.floor)
+        if len(self.names):
+            at = np.minimum(np.searchsorted(self.names, ids), len(self.names) - 1)
+            df = np.where(self.names[at] == ids, self.counts[at], self.floor)
+        return 1 + np.log(max(self.documents, 1) / df)
 
 
 def frequencies(texts: DataFrame) -> Frequencies:
-    """Of texts (id, text), by the sketch."""
+    """Of texts (id, text): a sketch proposes, a second pass counts."""
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, n = np.zeros((2, BUCKETS), np.int64), 0
@@ -126,12 +127,23 @@ def frequencies(texts: DataFrame) -> Frequencies:
     schema = "part long, salt long, documents long, counts binary"
     sums = by_group(by_group(texts.mapInArrow(fill, schema), ["part", "salt"], schema, add), ["part"], schema, add).toPandas().sort_values("part")
     if not len(sums):
-        return Frequencies(0, 1.0, ((np.zeros(0), np.zeros(0)),) * 2)
+        return Frequencies(0, 1.0, np.zeros(0, np.uint32), np.zeros(0))
     rows = np.concatenate([np.frombuffer(x, "<i8") for x in sums.counts]).reshape(2, -1)
     documents = int(sums.documents.iloc[0])
-    # Where texts are very long, counters are high by chance; the floor stays clear of that.
-    floor = max(1.0, FLOOR * documents, 4 * rows[0].mean())
-    return Frequencies(documents, floor, tuple((np.flatnonzero(r > floor), r[r > floor]) for r in rows))
+    floor = max(1.0, FLOOR * documents)
+    held = texts.sparkSession.sparkContext.broadcast(rows > floor)
+
+    def count(batch: pa.RecordBatch) -> pa.RecordBatch:
+        own = []
+        for first, last in slices(column(batch, "text")):
+            ids, _, _ = shingles(*text_bytes(column(batch, "text").slice(first, last - first)))
+            a, b = buckets(ids)
+            own.append(ids[held.value[0][a] & held.value[1][b]])
+        names, n = np.unique(np.concatenate([np.zeros(0, np.uint32), *own]), return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(names.astype(np.int64)), pa.array(n)], ["name", "n"])
+
+    frequent = by_batch(texts.select("text"), "name long, n long", count).groupBy("name").agg(F.sum("n").alias("n")).where(F.col("n") > floor).orderBy("name").toPandas()
+    return Frequencies(documents, floor, frequent["name"].to_numpy().astype(np.uint32), frequent["n"].to_numpy(np.float64))
 
 
 @lru_cache(1)
