@@ -7,10 +7,12 @@ at punctuation and chunks carry no vectors.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Iterator
+from itertools import groupby
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -44,17 +46,20 @@ def packed(lengths: list[int], most: int) -> list[Span]:
     return [*out, (first, len(lengths))] if lengths else out
 
 
-def surrounding(children: list[Span], k: int, most: int) -> Span:
-    """What of its neighbourhood fits around a child, grown by one to the left and one to the right in turn."""
-    left = right = k
-    grown = True
-    while grown:
-        grown = False
-        if left and children[right][1] - children[left - 1][0] <= most:
-            left, grown = left - 1, True
-        if right + 1 < len(children) and children[right + 1][1] - children[left][0] <= most:
-            right, grown = right + 1, True
-    return children[left][0], children[right][1]
+def parents(children: list[Span], most: int) -> list[Span]:
+    """What of its neighbourhood fits around each child: as many on its left as on its right, then on the left or else on the right what still fits.
+
+    A wider neighbourhood is never shorter, so each of the three widths is found by bisection.
+    """
+    starts, ends, out = [a for a, _ in children], [b for _, b in children], []
+    for k in range(len(children)):
+        sides = range(1, min(k, len(children) - 1 - k) + 1)
+        even = bisect_right(sides, most, key=lambda n, k=k: ends[k + n] - starts[k - n])
+        left, right = min(k - even, bisect_left(starts, ends[k + even] - most)), k + even
+        if left == k - even:
+            right = max(right, bisect_right(ends, starts[left] + most) - 1)
+        out.append((starts[left], ends[right]))
+    return out
 
 
 def chunked_text(text: str, split: Callable[[str], list[Span]] = sentences, child: int = CHILD, parent: int = PARENT, window: int = ENCODED) -> list[tuple[Span, Span, int]]:
@@ -63,7 +68,11 @@ def chunked_text(text: str, split: Callable[[str], list[Span]] = sentences, chil
     children = [(spans[a][0], spans[b - 1][1]) for a, b in packed([e - s for s, e in spans], child)]
     windows = packed([e - s for s, e in children], window)
     of = [w for w, (a, b) in enumerate(windows) for _ in range(a, b)]
-    return [(c, surrounding(children, k, parent), of[k]) for k, c in enumerate(children)]
+    return list(zip(children, parents(children, parent), of, strict=True))
+
+
+#: Characters of chunks that leave a task together.
+TOGETHER = 4 << 20
 
 
 def late_chunks(docs: DataFrame, key: str = "document_sha", text: str = "text", split: Callable[[str], list[Span]] = sentences, encode: Callable[[str, list[Span]], np.ndarray] | None = None) -> DataFrame:
@@ -72,26 +81,39 @@ def late_chunks(docs: DataFrame, key: str = "document_sha", text: str = "text",
     encode(window text, spans in it) gives a vector for each child of a window, so that a child is encoded with what stands around it.
     """
     kind = docs.schema[key].dataType.simpleString()
-
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            for k, t in zip(part[key], part[text], strict=True):
-                rows = chunked_text(t or "", split)
-                vectors: list = [None] * len(rows)
-                if encode:
-                    for w in sorted({w for *_, w in rows}):
-                        mine = [i for i, r in enumerate(rows) if r[2] == w]
-                        start, stop = rows[mine[0]][0][0], rows[mine[-1]][0][1]
-                        for i, v in zip(mine, encode(t[start:stop], [(rows[i][0][0] - start, rows[i][0][1] - start) for i in mine]), strict=True):
-                            vectors[i] = [float(x) for x in v]
-                if rows:
-                    yield pd.DataFrame({
-                        key: k, "chunk_index": range(len(rows)), "start": [r[0][0] for r in rows], "stop": [r[0][1] for r in rows], "text_content": [t[r[0][0] : r[0][1]] for r in rows],
-                        "parent_text_content": [t[r[1][0] : r[1][1]].strip() for r in rows], "window": [r[2] for r in rows], "embedding": vectors,
-                    })
+    names = [key, "chunk_index", "start", "stop", "text_content", "parent_text_content", "window", "embedding"]
+    types = [pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.int32(), pa.list_(pa.float32())]
+
+    def vectors(t: str, rows: list[tuple[Span, Span, int]]) -> list:
+        out: list = []
+        for _, group in groupby(rows, key=lambda r: r[2]):
+            own = [r[0] for r in group]
+            start, stop = own[0][0], own[-1][1]
+            out += [[float(x) for x in v] for v in encode(t[start:stop], [(a - start, b - start) for a, b in own])]
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, texts = batch.column(0), batch.column(1)
+            held, of, size = [], [], 0
+            for k in range(batch.num_rows):
+                t = texts[k].as_py() or ""
+                rows = chunked_text(t, split)
+                told = vectors(t, rows) if encode else [None] * len(rows)
+                held += [(i, c[0], c[1], t[c[0] : c[1]], t[p[0] : p[1]].strip(), w, v) for i, ((c, p, w), v) in enumerate(zip(rows, told, strict=True))]
+                of += [k] * len(rows)
+                size += sum(p[1] - p[0] + c[1] - c[0] for c, p, _ in rows)
+                if size > TOGETHER and k < batch.num_rows - 1:
+                    yield told_batch(keys, held, of)
+                    held, of, size = [], [], 0
+            if held:
+                yield told_batch(keys, held, of)
+
+    def told_batch(keys: pa.Array, held: list[tuple], of: list[int]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([keys.take(pa.array(of)), *(pa.array(x, y) for x, y in zip(zip(*held, strict=True), types, strict=True))], names)
 
     schema = f"{key} {kind}, chunk_index int, start int, stop int, text_content string, parent_text_content string, window int, embedding array<float>"
-    return docs.select(key, text).mapInPandas(run, schema)
+    return docs.select(key, text).mapInArrow(run, schema)
 
 
 def page_batches(pages: DataFrame, key: str = "document_sha", joint: str = "\n\n", together: int = PAGES_TOGETHER) -> DataFrame:

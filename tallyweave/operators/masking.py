@@ -7,6 +7,8 @@ of placeholders: a pandas UDF, a text at a time. Model passes are injected.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
+from collections import Counter
 from collections.abc import Callable, Iterable
 
 import pandas as pd
@@ -39,45 +41,72 @@ vs vostro vostra vostri vostre
 """.split())
 
 _COMPILED = tuple((kind, re.compile(p)) for kind, p in PATTERNS)
-_DATE, _TAKEN = re.compile(DATE_OR_TIME), re.compile(PLACEHOLDER)
+_DATE, _NO_WORD = re.compile(DATE_OR_TIME), re.compile(r"[^\w\s]|_")
 
 
 def found(text: str) -> list[Span]:
     return [(m.start(), m.end(), kind) for kind, p in _COMPILED for m in p.finditer(text)]
 
 
+class Clear:
+    """Spans of a text that keep clear of each other; each is looked up among those there by bisection."""
+
+    def __init__(self):
+        self.starts: list[int] = []
+        self.spans: list[Span] = []
+
+    def offer(self, spans: Iterable[Span]) -> None:
+        """Take in, from the left and at one place the longest first, what touches none of those there."""
+        for start, end, kind in sorted(spans, key=lambda s: (s[0], -s[1])):
+            k = bisect_left(self.starts, end)
+            if not k or self.spans[k - 1][1] <= start:
+                self.starts.insert(k, start)
+                self.spans.insert(k, (start, end, kind))
+
+
 def chosen(spans: Iterable[Span]) -> list[Span]:
-    """Spans that do not overlap: identity numbers first, then from the left, the longest first."""
-    out: list[Span] = []
-    for s in sorted(spans, key=lambda s: (s[2] not in FIRST, s[0], -s[1])):
-        if all(s[1] <= o[0] or s[0] >= o[1] for o in out):
-            out.append(s)
-    return sorted(out)
+    """Spans that do not overlap: identity numbers before all others, each lot from the left."""
+    spans, clear = list(spans), Clear()
+    for early in (True, False):
+        clear.offer(s for s in spans if (s[2] in FIRST) == early)
+    return clear.spans
 
 
 def harmless(value: str) -> bool:
     """A date or time, or nothing but words that statements use."""
-    if _DATE.match(value.strip()):
-        return True
-    words = "".join(c for c in value.lower() if c.isalnum() or c.isspace()).split()
-    return bool(words) and all(w in PLAIN_WORDS for w in words)
+    words = set(_NO_WORD.sub("", value.lower()).split())
+    return bool(_DATE.match(value.strip())) or bool(words) and words <= PLAIN_WORDS
+
+
+class Placeholders:
+    """Names for values: a value has one of a kind and source, which are numbered on from those already known."""
+
+    def __init__(self, source: str, known: dict[str, str] | None = None):
+        self.source, self.values = source.upper(), dict(known or {})
+        self.names: dict[tuple[str, str], str] = {}
+        self.numbers: Counter[str] = Counter()
+        for name, value in self.values.items():
+            prefix = name.rpartition("_")[0]
+            self.names.setdefault((prefix, value), name)
+            self.numbers[prefix] += 1
+
+    def of(self, kind: str, value: str) -> str:
+        prefix = f"[ANONYMIZED_{self.source}_{kind}"
+        if (prefix, value) not in self.names:
+            self.numbers[prefix] += 1
+            name = self.names[prefix, value] = f"{prefix}_{self.numbers[prefix]}]"
+            self.values[name] = value
+        return self.names[prefix, value]
 
 
 def masked_text(text: str, source: str = "PRESIDIO", finder: Callable[[str], list[Span]] = found, known: dict[str, str] | None = None) -> tuple[str, dict[str, str]]:
-    """The text with placeholders, and what each stands for. Numbers run from the right; a value has one placeholder of a kind."""
-    names, counts = dict(known or {}), {}
-    for start, end, kind in reversed(chosen(finder(text))):
-        value = text[start:end]
-        if harmless(value):
-            continue
-        prefix = f"[ANONYMIZED_{source.upper()}_{kind}_"
-        name = next((k for k, v in names.items() if v == value and k.startswith(prefix)), None)
-        if name is None:
-            counts[kind] = counts.get(kind, sum(k.startswith(prefix) for k in names)) + 1
-            name = f"{prefix}{counts[kind]}]"
-            names[name] = value
-        text = text[:start] + name + text[end:]
-    return text, names
+    """The text with placeholders, and what each stands for. Numbers run from the right; the pieces are joined once."""
+    placeholders = Placeholders(source, known)
+    hidden = [s for s in chosen(finder(text)) if not harmless(text[s[0] : s[1]])]
+    names = [placeholders.of(kind, text[a:b]) for a, b, kind in hidden[::-1]][::-1]
+    borders = [0, *(x for s in hidden for x in s[:2]), len(text)]
+    between = [text[a:b] for a, b in zip(borders[::2], borders[1::2], strict=True)]
+    return "".join(x for pair in zip(between, [*names, ""], strict=True) for x in pair), placeholders.values
 
 
 def masked(docs: DataFrame, text_column: str = "text", passes: tuple[tuple[str, Callable[[str], list[Span]]], ...] = (("PRESIDIO", found),)) -> DataFrame:
