@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .materialize import stored
+from .materialize import stored, united
 
 Q = "decimal(28,6)"
 #: Units of quantity to a block.
@@ -52,7 +52,7 @@ def overlaps(left: DataFrame, right: DataFrame, keys: list[str], block: int = BL
         return pieces.select(*keys, "_block", F.greatest("lo", start).cast(Q).alias("at"), F.struct(F.least("hi", stop).cast(Q).alias("stop"), F.col(name).alias("row")).alias(name))
 
     a, b = cut(left, "l"), cut(right, "r")
-    points = a.unionByName(b, allowMissingColumns=True)
+    points = a.transform(united, b, allowMissingColumns=True)
     line = Window.partitionBy(*keys, "_block").orderBy("at")
     upto = line.rangeBetween(Window.unboundedPreceding, 0)
     marked = points.select(*keys, "at", F.last("l", ignorenulls=True).over(upto).alias("l"), F.last("r", ignorenulls=True).over(upto).alias("r"), F.lead("at").over(line).alias("_next"))
@@ -89,7 +89,7 @@ def accepted(events: DataFrame, keys: list[str], at: str, order: list[str]) -> t
             yield rows.filter(pa.array(keep, pa.bool_()))
 
     kept = running(stored(hard.mapInArrow(fold, hard.schema).drop("_units")), keys, at, order, {"_b": "bought", "_s": "sold"})
-    return stored(line.join(short, keys, "left_anti").unionByName(kept).drop("_b", "_s")), line.drop("_b", "_s")
+    return stored(line.join(short, keys, "left_anti").transform(united, kept).drop("_b", "_s")), line.drop("_b", "_s")
 
 
 def accepted_sales(events: DataFrame, keys: list[str], at: str, order: list[str]) -> DataFrame:

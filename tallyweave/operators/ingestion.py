@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import chunking, reads, retrieval, store
+from .materialize import united
 
 
 class TaxEngine(Protocol):
@@ -42,7 +43,7 @@ def documents(chunks: DataFrame, docs: DataFrame, replace: bool = False, source_
         F.lit(0).alias("page_number"), "text_content", "chunk_index", F.lit(None).cast("long").alias("parent_chunk_id"), "parent_text_content", F.current_timestamp().alias("created_at"), "embedding",
     )
     kept = chunks.join(new.select("document_sha").distinct(), "document_sha", "left_anti").select(chunks.columns)
-    return kept.unionByName(rows.select(chunks.columns))
+    return kept.transform(united, rows.select(chunks.columns))
 
 
 def income_label(status: Column, promoted: Column, payload: Column) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import fifo
-from .materialize import stored
+from .materialize import stored, united
 from .validation import identity
 
 ORDER = ["id"]
@@ -137,4 +137,4 @@ def drill_down(found: DataFrame, ledger: DataFrame) -> DataFrame:
     same = (ledger["provider"].eqNullSafe(F.col("_provider"))) & (ledger["account_country"].eqNullSafe(F.col("_account_country")))
     by = [ledger.join(p, (F.col(c) == F.col(f"_{c}")) & same).select("key", ledger["*"]) for c in ("isin", "symbol")]
     named = ledger.join(p.where("_isin IS NULL AND _symbol IS NULL"), F.col("asset_name") == F.col("_asset_name")).select("key", ledger["*"])
-    return by[0].unionByName(by[1]).unionByName(named).dropDuplicates(["key", "id"])
+    return by[0].transform(united, by[1]).transform(united, named).dropDuplicates(["key", "id"])

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numbers import end_of_day
 from . import validation
+from .materialize import united
 
 
 def ledger_filter(
@@ -62,7 +63,7 @@ def fresh(files: DataFrame, manifest: DataFrame, key: str = "file_sha", done: st
 
 
 def fresh_income(files: DataFrame, staged: DataFrame, approved: DataFrame, key: str = "source_document_sha") -> DataFrame:
-    return files.join(staged.select(key).unionByName(approved.select(key)).distinct(), key, "left_anti")
+    return files.join(staged.select(key).transform(united, approved.select(key)).distinct(), key, "left_anti")
 
 
 def searched(rows: DataFrame, text: str, columns: tuple[str, ...] = ("symbol", "provider", "isin", "asset_name")) -> DataFrame:

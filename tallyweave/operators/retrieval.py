@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import jurisdiction as normal
+from .materialize import united
 
 KEYWORD_LIMIT = 50
 
@@ -92,9 +93,9 @@ def knn_join(chunks: DataFrame, queries: DataFrame, limit: int, id_column: str =
     for row in queries.select(query_id, vector_column).toLocalIterator():
         held.append(row)
         if len(held) == block:
-            out, held = search(held) if out is None else out.unionByName(search(held)), []
+            out, held = search(held) if out is None else out.transform(united, search(held)), []
     if held:
-        out = search(held) if out is None else out.unionByName(search(held))
+        out = search(held) if out is None else out.transform(united, search(held))
     if out is None:
         return chunks.sparkSession.createDataFrame([], f"{query_id} {query_kind}, {id_column} {kind}, distance double, rank int")
     rank = F.row_number().over(Window.partitionBy(query_id).orderBy("distance", id_column))
@@ -117,7 +118,7 @@ def hybrid(chunks: DataFrame, query: str, embedding: list[float], limit: int, ju
         raise ValueError("a query needs three words at least")
     near = knn(chunks, embedding, max(20 * limit, 150), jurisdiction, source_type, metric).withColumn("_from", F.lit(0))
     said = keyword_search(chunks, query, KEYWORD_LIMIT, jurisdiction, source_type).drop("context").withColumn("_from", F.lit(1))
-    both = near.unionByName(said, allowMissingColumns=True)
+    both = near.transform(united, said, allowMissingColumns=True)
     first = F.row_number().over(Window.partitionBy("id").orderBy("_from"))
     scored = both.withColumn("_n", first).where("_n = 1").drop("_n", "_from").withColumn("rerank_score", (score or lexical_score(query))(F.col("text_content")))
     return scored.orderBy(F.desc("rerank_score"), "id").limit(limit)
@@ -125,7 +126,7 @@ def hybrid(chunks: DataFrame, query: str, embedding: list[float], limit: int, ju
 
 def evidence(chunks: DataFrame, queries: list[tuple[str, list[float]]], limit: int) -> DataFrame:
     """Several phrases at once: each chunk as the first phrase found it, by distance."""
-    found = reduce(lambda a, b: a.unionByName(b), (knn(chunks, e, limit).withColumns({"phrase": F.lit(p), "_order": F.lit(k)}) for k, (p, e) in enumerate(queries)))
+    found = reduce(lambda a, b: a.transform(united, b), (knn(chunks, e, limit).withColumns({"phrase": F.lit(p), "_order": F.lit(k)}) for k, (p, e) in enumerate(queries)))
     first = F.row_number().over(Window.partitionBy("id").orderBy("_order"))
     return found.withColumn("_n", first).where("_n = 1").drop("_n", "_order").orderBy("distance", "id").limit(limit)
 

@@ -6,13 +6,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import validation
+from .materialize import united
 
 
 def upserted(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     """old with rows of new in place of those with their keys; a key twice in new is an error."""
     once = new.withColumn("_n", F.count("*").over(Window.partitionBy(*keys)))
     good = F.when(F.col("_n") > 1, F.raise_error(F.concat_ws(" ", F.lit("key twice:"), *(F.col(k).cast("string") for k in keys))).cast("boolean")).otherwise(F.lit(True))
-    return old.join(new.select(*keys), keys, "left_anti").select(old.columns).unionByName(once.where(good).drop("_n"), allowMissingColumns=True)
+    return old.join(new.select(*keys), keys, "left_anti").select(old.columns).transform(united, once.where(good).drop("_n"), allowMissingColumns=True)
 
 
 def updated(rows: DataFrame, where: Column, **values) -> DataFrame:
@@ -31,7 +32,7 @@ def appended(old: DataFrame, new: DataFrame, id_column: str = "id") -> DataFrame
     sizes = numbered.groupBy("_p").agg(F.count("*").alias("n"), F.min("_m").alias("_first"))
     starts = sizes.select("_p", "_first", F.coalesce(F.sum("n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("start"))
     ids = (F.lit(last) + F.col("start") + F.col("_m") - F.col("_first") + 1).cast("long")
-    return old.unionByName(numbered.join(starts, "_p").withColumn(id_column, ids).drop("_p", "_m", "_first", "start"), allowMissingColumns=True)
+    return old.transform(united, numbered.join(starts, "_p").withColumn(id_column, ids).drop("_p", "_m", "_first", "start"), allowMissingColumns=True)
 
 
 def _probe(rows: DataFrame) -> list[Column]:
@@ -60,7 +61,7 @@ def promoted(staged: DataFrame, ledger: DataFrame, force: bool = False, where: C
     moved = good.withColumns({"_staged": F.col("id"), "id": (F.lit(last) + F.col("id") + 1).cast("long"), "verification_status": F.lit("approved")})
     linked = staged.join(moved.select(F.col("_staged").alias("_s"), F.col("id").alias("_link")), staged["id"] == F.col("_s"), "left")
     linked = linked.withColumns({"approved_financial_record_id": F.coalesce("approved_financial_record_id", "_link"), "verification_status": F.when(F.col("_link").isNotNull(), "approved").otherwise(F.col("verification_status"))}).drop("_s", "_link")
-    return ledger.unionByName(moved.select(ledger.columns)), linked, refused
+    return ledger.transform(united, moved.select(ledger.columns)), linked, refused
 
 
 def promoted_income(staged: DataFrame, approved: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -70,7 +71,7 @@ def promoted_income(staged: DataFrame, approved: DataFrame) -> tuple[DataFrame,
     moved = good.withColumn("_id", (F.lit(last) + F.col("id") + 1).cast("long"))
     linked = staged.join(moved.select(F.col("id").alias("_s"), F.col("_id").alias("_link")), staged["id"] == F.col("_s"), "left")
     linked = linked.withColumns({"approved_tax_income_record_id": F.coalesce("approved_tax_income_record_id", "_link"), "verification_status": F.when(F.col("_link").isNotNull(), "approved").otherwise(F.col("verification_status"))}).drop("_s", "_link")
-    return approved.unionByName(moved.withColumn("id", F.col("_id")).select(approved.columns)), linked
+    return approved.transform(united, moved.withColumn("id", F.col("_id")).select(approved.columns)), linked
 
 
 def rejected(staged: DataFrame, ids: list[int]) -> DataFrame:
@@ -97,5 +98,5 @@ def form_rows(forms: DataFrame, sections: tuple[str, ...] = ("capital_gains", "i
     parts = [forms.select(key, F.lit(s).alias("section"), F.explode(s).alias("field", "_v")) for s in sections]
     out = parts[0]
     for p in parts[1:]:
-        out = out.unionByName(p)
+        out = out.transform(united, p)
     return out.select(key, "section", "field", "_v.*")

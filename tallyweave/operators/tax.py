@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.numbers import add_years, money
 from . import fifo
 from .fifo import Q
-from .materialize import stored
+from .materialize import stored, united
 
 #: Rates, bands and windows of the law.
 CGT, EXIT_UNTIL_2025, EXIT_FROM_2026, DISTRIBUTING = "0.33", "0.41", "0.38", "0.40"
@@ -79,21 +79,53 @@ def lot_matches(disposals: DataFrame, lots: DataFrame, stepped_up: DataFrame | N
     """Each disposal against the whole purchase history of its ISIN: lots of the 28 days before it first, then older ones, by date.
 
     disposals: disposal_id, isin, sold_at, quantity, price, fees (EUR); lots: lot_id, isin, bought_at, quantity, price, fees (EUR).
-    Rows: disposal_id, isin, lot_id, bought_at, matched, cost, proceeds, gain; and short, what was left unmatched.
-    Pairs are inherent: earlier disposals leave lots untouched here (sequential_gains() lets them).
+    Rows: disposal_id, isin, sold_at, quantity, lot_id, bought_at, position, matched, cost, proceeds, gain.
+
+    Earlier disposals leave lots untouched here (sequential_gains() lets them). By date, the lots of an ISIN are one line of quantity:
+    older lots are a beginning of it, recent ones what follows up to the sale, and both are taken from their beginning. So a disposal
+    takes two pieces of the line, whose last lots are looked up; the lots in between are joined by number. No pairs are tried.
     """
-    pairs = disposals.join(lots.select("isin", "lot_id", "bought_at", F.col("quantity").alias("lot_quantity"), F.col("price").alias("lot_price"), F.col("fees").alias("lot_fees")), "isin").where("bought_at <= sold_at")
+    # Ids of both sides may have any type; rows of one table have one.
+    lot_type = lots.schema["lot_id"].dataType
     if stepped_up is not None:
-        pairs = pairs.join(stepped_up.select("lot_id", "stepped_up_price"), "lot_id", "left").withColumn("lot_price", F.coalesce("stepped_up_price", "lot_price")).drop("stepped_up_price")
-    older = (F.datediff("sold_at", "bought_at") > WINDOW_DAYS).cast("int")
-    order = Window.partitionBy("disposal_id").orderBy(older, "bought_at", "lot_id")
-    before = F.coalesce(F.sum("lot_quantity").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast(Q)
-    placed = pairs.withColumn("before", before).withColumn("position", F.row_number().over(order))
-    placed = placed.withColumn("matched", F.greatest(F.lit(0).cast(Q), F.least(F.col("lot_quantity").cast(Q), F.col("quantity").cast(Q) - F.col("before"))).cast(Q)).where("matched > 0")
-    cost = (F.col("matched") * F.col("lot_price")).cast(Q) + fifo.shared(F.col("lot_fees"), F.col("matched"), F.col("lot_quantity"))
+        lots = lots.join(stepped_up.select("lot_id", "stepped_up_price"), "lot_id", "left").withColumn("price", F.coalesce("stepped_up_price", "price")).drop("stepped_up_price")
+    bought = lots.select("isin", F.col("bought_at").alias("at"), F.lit(1).alias("kind"), "lot_id", F.col("quantity").cast(Q).alias("q"), F.lit(1).alias("one"), F.struct("bought_at", "quantity", "price", "fees").alias("lot"))
+    older = (F.date_trunc("day", "sold_at") - F.expr(f"INTERVAL {WINDOW_DAYS} DAYS")).cast("timestamp")
+    # Before the lots of its moment, and after them: what was bought until then.
+    marks = disposals.select("isin", "disposal_id", F.explode(F.array(F.struct(older.alias("at"), F.lit(0).alias("kind")), F.struct(F.col("sold_at").alias("at"), F.lit(2).alias("kind")))).alias("m"))
+    marks = marks.select("isin", "m.*", F.lit(None).cast(lot_type).alias("lot_id"), F.lit(0).cast(Q).alias("q"), F.lit(0).alias("one"), "disposal_id")
+    line = stored(fifo.running(bought.transform(united, marks, allowMissingColumns=True), ["isin"], "at", ["kind", "lot_id"], {"q": "hi", "one": "n"}))
+    placed = line.where("kind = 1").select("isin", "lot_id", "lot", F.col("n").cast("long").alias("n"), "hi", (F.col("hi") - F.col("q")).cast(Q).alias("lo"))
+    zero = F.lit(0).cast(Q)
+    upto = line.where("kind <> 1").groupBy("disposal_id").agg(*(F.max(F.when(F.col("kind") == k, F.col(c))).alias(f"{name}_{c}") for k, name in ((0, "old"), (2, "all")) for c in ("hi", "n")))
+    asked = disposals.join(upto, "disposal_id").withColumn("_recent", F.least(F.col("quantity").cast(Q), F.col("all_hi") - F.col("old_hi")).cast(Q))
+    asked = asked.withColumn("_old", F.least((F.col("quantity").cast(Q) - F.col("_recent")).cast(Q), F.col("old_hi")).cast(Q))
+    # A piece of the line, the number of the lot before it, and what is added to lots' numbers for their position.
+    recent = F.struct(F.col("old_hi").alias("start"), (F.col("old_hi") + F.col("_recent")).cast(Q).alias("stop"), F.col("old_n").cast("long").alias("before"), (-F.col("old_n")).cast("long").alias("shift"))
+    first = F.struct(zero.alias("start"), F.col("_old").alias("stop"), F.lit(0).cast("long").alias("before"), (F.col("all_n") - F.col("old_n")).cast("long").alias("shift"))
+    taken = asked.select("disposal_id", "isin", "sold_at", "quantity", "price", "fees", F.explode(F.array(recent, first)).alias("piece")).where("piece.stop > piece.start")
+    ended = _last_lots(taken, placed)
+    numbered = ended.withColumn("n", F.explode(F.sequence(F.col("piece.before") + 1, "last_n")))
+    found = numbered.join(placed, ["isin", "n"]).withColumn("matched", (F.least("hi", "piece.stop") - F.greatest("lo", "piece.start")).cast(Q)).where("matched > 0")
+    cost = (F.col("matched") * F.col("lot.price")).cast(Q) + fifo.shared(F.col("lot.fees"), F.col("matched"), F.col("lot.quantity"))
     proceeds = (F.col("matched") * F.col("price")).cast(Q) - fifo.shared(F.col("fees"), F.col("matched"), F.col("quantity"))
-    out = placed.withColumns({"cost": cost.cast(Q), "proceeds": proceeds.cast(Q)}).withColumn("gain", (F.col("proceeds") - F.col("cost")).cast(Q))
-    return out.select("disposal_id", "isin", "sold_at", "quantity", "lot_id", "bought_at", "position", "matched", "cost", "proceeds", "gain")
+    out = found.withColumns({"cost": cost.cast(Q), "proceeds": proceeds.cast(Q)}).withColumn("gain", (F.col("proceeds") - F.col("cost")).cast(Q))
+    return out.select("disposal_id", "isin", "sold_at", "quantity", "lot_id", F.col("lot.bought_at").alias("bought_at"), (F.col("n") + F.col("piece.shift")).cast("int").alias("position"), "matched", "cost", "proceeds", "gain")
+
+
+def _last_lots(pieces: DataFrame, placed: DataFrame, block: int = fifo.BLOCK) -> DataFrame:
+    """pieces with last_n: the number of the lot in which a piece of its ISIN's line stops.
+
+    Lots are cut at block borders, so a block has all that a stop in it needs, and an ISIN is dealt over its blocks.
+    """
+    first, after = F.floor(F.col("lo") / block).cast("long"), F.ceil(F.col("hi") / block).cast("long")
+    cut = placed.where("hi > lo").select("isin", "lo", "n", F.explode(F.sequence(first, F.greatest(after - 1, first))).alias("_block"))
+    lots = cut.select("isin", "_block", F.greatest("lo", (F.col("_block") * block).cast(Q)).cast(Q).alias("_at"), F.lit(1).alias("_kind"), "n")
+    # A stop at a border belongs to the block before it, and a lot that begins at a stop is not reached.
+    stops = pieces.withColumns({"_block": F.ceil(F.col("piece.stop") / block).cast("long") - 1, "_at": F.col("piece.stop"), "_kind": F.lit(0)})
+    upto = Window.partitionBy("isin", "_block").orderBy("_at", "_kind").rowsBetween(Window.unboundedPreceding, 0)
+    met = stops.transform(united, lots, allowMissingColumns=True).withColumn("last_n", F.last("n", ignorenulls=True).over(upto))
+    return met.where("_kind = 0").drop("_block", "_at", "_kind", "n")
 
 
 def repurchases(disposals: DataFrame, lots: DataFrame) -> DataFrame:
@@ -129,7 +161,7 @@ def quarantined(matches: DataFrame, bought_back: DataFrame) -> DataFrame:
     taken = restricted.groupBy("disposal_id", "position").agg(*(F.sum(c).cast(Q).alias(f"_{c}") for c in ("matched", "cost", "proceeds", "gain")))
     zero = F.lit(0).cast(Q)
     rest = matches.join(taken, ["disposal_id", "position"], "left").select(*keep, *((F.col(c) - F.coalesce(f"_{c}", zero)).cast(Q).alias(c) for c in ("matched", "cost", "proceeds", "gain")), F.lit(False).alias("restricted"), F.lit(None).cast(restricted.schema["repurchase_id"].dataType).alias("repurchase_id")).where("matched > 0")
-    return restricted.unionByName(rest)
+    return restricted.transform(united, rest)
 
 
 def disposal_gains(disposals: DataFrame, lots: DataFrame, classes: DataFrame, profiles: DataFrame, remittances: DataFrame | None = None, strict: bool = False) -> DataFrame:
@@ -175,7 +207,7 @@ def disposal_gains(disposals: DataFrame, lots: DataFrame, classes: DataFrame, pr
 
 def sequential_gains(disposals: DataFrame, lots: DataFrame) -> DataFrame:
     """As a year is really lived: sales use up lots in plain FIFO order, and no lot counts twice."""
-    events = lots.select("isin", F.col("lot_id").alias("id"), F.col("bought_at").alias("at"), F.lit(1).alias("side"), "quantity", "price", "fees").unionByName(
+    events = lots.select("isin", F.col("lot_id").alias("id"), F.col("bought_at").alias("at"), F.lit(1).alias("side"), "quantity", "price", "fees").transform(united,
         disposals.select("isin", F.col("disposal_id").alias("id"), F.col("sold_at").alias("at"), F.lit(-1).alias("side"), "quantity", "price", "fees"))
     events = events.withColumnRenamed("price", "unit_price")
     sales = fifo.accepted_sales(events, ["isin"], "at", ["id"]).drop("side")

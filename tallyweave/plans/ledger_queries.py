@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import portfolio
 from . import projections as P
+from ..operators.materialize import united
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -114,7 +115,7 @@ def ledger_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 def latest_mergers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The latest merger of each ISIN."""
     m = P.mergers(spark, sf_dir)
-    return reads.latest_mergers(m.unionByName(m.where("id % 100 = 0").withColumn("effective_date", F.expr("effective_date + INTERVAL 400 DAYS")))).select(F.col("old_isin").alias("isin"), "effective_date")
+    return reads.latest_mergers(m.transform(united, m.where("id % 100 = 0").withColumn("effective_date", F.expr("effective_date + INTERVAL 400 DAYS")))).select(F.col("old_isin").alias("isin"), "effective_date")
 
 
 @query(f"WITH l AS ({L}) SELECT id, action IN ('buy', 'sell', 'dividend') AND quantity > 25 AS good FROM (SELECT id, action, CASE WHEN quantity > 25 THEN quantity ELSE 0 END AS quantity FROM l WHERE action <> 'dividend')")
@@ -318,7 +319,7 @@ def promotion_all(spark: SparkSession, sf_dir: str) -> DataFrame:
 def keyed_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An upsert by key and a delete."""
     old = P.table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus")
-    new = old.where("o_orderkey % 5 = 0").withColumn("o_orderstatus", F.lit("merged")).unionByName(old.where("o_orderkey % 1000 = 1").select((-F.col("o_orderkey")).alias("o_orderkey"), F.lit("new").alias("o_orderstatus")))
+    new = old.where("o_orderkey % 5 = 0").withColumn("o_orderstatus", F.lit("merged")).transform(united, old.where("o_orderkey % 1000 = 1").select((-F.col("o_orderkey")).alias("o_orderkey"), F.lit("new").alias("o_orderstatus")))
     return store.deleted(store.upserted(old, new, ["o_orderkey"]), (F.col("o_orderkey") >= 0) & (F.col("o_orderkey") % 11 == 0))
 
 

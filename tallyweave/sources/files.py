@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from ..functions import numbers, text
 from ..schemas import SESSION
+from ..operators.materialize import united
 
 
 def binary(spark: SparkSession, folder: str, suffixes: tuple[str, ...] = (".pdf", ".csv")) -> DataFrame:
@@ -38,7 +39,7 @@ def markdown(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def context_documents(spark: SparkSession, folder: str) -> DataFrame:
-    rows = whole_texts(spark, folder, ".md").unionByName(whole_texts(spark, folder, ".txt"))
+    rows = whole_texts(spark, folder, ".md").transform(united, whole_texts(spark, folder, ".txt"))
     return rows.withColumn("char_count", F.length("text")).withColumn("relative_path", F.element_at(F.split("path", folder.rstrip("/").rsplit("/", 1)[-1] + "/"), -1))
 
 
