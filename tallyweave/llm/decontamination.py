@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import words
-from .common import by_batch, checkpointed, column, slices, table, text_bytes
+from .common import by_batch, checkpointed, column, slices, table, text_bytes, united
 from .fm_index import FMIndex
 
 WINDOW = 10
@@ -215,7 +215,7 @@ def removal_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, t
 
     every = parts[0]
     for p in parts[1:]:
-        every = every.unionByName(p)
+        every = every.transform(united, p)
     met = every.groupBy("_row").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
     return rows.join(by_batch(met, f"_row long, {_FOUND}", joined), "_row").drop("_row")
 

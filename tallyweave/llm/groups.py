@@ -10,7 +10,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed
+from .common import checkpointed, united
 
 
 def by_group(df: DataFrame, keys: list[str], schema: str, work: Callable[[pa.Table], pa.RecordBatch | None]) -> DataFrame:
@@ -70,13 +70,13 @@ def components(edges: DataFrame) -> DataFrame:
         if now == before or not now[0]:
             break
         before = now
-        both = e.selectExpr("x AS u", "y AS v").unionByName(e.selectExpr("y AS u", "x AS v"))
+        both = e.selectExpr("x AS u", "y AS v").transform(united, e.selectExpr("y AS u", "x AS v"))
         least = both.groupBy("u").agg(F.min("v").alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("x"), F.least("u", "m").alias("y")).distinct()
         least = large.groupBy("x").agg(F.min("y").alias("m"))
         hooked = large.join(least, "x").where("y <> m").selectExpr("y AS x", "m AS y")
-        e = checkpointed(hooked.unionByName(least.selectExpr("x", "m AS y")).distinct())
-    return e.selectExpr("x AS node", "y AS component").unionByName(e.selectExpr("y AS node", "y AS component").distinct())
+        e = checkpointed(hooked.transform(united, least.selectExpr("x", "m AS y")).distinct())
+    return e.selectExpr("x AS node", "y AS component").transform(united, e.selectExpr("y AS node", "y AS component").distinct())
 
 
 def summed(df: DataFrame, size: int, count: Callable[[pa.RecordBatch], np.ndarray], parts: int = 32) -> np.ndarray:

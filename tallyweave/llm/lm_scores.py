@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from . import words
-from .common import checkpointed, column, slices, table, text_bytes
+from .common import checkpointed, column, slices, table, text_bytes, united
 
 ALPHA = 0.4
 MICRO = 1_000_000
@@ -187,7 +187,7 @@ def ngram_counts(docs: DataFrame, order: int = 2, text_column: str = "text") ->
     exploded = [w.select(F.lit(n).alias("n"), F.explode(_windows(F.col("w"), n)).alias("gram")) for n in range(1, order + 1)]
     out = exploded[0]
     for e in exploded[1:]:
-        out = out.unionByName(e)
+        out = out.transform(united, e)
     return out.groupBy("n", "gram").agg(F.count("*").alias("count"))
 
 

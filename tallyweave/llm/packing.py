@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpointed, column, each_text, table
+from .common import checkpointed, column, each_text, table, united
 from .token_counts import spelled
 
 WINDOW = 2048
@@ -207,7 +207,7 @@ def packed(docs: DataFrame, path: str | None = None, window: int = WINDOW, end_i
     cut = checkpointed(cut.withColumn("_row", F.monotonically_increasing_id()))
     whole = cut.where(F.col("length") == window).withColumns({"sequence_id": F.lit(WHOLE) + F.col("_row"), "offset": F.lit(0).cast("long")}).drop("_row")
     dealt = cut.where(F.col("length") < window).repartition(F.xxhash64("_row")).sortWithinPartitions("_row")
-    return whole.unionByName(dealt.mapInArrow(pack, PIECE.format("id", kind) + ", sequence_id long, offset long")).withColumnRenamed("id", id_column)
+    return whole.transform(united, dealt.mapInArrow(pack, PIECE.format("id", kind) + ", sequence_id long, offset long")).withColumnRenamed("id", id_column)
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import by_batch, checkpointed, column, each_text, table
+from .common import by_batch, checkpointed, column, each_text, table, united
 from .levenshtein import Lexicon
 
 #: Labelled rows of label 1 and of label 0 that a fit reads, at most.
@@ -250,7 +250,7 @@ def fitted(docs: DataFrame, labels: DataFrame, per_label: tuple[int, int] = PER_
     usable = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").where(~held_out()).groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     ids = docs.select("doc_id").join(usable, "doc_id").distinct()
     order = F.xxhash64("doc_id")
-    chosen = ids.where("toxic = 1").orderBy(order, "doc_id").limit(per_label[0]).unionByName(ids.where("toxic = 0").orderBy(order, "doc_id").limit(per_label[1]))
+    chosen = ids.where("toxic = 1").orderBy(order, "doc_id").limit(per_label[0]).transform(united, ids.where("toxic = 0").orderBy(order, "doc_id").limit(per_label[1]))
     # Their number is bounded by per_label.
     sample = checkpointed(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "toxic"))
 

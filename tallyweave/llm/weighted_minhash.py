@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import words
-from .common import by_batch, checkpointed, column, slices, table, text_bytes
+from .common import by_batch, checkpointed, column, slices, table, text_bytes, united
 from .groups import by_group, components
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -278,7 +278,7 @@ def similar_pairs(texts: DataFrame, classes: DataFrame, frequency: Frequencies,
         n = int(on.sum())
         return pa.RecordBatch.from_arrays([pa.array(names[on]), pa.array(roots[on]), pa.array([t["band"][0].as_py()] * n, pa.int64()), pa.array([t["chunk"][0].as_py()] * n, pa.int32()), pa.array(alone[on])], ["a", "b", "band", "chunk", "alone"])
 
-    first = checkpointed(by_group(_payload(texts, seats.unionByName(guests)), ["band", "chunk", "block"], "a long, b long, band long, chunk int, alone boolean", meet))
+    first = checkpointed(by_group(_payload(texts, seats.transform(united, guests)), ["band", "chunk", "block"], "a long, b long, band long, chunk int, alone boolean", meet))
     links = first.where("a <> b").select("a", "b")
     alone = first.where("alone").select(F.col("a").alias("id"), "band", F.col("chunk").alias("home"))
     if alone.isEmpty():
@@ -290,7 +290,7 @@ def similar_pairs(texts: DataFrame, classes: DataFrame, frequency: Frequencies,
     visits = strays.join(large.select("band", "chunks"), "band").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).where("chunk <> home")
     hosts = seats.join(large.select("band", "blocks"), "band").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     columns = ["band", "chunk", "block", "id", "own", "leader"]
-    again = visits.withColumns({"own": F.lit(False), "leader": F.lit(None).cast("long")}).select(columns).unionByName(hosts.select(columns))
+    again = visits.withColumns({"own": F.lit(False), "leader": F.lit(None).cast("long")}).select(columns).transform(united, hosts.select(columns))
 
     def visit(t: pa.Table) -> pa.RecordBatch | None:
         names, own, group = _met(t, held.value)
@@ -303,7 +303,7 @@ def similar_pairs(texts: DataFrame, classes: DataFrame, frequency: Frequencies,
         on = roots != names
         return pa.RecordBatch.from_arrays([pa.array(names[on]), pa.array(roots[on])], ["a", "b"]) if on.any() else None
 
-    return links.unionByName(by_group(_payload(texts, again), ["band", "chunk", "block"], "a long, b long", visit))
+    return links.transform(united, by_group(_payload(texts, again), ["band", "chunk", "block"], "a long, b long", visit))
 
 
 def near_duplicates(docs: DataFrame, least: float = SIMILARITY, id_column: str = "doc_id", text_column: str = "text", chunk: int = CHUNK) -> DataFrame:
@@ -333,7 +333,7 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY, id_column: str =
     labelled = classes.select("h1", "h2", "id").join(merged, "id", "left").select("h1", "h2", F.coalesce("component", "id").alias("component"))
     found = signed.select("id", "h1", "h2").join(labelled, ["h1", "h2"]).select("id", F.col("component").alias("class_id"))
     others = texts.where("id IS NULL OR text IS NULL").select("id", F.col("id").alias("class_id"))
-    return found.unionByName(others).withColumn("kept", F.coalesce(F.col("id") == F.col("class_id"), F.lit(True))).withColumnRenamed("id", id_column)
+    return found.transform(united, others).withColumn("kept", F.coalesce(F.col("id") == F.col("class_id"), F.lit(True))).withColumnRenamed("id", id_column)
 
 
 def without_near_duplicates(docs: DataFrame, least: float = SIMILARITY, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
