@@ -35,14 +35,24 @@ def statements(files: DataFrame, manifest: DataFrame, parse: Callable[..., DataF
 
 
 def documents(chunks: DataFrame, docs: DataFrame, replace: bool = False, source_type: str = "regulation", confidence: str = "high", encode=None) -> DataFrame:
-    """The chunk table with documents (document_sha, document_name, jurisdiction, text): those it has are skipped, or replaced whole."""
+    """The chunk table with documents (document_sha, document_name, jurisdiction, text, and page_number where they are pages).
+
+    Documents that the table has are skipped, or replaced whole. Pages are joined in batches before they are cut; a chunk is on the
+    page that its beginning lies on, and chunks are numbered through their document. Documents without pages are on page 0.
+    """
     new = docs if replace else docs.join(chunks.select("document_sha").distinct(), "document_sha", "left_anti")
-    cut = chunking.late_chunks(new, encode=encode).join(new.drop("text"), "document_sha")
-    rows = cut.select(
+    named = new.select("document_sha", "document_name", "jurisdiction").dropDuplicates(["document_sha"])
+    if "page_number" in docs.columns:
+        batches = chunking.page_batches(new.select("document_sha", "page_number", "text")).withColumn("_batch", F.struct("document_sha", "batch"))
+        cut = chunking.late_chunks(batches, key="_batch", encode=encode).join(batches.select("_batch", "ranges"), "_batch")
+        cut = renumbered(cut.withColumns({"document_sha": F.col("_batch.document_sha"), "batch": F.col("_batch.batch"), "page_number": chunking.page_of(F.col("ranges"), F.col("start"))}))
+    else:
+        cut = chunking.late_chunks(new, encode=encode).withColumn("page_number", F.lit(0))
+    rows = cut.join(named, "document_sha").select(
         retrieval.chunk_id(F.col("document_sha"), F.col("chunk_index")).alias("id"), "document_name", "document_sha", "jurisdiction", F.lit(source_type).alias("source_type"), F.lit(confidence).alias("confidence_level"),
-        F.lit(0).alias("page_number"), "text_content", "chunk_index", F.lit(None).cast("long").alias("parent_chunk_id"), "parent_text_content", F.current_timestamp().alias("created_at"), "embedding",
+        "page_number", "text_content", "chunk_index", F.lit(None).cast("long").alias("parent_chunk_id"), "parent_text_content", F.current_timestamp().alias("created_at"), "embedding",
     )
-    kept = chunks.join(new.select("document_sha").distinct(), "document_sha", "left_anti").select(chunks.columns)
+    kept = chunks.join(named.select("document_sha"), "document_sha", "left_anti").select(chunks.columns)
     return kept.transform(united, rows.select(chunks.columns))
 
 

@@ -14,6 +14,7 @@ from collections.abc import Callable, Iterable
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 Span = tuple[int, int, str]
 
@@ -134,6 +135,19 @@ def unmasked(text: Column, placeholders: Column) -> Column:
     return F.aggregate(entries, text, lambda t, e: F.replace(t, e["key"], e["value"]))
 
 
+def unmasked_within(value: Column, kind: T.DataType, placeholders: Column) -> Column:
+    """unmasked() for every text in a value of any nested type."""
+    if isinstance(kind, T.StringType):
+        return unmasked(value, placeholders)
+    if isinstance(kind, T.ArrayType):
+        return F.transform(value, lambda x: unmasked_within(x, kind.elementType, placeholders))
+    if isinstance(kind, T.MapType):
+        return F.transform_values(value, lambda _, x: unmasked_within(x, kind.valueType, placeholders))
+    if isinstance(kind, T.StructType):
+        return F.when(value.isNotNull(), F.struct(*(unmasked_within(value[f.name], f.dataType, placeholders).alias(f.name) for f in kind.fields)))
+    return value
+
+
 def placeholders_in(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(PLACEHOLDER), F.lit(0))
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .materialize import united
+
 RATIO = "decimal(18,6)"
 
 
@@ -38,3 +40,16 @@ def nav(requests: DataFrame, prices: list[DataFrame], override: str | None = Non
 
 def latest(mergers: DataFrame, old_isin: str) -> DataFrame:
     return mergers.where(F.lower("old_isin") == old_isin.lower()).orderBy(F.desc("effective_date"), F.desc("id")).limit(1)
+
+
+def added(mergers: DataFrame, old_isin: str, new_isin: str, effective_date, new_symbol: str | None = None, exchange_ratio=1) -> DataFrame:
+    """mergers with one more, ISINs in capitals, under the next id; two different ISINs and a positive ratio are needed."""
+    old, new = (old_isin or "").strip().upper(), (new_isin or "").strip().upper()
+    if not old or not new or old == new or not exchange_ratio > 0:
+        raise ValueError("a merger needs two different ISINs and a positive ratio")
+    row = mergers.agg(F.coalesce(F.max("id"), F.lit(0)).alias("last")).select(
+        (F.col("last") + 1).alias("id"), F.lit(old).alias("old_isin"), F.lit(new).alias("new_isin"), F.lit(new_symbol and new_symbol.strip().upper()).alias("new_symbol"),
+        F.lit(effective_date).cast("timestamp").alias("effective_date"), F.lit(str(exchange_ratio)).cast(RATIO).alias("exchange_ratio"),
+    )
+    typed = row.select(*(F.col(c).cast(mergers.schema[c].dataType).alias(c) for c in row.columns if c in mergers.columns))
+    return mergers.transform(united, typed, allowMissingColumns=True)

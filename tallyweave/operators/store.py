@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import validation
-from .materialize import united
+from .materialize import stored, united
 
 
 def upserted(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
@@ -28,7 +28,8 @@ def deleted(rows: DataFrame, where: Column) -> DataFrame:
 def appended(old: DataFrame, new: DataFrame, id_column: str = "id") -> DataFrame:
     """old and new, whose rows get the ids after the last one; ids are given by partition sizes, not by one task."""
     last = old.agg(F.coalesce(F.max(id_column), F.lit(0)).cast("long").alias("last")).first()["last"]
-    numbered = new.drop(id_column).withColumn("_p", F.spark_partition_id()).withColumn("_m", F.monotonically_increasing_id())
+    # Read twice, and the same each time only if stored.
+    numbered = stored(new.drop(id_column).withColumn("_p", F.spark_partition_id()).withColumn("_m", F.monotonically_increasing_id()))
     sizes = numbered.groupBy("_p").agg(F.count("*").alias("n"), F.min("_m").alias("_first"))
     starts = sizes.select("_p", "_first", F.coalesce(F.sum("n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("start"))
     ids = (F.lit(last) + F.col("start") + F.col("_m") - F.col("_first") + 1).cast("long")
@@ -75,7 +76,8 @@ def promoted_income(staged: DataFrame, approved: DataFrame) -> tuple[DataFrame,
 
 
 def rejected(staged: DataFrame, ids: list[int]) -> DataFrame:
-    return deleted(staged, F.col("id").isin(ids))
+    """staged with the rows of these ids marked as rejected; those that have been promoted stay as they are."""
+    return updated(staged, F.col("id").isin(ids) & F.col("approved_financial_record_id").isNull(), verification_status="rejected")
 
 
 _FIELD = "struct<value:string,value_type:string,status:string>"

@@ -42,18 +42,9 @@ def nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.knn(rows, _QUERY, 20, id_column="vec_id").select("vec_id")
 
 
-@query("""SELECT query_id, vec_id, CAST(rank AS INT) AS rank FROM (SELECT q.vec_id AS query_id, e.vec_id, row_number() OVER (PARTITION BY q.vec_id ORDER BY list_distance(CAST(q.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])), e.vec_id) AS rank
-FROM embeddings e, (SELECT * FROM embeddings WHERE vec_id % 50 = 7) q) WHERE rank <= 5""")
-def nearest_each(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """K2 for a table of queries, in blocks."""
-    rows = P.table(spark, sf_dir, "embeddings")
-    queries = rows.where("vec_id % 50 = 7").select(F.col("vec_id").alias("query_id"), "embedding")
-    return retrieval.knn_join(rows, queries, 5, id_column="vec_id").select("query_id", "vec_id", "rank")
-
-
 @query("""SELECT query_id, vec_id, CAST(rank AS INT) AS rank FROM (SELECT q.vec_id AS query_id, e.vec_id, row_number() OVER (PARTITION BY q.vec_id ORDER BY list_distance(CAST(q.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])), e.vec_id) AS rank
 FROM embeddings e, (SELECT * FROM embeddings WHERE vec_id % 20 = 0) q) WHERE rank <= 5""")
-def nearest_each_twentieth(spark: SparkSession, sf_dir: str) -> DataFrame:
+def nearest_each(spark: SparkSession, sf_dir: str) -> DataFrame:
     """K2 for every row whose id is divisible by 20."""
     rows = P.table(spark, sf_dir, "embeddings")
     queries = rows.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
@@ -83,16 +74,8 @@ def evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.evidence(_embedded(spark, sf_dir), [("a", _QUERY), ("b", _QUERY[::-1])], 15).select("id", "phrase")
 
 
-@query("SELECT a.conv_id AS conv_id, a.turn AS of_turn, b.turn AS turn, b.role FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn BETWEEN a.turn - 1 AND a.turn + 1 WHERE a.turn % 3 = 1")
-def neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """K6, J14, W: rows within a window of those asked for."""
-    rows = P.table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("document_name"), F.col("turn").alias("chunk_index"), "role")
-    found = retrieval.neighbours(rows, rows.where("chunk_index % 3 = 1"), 1)
-    return found.select(F.col("document_name").alias("conv_id"), F.col("of_index").alias("of_turn"), F.col("chunk_index").alias("turn"), "role")
-
-
 @query("SELECT a.conv_id AS conv_id, a.turn AS of_turn, b.turn AS turn, b.role FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn BETWEEN a.turn - 1 AND a.turn + 1")
-def neighbours_of_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+def neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """K6, J14, W: the window of every turn."""
     rows = P.table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("document_name"), F.col("turn").alias("chunk_index"), "role")
     found = retrieval.neighbours(rows, rows, 1)
@@ -240,16 +223,8 @@ def appended_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.agg(F.count("*").alias("n"), F.min("id").alias("first"), F.max("id").alias("last"), F.countDistinct("id").alias("ids"))
 
 
-@query(f"SELECT lower(concat_ws('|', isin, provider, account_country)) AS key, l.id FROM ({P.LEDGER_SQL}) l WHERE account_country = 'NATION_3' AND provider = 'S1'")
-def drill_down(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The ledger rows of each position."""
-    rows = P.ledger(spark, sf_dir).where("account_country = 'NATION_3'")
-    found = portfolio.positions(rows).where("provider = 'S1'")
-    return portfolio.drill_down(found, rows).select("key", "id")
-
-
 @query(f"SELECT lower(concat_ws('|', isin, provider, account_country)) AS key, l.id FROM ({P.LEDGER_SQL}) l")
-def drill_down_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+def drill_down(spark: SparkSession, sf_dir: str) -> DataFrame:
     """R18 for every position."""
     rows = P.ledger(spark, sf_dir)
     return portfolio.drill_down(portfolio.positions(rows), rows).select("key", "id")
@@ -276,7 +251,7 @@ def page_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.page_batches(rows, "document_name").select("document_name", "batch", X.text_sha(F.col("text")).alias("sha"), F.size("ranges").cast("long").alias("pages"))
 
 
-@query(f"SELECT doc_id, CASE WHEN len(list_filter(w, lambda x: x IN {X.ITALIAN})) > len(list_filter(w, lambda x: x IN {X.ENGLISH})) THEN 'it' ELSE 'en' END AS language FROM (SELECT doc_id, regexp_extract_all(lower(text[:10000]), '\\p{{L}}+') AS w FROM documents)")
+@query(f"SELECT doc_id, CASE WHEN len(list_filter(w, lambda x: x IN {X.ITALIAN})) > len(list_filter(w, lambda x: x IN {X.ENGLISH})) THEN 'it' ELSE 'en' END AS language FROM (SELECT doc_id, regexp_extract_all(lower(text), '\\p{{L}}+') AS w FROM documents)")
 def languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """X11: a language by its frequent words."""
     return P.table(spark, sf_dir, "documents").select("doc_id", X.language(F.col("text")).alias("language"))

@@ -158,5 +158,11 @@ def figi(rows: DataFrame, mapping: DataFrame) -> DataFrame:
     return rows.join(known, F.when(F.length(F.trim("isin")) == 12, F.upper(F.trim("isin"))) == F.col("_isin"), "left").drop("_isin")
 
 
+def isins_to_ask(rows: DataFrame, mapping: DataFrame) -> DataFrame:
+    """ISINs of twelve characters that the mapping has neither as hits nor as known misses."""
+    isin = F.upper(F.trim("isin"))
+    return rows.select(isin.alias("isin")).where(F.length("isin") == 12).distinct().join(mapping.select(F.upper("isin").alias("isin")), "isin", "left_anti")
+
+
 #: What reads a kind of document: more may be put in.
 READERS: dict[str, Callable[..., DataFrame]] = {"markdown": markdown, "broker_statement": broker_statement, "binary": binary, "sessions": sessions, "pages": parsed_pages}

@@ -18,12 +18,12 @@ def asked(spark, name, column):
 
 def test_every_twentieth_vector(spark):
     ids = {r[0] for r in P.table(spark, SF, "embeddings").select("vec_id").collect()}
-    assert asked(spark, "nearest_each_twentieth", "query_id") == {k for k in ids if k % 20 == 0}
+    assert asked(spark, "nearest_each", "query_id") == {k for k in ids if k % 20 == 0}
 
 
 def test_every_turn_has_a_window(spark):
     turns = {tuple(r) for r in P.table(spark, SF, "conversations").select("conv_id", "turn").collect()}
-    assert {(r.conv_id, r.of_turn) for r in registry.queries()["neighbours_of_all"](spark, SF).collect()} == turns
+    assert {(r.conv_id, r.of_turn) for r in registry.queries()["neighbours"](spark, SF).collect()} == turns
 
 
 def test_language_of_whole_texts(rows):
@@ -35,5 +35,5 @@ def test_language_of_whole_texts(rows):
 def test_all_years_and_positions(spark):
     ledger = P.ledger(spark, SF)
     ids, years = {r[0] for r in ledger.select("id").collect()}, {r[0] for r in ledger.select("tax_year").distinct().collect()}
-    assert asked(spark, "duplicate_probe_all", "name") == ids == asked(spark, "drill_down_all", "id")
-    assert asked(spark, "promotion_all", "tax_year") == years and len(years) > 2
+    assert asked(spark, "duplicate_probe", "name") == ids == asked(spark, "drill_down", "id")
+    assert asked(spark, "promotion", "tax_year") == years and len(years) > 2
