@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import document_queries, ledger_queries
+from . import document_queries, job_queries, ledger_queries
 
-_MODULES = (ledger_queries, document_queries)
+_MODULES = (ledger_queries, document_queries, job_queries)
 
 
 def queries() -> dict:
