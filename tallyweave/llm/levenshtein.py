@@ -6,7 +6,7 @@ from collections.abc import Iterable
 
 
 #: (trie node, edits) pairs and moves that a lexicon keeps.
-MOST_PAIRS = 2_000_000
+MOST_PAIRS = 400_000
 
 
 def allowed(term: str) -> int:

@@ -1,5 +1,7 @@
 """Rows that repeat, id and text alike, and tasks that are run again."""
 
+import random
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
@@ -53,3 +55,11 @@ def test_blocks_are_the_same_again(spark, monkeypatch):
 
 def test_an_empty_table_has_no_shards(spark):
     assert shards.sharded(spark.createDataFrame([], DOCS)).select(F.count("*")).first()[0] == 0
+
+
+def test_both_expressions_cut_alike():
+    rng = random.Random(1)
+    characters = "".join(chr(c) for c in range(0x250) if not packing.FAST.search(chr(c))) + " ''''tsdmrevl_09  \n" * 9
+    for _ in range(5000):
+        text = "".join(rng.choice(characters) for _ in range(30))
+        assert packing.FAST_PIECES.findall(text) == packing.PIECES.findall(text)
