@@ -8,7 +8,8 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..operators.materialize import united  # noqa: F401
 
@@ -42,6 +43,16 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def held_out(id_column: str = "doc_id") -> Column:
+    """Whether labels of a row are kept for testing: a fifth, by the id's text."""
+    return F.crc32(F.col(id_column).cast("string").cast("binary")) % 5 == 0
+
+
+#: CRC-32 in DuckDB's SQL, for the tables' SQL: a table of a row with tbl, and the sum of an ASCII text where that row is joined.
+CRC32_TABLE = "SELECT list_transform(range(256), lambda b: list_reduce(list_prepend(b, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS tbl"
+CRC32_SQL = "xor(list_reduce(list_prepend(4294967295, list_transform(string_split({}, ''), lambda ch: CAST(ascii(ch) AS BIGINT))), lambda c, b: xor(c >> 8, tbl[(xor(c, b) & 255) + 1])), 4294967295)"
+
+
 def slices(array: pa.Array, most_bytes: int = 1 << 20) -> Iterator[tuple[int, int]]:
     """Row ranges of a string array that hold about most_bytes each, a longer text alone."""
     n = len(array)

@@ -24,7 +24,7 @@ def documents():
 @pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
 def test_oracle(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "benchmark", "embeddings"):
+    for t in ("documents", "benchmark", "embeddings", "labels"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF}/{t}.parquet')")
     found = con.execute(registry.oracle_sql()[name])
     names = sorted(d[0] for d in found.description)
