@@ -15,7 +15,8 @@ Words are found by a 64-bit hash of their bytes and length, and those of each
 occurrence are then compared with the phrase's own.
 
 Null texts and texts without words have no words and no hits; null and empty
-items have no phrases; an item that repeats, with its id, counts once. Repeated
+items have no phrases; items of one id are one item with the phrases of all its
+texts. Repeated
 documents give repeated rows, each with its own decision. An empty benchmark
 leaves every document clean. decontaminated() keeps further columns; the query
 reads none.
@@ -41,28 +42,33 @@ BLOCK_WORDS = 2_000_000
 
 
 class Phrases:
-    """Items' phrases over a vocabulary: sorted word hashes with the words; rows of symbols from 1; item of each phrase.
+    """Items' phrases over a vocabulary of sorted word hashes.
 
-    items: name, hashes of the words, the words.
+    items: name, hashes of the words, the words with bytes of zero between them. A phrase is a place in the symbols (from 1)
+    of all items and a length; it is cut out while it is searched, so that a word of an item takes some 40 bytes in all.
     """
 
-    def __init__(self, items: list[tuple[str, np.ndarray, list[bytes]]], window: int):
-        self.vocabulary, first = np.unique(np.concatenate([h for _, h, _ in items]), return_index=True)
-        every = [w for _, _, told in items for w in told]
-        self.words = [every[k] for k in first.tolist()]
-        rows, lengths, self.names, of = [], [], [], []
+    def __init__(self, items: list[tuple[str, np.ndarray, bytes]], window: int):
+        every = np.concatenate([h for _, h, _ in items])
+        self.vocabulary, first = np.unique(every, return_index=True)
+        self.stream = (np.searchsorted(self.vocabulary, every) + 1).astype(np.int32)
+        self.raw, at = b"\0".join(raw for _, _, raw in items), 0
+        _, begins, ends, _ = words.spans(np.frombuffer(self.raw, np.uint8), np.array([0, len(self.raw)]))
+        kept = np.stack([begins[first], ends[first]]) if len(begins) else np.zeros((2, len(first)), np.int64)
+        self.bounds = kept.astype(np.int32 if len(self.raw) < 1 << 31 else np.int64)
+        number: dict[str, int] = {}
+        starts, lengths, of = [], [], []
         for name, hashes, _ in items:
-            symbols = np.searchsorted(self.vocabulary, hashes) + 1
-            if len(symbols) < window:
-                cut = np.zeros((1, window), np.int64)
-                cut[0, : len(symbols)] = symbols
-            else:
-                cut = np.lib.stride_tricks.sliding_window_view(symbols, window)
-            rows.append(cut)
-            lengths += [min(window, len(symbols))] * len(cut)
-            of += [len(self.names)] * len(cut)
-            self.names.append(name)
-        self.rows, self.lengths, self.of = np.concatenate(rows), np.array(lengths), np.array(of)
+            many = max(1, len(hashes) - window + 1)
+            starts.append(np.arange(at, at + many, dtype=np.int32))
+            lengths.append(np.full(many, min(window, len(hashes)), np.int32))
+            of.append(np.full(many, number.setdefault(name, len(number)), np.int32))
+            at += len(hashes)
+        self.starts, self.lengths, self.of, self.names = np.concatenate(starts), np.concatenate(lengths), np.concatenate(of), list(number)
+
+    def word(self, symbol: int) -> bytes:
+        begin, end = self.bounds[:, symbol - 1]
+        return self.raw[begin:end]
 
     def symbols(self, hashes: np.ndarray) -> np.ndarray:
         at = np.searchsorted(self.vocabulary, hashes)
@@ -99,7 +105,7 @@ def phrases_of(items: DataFrame, window: int) -> Phrases | None:
     if not t.num_rows:
         return None
     told = zip(t["item"].to_pylist(), t["hashes"].to_pylist(), t["words"].to_pylist(), strict=True)
-    return Phrases([(name, np.frombuffer(h, np.uint64), [x for x in raw.split(b"\0") if x]) for name, h, raw in told], window)
+    return Phrases([(name, np.frombuffer(h, np.uint64), raw) for name, h, raw in told], window)
 
 
 class Hits:
@@ -126,7 +132,7 @@ class Hits:
         line[places] = np.concatenate(parts)
         while True:
             at, phrase, hit = self._occurrences(line, places, phrases)
-            wrong = [w for w in np.flatnonzero(hit).tolist() if words.FOLD[self.data[self.begins[w] : self.ends[w]]].tobytes() != phrases.words[line[places[w]] - 1]]
+            wrong = [w for w in np.flatnonzero(hit).tolist() if words.FOLD[self.data[self.begins[w] : self.ends[w]]].tobytes() != phrases.word(line[places[w]])]
             if not wrong:
                 break
             # Another word of the same hash, which is no word of a phrase.
@@ -150,7 +156,7 @@ class Hits:
     def _occurrences(line: np.ndarray, places: np.ndarray, phrases: Phrases) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Where phrases occur in the line, which, and the words inside an occurrence."""
         index = FMIndex(line, len(phrases.vocabulary))
-        low, high = index.search(phrases.rows, phrases.lengths)
+        low, high = index.search(phrases.stream, phrases.starts, phrases.lengths)
         found = high - low
         phrase = np.repeat(np.arange(len(found)), found)
         rows = np.arange(len(phrase)) - np.repeat(np.cumsum(found) - found, found) + low[phrase]
@@ -166,7 +172,7 @@ _FOUND = "n_words long, spans array<array<long>>, items array<string>"
 def found(docs: DataFrame, phrases: Phrases | None, text_column: str) -> DataFrame:
     """docs with n_words, spans (byte ranges of hit words) and items."""
     # A word that no text has stands for no phrases.
-    held = docs.sparkSession.sparkContext.broadcast(phrases or Phrases([("", np.zeros(1, np.uint64), [b""])], 1))
+    held = docs.sparkSession.sparkContext.broadcast(phrases or Phrases([("", np.zeros(1, np.uint64), b"")], 1))
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

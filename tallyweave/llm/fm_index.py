@@ -93,12 +93,19 @@ class FMIndex:
         self.number = np.cumsum(kept) - 1
         self.places = suffixes[kept]
 
-    def search(self, phrases: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ranges of suffixes that begin with each phrase; phrases: a row of symbols each, filled up behind."""
-        low, high = np.zeros(len(phrases), np.int64), np.full(len(phrases), len(self.last), np.int64)
-        for j in range(phrases.shape[1] - 1, -1, -1):
+    def search(self, stream: np.ndarray, starts: np.ndarray, lengths: np.ndarray, together: int = 1 << 18) -> tuple[np.ndarray, np.ndarray]:
+        """Ranges of suffixes that begin with each phrase, which is so many symbols of a stream from its start on; so many phrases at a time."""
+        low, high = np.zeros(len(starts), np.int64), np.zeros(len(starts), np.int64)
+        for k in range(0, len(starts), together):
+            part = slice(k, k + together)
+            low[part], high[part] = self._search(stream, starts[part], lengths[part])
+        return low, high
+
+    def _search(self, stream: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        low, high = np.zeros(len(starts), np.int64), np.full(len(starts), len(self.last), np.int64)
+        for j in range(int(lengths.max(initial=0)) - 1, -1, -1):
             on = np.flatnonzero((j < lengths) & (low < high))
-            c = phrases[on, j]
+            c = stream[starts[on] + j]
             low[on] = self.first[c] + self.wavelet.rank(c, low[on])
             high[on] = self.first[c] + self.wavelet.rank(c, high[on])
             gone = on[c == 0]

@@ -313,7 +313,7 @@ def test_fm_index():
         lengths = rng.integers(1, 5, 30)
         for i in range(30):
             phrases[i, : lengths[i]] = rng.integers(1, k + 1, lengths[i])
-        low, high = index.search(phrases, lengths)
+        low, high = index.search(phrases.ravel(), np.arange(30) * 4, lengths, 7)
         for i in range(30):
             want = [p for p in range(n - lengths[i] + 1) if (text[p : p + lengths[i]] == phrases[i, : lengths[i]]).all()]
             assert sorted(index.locate(np.arange(low[i], high[i])).tolist()) == want
