@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 #: Code points to a piece, as a power of two.
 BITS = 8
 PIECE = 1 << BITS
-#: Values that are added up in one go; one level handles so many, two their square, four 16 million.
-WIDTH, LEVELS = 64, 4
+#: Values that are added up in one go. Work grows with the values' number as long as that is below the square of this or not far above it.
+WIDTH = 1024
 
 
 def bound(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -24,7 +24,7 @@ def some(a: Column, first: Column, stop: Column) -> Column:
     return F.when(stop > first, F.transform(F.sequence(first, stop - 1), lambda k: F.get(a, k))).otherwise(F.slice(a, F.lit(1), F.lit(0)))
 
 
-def scanned(values: Column, merge: Callable[[Column, Column], Column], levels: int = LEVELS) -> Column:
+def scanned(values: Column, merge: Callable[[Column, Column], Column]) -> Column:
     """What merge makes of an array of longs up to and with each of them, from 0 on; merge is associative, and 0 changes nothing.
 
     An array that grows by a value at a time is copied at each; so runs of WIDTH are done alone, and their ends by the same rule.
@@ -32,17 +32,17 @@ def scanned(values: Column, merge: Callable[[Column, Column], Column], levels: i
 
     def plain(a: Column) -> Column:
         start = F.struct(F.lit(0).cast("long").alias("last"), F.array().cast("array<bigint>").alias("all"))
-        return F.aggregate(a, start, lambda s, x: F.struct(merge(s["last"], x).alias("last"), F.concat(s["all"], F.array(merge(s["last"], x))).alias("all")), lambda s: s["all"])
-
-    if levels == 1:
-        return plain(values)
+        return F.aggregate(a, start, lambda s, x: bound(merge(s["last"], x), lambda now: F.struct(now.alias("last"), F.concat(s["all"], F.array(now)).alias("all"))), lambda s: s["all"])
 
     def split(a: Column) -> Column:
-        runs = F.transform(F.sequence(F.lit(0), F.floor((F.size(a) - 1) / WIDTH).cast("int")), lambda k: plain(some(a, k * WIDTH, F.least((k + 1) * WIDTH, F.size(a)))))
-        shifted = lambda own, before: F.transform(own, lambda r, k: F.when(k == 0, r).otherwise(F.transform(r, lambda x: merge(F.get(before, k - 1), x))))
-        return bound(runs, lambda own: bound(scanned(F.transform(own, lambda r: F.element_at(r, -1)), merge, levels - 1), lambda before: F.flatten(shifted(own, before))))
+        return F.transform(F.sequence(F.lit(0), F.floor((F.size(a) - 1) / WIDTH).cast("int")), lambda k: plain(some(a, k * WIDTH, F.least((k + 1) * WIDTH, F.size(a)))))
+
+    def put_together(runs: Column, ends: Column) -> Column:
+        before = lambda k: F.when(k == 0, F.lit(0).cast("long")).otherwise(F.get(ends, k - 1))
+        return F.flatten(F.transform(runs, lambda r, k: bound(before(k), lambda b: F.transform(r, lambda x: merge(b, x)))))
 
-    return bound(values, lambda a: F.when(F.size(a) <= WIDTH, plain(a)).otherwise(split(a)))
+    runs = bound(values, lambda a: F.when(F.size(a) > 0, split(a)).otherwise(F.array().cast("array<array<bigint>>")))
+    return bound(runs, lambda r: put_together(r, plain(F.transform(r, lambda x: F.element_at(x, -1)))))
 
 
 def pieces(text: Column) -> Column:

@@ -116,21 +116,31 @@ def hundredths(kind: Kind, context: Column) -> Column:
     return F.lit(kind.score) + F.when(context.rlike(_near(kind.raises)), RAISED).otherwise(0) - F.when(context.rlike(_near(kind.lowers)), LOWERED).otherwise(0)
 
 
-def spans_of(kind: Kind, text: Column, cut: Column, matches: Column) -> Column:
-    """The spans of one kind in a text, by start; cut: the text's pieces; matches: what the kind's pattern finds there."""
+def lengths_of(kind: Kind, text: Column, matches: Column) -> Column:
+    """For each match of a kind in a text, the code points from the end of the match before to its own end."""
     gaps = F.slice(F.split(text, kind.pattern, -1), F.lit(1), F.size(matches))
-    ends = scanned(F.zip_with(gaps, matches, lambda g, m: (F.length(g) + F.length(m)).cast("long")), lambda a, b: a + b)
+    return F.zip_with(gaps, matches, lambda g, m: (F.length(g) + F.length(m)).cast("long"))
 
-    def span(cut: Column, value: Column, end: Column) -> Column:
-        start = end - F.length(value)
-        around = F.concat(between(cut, F.greatest(start - BEFORE, F.lit(0).cast("long")), start), F.lit("\n"), between(cut, end, end + AFTER))
-        score = F.when(confirmed(kind, value), hundredths(kind, F.translate(around, _UPPER, _LOWER)))
-        if kind.name not in BASE:
-            score = F.when(score >= THRESHOLD, score)
-        return F.struct(F.lit(kind.name).alias("kind"), start.alias("start"), end.alias("end"), value.alias("value"), (score / 100).alias("score"))
 
-    kept = bound(cut, lambda cut: F.filter(F.zip_with(matches, ends, lambda m, e: span(cut, m, e)), lambda x: x["score"].isNotNull()))
-    return F.when(F.size(matches) > 0, kept).otherwise(F.array().cast(_SPANS))
+def confirmed_of(kind: Kind, matches: Column, ends: Column) -> Column:
+    """The matches of a kind that are confirmed, as (kind, start, end, value), by start; ends: where the matches end."""
+    span = lambda m, e: F.struct(F.lit(kind.name).alias("kind"), (e - F.length(m)).alias("start"), e.alias("end"), m.alias("value"))
+    return F.filter(F.zip_with(matches, ends, span), lambda x: confirmed(kind, x["value"]))
+
+
+def scored(spans: Column, cut: Column) -> Column:
+    """Confirmed spans with their scores, without those of added kinds whose score is too low; cut: the text's pieces."""
+
+    def score(kind: Kind, near: Column) -> Column:
+        own = hundredths(kind, near)
+        return own if kind.name in BASE else F.when(own >= THRESHOLD, own)
+
+    def told(x: Column, cut: Column) -> Column:
+        around = F.concat(between(cut, F.greatest(x["start"] - BEFORE, F.lit(0).cast("long")), x["start"]), F.lit("\n"), between(cut, x["end"], x["end"] + AFTER))
+        points = bound(F.translate(around, _UPPER, _LOWER), lambda near: F.coalesce(*(F.when(x["kind"] == k.name, score(k, near)) for k in KINDS)))
+        return x.withField("score", points / 100)
+
+    return F.filter(bound(cut, lambda cut: F.transform(spans, lambda x: told(x, cut))), lambda x: x["score"].isNotNull()).cast(_SPANS)
 
 
 def personal_spans(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -142,8 +152,12 @@ def personal_spans(docs: DataFrame, id_column: str = "doc_id", text_column: str
     })
     some = F.greatest(*(F.size(f"_{k.name}") for k in KINDS)) > 0
     found = found.withColumn("_cut", F.when(some, pieces(text)).otherwise(F.array().cast("array<string>")))
-    spans = found.withColumn("spans", F.concat(*(spans_of(k, text, F.col("_cut"), F.col(f"_{k.name}")) for k in KINDS)))
-    return spans.drop("_cut", *(f"_{k.name}" for k in KINDS))
+    # One expression adds up for all kinds.
+    lengths = F.array(*(lengths_of(k, text, F.col(f"_{k.name}")) for k in KINDS))
+    found = found.withColumn("_ends", F.transform(F.when(some, lengths).otherwise(F.array().cast("array<array<bigint>>")), lambda own: scanned(own, lambda a, b: a + b)))
+    told = found.withColumn("_told", F.concat(*(confirmed_of(k, F.col(f"_{k.name}"), F.get("_ends", F.lit(n))) for n, k in enumerate(KINDS))))
+    spans = told.withColumn("spans", F.when(some, scored(F.col("_told"), F.col("_cut"))).otherwise(F.array().cast(_SPANS)))
+    return spans.drop("_cut", "_ends", "_told", *(f"_{k.name}" for k in KINDS))
 
 
 def masked(docs: DataFrame, text_column: str = "text") -> DataFrame:
