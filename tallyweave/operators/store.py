@@ -52,9 +52,16 @@ def duplicates(staged: DataFrame, ledger: DataFrame) -> DataFrame:
 def promoted(staged: DataFrame, ledger: DataFrame, force: bool = False, where: Column | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(ledger with what may be promoted, staged with status and link, what was refused and why).
 
-    The id of a promoted row is derived from its staged id and the ledger's last one.
+    Rows are promoted as if one after the other by id: of several staged rows of one event the first moves, and the ledger then
+    has it for the others, unless forced. The id of a promoted row is derived from its staged id and the ledger's last one.
     """
     asked = duplicates(staged.where("approved_financial_record_id IS NULL").where(where if where is not None else F.lit(True)), ledger)
+    if not force:
+        # The least id of each event, found by partial aggregation; ids are unique, so the join back has no hot key.
+        keys = _probe(asked)
+        firsts = asked.where(validation.is_approvable() & ~F.col("is_duplicate")).groupBy(*keys).agg(F.min("id").alias("_first")).select("_first")
+        known = asked.join(firsts, asked["id"] == firsts["_first"], "left")
+        asked = known.withColumn("is_duplicate", F.col("is_duplicate") | (validation.is_approvable() & F.col("_first").isNull())).drop("_first")
     reasons = F.array_compact(F.array(F.when(~validation.is_approvable(), F.concat(F.lit("missing: "), F.array_join(validation.missing_fields(), ", "))), F.when(F.lit(not force) & F.col("is_duplicate"), F.lit("duplicate"))))
     told = asked.withColumn("reasons", reasons)
     good, refused = told.where(F.size("reasons") == 0).drop("is_duplicate", "reasons"), told.where(F.size("reasons") > 0)
