@@ -47,7 +47,7 @@ from .common import checkpointed, column, table, united
 PARTS, ENTRIES, ROUNDS, SCALE = 8, 16, 6, 4096
 #: Labels that hold more than one row in so many are joined by a broadcast.
 OFTEN = 512
-#: Sums of components, of 1036 bits and as many as there are rows, travel as so many longs of so many bits; half a million tasks do not overflow one.
+#: Sums of components, of 1036 bits and as many as there are rows, travel as longs of so many bits, so many at most; half a million tasks do not overflow one.
 LIMB, LIMBS = 44, 25
 #: Vectors worked on together.
 TOGETHER = 4096
@@ -153,9 +153,10 @@ def started(rows: DataFrame, size: int) -> list[Codebook]:
     return [Codebook(p) for p in np.split(held, PARTS, axis=1)]
 
 
-def _limbs(x: int) -> list[int]:
-    """An integer as LIMBS summands of LIMB bits each, the last with what is left and the sign."""
-    return [*((x >> (k * LIMB)) & ((1 << LIMB) - 1) for k in range(LIMBS - 1)), x >> ((LIMBS - 1) * LIMB)]
+def _limbs(x: int) -> list[tuple[int, int]]:
+    """An integer as summands of LIMB bits, with their places; those that are zero are left out."""
+    sign, rest = (-1 if x < 0 else 1), abs(x)
+    return [(k, sign * own) for k in range(-(-rest.bit_length() // LIMB)) if (own := (rest >> (k * LIMB)) & ((1 << LIMB) - 1))]
 
 
 def moved(rows: DataFrame, books: list[Codebook], size: int) -> list[Codebook]:
@@ -172,20 +173,23 @@ def moved(rows: DataFrame, books: list[Codebook], size: int) -> list[Codebook]:
                     own = part[code == e]
                     counts[k][e] += len(own)
                     sums[k][e] += own.sum(0).astype(object)
-        told = [(k, e, counts[k][e], [y for x in sums[k][e] for y in _limbs(x)]) for k in range(len(books)) for e in range(len(books[k].entries)) if counts[k][e]]
+        # Place 0 has the count, the others have the limbs of the sums.
+        told = [(k, e, 0, n) for k, own in enumerate(counts) for e, n in enumerate(own) if n]
+        told += [(k, e, 1 + c * LIMBS + at, limb) for k, e, _, _ in list(told) for c, x in enumerate(sums[k][e]) for at, limb in _limbs(int(x))]
         if told:
-            yield pa.RecordBatch.from_arrays([pa.array(list(x), t) for x, t in zip(zip(*told, strict=True), (pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64())), strict=True)], ["part", "entry", "n", "sums"])
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*told, strict=True)], ["part", "entry", "place", "n"])
 
-    each = rows.select("vector").mapInArrow(run, "part int, entry int, n long, sums array<long>")
-    each = each.select("part", "entry", "n", F.posexplode("sums").alias("place", "limb"))
-    found = each.groupBy("part", "entry", "place").agg(F.sum("n").alias("n"), F.sum("limb").alias("limb")).collect()
-    total: dict[tuple[int, int], tuple[int, list[int]]] = {}
+    found = rows.select("vector").mapInArrow(run, "part long, entry long, place long, n long").groupBy("part", "entry", "place").agg(F.sum("n").alias("n")).collect()
+    total: dict[tuple[int, int], tuple[list[int], list[int]]] = {}
     for r in found:
-        n, sums = total.setdefault((r["part"], r["entry"]), (r["n"], [0] * width))
-        sums[r["place"] // LIMBS] += r["limb"] << (r["place"] % LIMBS * LIMB)
+        n, sums = total.setdefault((r["part"], r["entry"]), ([0], [0] * width))
+        if r["place"]:
+            sums[(r["place"] - 1) // LIMBS] += r["n"] << ((r["place"] - 1) % LIMBS * LIMB)
+        else:
+            n[0] = r["n"]
     after = [b.entries.astype(object) for b in books]
     for (part, entry), (n, sums) in total.items():
-        after[part][entry] = [x // n for x in sums]
+        after[part][entry] = [x // n[0] for x in sums]
     small = all(abs(x) < 1 << 28 for b in after for x in b.ravel().tolist()) and all(b.entries.dtype != object for b in books)
     return [Codebook(b.astype(np.int64) if small else b) for b in after]
 
