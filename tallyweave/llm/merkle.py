@@ -32,6 +32,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import CRC32_SQL, CRC32_TABLE, checkpointed, table
+from .cutting import bound
 
 FANOUT = 16
 BLOCK = FANOUT * FANOUT
@@ -112,13 +113,18 @@ def walked(held: DataFrame, finish: Callable[[Column, Column], Column]) -> DataF
     Each block is one row until its entries are finished, so that only what finish() gives is multiplied.
     """
     nodes = F.transform("nodes", lambda x: x["node"])
-    levels = held.withColumn("_first", F.when(F.col("up") > 0, siblings(nodes))).withColumn("_second", F.when(F.col("up") > 1, siblings(collapsed(nodes))))
 
-    def path(k: Column) -> Column:
-        own = F.array(F.get("_first", k), F.get("_second", F.floor(k / FANOUT).cast("int")))
-        return F.concat(F.slice(own, F.lit(1), F.col("up")), F.col("above"))
+    def told(first: Column, second: Column) -> Column:
+        def path(k: Column) -> Column:
+            own = F.array(F.get(first, k), F.get(second, F.floor(k / FANOUT).cast("int")))
+            return F.concat(F.slice(own, F.lit(1), F.col("up")), F.col("above"))
 
-    out = levels.withColumn("_out", F.transform("nodes", lambda x, k: finish(x, path(k)))).drop("_first", "_second", "nodes", "above", "up", "block")
+        return F.transform("nodes", lambda x, k: finish(x, path(k)))
+
+    # bound() holds the siblings of a block: as columns they would be put into the loop over its entries by the optimizer.
+    none = F.lit(None).cast(_PATH)
+    entries = bound(F.when(F.col("up") > 0, siblings(nodes)).otherwise(none), lambda first: bound(F.when(F.col("up") > 1, siblings(collapsed(nodes))).otherwise(none), lambda second: told(first, second)))
+    out = held.withColumn("_out", entries).drop("nodes", "above", "up", "block")
     return out.select("*", F.explode("_out").alias("entry")).drop("_out")
 
 
