@@ -5,16 +5,16 @@ A chunk table has the columns of schemas.CHUNKS, its vectors beside its text.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from functools import reduce
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import jurisdiction as normal
-from .materialize import united
+from . import vector_index
+from .materialize import new_folder, united
 
 KEYWORD_LIMIT = 50
 
@@ -65,41 +65,10 @@ def knn(chunks: DataFrame, query: list[float], limit: int, jurisdiction: str | N
     return rows.orderBy("distance", id_column).limit(limit)
 
 
-def knn_join(chunks: DataFrame, queries: DataFrame, limit: int, id_column: str = "id", vector_column: str = "embedding", query_id: str = "query_id", block: int = 2048) -> DataFrame:
-    """(query_id, id, distance, rank): the nearest chunks of each row of a query table, a stated set against all rows, in blocks.
-
-    A block of queries is broadcast; each task keeps its own best of every query, and only those meet.
-    """
-    kind, query_kind = chunks.schema[id_column].dataType.simpleString(), queries.schema[query_id].dataType.simpleString()
-    out = None
-    held: list = []
-
-    def search(rows: list) -> DataFrame:
-        ids = [r[0] for r in rows]
-        q = np.array([r[1] for r in rows], np.float64)
-
-        def best(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for part in parts:
-                part = part[part[vector_column].map(lambda v: v is not None and len(v) == q.shape[1])]
-                if len(part):
-                    x = np.stack(part[vector_column].to_numpy()).astype(np.float64)
-                    d = np.sqrt(np.maximum((q**2).sum(1)[:, None] + (x**2).sum(1)[None, :] - 2 * q @ x.T, 0))
-                    top = np.argpartition(d, min(limit, d.shape[1]) - 1, axis=1)[:, :limit]
-                    for k, i in enumerate(ids):
-                        yield pd.DataFrame({query_id: i, id_column: part[id_column].to_numpy()[top[k]], "distance": np.sqrt(((x[top[k]] - q[k]) ** 2).sum(1))})
-
-        return chunks.select(id_column, vector_column).mapInPandas(best, f"{query_id} {query_kind}, {id_column} {kind}, distance double")
-
-    for row in queries.select(query_id, vector_column).toLocalIterator():
-        held.append(row)
-        if len(held) == block:
-            out, held = search(held) if out is None else out.transform(united, search(held)), []
-    if held:
-        out = search(held) if out is None else out.transform(united, search(held))
-    if out is None:
-        return chunks.sparkSession.createDataFrame([], f"{query_id} {query_kind}, {id_column} {kind}, distance double, rank int")
-    rank = F.row_number().over(Window.partitionBy(query_id).orderBy("distance", id_column))
-    return out.withColumn("rank", rank).where(F.col("rank") <= limit)
+def knn_join(chunks: DataFrame, queries: DataFrame, limit: int, id_column: str = "id", vector_column: str = "embedding", query_id: str = "query_id") -> DataFrame:
+    """(query_id, id, distance, rank, cells_read): the nearest chunks of each row of a query table, exactly, by an index built for the purpose."""
+    index = vector_index.build(chunks.select(id_column, vector_column), new_folder(chunks.sparkSession, "vectors"), id_column, vector_column)
+    return vector_index.search(index, queries, limit, query_id, vector_column)
 
 
 def lexical_score(query: str) -> Callable[[Column], Column]:

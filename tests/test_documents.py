@@ -33,7 +33,7 @@ def test_knn(spark, chunks):
     assert [r.id for r in retrieval.knn(chunks, [1.0, 0.0], 1, source_type="research").collect()] == [1]
     assert [r.id for r in retrieval.knn(chunks, [2.0, 0.0], 2, metric="cosine").collect()] == [0, 2]
     queries = spark.createDataFrame([(9, [1.0, 0.0]), (8, [0.0, 1.0])], "query_id long, embedding array<float>")
-    found = retrieval.knn_join(chunks, queries, 2, block=1).orderBy("query_id", "rank").collect()
+    found = retrieval.knn_join(chunks, queries, 2).orderBy("query_id", "rank").collect()
     assert [(r.query_id, r.id) for r in found] == [(8, 1), (8, 2), (9, 0), (9, 2)]
     assert retrieval.knn_join(chunks, queries.limit(0), 2).count() == 0
 
