@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import jurisdiction as normal
-from . import vector_index
+from . import text_index, vector_index
 from .materialize import new_folder, united
 
 KEYWORD_LIMIT = 50
@@ -81,18 +81,36 @@ def lexical_score(query: str) -> Callable[[Column], Column]:
     return score
 
 
-def hybrid(chunks: DataFrame, query: str, embedding: list[float], limit: int, jurisdiction: str | None = None, source_type: str | None = None, score: Callable[[Column], Column] | None = None, metric: str = "l2") -> DataFrame:
-    """The nearest max(20 * limit, 150) and the first 50 by keyword, each chunk once, the best by score."""
+def hybrid(
+    chunks: DataFrame, query: str, embedding: list[float], limit: int, jurisdiction: str | None = None, source_type: str | None = None, score: Callable[[Column], Column] | None = None,
+    metric: str = "l2", index: text_index.TextIndex | None = None,
+) -> DataFrame:
+    """The nearest max(20 * limit, 150) and the first 50 by keyword, each chunk once, the best by score.
+
+    With an index of the chunks keywords are found by it and BM25 is the score, unless one is given; without, texts are scanned.
+    """
     if len(query.split()) < 3:
         raise ValueError("a query needs three words at least")
     near = knn(chunks, embedding, max(20 * limit, 150), jurisdiction, source_type, metric).withColumn("_from", F.lit(0))
-    said = keyword_search(chunks, query, KEYWORD_LIMIT, jurisdiction, source_type).drop("context").withColumn("_from", F.lit(1))
-    both = near.transform(united, said, allowMissingColumns=True)
+    said = indexed_search(chunks, index, query, KEYWORD_LIMIT, jurisdiction, source_type) if index else keyword_search(chunks, query, KEYWORD_LIMIT, jurisdiction, source_type).drop("context")
+    both = near.transform(united, said.withColumn("_from", F.lit(1)), allowMissingColumns=True)
     first = F.row_number().over(Window.partitionBy("id").orderBy("_from"))
-    scored = both.withColumn("_n", first).where("_n = 1").drop("_n", "_from").withColumn("rerank_score", (score or lexical_score(query))(F.col("text_content")))
+    once = both.withColumn("_n", first).where("_n = 1").drop("_n", "_from")
+    if index and score is None:
+        told = text_index.bm25(index, chunks.sparkSession.createDataFrame([(0, query)], "query_id int, query string")).select("id", F.col("score").alias("_score"))
+        scored = once.join(told, "id", "left").withColumn("rerank_score", F.coalesce("_score", F.lit(0.0))).drop("_score")
+    else:
+        scored = once.withColumn("rerank_score", (score or lexical_score(query))(F.col("text_content")))
     return scored.orderBy(F.desc("rerank_score"), "id").limit(limit)
 
 
+def indexed_search(chunks: DataFrame, index: text_index.TextIndex, query: str, limit: int = KEYWORD_LIMIT, jurisdiction: str | None = None, source_type: str | None = None) -> DataFrame:
+    """What keyword_search() finds, by an index of the chunks; no text is read but of those found."""
+    asked = chunks.sparkSession.createDataFrame([(p,) for p in phrases(query)], "phrase string")
+    hits = text_index.phrase_hits(index, asked).select("id").distinct()
+    return _scoped(chunks, jurisdiction, source_type).join(hits, "id", "left_semi").orderBy("id").limit(limit).withColumn("distance", F.lit(0.0))
+
+
 def evidence(chunks: DataFrame, queries: list[tuple[str, list[float]]], limit: int) -> DataFrame:
     """Several phrases at once: each chunk as the first phrase found it, by distance."""
     found = reduce(lambda a, b: a.transform(united, b), (knn(chunks, e, limit).withColumns({"phrase": F.lit(p), "_order": F.lit(k)}) for k, (p, e) in enumerate(queries)))

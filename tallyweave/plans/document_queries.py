@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions.arithmetic import arithmetic
-from ..operators import chunking, consensus, masking, portfolio, retrieval, sessions, store
+from ..operators import chunking, consensus, masking, portfolio, retrieval, sessions, store, text_index
+from ..operators.materialize import new_folder
 from ..streaming.ingest import event_windows as windows
 from . import projections as P
 
@@ -56,15 +57,51 @@ def _embedded(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _NEAR = "list_distance(CAST(embedding AS DOUBLE[]), {}::DOUBLE[])"
-_WORDS = "(" + " + ".join(f"CAST(contains(lower(text_content), '{w}') AS INT)" for w in ("the", "and", "of", "with")) + ")"
+
+
+#: Words of chunks as the index has them, and BM25 for a table q of (query_id, word), in SQL.
+def _words_of(text: str) -> str:
+    return f"list_filter(list_transform(string_split(lower(coalesce({text}, '')), ' '), lambda w: regexp_replace(w, '" + r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$" + "', '', 'g')), lambda w: w <> '')"
+
+
+_BM25 = f"""t AS (SELECT id, {_words_of('text_content')} AS ws FROM ({C})), tf AS (SELECT id, word, count(*) AS tf FROM (SELECT id, unnest(ws) AS word FROM t) GROUP BY id, word),
+df AS (SELECT word, ln(1 + ((SELECT count(*) FROM t) - count(*) + 0.5) / (count(*) + 0.5)) AS idf FROM tf GROUP BY word),
+b AS (SELECT query_id, id, round(sum(idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(ws) / (SELECT avg(len(ws)) FROM t)))), 9) AS score FROM q JOIN df USING (word) JOIN tf USING (word) JOIN t USING (id) GROUP BY query_id, id)"""
+
+
+def _indexed(spark: SparkSession, sf_dir: str) -> text_index.TextIndex:
+    return text_index.build(P.chunks(spark, sf_dir), new_folder(spark, "texts"))
+
+
+def _asked(spark: SparkSession, sf_dir: str, words: int) -> DataFrame:
+    """The first words of every twentieth document as a table of queries."""
+    head = F.slice(F.split(F.lower("text"), " "), 1, words)
+    return P.table(spark, sf_dir, "documents").where("doc_id % 20 = 0").select(F.col("doc_id").alias("query_id"), F.array_join(head, " ").alias("query"), F.size(head).alias("n"))
+
+
+@query("""WITH p AS (SELECT doc_id AS query_id, array_to_string(string_split(lower(text), ' ')[:3], ' ') AS phrase FROM documents WHERE doc_id % 20 = 0 AND len(string_split(text, ' ')) >= 3)
+SELECT query_id, doc_id AS id FROM p JOIN documents ON contains(lower(text), phrase) WHERE NOT contains(phrase, '  ')""")
+def phrases_each(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that hold the first three words of every twentieth one, by the index."""
+    asked = _asked(spark, sf_dir, 3).where("n = 3").select("query_id", F.col("query").alias("phrase"))
+    return text_index.phrase_hits(_indexed(spark, sf_dir), asked).join(asked, "phrase").select("query_id", "id")
+
+
+@query(f"""WITH q AS (SELECT DISTINCT query_id, word FROM (SELECT doc_id AS query_id, unnest({_words_of("array_to_string(string_split(lower(text), ' ')[:8], ' ')")}) AS word FROM documents WHERE doc_id % 20 = 0)), {_BM25}
+SELECT query_id, id, CAST(rank AS INT) AS rank FROM (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM b) WHERE rank <= 10""")
+def ranked_each(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten documents with the highest BM25 for the first eight words of every twentieth one."""
+    found = text_index.bm25(_indexed(spark, sf_dir), _asked(spark, sf_dir, 8), 10)
+    return found.select("query_id", "id", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id")).alias("rank"))
 
 
 @query(f"""WITH c AS (SELECT k.*, embedding FROM ({C}) k JOIN embeddings ON id = vec_id), n AS (SELECT id FROM c ORDER BY {_NEAR.format(_QUERY)}, id LIMIT 200),
-s AS (SELECT id FROM c WHERE contains(lower(text_content), 'the and') OR contains(lower(text_content), 'and of') OR contains(lower(text_content), 'of with') ORDER BY id LIMIT 50)
-SELECT id, {_WORDS} / 4.0 AS rerank_score FROM c WHERE id IN (SELECT id FROM n UNION SELECT id FROM s) ORDER BY rerank_score DESC, id LIMIT 10""")
+s AS (SELECT id FROM c WHERE contains(lower(text_content), 'the and') OR contains(lower(text_content), 'and of') OR contains(lower(text_content), 'of with') ORDER BY id LIMIT 50),
+q AS (SELECT 0 AS query_id, unnest(['the', 'and', 'of', 'with']) AS word), {_BM25}
+SELECT id, coalesce(score, 0) AS rerank_score FROM c LEFT JOIN b USING (id) WHERE id IN (SELECT id FROM n UNION SELECT id FROM s) ORDER BY rerank_score DESC, id LIMIT 10""")
 def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nearest and keyword candidates, each once, the best by the share of words they hold."""
-    return retrieval.hybrid(_embedded(spark, sf_dir), "the and of with", _QUERY, 10).select("id", "rerank_score")
+    """Nearest and keyword candidates, each once, the best by BM25 over all chunks."""
+    return retrieval.hybrid(_embedded(spark, sf_dir), "the and of with", _QUERY, 10, index=_indexed(spark, sf_dir)).select("id", "rerank_score")
 
 
 @query(f"""WITH a AS (SELECT vec_id AS id, {_NEAR.format(_QUERY)} AS d FROM embeddings WHERE vec_id IN (SELECT doc_id FROM documents) ORDER BY d, id LIMIT 15), b AS (SELECT vec_id AS id, {_NEAR.format(_QUERY[::-1])} AS d FROM embeddings WHERE vec_id IN (SELECT doc_id FROM documents) ORDER BY d, id LIMIT 15)
