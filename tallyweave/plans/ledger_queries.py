@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..operators import portfolio
 from . import projections as P
-from ..operators.materialize import united
+from ..operators.materialize import new_folder, united
+from ..streaming import lots
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -144,6 +145,27 @@ def fifo_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("isin", F.col("l.id").alias("lot_id"), F.col("r.id").alias("sale_id"), F.col("matched").cast("double").alias("matched"), (F.col("cost") * 1000000).cast("long").alias("cost_micro"))
 
 
+#: Sales that the lots so far cover, in turn: the balance is folded over each asset's events.
+_TAKEN = f"""l AS ({L}), g AS (SELECT isin, list({{'d': CAST(CASE WHEN action = 'buy' THEN quantity ELSE -quantity END AS DOUBLE), 'ids': [id]}} ORDER BY event_timestamp, id) AS ev FROM l WHERE action <> 'dividend' GROUP BY isin),
+k AS (SELECT isin, unnest(list_reduce(list_prepend({{'d': CAST(0 AS DOUBLE), 'ids': CAST([] AS VARCHAR[])}}, ev), lambda a, x: CASE WHEN a.d + x.d < 0 THEN a ELSE {{'d': a.d + x.d, 'ids': list_concat(a.ids, x.ids)}} END).ids) AS id FROM g),
+e AS (SELECT l.isin, l.id, action, quantity AS q, unit_price AS p, fees AS f, sum(quantity) OVER (PARTITION BY l.isin, action ORDER BY event_timestamp, l.id) AS hi FROM l JOIN k USING (isin, id))"""
+
+
+@query(f"""WITH {_TAKEN} SELECT b.isin, 'matched' AS status, b.id AS lot_id, s.id AS sale_id, CAST(least(b.hi, s.hi) - greatest(b.hi - b.q, s.hi - s.q) AS DOUBLE) AS matched
+FROM e b JOIN e s ON b.isin = s.isin AND b.action = 'buy' AND s.action = 'sell' AND b.hi - b.q < s.hi AND s.hi - s.q < b.hi
+UNION ALL SELECT isin, 'rejected', NULL, id, NULL FROM l WHERE action = 'sell' AND id NOT IN (SELECT id FROM k)""")
+def lots_replayed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ledger as a stream in three parts, stopped and started again in between; uncovered sales are rejected whole."""
+    rows = P.ledger(spark, sf_dir).where("action <> 'dividend'").select("isin", "id", "event_timestamp", "action", "quantity", "unit_price", "fees")
+    folder, own = new_folder(spark, "lots"), lots.stateful(spark)
+    parts = ("event_timestamp < '1994-01-01'", "event_timestamp >= '1994-01-01' AND event_timestamp < '1996-07-01'", "event_timestamp >= '1996-07-01'")
+    for part in parts:
+        rows.where(part).write.mode("append").parquet(f"{folder}/in")
+        lots.follow(own.readStream.schema(rows.schema).parquet(f"{folder}/in"), f"{folder}/out", f"{folder}/state").awaitTermination()
+    found = spark.read.parquet(f"{folder}/out")
+    return found.select("isin", "status", F.col("l.id").alias("lot_id"), F.col("r.id").alias("sale_id"), F.col("matched").cast("double").alias("matched"))
+
+
 @query(f"""WITH l AS ({L}), b AS (SELECT isin, id, quantity, sum(quantity) OVER (PARTITION BY isin ORDER BY event_timestamp, id) AS hi FROM l WHERE action = 'buy'), s AS (SELECT isin, sum(quantity) AS sold FROM l WHERE action = 'sell' GROUP BY isin)
 SELECT b.isin, b.id, CAST(least(quantity, hi - coalesce(sold, 0)) AS DOUBLE) AS remaining FROM b LEFT JOIN s ON b.isin = s.isin WHERE hi > coalesce(sold, 0)""")
 def open_lots(spark: SparkSession, sf_dir: str) -> DataFrame:
