@@ -62,7 +62,7 @@ def portfolio_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
 from pyspark.sql import Window  # noqa: E402
 
 from ..functions import numbers  # noqa: E402
-from ..operators import fifo, mergers, reads, store, tax, validation  # noqa: E402
+from ..operators import fifo, mergers, reads, store, tax, validation, versioned  # noqa: E402
 
 L = P.LEDGER_SQL
 
@@ -323,6 +323,17 @@ def keyed_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.deleted(store.upserted(old, new, ["o_orderkey"]), (F.col("o_orderkey") >= 0) & (F.col("o_orderkey") % 11 == 0))
 
 
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN 'merged' ELSE o_orderstatus END AS o_orderstatus FROM orders WHERE o_custkey % 11 <> 0 UNION ALL SELECT -o_orderkey, 'new' FROM orders WHERE o_totalprice > 300000")
+def versions_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as a table in versions, an upsert by key and a delete, each by the files it touches."""
+    orders = P.table(spark, sf_dir, "orders")
+    held = versioned.create(orders.select("o_orderkey", "o_orderstatus"), new_folder(spark, "orders"), ("o_orderkey",))
+    new = orders.where("o_totalprice > 300000").select((-F.col("o_orderkey")).alias("o_orderkey"), F.lit("new").alias("o_orderstatus"))
+    held.merge(orders.where("o_orderkey % 5 = 0").select("o_orderkey", F.lit("merged").alias("o_orderstatus")).transform(united, new))
+    held.delete(orders.where("o_custkey % 11 = 0").select("o_orderkey"))
+    return held.read(spark)
+
+
 @query("SELECT c_custkey, CAST(c_acctbal AS DOUBLE) AS thousands, CAST(abs(c_acctbal) AS DOUBLE) AS magnitude FROM customer")
 def decimal_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Numbers as people of two countries write them."""
