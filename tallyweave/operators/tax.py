@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -75,7 +77,33 @@ def domicile_of(isin: Column) -> Column:
     return F.when(prefix.isin("IE", "LU", "US", "DE", "FR", "GB", "IT", "CH", "NL", "JE", "GG"), prefix)
 
 
-def lot_matches(disposals: DataFrame, lots: DataFrame, stepped_up: DataFrame | None = None) -> DataFrame:
+@dataclass(frozen=True)
+class Line:
+    """The purchases of each ISIN as one line of quantity by date: lots with their number n and where they lie (lo, hi), and for each disposal
+    what was bought before its window of older days (old), until it (all), and until the end of the days after it (back), as hi and n."""
+
+    lots: DataFrame
+    upto: DataFrame
+
+
+def line_of(disposals: DataFrame, lots: DataFrame) -> Line:
+    """The line that lot_matches() and repurchases() look pieces up in; sums are taken once, and stored."""
+    # Ids of both sides may have any type; rows of one table have one.
+    lot_type = lots.schema["lot_id"].dataType
+    bought = lots.select("isin", F.col("bought_at").alias("at"), F.lit(1).alias("kind"), "lot_id", F.col("quantity").cast(Q).alias("q"), F.lit(1).alias("one"), F.struct("bought_at", "quantity", "price", "fees").alias("lot"))
+    days = F.expr(f"INTERVAL {WINDOW_DAYS} DAYS")
+    older = (F.date_trunc("day", "sold_at") - days).cast("timestamp")
+    # Before the lots of its moment, and after them: what was bought until then.
+    places = ((older, 0), (F.col("sold_at").cast("timestamp"), 2), ((F.col("sold_at") + days).cast("timestamp"), 3))
+    marks = disposals.select("isin", "disposal_id", F.explode(F.array(*(F.struct(at.alias("at"), F.lit(kind).alias("kind")) for at, kind in places))).alias("m"))
+    marks = marks.select("isin", "m.*", F.lit(None).cast(lot_type).alias("lot_id"), F.lit(0).cast(Q).alias("q"), F.lit(0).alias("one"), "disposal_id")
+    line = stored(fifo.running(bought.transform(united, marks, allowMissingColumns=True), ["isin"], "at", ["kind", "lot_id"], {"q": "hi", "one": "n"}))
+    placed = line.where("kind = 1").select("isin", "lot_id", "lot", F.col("n").cast("long").alias("n"), "hi", (F.col("hi") - F.col("q")).cast(Q).alias("lo"))
+    upto = line.where("kind <> 1").groupBy("disposal_id").agg(*(F.max(F.when(F.col("kind") == k, F.col(c))).alias(f"{name}_{c}") for k, name in ((0, "old"), (2, "all"), (3, "back")) for c in ("hi", "n")))
+    return Line(placed, upto)
+
+
+def lot_matches(disposals: DataFrame, lots: DataFrame, stepped_up: DataFrame | None = None, line: Line | None = None) -> DataFrame:
     """Each disposal against the whole purchase history of its ISIN: lots of the 28 days before it first, then older ones, by date.
 
     disposals: disposal_id, isin, sold_at, quantity, price, fees (EUR); lots: lot_id, isin, bought_at, quantity, price, fees (EUR).
@@ -85,19 +113,10 @@ def lot_matches(disposals: DataFrame, lots: DataFrame, stepped_up: DataFrame | N
     older lots are a beginning of it, recent ones what follows up to the sale, and both are taken from their beginning. So a disposal
     takes two pieces of the line, whose last lots are looked up; the lots in between are joined by number. No pairs are tried.
     """
-    # Ids of both sides may have any type; rows of one table have one.
-    lot_type = lots.schema["lot_id"].dataType
     if stepped_up is not None:
         lots = lots.join(stepped_up.select("lot_id", "stepped_up_price"), "lot_id", "left").withColumn("price", F.coalesce("stepped_up_price", "price")).drop("stepped_up_price")
-    bought = lots.select("isin", F.col("bought_at").alias("at"), F.lit(1).alias("kind"), "lot_id", F.col("quantity").cast(Q).alias("q"), F.lit(1).alias("one"), F.struct("bought_at", "quantity", "price", "fees").alias("lot"))
-    older = (F.date_trunc("day", "sold_at") - F.expr(f"INTERVAL {WINDOW_DAYS} DAYS")).cast("timestamp")
-    # Before the lots of its moment, and after them: what was bought until then.
-    marks = disposals.select("isin", "disposal_id", F.explode(F.array(F.struct(older.alias("at"), F.lit(0).alias("kind")), F.struct(F.col("sold_at").alias("at"), F.lit(2).alias("kind")))).alias("m"))
-    marks = marks.select("isin", "m.*", F.lit(None).cast(lot_type).alias("lot_id"), F.lit(0).cast(Q).alias("q"), F.lit(0).alias("one"), "disposal_id")
-    line = stored(fifo.running(bought.transform(united, marks, allowMissingColumns=True), ["isin"], "at", ["kind", "lot_id"], {"q": "hi", "one": "n"}))
-    placed = line.where("kind = 1").select("isin", "lot_id", "lot", F.col("n").cast("long").alias("n"), "hi", (F.col("hi") - F.col("q")).cast(Q).alias("lo"))
-    zero = F.lit(0).cast(Q)
-    upto = line.where("kind <> 1").groupBy("disposal_id").agg(*(F.max(F.when(F.col("kind") == k, F.col(c))).alias(f"{name}_{c}") for k, name in ((0, "old"), (2, "all")) for c in ("hi", "n")))
+    line = line or line_of(disposals, lots)
+    placed, upto, zero = line.lots, line.upto, F.lit(0).cast(Q)
     asked = disposals.join(upto, "disposal_id").withColumn("_recent", F.least(F.col("quantity").cast(Q), F.col("all_hi") - F.col("old_hi")).cast(Q))
     asked = asked.withColumn("_old", F.least((F.col("quantity").cast(Q) - F.col("_recent")).cast(Q), F.col("old_hi")).cast(Q))
     # A piece of the line, the number of the lot before it, and what is added to lots' numbers for their position.
@@ -128,10 +147,24 @@ def _last_lots(pieces: DataFrame, placed: DataFrame, block: int = fifo.BLOCK) ->
     return met.where("_kind = 0").drop("_block", "_at", "_kind", "n")
 
 
-def repurchases(disposals: DataFrame, lots: DataFrame) -> DataFrame:
-    """Purchases of the same ISIN in the 28 days after a disposal."""
-    later = lots.select("isin", F.col("lot_id").alias("repurchase_id"), F.col("bought_at").alias("repurchased_at"), F.col("quantity").alias("repurchased"))
-    return disposals.select("disposal_id", "isin", "sold_at").join(later, "isin").where(f"repurchased_at > sold_at AND repurchased_at <= sold_at + INTERVAL {WINDOW_DAYS} DAYS").select("disposal_id", "repurchase_id", "repurchased_at", "repurchased")
+def repurchases(disposals: DataFrame, lots: DataFrame, wanted: DataFrame | None = None, line: Line | None = None) -> DataFrame:
+    """Purchases of the same ISIN in the 28 days after a disposal: disposal_id, repurchase_id, repurchased_at, repurchased.
+
+    wanted (disposal_id, wanted): how much is to be found for each disposal, the earliest purchases first, and none for others; then there are no
+    more rows than that takes, however much else was bought and sold in those days. The days are two places on the ISIN's line of
+    purchases; the lot in which the piece ends is looked up and those before it are joined by number.
+    """
+    line = line or line_of(disposals, lots)
+    asked = disposals.select("disposal_id", "isin").join(line.upto, "disposal_id")
+    stop = F.col("back_hi")
+    if wanted is not None:
+        asked = asked.join(wanted.select("disposal_id", F.col("wanted").cast(Q).alias("wanted")), "disposal_id")
+        stop = F.least(stop, F.col("all_hi") + F.col("wanted"))
+    piece = F.struct(F.col("all_hi").alias("start"), stop.cast(Q).alias("stop"), F.col("all_n").cast("long").alias("before"))
+    ended = _last_lots(asked.select("disposal_id", "isin", piece.alias("piece")).where("piece.stop > piece.start"), line.lots)
+    found = ended.withColumn("n", F.explode(F.sequence(F.col("piece.before") + 1, "last_n"))).join(line.lots, ["isin", "n"])
+    part = (F.least("hi", "piece.stop") - F.greatest("lo", "piece.start")).cast(Q)
+    return found.select("disposal_id", F.col("lot_id").alias("repurchase_id"), F.col("lot.bought_at").alias("repurchased_at"), part.alias("repurchased")).where("repurchased > 0")
 
 
 def quarantined(matches: DataFrame, bought_back: DataFrame) -> DataFrame:
@@ -184,9 +217,11 @@ def disposal_gains(disposals: DataFrame, lots: DataFrame, classes: DataFrame, pr
         sold = disposals.select("disposal_id", F.year("sold_at").alias("_sold"))
         sums = remittances.join(sold, "disposal_id").groupBy("disposal_id").agg(F.lit(True).alias("remitted"), F.coalesce(F.sum(F.when(F.year("remitted_at") == F.col("_sold"), F.col("amount"))), F.lit(0)).cast(Q).alias("remitted_amount"))
         known = known.join(sums, "disposal_id", "left").withColumns({"remitted": F.coalesce("remitted", F.lit(False)), "remitted_amount": F.coalesce("remitted_amount", F.lit(0).cast(Q))})
-    matches = stored(lot_matches(disposals, lots))
+    line = line_of(disposals, lots)
+    matches = stored(lot_matches(disposals, lots, line=line))
     cgt = known.where(F.col("tax_regime").isin(*CGT_REGIMES)).select("disposal_id")
-    split = quarantined(matches, repurchases(disposals, lots).join(cgt, "disposal_id", "left_semi"))
+    losses = matches.where("gain < 0").groupBy("disposal_id").agg(F.sum("matched").alias("wanted")).join(cgt, "disposal_id", "left_semi")
+    split = quarantined(matches, repurchases(disposals, lots, losses, line))
     sums = split.groupBy("disposal_id").agg(
         F.sum("matched").cast(Q).alias("covered"), F.sum("proceeds").cast(Q).alias("proceeds"), F.sum("cost").cast(Q).alias("cost"), F.sum("gain").cast(Q).alias("gain"),
         F.coalesce(F.sum(F.when(F.col("restricted"), -F.col("gain"))), F.lit(0)).cast(Q).alias("quarantined_loss"), F.coalesce(F.sum(F.when(~F.col("restricted"), F.col("gain"))), F.lit(0)).cast(Q).alias("unrestricted"),
