@@ -122,7 +122,25 @@ def with_local_amount(rows: DataFrame) -> DataFrame:
 
 
 def tree(paths: DataFrame, name: str | None = None, column: str = "path") -> DataFrame:
-    """Files by folder, dot-files left out; with a name, only files whose path holds it."""
-    parts = F.split(column, "/")
-    rows = paths.withColumn("name", F.element_at(parts, -1)).withColumn("folder", F.array_join(F.slice(parts, F.lit(1), F.size(parts) - 1), "/")).where(~F.col(column).rlike(r"(^|/)\."))
-    return (rows if not name else rows.where(F.lower(column).contains(name.lower()))).orderBy("folder", F.lower("name"))
+    """The folders and files of a table of paths: path, name, parent, depth, kind (dir, file), files (how many a folder has below it) and place.
+
+    Ordered by place they are a tree: each folder before what it holds, folders before files, names without regard to case.
+    What begins with a dot is left out with all below it. With a name, only files and folders whose own name holds it stay,
+    and the folders that they are in. Paths that repeat, are null or empty count once or not at all.
+    """
+    parts = F.filter(F.split(column, "/"), lambda x: x != "")
+    rows = paths.select(parts.alias("_parts")).distinct().where((F.size("_parts") > 0) & ~F.exists("_parts", lambda x: x.startswith(".")))
+    last = F.size("_parts")
+    if name and name.strip():
+        wanted = name.strip().lower()
+        # A path is followed down to the deepest of its names that is wanted.
+        last = F.coalesce(F.array_max(F.filter(F.transform("_parts", lambda x, k: F.when(F.lower(x).contains(wanted), k + 1)), lambda k: k.isNotNull())), F.lit(0))
+    rows = rows.withColumn("_last", last).where("_last > 0").select("_parts", F.explode(F.sequence(F.lit(1), "_last")).alias("depth"))
+    told = rows.select(F.slice("_parts", F.lit(1), F.col("depth")).alias("_own"), "depth", (F.col("depth") == F.size("_parts")).alias("_file"))
+    nodes = told.groupBy("_own", "depth", "_file").agg(F.count("*").alias("files"))
+    # A level's folders sort before its files; a folder's key begins those of all below it.
+    key = F.concat(F.transform(F.slice("_own", F.lit(1), F.col("depth") - 1), lambda x: F.concat(F.lit("0"), F.lower(x))), F.array(F.concat(F.col("_file").cast("int").cast("string"), F.lower(F.element_at("_own", -1)))))
+    return nodes.select(
+        F.array_join("_own", "/").alias("path"), F.element_at("_own", -1).alias("name"), F.array_join(F.slice("_own", F.lit(1), F.col("depth") - 1), "/").alias("parent"), "depth",
+        F.when(F.col("_file"), "file").otherwise("dir").alias("kind"), F.when(~F.col("_file"), F.col("files")).alias("files"), F.array_join(key, "\x01").alias("place"),
+    )

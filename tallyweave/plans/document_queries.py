@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions.arithmetic import arithmetic
-from ..operators import chunking, consensus, masking, portfolio, retrieval, sessions, store, text_index
+from ..operators import chunking, consensus, interactions, masking, portfolio, reads, retrieval, sessions, store, text_index
 from ..operators.materialize import new_folder
 from ..streaming.ingest import event_windows as windows
 from . import projections as P
@@ -292,3 +292,46 @@ def page_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
 def languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """X11: a language by its frequent words."""
     return P.table(spark, sf_dir, "documents").select("doc_id", X.language(F.col("text")).alias("language"))
+
+
+_URL_NODES = r"""u AS (SELECT DISTINCT list_filter(string_split(regexp_extract(url, '^https?://([^?#]+)', 1), '/'), lambda x: x <> '') AS ps FROM pages),
+v AS (SELECT ps, {last} AS deepest FROM u WHERE len(list_filter(ps, lambda x: starts_with(x, '.'))) = 0),
+n AS (SELECT ps[:d] AS own, d, d = len(ps) AS is_file FROM (SELECT ps, unnest(range(1, deepest + 1)) AS d FROM v WHERE deepest > 0))
+SELECT array_to_string(own, '/') AS path, CAST(d AS INT) AS depth, CASE WHEN is_file THEN 'file' ELSE 'dir' END AS kind, CASE WHEN NOT is_file THEN count(*) END AS files FROM n GROUP BY own, d, is_file"""
+
+
+def _url_tree(spark: SparkSession, sf_dir: str, name: str | None = None) -> DataFrame:
+    paths = P.table(spark, sf_dir, "pages").select(F.regexp_extract("url", "^https?://([^?#]+)", 1).alias("path"))
+    return reads.tree(paths, name).select("path", "depth", "kind", "files")
+
+
+@query("WITH " + _URL_NODES.format(last="len(ps)"))
+def url_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hosts and paths of all pages as folders and files, with how many files each folder has below it."""
+    return _url_tree(spark, sf_dir)
+
+
+@query("WITH " + _URL_NODES.format(last="coalesce(list_max(list_transform(range(1, len(ps) + 1), lambda k: CASE WHEN contains(lower(ps[k]), '25') THEN k ELSE 0 END)), 0)"))
+def url_tree_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What has 25 in its name, and the folders that it is in."""
+    return _url_tree(spark, sf_dir, "25")
+
+
+@query("""WITH r AS (SELECT conv_id, turn, role, TIMESTAMP '2024-01-01' + to_minutes(CAST(conv_id * 90 + turn * (1 + conv_id % 40) AS BIGINT)) AS t FROM conversations)
+SELECT a.conv_id || '-' || a.turn AS request_id, CASE WHEN b.conv_id IS NULL THEN 'UNANSWERED' ELSE 'COMPLETED' END AS status, CAST(date_diff('second', a.t, b.t) AS DOUBLE) AS seconds
+FROM r a LEFT JOIN r b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1 AND b.role = 'assistant' AND b.t >= a.t AND b.t <= a.t + INTERVAL 20 MINUTE WHERE a.role = 'user'""")
+def requests_answered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What users said and what was answered within twenty minutes, as a log that comes in two parts and is followed as a stream; turns take as many minutes as the conversation's number says."""
+    rows = P.table(spark, sf_dir, "conversations").where("role IN ('user', 'assistant')")
+    user = F.col("role") == "user"
+    at = F.timestamp_seconds(F.unix_timestamp(F.lit("2024-01-01").cast("timestamp")) + (F.col("conv_id") * 90 + F.col("turn") * (1 + F.col("conv_id") % 40)) * 60)
+    log = rows.select(F.concat_ws("-", "conv_id", F.when(user, F.col("turn")).otherwise(F.col("turn") - 1)).alias("request_id"), F.when(user, "request").otherwise("response_completed").alias("kind"), at.alias("at"), "text")
+    folder = new_folder(spark, "log")
+    end = log.agg(F.max("at").alias("at")).select(F.explode(F.array(F.lit("request"), F.lit("response_completed"))).alias("kind"), F.expr("at + INTERVAL 9 DAYS").alias("at"))
+    clock = lambda days: end.select(F.lit("clock").alias("request_id"), "kind", F.expr(f"at + INTERVAL {days} DAYS").alias("at"), F.lit("").alias("text"))
+    middle = log.agg(F.expr("percentile_approx(unix_seconds(at), 0.5)")).first()[0] or 0
+    for part in (log.where(F.unix_seconds("at") <= middle), log.where(F.unix_seconds("at") > middle), clock(0), clock(9)):
+        part.write.mode("append").parquet(f"{folder}/in")
+        found = interactions.paired(spark.readStream.schema(log.schema).parquet(f"{folder}/in"), "20 minutes", "1 day")
+        found.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{folder}/out").where("request_id <> 'clock'").select("request_id", "status", "seconds")
