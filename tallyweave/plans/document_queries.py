@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions.arithmetic import arithmetic
-from ..operators import chunking, consensus, interactions, masking, portfolio, reads, retrieval, sessions, store, text_index
+from ..operators import chunking, consensus, interactions, masking, nested_votes, portfolio, reads, retrieval, sessions, store, text_index
 from ..operators.materialize import new_folder
 from ..streaming.ingest import event_windows as windows
 from . import projections as P
@@ -335,3 +335,29 @@ def requests_answered(spark: SparkSession, sf_dir: str) -> DataFrame:
         found = interactions.paired(spark.readStream.schema(log.schema).parquet(f"{folder}/in"), "20 minutes", "1 day")
         found.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(f"{folder}/out").where("request_id <> 'clock'").select("request_id", "status", "seconds")
+
+
+_NESTED = """v AS (SELECT event_id // 3 AS document, event_id % 3 + 1 AS voter, event_type, props, value FROM events),
+f AS (SELECT document, voter, 'who.type' AS path, '"' || event_type || '"' AS value FROM v UNION ALL SELECT document, voter, 'who.props.k', CAST(json_extract(props, '$.k') AS VARCHAR) FROM v UNION ALL SELECT document, voter, 'large', CASE WHEN value > 10 THEN 'true' ELSE 'false' END FROM v),
+n AS (SELECT document, count(DISTINCT voter) AS voters FROM v GROUP BY document), c AS (SELECT document, path, value, count(*) AS n, min(voter) AS first FROM f GROUP BY document, path, value),
+b AS (SELECT document, path, arg_min(value, first) FILTER (n >= 2 OR voters = 1) AS value, count(*) = 1 AS unanimous FROM c JOIN n USING (document) GROUP BY document, path)"""
+
+
+def _payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three events that follow each other as three readings of one document, the objects in them two deep."""
+    who = F.struct(F.col("event_type").alias("type"), F.parse_json("props").alias("props"))
+    payload = F.to_json(F.struct(who.alias("who"), (F.col("value") > 10).alias("large")))
+    return P.table(spark, sf_dir, "events").select(F.expr("event_id DIV 3").alias("document"), (F.col("event_id") % 3 + 1).alias("voter"), payload.alias("payload"))
+
+
+@query(f"WITH {_NESTED} SELECT document, path, value, value IS NOT NULL AS agreed, unanimous FROM b")
+def nested_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What readings agree on, by path."""
+    return nested_votes.fields(_payloads(spark, sf_dir)).select("document", F.array_join("path", ".").alias("path"), "value", "agreed", "unanimous")
+
+
+@query(f"""WITH {_NESTED}, w AS (SELECT document, bool_and(value IS NOT NULL) AS agreed, bool_and(unanimous) AS same, count(*) FILTER (value IS NULL) AS disagreed, max(value) FILTER (path = 'large') AS l, max(value) FILTER (path = 'who.props.k') AS k, max(value) FILTER (path = 'who.type') AS t FROM b GROUP BY document)
+SELECT document, CASE WHEN agreed THEN '{{"large":' || l || ',"who":{{"props":{{"k":' || k || '}},"type":' || t || '}}}}' END AS payload, CASE WHEN same THEN 'auto_approved' WHEN agreed THEN 'majority_agreed' ELSE 'escalated_to_user' END AS status, disagreed, 0 AS bad FROM w""")
+def nested_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The objects that readings agree on, put together again."""
+    return nested_votes.reconciled(_payloads(spark, sf_dir))
