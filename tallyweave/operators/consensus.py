@@ -5,11 +5,14 @@ votes: document, voter (1 to 3), and the columns of schemas.EXTRACTION.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import company_key
+from ..schemas import MONEY
 
 FIELDS = ("event_date", "asset_type", "symbol", "isin", "action", "quantity", "unit_price", "currency", "fees", "total_amount", "fx_rate", "asset_name", "provider")
 MATCH = 0.40
@@ -56,12 +59,27 @@ def numbered(votes: DataFrame) -> DataFrame:
     return votes.withColumn("position", F.row_number().over(order) - 1).select("document", "voter", "position", F.struct(*FIELDS).alias("r"))
 
 
+def _sameness(r: Column) -> list[Column]:
+    """What two extractions share just if they are equivalent(), by name; the first is whether an extraction can be equivalent to any.
+
+    Amounts are held to six places, as all money here, so that nearer than a millionth is equal.
+    """
+    need = [F.date_trunc("hour", r["event_date"]), r["asset_type"], r["action"], *(company_key(r[c]) for c in ("symbol", "isin", "provider"))]
+    rest = [_blank(r["currency"]), *(r[c].cast(MONEY) for c in ("quantity", "unit_price", "fees", "total_amount", "fx_rate"))]
+    fit = reduce(lambda a, b: a & b, (c.isNotNull() for c in need))
+    return [fit.alias("_fit"), *(c.alias(f"_k{n}") for n, c in enumerate([*need, *rest]))]
+
+
 def distinct_candidates(votes: DataFrame) -> DataFrame:
-    """What no earlier candidate is equivalent to, in order of voter and position: documents are small, their fold is an expression."""
-    held = numbered(votes).groupBy("document").agg(F.array_sort(F.collect_list(F.struct("voter", "position", "r"))).alias("v"))
-    first = F.transform("v", lambda x: x["r"])
-    kept = F.aggregate(first, F.slice(first, 1, 0), lambda out, x: F.when(F.exists(out, lambda y: equivalent(x, y)), out).otherwise(F.concat(out, F.array(x))))
-    return held.select("document", F.posexplode(kept).alias("candidate", "r"))
+    """What no earlier candidate is equivalent to, numbered in order of voter and position.
+
+    Equivalent extractions share their keys, so the first of each stays, found by partial aggregation; no extractions are compared in pairs. One that
+    lacks what equivalence needs is a candidate of its own.
+    """
+    keyed = numbered(votes).select("document", F.struct("voter", "position").alias("_at"), "r", *_sameness(F.col("r")))
+    alone = F.when(~F.col("_fit"), F.col("_at")).alias("_alone")
+    first = keyed.groupBy("document", "_fit", alone, *(c for c in keyed.columns if c.startswith("_k"))).agg(F.min_by("r", "_at").alias("r"), F.min("_at").alias("_at"))
+    return first.select("document", (F.row_number().over(Window.partitionBy("document").orderBy("_at")) - 1).alias("candidate"), "r")
 
 
 def best_matches(candidates: DataFrame, votes: DataFrame) -> DataFrame:

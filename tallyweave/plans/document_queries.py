@@ -217,7 +217,18 @@ def consensus_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return consensus.verified(_votes(spark, sf_dir)).select("document", "status", "error")
 
 
-@query()
+_LIKE = """CASE WHEN date_trunc('hour', a.ts) = date_trunc('hour', b.ts) THEN 25 WHEN CAST(a.ts AS DATE) = CAST(b.ts AS DATE) THEN 20 WHEN abs(date_diff('second', date_trunc('second', a.ts), date_trunc('second', b.ts))) <= 172800 THEN 3 ELSE 0 END
+  + CASE WHEN a.event_type = b.event_type THEN 10 ELSE 0 END + 10 + CASE WHEN a.event_id = b.event_id THEN 25 ELSE 0 END + 15
+  + CASE WHEN abs(a.amount - b.amount) < 0.01 THEN 15 WHEN a.amount > 0 AND abs(a.amount - b.amount) * 20 <= a.amount THEN 10 ELSE 0 END"""
+
+
+@query(f"""WITH v AS (SELECT user_id AS document, voter, ts, event_id, event_type, CAST(CASE WHEN voter = 2 AND event_id % 700 = 0 THEN value + 1 ELSE value END AS DECIMAL(20,6)) AS amount,
+  row_number() OVER (PARTITION BY user_id, voter ORDER BY strftime(ts, '%Y-%m-%dT%H:%M:%S'), event_id) AS position FROM events, (SELECT unnest([1, 2, 3]) AS voter) WHERE NOT (voter = 3 AND event_id % 500 = 7) AND user_id IN (SELECT user_id FROM events WHERE event_id % 500 = 7)),
+f AS (SELECT * FROM v QUALIFY row_number() OVER (PARTITION BY document, date_trunc('hour', ts), event_type, event_id, amount ORDER BY voter, position) = 1),
+c AS (SELECT *, row_number() OVER (PARTITION BY document ORDER BY voter, position) - 1 AS candidate FROM f),
+s AS (SELECT b.document, b.candidate, a.voter, a.position, ({_LIKE}) / 100.0 AS score FROM c b JOIN v a ON a.document = b.document),
+best AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY document, candidate, voter ORDER BY score DESC, position) = 1)
+SELECT document, CAST(candidate AS INT) AS candidate, count(*) AS voters, round(avg(CAST(score AS DOUBLE)), 2) AS similarity FROM best WHERE score >= 0.40 GROUP BY document, candidate HAVING count(*) >= 2""")
 def consensus_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Candidates of uneven readings and their likeness to each reading."""
     votes = _votes(spark, sf_dir)

@@ -136,3 +136,16 @@ def test_manifest(spark):
     files = spark.createDataFrame([("a",), ("b",), ("c",)], "file_sha string")
     manifest = spark.createDataFrame([("a", "SUCCESS"), ("b", "FAILED")], "file_sha string, status string")
     assert sorted(r.file_sha for r in reads.fresh(files, manifest).collect()) == ["b", "c"]
+
+
+def test_candidates_of_a_large_document(spark):
+    n = 100_000
+    votes = spark.range(n).selectExpr(
+        "'d' AS document", "CAST(id % 3 + 1 AS INT) AS voter", "timestamp_seconds(1700000000 + (id div 3) * 7) AS event_date", "'stock' AS asset_type", "concat('S', id div 6) AS symbol", "CAST(null AS STRING) AS isin",
+        "IF(id % 50 = 0, CAST(null AS STRING), 'buy') AS action", "CAST(1 AS DECIMAL(20,6)) AS quantity", "CAST(null AS DECIMAL(20,6)) AS unit_price", "'EUR' AS currency", "CAST(0 AS DECIMAL(20,6)) AS fees", "CAST(id div 3 AS DECIMAL(20,6)) AS total_amount",
+        "CAST(1 AS DECIMAL(20,6)) AS fx_rate", "CAST(null AS STRING) AS asset_name", "'b' AS provider")
+    found = consensus.distinct_candidates(votes)
+    # Three readings of each row are one candidate; those without an action are each their own.
+    alone = sum(1 for k in range(n) if k % 50 == 0)
+    whole = len({k // 3 for k in range(n) if k % 50})
+    assert found.count() == whole + alone and found.agg(F.max("candidate")).first()[0] == whole + alone - 1
