@@ -82,17 +82,19 @@ def promoted_income(staged: DataFrame, approved: DataFrame) -> tuple[DataFrame,
     return approved.transform(united, moved.withColumn("id", F.col("_id")).select(approved.columns)), linked
 
 
-def rejected(staged: DataFrame, ids: list[int]) -> DataFrame:
-    """staged with the rows of these ids marked as rejected; those that have been promoted stay as they are."""
-    return updated(staged, F.col("id").isin(ids) & F.col("approved_financial_record_id").isNull(), verification_status="rejected")
+def rejected(staged: DataFrame, ids: DataFrame) -> DataFrame:
+    """staged with the rows of these ids (a table with id) marked as rejected; those that have been promoted stay as they are."""
+    asked = ids.select(F.col("id").alias("_id")).distinct().withColumn("_asked", F.lit(True))
+    told = staged.join(asked, staged["id"] == F.col("_id"), "left")
+    return updated(told, F.coalesce("_asked", F.lit(False)) & F.col("approved_financial_record_id").isNull(), verification_status="rejected").drop("_id", "_asked")
 
 
 _FIELD = "struct<value:string,value_type:string,status:string>"
 
 
-def field_set(fields: Column, name: str, value: str, kind: str, status: str) -> Column:
+def field_set(fields: Column, name: str, value: str | Column, kind: str, status: str) -> Column:
     """A form's fields (map of struct) with one set; what the user has overridden only the user changes."""
-    new = F.create_map(F.lit(name), F.struct(F.lit(value).alias("value"), F.lit(kind).alias("value_type"), F.lit(status).alias("status")))
+    new = F.create_map(F.lit(name), F.struct((value if isinstance(value, Column) else F.lit(value)).alias("value"), F.lit(kind).alias("value_type"), F.lit(status).alias("status")))
     held = F.coalesce(fields, F.create_map().cast(f"map<string,{_FIELD}>"))
     locked = F.coalesce(F.try_element_at(held, F.lit(name))["status"] == "user_override", F.lit(False)) & F.lit(status != "user_override")
     return F.when(locked, held).otherwise(F.map_concat(F.map_filter(held, lambda k, _: k != name), new))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators import fifo, ingestion, mergers, reads, sessions, store, tax, validation
+from ..operators.materialize import united
 from ..sources import files
 from . import projections as P
 
@@ -140,69 +141,71 @@ def merger_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.table(spark, sf_dir, "part").select("p_partkey", ratio.cast("double").alias("ratio"))
 
 
-@query("SELECT status, count(*) AS n FROM (SELECT CASE WHEN c_custkey % 5 = 0 THEN 'approved' WHEN c_custkey % 3 = 0 THEN 'rejected' ELSE 'pending_approval' END AS status FROM customer) GROUP BY status")
+@query("SELECT status, count(*) AS n FROM (SELECT CASE WHEN o_orderstatus = 'F' THEN 'approved' WHEN o_orderpriority = '1-URGENT' THEN 'rejected' ELSE 'pending_approval' END AS status FROM orders) GROUP BY status")
 def rejections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Staged rows marked as rejected, unless they have been promoted."""
-    rows = P.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.when(F.col("c_custkey") % 5 == 0, F.col("c_custkey")).alias("approved_financial_record_id"), F.when(F.col("c_custkey") % 5 == 0, "approved").otherwise("pending_approval").alias("verification_status"))
-    ids = list(range(0, (rows.agg(F.max("id")).first()[0] or 0) + 1, 3))
+    """Finished orders as promoted rows, urgent ones rejected unless they have been promoted."""
+    orders, done = P.table(spark, sf_dir, "orders"), F.col("o_orderstatus") == "F"
+    rows = orders.select(F.col("o_orderkey").alias("id"), F.when(done, F.col("o_orderkey")).alias("approved_financial_record_id"), F.when(done, "approved").otherwise("pending_approval").alias("verification_status"))
+    ids = orders.where("o_orderpriority = '1-URGENT'").select(F.col("o_orderkey").alias("id"))
     return store.rejected(rows, ids).groupBy(F.col("verification_status").alias("status")).agg(F.count("*").alias("n"))
 
 
-@query("SELECT CASE WHEN c_custkey % 2 = 0 THEN 'moved' ELSE 'stays' END AS fate, count(*) AS n FROM customer GROUP BY 1")
+@query("SELECT event_id AS id, CASE WHEN event_type <> 'error' THEN (SELECT max(event_id) FROM events WHERE event_type = 'view') + event_id + 1 END AS approved_id FROM events")
 def income_promotion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Staged income with a payload moves over, without one it stays."""
-    k = F.col("c_custkey")
-    staged = P.table(spark, sf_dir, "customer").select(k.alias("id"), F.when(k % 2 == 0, F.lit("{}")).alias("payload_json"), F.lit(None).cast("long").alias("approved_tax_income_record_id"), F.lit("auto_approved").alias("verification_status"))
-    linked = store.promoted_income(staged, staged.limit(0).select("id", "payload_json"))[1]
-    return linked.groupBy(F.when(F.col("approved_tax_income_record_id").isNotNull(), "moved").otherwise("stays").alias("fate")).agg(F.count("*").alias("n"))
+    """Events but for errors have their props as payload and move over, with a link; errors stay."""
+    events = P.table(spark, sf_dir, "events")
+    staged = events.select(F.col("event_id").alias("id"), F.when(F.col("event_type") != "error", F.col("props")).alias("payload_json"), F.lit(None).cast("long").alias("approved_tax_income_record_id"), F.lit("auto_approved").alias("verification_status"))
+    approved = events.where("event_type = 'view'").select(F.col("event_id").alias("id"), F.col("props").alias("payload_json"))
+    return store.promoted_income(staged, approved)[1].select("id", F.col("approved_tax_income_record_id").alias("approved_id"))
 
 
-@query("SELECT event_id, CASE WHEN event_id % 6 = 0 THEN 'approved' WHEN event_id % 5 = 0 THEN 'needs data' WHEN event_id % 3 = 0 THEN 'unanimous' WHEN event_id % 3 = 1 THEN 'majority' ELSE 'needs review' END AS label FROM events")
+@query("SELECT event_id, CASE WHEN event_type = 'purchase' THEN 'approved' WHEN event_type = 'error' THEN 'needs data' WHEN value < 5 THEN 'unanimous' WHEN value < 10 THEN 'majority' ELSE 'needs review' END AS label FROM events")
 def income_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What a staged income row is shown as."""
-    k = F.col("event_id")
-    status = F.when(k % 3 == 0, "auto_approved").when(k % 3 == 1, "majority_agreed").otherwise("escalated_to_user")
-    return P.table(spark, sf_dir, "events").select("event_id", ingestion.income_label(status, F.when(k % 6 == 0, k), F.when(k % 5 != 0, F.lit("{}"))).alias("label"))
+    """What an event is shown as, by its type, value and props."""
+    status = F.when(F.col("value") < 5, "auto_approved").when(F.col("value") < 10, "majority_agreed").otherwise("escalated_to_user")
+    promoted, payload = F.when(F.col("event_type") == "purchase", F.col("event_id")), F.when(F.col("event_type") != "error", F.col("props"))
+    return P.table(spark, sf_dir, "events").select("event_id", ingestion.income_label(status, promoted, payload).alias("label"))
 
 
-@query("SELECT event_id AS id FROM events WHERE event_id % 3 = 0 AND event_id % 2 <> 0")
+@query("SELECT o_orderkey AS id FROM orders WHERE o_totalprice < 100000 AND o_orderstatus <> 'F'")
 def unpromoted_income(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Income that all voters agree on and that has not moved yet."""
-    k = F.col("event_id")
-    rows = P.table(spark, sf_dir, "events").select(k.alias("id"), F.when(k % 3 == 0, "auto_approved").otherwise("majority_agreed").alias("verification_status"), F.when(k % 2 == 0, k).alias("approved_tax_income_record_id"))
+    """Orders of a small sum as those that all agree on, and that are not finished yet."""
+    status = F.when(F.col("o_totalprice") < 100000, "auto_approved").otherwise("majority_agreed")
+    rows = P.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), status.alias("verification_status"), F.when(F.col("o_orderstatus") == "F", F.col("o_orderkey")).alias("approved_tax_income_record_id"))
     return ingestion.unpromoted(rows).select("id")
 
 
-@query("SELECT c_custkey, f AS field, CASE WHEN f = 'b' THEN 'new' ELSE 'kept' END AS value FROM customer, (SELECT unnest(['a', 'b']) AS f)")
+@query("SELECT c_custkey, 'segment' AS field, c_mktsegment AS value FROM customer UNION ALL SELECT c_custkey, 'balance', CASE WHEN c_mktsegment = 'BUILDING' THEN c_mktsegment ELSE c_name END FROM customer")
 def form_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A field set on each form, what the user has overridden staying; a row for each field."""
-    kind = "map<string,struct<value:string,value_type:string,status:string>>"
-    held = F.from_json(F.lit('{"a":{"value":"kept","value_type":"text","status":"user_override"},"b":{"value":"old","value_type":"text","status":"computed_via_tool"}}'), kind)
-    once = store.field_set(store.field_set(held, "a", "lost", "text", "computed_via_tool"), "b", "new", "text", "computed_via_rag")
-    forms = P.table(spark, sf_dir, "customer").select("c_custkey", once.alias("income"))
-    return store.form_rows(forms, ("income",), "c_custkey").select("c_custkey", "field", "value")
+    """A field set and another replaced on each customer's form, but not where the user has overridden it; a row for each field."""
+    name = lambda c, status: F.create_map(F.lit("balance"), F.struct(F.col(c).alias("value"), F.lit("text").alias("value_type"), F.lit(status).alias("status")))
+    rows = P.table(spark, sf_dir, "customer").withColumn("held", F.when(F.col("c_mktsegment") == "BUILDING", name("c_mktsegment", "user_override")).otherwise(name("c_mktsegment", "computed_via_tool")))
+    for field, column in (("balance", "c_name"), ("segment", "c_mktsegment")):
+        rows = rows.withColumn("held", store.field_set(F.col("held"), field, F.col(column), "text", "computed_via_rag"))
+    return store.form_rows(rows.select("c_custkey", F.col("held").alias("income")), ("income",), "c_custkey").select("c_custkey", "field", "value")
 
 
-@query("SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN 'form11' WHEN 1 THEN 'cg1' ELSE 'undetermined' END AS form, CASE c_custkey % 2 WHEN 0 THEN 'italy' ELSE 'ireland' END AS country, regexp_replace(c_name, '[#]', '_', 'g') AS file FROM customer")
+@query(r"""SELECT page_id, 'file' AS kind, regexp_replace(url, '[\\\\/*?:"<>| ]', '_', 'g') AS name FROM pages
+UNION ALL SELECT n_nationkey, 'country', CASE lower(trim(n_name)) WHEN 'italia' THEN 'italy' WHEN 'eire' THEN 'ireland' ELSE lower(trim(n_name)) END FROM nation""".replace("\\\\", "\\"))
 def named_things(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Names of forms, countries and files in one spelling."""
-    k = F.col("c_custkey")
-    form = X.form_type(F.when(k % 3 == 0, "Form 11").when(k % 3 == 1, "form_cg-1").otherwise(F.lit(None)))
-    return P.table(spark, sf_dir, "customer").select("c_custkey", form.alias("form"), X.jurisdiction(F.when(k % 2 == 0, " ITA").otherwise("Eire ")).alias("country"), F.translate(X.file_key(F.col("c_name")), "#", "_").alias("file"))
+    """Addresses of pages as names of files, and nations, in one spelling."""
+    pages = P.table(spark, sf_dir, "pages").select("page_id", F.lit("file").alias("kind"), X.file_key(F.col("url")).alias("name"))
+    nations = P.table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("page_id"), F.lit("country").alias("kind"), X.jurisdiction(F.col("n_name")).alias("name"))
+    return pages.transform(united, nations)
 
 
-@query("SELECT c_custkey, '{\"k\": ' || c_custkey || '}' AS told, '[1, ' || c_custkey || ']' AS listed FROM customer")
+@query("SELECT event_id, props AS told, '[' || event_id || ', ' || value || ']' AS listed FROM events")
 def model_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The JSON in a model's answer."""
-    k = F.col("c_custkey").cast("string")
-    said = F.concat(F.lit("<think>{no}</think>Here:\n```json\n{\"k\": "), k, F.lit("}\n```\nDone."))
-    return P.table(spark, sf_dir, "customer").select("c_custkey", X.json_object(said).alias("told"), X.json_array(F.concat(F.lit("so [1, "), k, F.lit("] it is"))).alias("listed"))
+    """The JSON of events, out of answers that think about it, fence it and talk of it."""
+    said = F.concat(F.lit("<think>{"), F.col("event_type"), F.lit("}</think>Here:\n```json\n"), F.col("props"), F.lit("\n```\nDone."))
+    listed = F.concat(F.lit("so ["), F.col("event_id"), F.lit(", "), F.col("value"), F.lit("] it is, for a "), F.col("event_type"))
+    return P.table(spark, sf_dir, "events").select("event_id", X.json_object(said).alias("told"), X.json_array(listed).alias("listed"))
 
 
-@query("SELECT c_custkey, 'Pay ' || 'Now ' || 'to Us ' || c_custkey AS calm FROM customer")
+@query(r"""SELECT doc_id, array_to_string(list_transform(string_split(text, ' '), lambda w: CASE WHEN len(w) > 1 AND regexp_matches(w, '^[^a-z]*[A-Z][^a-z]*$') THEN upper(w[1]) || lower(w[2:]) ELSE w END), ' ') AS calm FROM documents""")
 def calmed_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Words all in capitals keep their first one."""
-    return P.table(spark, sf_dir, "customer").select("c_custkey", X.calmed(F.concat(F.lit("Pay NOW to US "), F.col("c_custkey"))).alias("calm"))
+    """Words all in capitals, in whole documents, keep their first one."""
+    return P.table(spark, sf_dir, "documents").select("doc_id", X.calmed(F.col("text")).alias("calm"))
 
 
 @query("SELECT c_custkey, p AS page, c_custkey || ' on ' || p AS text FROM customer, (SELECT unnest([1, 2, 3]) AS p)")
@@ -215,11 +218,11 @@ def ocr_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("c_custkey", (F.col("p") + 1).alias("page"), "text")
 
 
-@query("SELECT conv_id, turn, CAST(turn AS BIGINT) AS input_tokens, 3 AS output_tokens, CAST(turn + 3 AS BIGINT) AS total_tokens FROM conversations")
+@query("SELECT conv_id, turn, CAST(len(text) AS BIGINT) AS input_tokens, CASE WHEN role = 'assistant' THEN CAST(len(role) AS BIGINT) ELSE 0 END AS output_tokens, CASE WHEN role = 'system' THEN 7 ELSE CAST(len(text) AS BIGINT) + CASE WHEN role = 'assistant' THEN CAST(len(role) AS BIGINT) ELSE 0 END END AS total_tokens FROM conversations")
 def token_use(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Token use out of JSON, totals filled from their parts."""
-    rows = P.table(spark, sf_dir, "conversations").select("conv_id", "turn", F.concat(F.lit('{"input_tokens": '), F.col("turn"), F.lit(', "output_tokens": 3}')).alias("usage"))
-    return sessions.usage(rows).drop("usage").withColumn("output_tokens", F.col("output_tokens").cast("int"))
+    """The use of tokens, told as JSON of each turn's lengths; totals filled from their parts where they lack."""
+    usage = F.to_json(F.struct(F.length("text").alias("input_tokens"), F.when(F.col("role") == "assistant", F.length("role")).alias("output_tokens"), F.when(F.col("role") == "system", 7).alias("total_tokens")))
+    return sessions.usage(P.table(spark, sf_dir, "conversations").select("conv_id", "turn", usage.alias("usage"))).drop("usage")
 
 
 @query(f"WITH l AS ({L}), e AS (SELECT isin, id, event_timestamp AS t, action, quantity AS q, sum(CASE WHEN action = 'buy' THEN quantity ELSE 0 END) OVER w AS bought, sum(CASE WHEN action = 'sell' THEN quantity ELSE 0 END) OVER w AS sold FROM l WHERE action <> 'dividend' WINDOW w AS (PARTITION BY isin ORDER BY event_timestamp, id)) SELECT id, CAST(bought AS DOUBLE) AS bought, CAST(sold AS DOUBLE) AS sold FROM e")
@@ -228,3 +231,12 @@ def running_balances(spark: SparkSession, sf_dir: str) -> DataFrame:
     side = F.when(F.col("action") == "buy", F.col("quantity")).otherwise(0), F.when(F.col("action") == "sell", F.col("quantity")).otherwise(0)
     rows = P.ledger(spark, sf_dir).where("action <> 'dividend'").select("isin", "id", "event_timestamp", side[0].alias("_b"), side[1].alias("_s"))
     return fifo.running(rows, ["isin"], "event_timestamp", ["id"], {"_b": "bought", "_s": "sold"}).select("id", F.col("bought").cast("double").alias("bought"), F.col("sold").cast("double").alias("sold"))
+
+
+@query("SELECT c_custkey AS id, CAST(1990 + c_nationkey AS INT) AS tax_year, c_mktsegment AS income_type, c_name AS employer_name, CAST(CASE WHEN c_acctbal >= 0 THEN c_acctbal END AS DOUBLE) AS gross_pay FROM customer WHERE 1990 + c_nationkey >= 2000")
+def income_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """customers' segment, name and balance as income with a JSON payload, read by jurisdiction with the payload's schema."""
+    payload = F.to_json(F.struct(F.col("c_mktsegment").alias("income_type"), F.col("c_name").alias("employer_name"), F.when(F.col("c_acctbal") >= 0, F.col("c_acctbal")).alias("gross_pay_eur")))
+    rows = P.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), (1990 + F.col("c_nationkey")).cast("int").alias("tax_year"), F.when(F.col("c_nationkey") >= 10, "ireland").otherwise("italy").alias("jurisdiction"), payload.alias("payload_json"))
+    found = reads.income(rows, jurisdiction="ireland")
+    return found.select("id", "tax_year", F.col("payload.income_type").alias("income_type"), F.col("payload.employer_name").alias("employer_name"), F.col("payload.gross_pay_eur").cast("double").alias("gross_pay"))

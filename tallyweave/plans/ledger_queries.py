@@ -221,6 +221,17 @@ def _gains(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tax.disposal_gains(*_disposals(spark, sf_dir), P.classifications(spark, sf_dir), P.profiles(spark))
 
 
+@query(f"""WITH {_GAINS}, t AS (SELECT id AS disposal_id, sum(CASE WHEN year(event_timestamp + INTERVAL 150 DAY) = year(event_timestamp) THEN quantity ELSE 0 END) AS sent FROM l WHERE action = 'sell' AND unit_price > 30000 GROUP BY id)
+SELECT disposal_id, taxable OR (basis AND sent IS NOT NULL) AS taxable, basis AS remittance_basis, CAST(floor(CAST(CASE WHEN NOT (basis AND sent IS NOT NULL) THEN gain + quarantined WHEN gain + quarantined < 0 THEN 0 WHEN proceeds > 0 THEN least(gain + quarantined, sent * 1000000) ELSE gain + quarantined END AS DOUBLE) / 1000000 + 0.001) AS BIGINT) AS free
+FROM o LEFT JOIN t USING (disposal_id)""")
+def remitted_gains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sales of dear assets are remitted after 150 days, as much as their quantity; where only what is remitted is taxed, that caps the gain of the year."""
+    disposals, lots_ = _disposals(spark, sf_dir)
+    sent = disposals.where("price > 30000").select("disposal_id", (F.col("sold_at") + F.expr("INTERVAL 150 DAYS")).alias("remitted_at"), F.col("quantity").alias("amount"))
+    found = tax.disposal_gains(disposals, lots_, P.classifications(spark, sf_dir), P.profiles(spark), sent)
+    return found.select("disposal_id", "taxable", "remittance_basis", F.floor(F.col("unrestricted_gain").cast("double") + 0.001).alias("free"))
+
+
 @query(f"WITH {_GAINS} SELECT CAST(year(sold_at) AS INT) AS tax_year, count(*) AS disposals, CAST(sum(proceeds) AS DOUBLE) AS proceeds_micro, CAST(floor(CAST(sum(quarantined) AS DOUBLE) / 1000000 + 0.001) AS BIGINT) AS quarantined FROM o GROUP BY 1")
 def annual_cgt(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A year's disposals added up."""

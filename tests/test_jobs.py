@@ -66,7 +66,7 @@ def test_mergers_are_added(spark):
 
 def test_rejection_is_a_status(spark):
     staged = spark.createDataFrame([(1, None, "pending_approval"), (2, None, "pending_approval"), (3, 9, "approved")], "id long, approved_financial_record_id long, verification_status string")
-    assert [tuple(r)[::2] for r in store.rejected(staged, [1, 3]).orderBy("id").collect()] == [(1, "rejected"), (2, "pending_approval"), (3, "approved")]
+    assert [tuple(r)[::2] for r in store.rejected(staged, spark.createDataFrame([(1,), (3,), (3,)], "id long")).orderBy("id").collect()] == [(1, "rejected"), (2, "pending_approval"), (3, "approved")]
 
 
 def test_ids_do_not_clash(spark):
