@@ -73,6 +73,36 @@ def portfolio_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return portfolio.totals(_positions(spark, sf_dir)).select("active_positions", "incoherent_positions", F.col("total_dividends").cast("double").alias("total_dividends"))
 
 
+_WALKED = ORACLE["portfolio_positions"].partition("\nSELECT t.key")[0]
+
+
+@query(f"""{_WALKED},
+h AS (SELECT b.key, sum(least(b.q, b.hi - coalesce(s.q, 0))) AS held, sum(CAST(round((CAST(least(b.q, b.hi - coalesce(s.q, 0)) AS DOUBLE) * CAST(b.price AS DOUBLE) + CAST(b.fees AS DOUBLE) * least(b.q, b.hi - coalesce(s.q, 0)) / b.q) * 1000000) AS HUGEINT)) AS cost
+  FROM x b LEFT JOIN (SELECT key, sum(q) AS q FROM x WHERE action = 'sell' GROUP BY key) s ON s.key = b.key WHERE b.action = 'buy' AND b.hi > coalesce(s.q, 0) GROUP BY b.key),
+w AS (SELECT key, bool_or(late) AS late, bool_or(action <> 'dividend' AND sold > 0 AND bought = 0) AS orphan, bool_or(action <> 'dividend' AND sold > bought) AS negative, bool_or(action <> 'dividend' AND sold > bought AND bought > 0) AS oversold FROM b GROUP BY key),
+j AS (SELECT key, count(*) FILTER (action = 'sell') > count(*) FILTER (action = 'sell' AND taken) AS rejected FROM walk GROUP BY key)
+SELECT w.key, CAST(floor(CAST(coalesce(cost, 0) AS DOUBLE) / 1000000 + 0.001) AS BIGINT) AS cost_basis, CASE WHEN coalesce(held, 0) > 0 THEN 'active' ELSE 'closed' END AS status,
+  CAST(floor(CASE WHEN held > 0 THEN CAST(cost AS DOUBLE) / 1000000 / CAST(held AS DOUBLE) ELSE 0 END + 0.001) AS BIGINT) AS average_price,
+  concat_ws(', ', CASE WHEN orphan THEN 'sold before any purchase' END, CASE WHEN negative THEN 'negative quantity' END, CASE WHEN oversold THEN 'more sold than bought' END, CASE WHEN rejected THEN 'sale beyond the open lots' END) AS reasons, late
+FROM w LEFT JOIN h USING (key) LEFT JOIN j USING (key)""")
+def position_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What open lots cost, at what average, whether a position is active, and all that is incoherent about it."""
+    found = _positions(spark, sf_dir)
+    known = ("sold before any purchase", "negative quantity", "more sold than bought", "sale beyond the open lots")
+    whole = lambda c: F.floor(F.col(c).cast("double") + 0.001)
+    return found.select(
+        "key", whole("cost_basis").alias("cost_basis"), F.when(F.col("current_quantity") > 0, "active").otherwise("closed").alias("status"), whole("average_price").alias("average_price"),
+        F.array_join(F.filter("reasons", lambda x: x.isin(*known)), ", ").alias("reasons"), F.exists("reasons", lambda x: ~x.isin(*known)).alias("late"),
+    )
+
+
+@query(f"""WITH p AS ({ORACLE["portfolio_positions"]}) SELECT CAST(floor(sum(realized_pnl) + 0.001) AS BIGINT) AS total_realized_pnl, count(*) FILTER (current_quantity > 0) AS active_positions FROM p WHERE key LIKE '%|nation_3'""")
+def portfolio_gains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Realized gains of a country's positions, all told."""
+    found = portfolio.snapshot(P.ledger(spark, sf_dir), P.mergers(spark, sf_dir), filters=portfolio.Filters(country="NATION_3", status="all"))[1]
+    return found.select(F.floor(F.col("total_realized_pnl").cast("double") + 0.001).alias("total_realized_pnl"), "active_positions")
+
+
 @query(f"""WITH l AS ({L}), k AS (SELECT *, lower(concat_ws('|', isin, provider, account_country)) AS key FROM l WHERE event_timestamp <= TIMESTAMP '1999-12-31' AND account_country = 'NATION_3')
 SELECT key, CAST(sum(CASE action WHEN 'buy' THEN quantity ELSE 0 END) AS DOUBLE) AS bought_quantity, count(*) AS transactions FROM k GROUP BY key HAVING sum(CASE action WHEN 'buy' THEN quantity ELSE 0 END) > 0 AND contains(key, '7')""")
 def portfolio_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
