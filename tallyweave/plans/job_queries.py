@@ -27,7 +27,7 @@ def query(sql: str):
 
 @query(f"SELECT isin, tax_regime, domicile_country FROM ({P.CLASSES_SQL})")
 def classifications_by_isin(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All classifications; one without domicile would fail the read."""
+    """All classifications; one without domicile would fail the read."""
     return reads.classes(P.classifications(spark, sf_dir)).select("isin", "tax_regime", "domicile_country")
 
 
@@ -39,7 +39,7 @@ def isins_of_regime(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderkey = 7")
 def row_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row by its key."""
+    """One row by its key."""
     return reads.by_key(P.table(spark, sf_dir, "orders"), "o_orderkey", 7).select("o_orderkey", "o_totalprice")
 
 
@@ -51,7 +51,7 @@ def tax_years(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT c_custkey FROM customer WHERE c_custkey % 3 <> 0 AND c_custkey % 5 <> 0")
 def fresh_income_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents that are neither staged nor approved."""
+    """Documents that are neither staged nor approved."""
     rows = P.table(spark, sf_dir, "customer").select("c_custkey", F.col("c_custkey").alias("source_document_sha"))
     return reads.fresh_income(rows, rows.where("c_custkey % 3 = 0"), rows.where("c_custkey % 5 = 0")).select("c_custkey")
 
@@ -66,7 +66,7 @@ def fresh_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT c_custkey, CAST(CASE WHEN c_custkey % 3 = 0 THEN 1 WHEN c_custkey % 2 = 0 THEN CAST(c_acctbal AS DECIMAL(20,6)) ELSE CAST(CAST(c_acctbal AS DECIMAL(20,6)) * 2 AS DECIMAL(20,6)) END AS DOUBLE) AS amount FROM customer")
 def local_amounts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A local amount where it lacks: the total in EUR, else times the rate."""
+    """A local amount where it lacks: the total in EUR, else times the rate."""
     k = F.col("c_custkey")
     rows = P.table(spark, sf_dir, "customer").select("c_custkey", F.when(k % 3 == 0, F.lit(1).cast("decimal(20,6)")).alias("local_total_amount"), F.col("c_acctbal").cast("decimal(20,6)").alias("total_amount"), F.when(k % 2 == 0, "eur").otherwise("USD").alias("currency"), F.lit(2).cast("decimal(18,6)").alias("fx_rate"))
     return reads.with_local_amount(rows).select("c_custkey", F.col("local_total_amount").cast("double").alias("amount"))
@@ -74,7 +74,7 @@ def local_amounts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN 'OWN' WHEN p_partkey % 3 = 0 THEN 'T' || p_partkey END AS symbol, CASE WHEN p_partkey % 3 = 0 THEN p_name END AS detected FROM part")
 def figi_backfill(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Symbols out of a table by ISIN, where they lack."""
+    """Symbols out of a table by ISIN, where they lack."""
     part = P.table(spark, sf_dir, "part").withColumn("isin", F.concat(F.lit("xx"), F.col("p_partkey")))
     rows = part.select("p_partkey", "isin", F.when(F.col("p_partkey") % 2 == 0, "OWN").alias("symbol"), F.lit(None).cast("string").alias("openfigi_detected"))
     known = part.where("p_partkey % 3 = 0").select("isin", F.concat(F.lit("T"), F.col("p_partkey")).alias("ticker"), F.col("p_name").alias("name"))
@@ -227,7 +227,7 @@ def token_use(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH l AS ({L}), e AS (SELECT isin, id, event_timestamp AS t, action, quantity AS q, sum(CASE WHEN action = 'buy' THEN quantity ELSE 0 END) OVER w AS bought, sum(CASE WHEN action = 'sell' THEN quantity ELSE 0 END) OVER w AS sold FROM l WHERE action <> 'dividend' WINDOW w AS (PARTITION BY isin ORDER BY event_timestamp, id)) SELECT id, CAST(bought AS DOUBLE) AS bought, CAST(sold AS DOUBLE) AS sold FROM e")
 def running_balances(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What was bought and sold of an asset up to each event."""
+    """L2: what was bought and sold of an asset up to each event."""
     side = F.when(F.col("action") == "buy", F.col("quantity")).otherwise(0), F.when(F.col("action") == "sell", F.col("quantity")).otherwise(0)
     rows = P.ledger(spark, sf_dir).where("action <> 'dividend'").select("isin", "id", "event_timestamp", side[0].alias("_b"), side[1].alias("_s"))
     return fifo.running(rows, ["isin"], "event_timestamp", ["id"], {"_b": "bought", "_s": "sold"}).select("id", F.col("bought").cast("double").alias("bought"), F.col("sold").cast("double").alias("sold"))
