@@ -67,3 +67,17 @@ def test_text(rows):
 def test_table(rows):
     df = rows("t array<array<string>>", ([["a", "b|c"], ["long cell"]],), ([],))
     assert values(df, files.table_markdown(F.col("t"))) == ["| a         | b\\|c |\n| --------- | ---- |\n| long cell |      |", ""]
+
+
+def test_calmed_words_keep_their_length_and_equal_the_sql(spark, tmp_path):
+    import duckdb
+
+    from tallyweave.plans import registry
+
+    texts = ["ßAB und ßA", "ΟΔΟΣ XΣ İXİ AİΣ", "ŉAB ﬁX ǰAB ᾀAB ǆAB ıAB ẞAB", "ÄÖ ÉA Éa A", "", None, "A\n AB\n "]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = {r.doc_id: r.calm for r in registry.queries()["calmed_words"](spark, str(tmp_path)).collect()}
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    assert found == dict(con.execute(registry.oracle_sql()["calmed_words"]).fetchall())
+    assert [len(t) for t in texts if t] == [len(found[k]) for k, t in enumerate(texts) if t]
