@@ -55,16 +55,18 @@ def promoted(staged: DataFrame, ledger: DataFrame, force: bool = False, where: C
     Rows are promoted as if one after the other by id: of several staged rows of one event the first moves, and the ledger then
     has it for the others, unless forced. The id of a promoted row is derived from its staged id and the ledger's last one.
     """
-    asked = duplicates(staged.where("approved_financial_record_id IS NULL").where(where if where is not None else F.lit(True)), ledger)
+    fresh = staged.where("approved_financial_record_id IS NULL").where(where if where is not None else F.lit(True))
+    asked, good = duplicates(fresh, ledger), fresh.where(validation.is_approvable())
     if not force:
-        # The least id of each event, found by partial aggregation; ids are unique, so the join back has no hot key.
-        keys = _probe(asked)
-        firsts = asked.where(validation.is_approvable() & ~F.col("is_duplicate")).groupBy(*keys).agg(F.min("id").alias("_first")).select("_first")
+        # The least id of each event, found by partial aggregation, unless the ledger has the event; ids are unique, so the join back has no hot key.
+        # What is promoted comes about without asked, which only what is refused needs.
+        events = good.groupBy(*_probe(good)).agg(F.min("id").alias("_first"))
+        firsts = events.join(ledger.select(*_probe(ledger)).distinct(), ["_day", "_action", "_quantity", "_who"], "left_anti").select("_first")
+        good = good.join(firsts, good["id"] == firsts["_first"], "left_semi")
         known = asked.join(firsts, asked["id"] == firsts["_first"], "left")
         asked = known.withColumn("is_duplicate", F.col("is_duplicate") | (validation.is_approvable() & F.col("_first").isNull())).drop("_first")
     reasons = F.array_compact(F.array(F.when(~validation.is_approvable(), F.concat(F.lit("missing: "), F.array_join(validation.missing_fields(), ", "))), F.when(F.lit(not force) & F.col("is_duplicate"), F.lit("duplicate"))))
-    told = asked.withColumn("reasons", reasons)
-    good, refused = told.where(F.size("reasons") == 0).drop("is_duplicate", "reasons"), told.where(F.size("reasons") > 0)
+    refused = asked.withColumn("reasons", reasons).where(F.size("reasons") > 0)
     last = ledger.agg(F.coalesce(F.max("id"), F.lit(0)).cast("long").alias("last")).first()["last"]
     moved = good.withColumns({"_staged": F.col("id"), "id": (F.lit(last) + F.col("id") + 1).cast("long"), "verification_status": F.lit("approved")})
     linked = staged.join(moved.select(F.col("_staged").alias("_s"), F.col("id").alias("_link")), staged["id"] == F.col("_s"), "left")
