@@ -55,3 +55,14 @@ def test_late_and_invalid_events_change_nothing(spark, tmp_path):
     rows = [("A", "1", at(5), "buy", 10, 2, None), ("A", "0", at(4), "buy", 10, 2, None), ("A", "2", None, "buy", 5, 1, 0), ("A", "3", at(6), "buy", 0, 1, 0), ("A", "4", at(6), "hold", 5, 1, 0), (None, "5", at(6), "buy", 5, 1, 0), ("A", "6", at(7), "sell", 11, 3, 0), ("A", "7", at(8), "sell", 10, 3, 0)]
     found = run(spark, tmp_path, rows, [1])
     assert {(r[1], r[3]) for r in found if r[0]} == {("late", "0"), ("invalid", "2"), ("invalid", "3"), ("invalid", "4"), ("rejected", "6"), ("matched", "7")}
+
+
+def test_many_assets_share_a_state(spark, tmp_path, monkeypatch):
+    """Assets of one group keep their own lots and places over batches, and state is asked for once a group."""
+    monkeypatch.setattr(lots, "GROUPS", 2)
+    day = datetime.datetime(2020, 1, 1)
+    rows = [(f"A{k:03}", f"{turn}-{k:03}", day + datetime.timedelta(days=turn), "sell" if turn == 3 else "buy", 5 + turn if turn < 3 else 12, 2, 0) for turn in range(1, 4) for k in range(60)]
+    found = run(spark, tmp_path, rows, [60, 150])
+    assert found == sorted(((f"A{k:03}", "matched", f"{t}-{k:03}", f"3-{k:03}", Decimal(q), Decimal(2 * q), Decimal(0)) for k in range(60) for t, q in ((1, 6), (2, 6))), key=repr)
+    plan = lots.matches(lots.stateful(spark).readStream.schema(SCHEMA).parquet(f"{tmp_path}/in"))._jdf.queryExecution().analyzed().toString()
+    assert "TransformWithState" in plan and "_group" in plan
