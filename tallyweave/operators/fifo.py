@@ -1,9 +1,10 @@
 """First-in-first-out lots without state: cumulative quantities are intervals, and a match is an overlap.
 
-Running sums are taken in two steps, by (keys, month) and within it, so that one
-asset with very many rows is dealt over its months. Overlaps are found by blocks
-of the quantity line: an interval is cut at block borders, and within a block
-every breakpoint belongs to one lot and one sale, so no pairs are tried.
+Every breakpoint of a line of quantity belongs to one lot and one sale, so no
+pairs are tried. Keys with up to FEW rows are dealt out once, and all is found
+where they lie. Those with more are told apart first (parted()): their running
+sums are taken in two steps, by (keys, month) and within it, and overlaps by
+blocks of the line, so that one asset with very many rows is dealt over both.
 """
 
 from __future__ import annotations
@@ -19,6 +20,33 @@ from .materialize import stored, united
 Q = "decimal(28,6)"
 #: Units of quantity to a block.
 BLOCK = 4096
+#: Rows of some keys that one task may hold, those that a task gets on average, and into how many groups keys are dealt to count them.
+FEW, EACH, GROUPS = 50_000, 50_000, 1 << 16
+
+
+def parted(df: DataFrame, keys: list[str], *others: DataFrame) -> list[tuple[int, list[DataFrame]]]:
+    """The tables (df and others) in parts by keys: rows of keys that all fit a task, with the number of tasks to deal them to, and the rest,
+    with 0, if there are any.
+
+    Rows are counted by hash of keys where they lie; groups with more than FEW rows are the rest, and few keys may go with them.
+    """
+    group = F.pmod(F.xxhash64(*keys), F.lit(GROUPS))
+    every = df.select(*keys)
+    for other in others:
+        every = every.transform(united, other.select(*keys))
+    # At most a number for each FEW rows comes to the driver.
+    counted = every.groupBy(group.alias("g")).agg(F.count("*").alias("n"))
+    total, crowded = counted.agg(F.coalesce(F.sum("n"), F.lit(0)), F.collect_list(F.when(F.col("n") > FEW, F.col("g")))).first()
+    tasks = max(df.sparkSession.sparkContext.defaultParallelism, -(-total // EACH))
+    if not crowded:
+        return [(tasks, [df, *others])]
+    many = group.isin(crowded)
+    return [(tasks, [x.where(~many) for x in (df, *others)]), (0, [x.where(many) for x in (df, *others)])]
+
+
+def joined(parts: list[DataFrame]) -> DataFrame:
+    """Parts put together again."""
+    return parts[0] if len(parts) == 1 else parts[0].transform(united, parts[1])
 
 
 def running(df: DataFrame, keys: list[str], at: str, order: list[str], sums: dict[str, str]) -> DataFrame:
@@ -48,18 +76,18 @@ def overlaps(left: DataFrame, right: DataFrame, keys: list[str], block: int = BL
         fields = [c for c in df.columns if c not in (*keys, "lo", "hi")]
         blocks = F.sequence(F.floor(F.col("lo") / block).cast("long"), F.greatest(F.ceil(F.col("hi") / block).cast("long") - 1, F.floor(F.col("lo") / block).cast("long")))
         pieces = df.where("hi > lo").select(*keys, "lo", "hi", F.struct(*fields).alias(name), F.explode(blocks).alias("_block"))
-        start, stop = (F.col("_block") * block).cast(Q), ((F.col("_block") + 1) * block).cast(Q)
-        return pieces.select(*keys, "_block", F.greatest("lo", start).cast(Q).alias("at"), F.struct(F.least("hi", stop).cast(Q).alias("stop"), F.col(name).alias("row")).alias(name))
+        return pieces.select(*keys, "_block", F.greatest("lo", (F.col("_block") * block).cast(Q)).cast(Q).alias("at"), F.struct("lo", "hi", F.col(name).alias("row")).alias(name))
+
+    return _met(cut(left, "l").transform(united, cut(right, "r"), allowMissingColumns=True), keys, ["_block"])
+
 
-    a, b = cut(left, "l"), cut(right, "r")
-    points = a.transform(united, b, allowMissingColumns=True)
-    line = Window.partitionBy(*keys, "_block").orderBy("at")
+def _met(points: DataFrame, keys: list[str], within: list[str]) -> DataFrame:
+    """overlaps() of pieces (at, and l or r: lo, hi, row); an overlap is told where it begins, which is in one piece of the line."""
+    line = Window.partitionBy(*keys, *within).orderBy("at")
     upto = line.rangeBetween(Window.unboundedPreceding, 0)
     marked = points.select(*keys, "at", F.last("l", ignorenulls=True).over(upto).alias("l"), F.last("r", ignorenulls=True).over(upto).alias("r"), F.lead("at").over(line).alias("_next"))
-    both = marked.where("l IS NOT NULL AND r IS NOT NULL")
-    width = F.least(F.col("l.stop"), F.col("r.stop"), F.coalesce("_next", F.least(F.col("l.stop"), F.col("r.stop")))) - F.col("at")
-    found = both.select(*keys, F.col("l.row").alias("l"), F.col("r.row").alias("r"), width.cast(Q).alias("matched")).where("matched > 0")
-    return found.groupBy(*keys, "l", "r").agg(F.sum("matched").cast(Q).alias("matched"))
+    both = marked.where("l IS NOT NULL AND r IS NOT NULL AND at = greatest(l.lo, r.lo) AND (_next IS NULL OR _next > at)")
+    return both.select(*keys, F.col("l.row").alias("l"), F.col("r.row").alias("r"), (F.least("l.hi", "r.hi") - F.col("at")).cast(Q).alias("matched")).where("matched > 0")
 
 
 def accepted(events: DataFrame, keys: list[str], at: str, order: list[str]) -> tuple[DataFrame, DataFrame]:
@@ -101,7 +129,19 @@ def matched(lots: DataFrame, sales: DataFrame, keys: list[str], at: str, order:
 
     Both sides have quantity, unit_price and fees; fees are shared by quantity.
     """
-    return priced(overlaps(intervals(lots, keys, at, order), intervals(sales, keys, at, order), keys))
+    found = [_together(a, b, keys, at, order, fit) if fit else overlaps(intervals(a, keys, at, order), intervals(b, keys, at, order), keys) for fit, (a, b) in parted(lots, keys, sales)]
+    return priced(joined(found))
+
+
+def _together(lots: DataFrame, sales: DataFrame, keys: list[str], at: str, order: list[str], tasks: int) -> DataFrame:
+    """overlaps() of the lines of both sides for keys that fit a task: rows are dealt out once."""
+    sides = [df.select(*keys, F.struct(*(c for c in df.columns if c not in keys)).alias(name)) for df, name in ((lots, "l"), (sales, "r"))]
+    rows = sides[0].transform(united, sides[1], allowMissingColumns=True).dropna(subset=keys).repartition(tasks, *keys)
+    line = Window.partitionBy(*keys).orderBy(*(f"{name}.{c}" for name in "lr" for c in (at, *order))).rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("_hi", F.when(F.col("l").isNotNull(), F.sum("l.quantity").over(line)).otherwise(F.sum("r.quantity").over(line)).cast(Q))
+    rows = rows.withColumn("at", (F.col("_hi") - F.coalesce("l.quantity", "r.quantity")).cast(Q)).where("_hi > at")
+    told = [F.when(F.col(x).isNotNull(), F.struct(F.col("at").alias("lo"), F.col("_hi").alias("hi"), F.col(x).alias("row"))).alias(x) for x in "lr"]
+    return _met(rows.select(*keys, "at", *told), keys, [])
 
 
 def priced(found: DataFrame) -> DataFrame:
