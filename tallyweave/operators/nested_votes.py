@@ -6,48 +6,63 @@ give is null there. A path that is an object for
 one voter and a value, null or nothing for another has no agreement, nor has anything below it. An object comes about only if all of its
 document's fields are agreed on.
 
-Documents are groups of few voters, but a payload may have any number of fields: rows are fields from the first step on, and each level of
-depth is one aggregation by document and path. JSON that cannot be read, or that is no object, is no vote, and is counted as bad.
+Documents are groups of few voters, but a payload may have any number of fields: rows are fields from the first step on, dealt out by document
+once, and each level of depth is one aggregation where they lie. JSON that cannot be read, or that is no object, is no vote, and is counted as bad.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .materialize import stored, united
 
 
-def _is_object(value: Column) -> Column:
-    return F.coalesce(F.schema_of_variant(value).startswith("OBJECT<"), F.lit(False)) & (F.to_json(value) != "{}")
+#: Levels that are taken apart at a time, and fields that a task gets on average.
+LEVELS, EACH = 4, 100_000
+
+
+def _members(value: Column) -> Column:
+    """The fields of an object as a map, null for all else."""
+    return F.try_variant_get(value, "$", "map<string,variant>")
+
+
+def _tasks(df: DataFrame) -> int:
+    return max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // EACH))
 
 
 def leaves(votes: DataFrame) -> DataFrame:
     """(document, voter, path, value) of votes (document, voter, payload): path an array of names, value JSON text."""
-    level = votes.select("document", "voter", F.array().cast("array<string>").alias("path"), F.try_parse_json("payload").alias("value")).where("value IS NOT NULL AND NOT is_variant_null(value)")
-    level = stored(level.where(F.schema_of_variant("value").startswith("OBJECT<")).withColumn("value", F.to_json("value")))
+    # Payloads pack well, so files may hold many more than a task should take apart.
+    level = votes.repartition(_tasks(votes), "document", "voter").select("document", "voter", F.array().cast("array<string>").alias("path"), F.try_parse_json("payload").alias("value")).where(F.size(_members(F.col("value"))) > 0)
     out = None
-    # As many rounds as the deepest payload has levels.
+    # As many rounds as the deepest payload has levels, by LEVELS.
     while True:
-        told = level.withColumn("_v", F.parse_json("value"))
-        done = told.where(~_is_object(F.col("_v")) & (F.size("path") > 0)).drop("_v")
+        for _ in range(LEVELS):
+            told = level.withColumn("_m", _members(F.col("value")))
+            own = F.transform(F.map_entries("_m"), lambda x: F.struct(F.concat("path", F.array(x["key"])).alias("path"), x["value"].alias("value")))
+            level = told.select("document", "voter", F.explode(F.when(F.size("_m") > 0, own).otherwise(F.array(F.struct("path", "value")))).alias("_x")).select("document", "voter", "_x.*")
+        deeper = F.coalesce(F.size(_members(F.col("value"))) > 0, F.lit(False)).alias("_deeper")
+        found = stored(level.select("document", "voter", "path", F.coalesce(F.to_json("value"), F.lit("null")).alias("value"), deeper))
+        done, more = found.where("NOT _deeper").drop("_deeper"), found.where("_deeper")
         out = done if out is None else out.transform(united, done)
-        more = told.where(_is_object(F.col("_v"))).select("document", "voter", "path", F.explode(F.expr("CAST(_v AS MAP<STRING, VARIANT>)")).alias("name", "_own"))
-        level = stored(more.select("document", "voter", F.concat("path", F.array("name")).alias("path"), F.coalesce(F.to_json("_own"), F.lit("null")).alias("value")))
-        if level.isEmpty():
+        if more.isEmpty():
             return out
+        level = more.select("document", "voter", "path", F.parse_json("value").alias("value"))
 
 
 def fields(votes: DataFrame) -> DataFrame:
     """(document, path, value, agreed, unanimous, mixed): what the voters of each document make of each path; value is JSON text, null where there is no agreement."""
-    own = stored(leaves(votes))
+    own = leaves(votes).where("document IS NOT NULL")
+    tasks = _tasks(own)
     # The voters of a document are those whose payload is an object, also an empty one.
-    good = votes.select("document", "voter", F.try_parse_json("payload").alias("_v")).where(F.coalesce(F.schema_of_variant("_v").startswith("OBJECT<"), F.lit(False)))
-    voters = stored(good.groupBy("document").agg(F.countDistinct("voter").alias("_voters"), F.array_sort(F.collect_set("voter")).alias("_who")))
-    counted = own.groupBy("document", "path", "value").agg(F.count("*").alias("n"), F.min("voter").alias("first"))
-    held = counted.groupBy("document", "path").agg(F.sum("n").alias("_given"), F.collect_list(F.struct("value", "n", "first")).alias("_values"))
-    given = own.groupBy("document", "path").agg(F.collect_set("voter").alias("_gave"))
-    told = held.join(given, ["document", "path"]).join(voters, "document")
+    good = votes.where(F.col("document").isNotNull() & _members(F.try_parse_json("payload")).isNotNull()).select("document", "voter")
+    root = good.select("document", "voter", F.array().cast("array<string>").alias("path"), F.lit(None).cast("string").alias("value"))
+    lines = own.transform(united, root).repartition(tasks, "document")
+    counted = lines.groupBy("document", "path", "value").agg(F.count("*").alias("n"), F.min("voter").alias("first"), F.collect_set("voter").alias("who"))
+    held = counted.groupBy("document", "path").agg(F.collect_list(F.struct("value", "n", "first")).alias("_values"), F.array_distinct(F.flatten(F.collect_list("who"))).alias("_gave"))
+    at_root, document = F.size("path") == 0, Window.partitionBy("document")
+    told = held.withColumn("_who", F.array_sort(F.max(F.when(at_root, F.array_sort("_gave"))).over(document))).where(~at_root).withColumn("_voters", F.size("_who"))
     # What a voter does not give counts as null.
     silent = F.array_except("_who", "_gave")
     null = F.filter("_values", lambda x: x["value"] == "null")
@@ -58,12 +73,17 @@ def fields(votes: DataFrame) -> DataFrame:
     told = told.withColumn("_every", every)
     winners = F.array_sort(F.transform(F.filter("_every", lambda x: (x["n"] >= 2) | (F.col("_voters") == 1)), lambda x: F.struct(x["first"].alias("first"), x["value"].alias("value"))))
     told = told.withColumns({"_best": F.get(winners, F.lit(0))["value"], "unanimous": F.size("_every") == 1})
-    # Paths that lead on for some voters and not for all, and what lies below them.
-    prefixes = lambda first, last: F.explode(F.transform(F.sequence(first, last), lambda k: F.slice("path", F.lit(1), k)))
-    inner = own.where(F.size("path") > 1).select("document", "voter", prefixes(F.lit(1), F.size("path") - 1).alias("_inner")).groupBy("document", "_inner").agg(F.countDistinct("voter").alias("n"))
-    split = inner.join(voters, "document").where("n < _voters").select("document", "_inner")
-    below = told.select("document", "path", prefixes(F.lit(1), F.size("path")).alias("_inner")).join(split, ["document", "_inner"]).select("document", "path").distinct().withColumn("_split", F.lit(True))
-    out = told.join(below, ["document", "path"], "left").withColumn("mixed", F.coalesce("_split", F.lit(False)))
+    # Paths that lead on for some voters and not for all, and what lies below them; most tables have none.
+    heads = lambda first, last: F.transform(F.sequence(first, last), lambda k: F.slice("path", F.lit(1), k))
+    passing = F.when(at_root, F.array("path")).when(F.size("path") > 1, heads(F.lit(1), F.size("path") - 1))
+    passed = lines.select("document", "voter", F.explode(passing).alias("_inner")).groupBy("document", "_inner").agg(F.size(F.collect_set("voter")).alias("n"))
+    passed = passed.withColumn("_voters", F.max(F.when(F.size("_inner") == 0, F.col("n"))).over(document))
+    split = stored(passed.where("size(_inner) > 0 AND n < _voters").select("document", "_inner"))
+    if split.isEmpty():
+        out = told.withColumn("mixed", F.lit(False))
+    else:
+        below = told.select("document", "path", F.explode(heads(F.lit(1), F.size("path"))).alias("_inner")).join(split, ["document", "_inner"]).select("document", "path").distinct().withColumn("_split", F.lit(True))
+        out = told.join(below, ["document", "path"], "left").withColumn("mixed", F.coalesce("_split", F.lit(False)))
     agreed = F.col("_best").isNotNull() & ~F.col("mixed")
     return out.select("document", "path", F.when(agreed, F.col("_best")).alias("value"), agreed.alias("agreed"), (F.col("unanimous") & ~F.col("mixed")).alias("unanimous"), "mixed")
 
@@ -74,19 +94,22 @@ def reconciled(votes: DataFrame) -> DataFrame:
     status: auto_approved if all voters say the same, majority_agreed if every field is agreed on, else escalated_to_user; failed without any vote.
     """
     told = stored(fields(votes))
-    sums = told.groupBy("document").agg(F.bool_and("unanimous").alias("_u"), F.bool_and("agreed").alias("_a"), F.count_if(~F.col("agreed")).alias("disagreed"))
-    good = F.coalesce(F.schema_of_variant(F.try_parse_json("payload")).startswith("OBJECT<"), F.lit(False))
-    documents = votes.groupBy("document").agg(F.count_if(~good).alias("bad"), F.count_if(good).alias("_good"))
-    whole = told.join(sums.where("_a").select("document"), "document", "left_semi").select("document", "path", F.col("value").alias("text"))
-    deepest = whole.agg(F.max(F.size("path"))).first()[0] or 0
+    tasks = _tasks(told)
+    rows = told.repartition(tasks, "document")
+    sums = rows.groupBy("document").agg(F.bool_and("unanimous").alias("_u"), F.bool_and("agreed").alias("_a"), F.count_if(~F.col("agreed")).alias("disagreed"))
+    good = _members(F.try_parse_json("payload")).isNotNull()
+    documents = votes.select("document", good.alias("_is")).repartition(tasks, "document").groupBy("document").agg(F.count_if(~F.col("_is")).alias("bad"), F.count_if("_is").alias("_good"))
+    level = rows.withColumn("_a", F.bool_and("agreed").over(Window.partitionBy("document"))).where("_a").select("document", "path", F.col("value").alias("text"))
+    deepest = told.agg(F.max(F.size("path"))).first()[0] or 0
     quoted = F.expr("substring(to_json(array(element_at(path, -1))), 2, length(to_json(array(element_at(path, -1)))) - 2)")
-    level = whole.where(F.size("path") == deepest)
     for depth in range(deepest, 0, -1):
-        entry = F.struct(F.element_at("path", -1).alias("name"), F.concat(quoted, F.lit(":"), "text").alias("text"))
-        built = level.groupBy("document", F.slice("path", 1, depth - 1).alias("path")).agg(F.array_sort(F.collect_list(entry)).alias("_e"))
-        built = built.select("document", "path", F.concat(F.lit("{"), F.array_join(F.transform("_e", lambda x: x["text"]), ","), F.lit("}")).alias("text"))
-        level = built if depth == 1 else built.transform(united, whole.where(F.size("path") == depth - 1))
-    objects = level.where(F.size("path") == 0).select("document", F.col("text").alias("payload")) if deepest else votes.sparkSession.createDataFrame([], f"document {votes.schema['document'].dataType.simpleString()}, payload string")
+        # Fields of this depth become objects a level up; all else stays as it is.
+        here = F.size("path") == depth
+        entry = F.when(here, F.struct(F.element_at("path", -1).alias("name"), F.concat(quoted, F.lit(":"), "text").alias("text")))
+        level = level.select("document", F.when(here, F.slice("path", 1, depth - 1)).otherwise(F.col("path")).alias("path"), entry.alias("_e"), F.when(~here, F.col("text")).alias("text"))
+        level = level.groupBy("document", "path").agg(F.array_sort(F.collect_list("_e")).alias("_e"), F.max("text").alias("text"))
+        level = level.select("document", "path", F.coalesce("text", F.concat(F.lit("{"), F.array_join(F.transform("_e", lambda x: x["text"]), ","), F.lit("}"))).alias("text"))
+    objects = level.select("document", F.col("text").alias("payload"))
     out = documents.join(sums, "document", "left").join(objects, "document", "left")
     # Voters that all give empty objects agree on that.
     empty = F.col("_a").isNull() & (F.col("_good") > 0)
