@@ -7,14 +7,17 @@ left_out_scores() scores a corpus by its own counts less those of the document
 itself, so text found nowhere else backs off to single words, and a word of no
 other document counts as seen half a time:
 
-1. Documents are cut into slices of some megabytes, written to the shared folder.
-2. A slice explodes into its distinct n-grams, added up there: a row (key, slice,
-   n) each, dealt out by the hash of the key. No n-gram is hot, as it comes once
-   a slice, and the rows grow with the corpus and no faster.
-3. Where they lie, they are added up to the count table, and joined to it; both
-   read that one exchange. N-grams that no other slice has need no answer.
-4. Answers meet their slice again, where what a document has itself is taken off
-   and its words' scores are added up.
+1. Documents are cut into slices of some megabytes, written to the shared folder
+   in buckets, and not moved again.
+2. The distinct n-grams of a slice, added up there, are dealt out by hash: those
+   that go to one part of the hash space travel together as arrays. No n-gram is
+   hot, as it comes once a slice, and the parts grow in number with the corpus.
+3. Where they lie, they explode into rows (key, slice, n), are added up to the
+   count table, and joined to it; both read that one exchange and need no other.
+   N-grams that no other slice has need no answer.
+4. Answers, named by their place in what the slice sent, meet their slice again,
+   where what a document has itself is taken off and its words' scores are added
+   up.
 
 score_against() scores documents by the count tables of any other corpus
 (ngram_counts()), in plain joins.
@@ -31,6 +34,7 @@ table gives an empty result. Further columns are not read.
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,15 +43,18 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import BinaryType
 
 from . import words
-from .common import checkpointed, column, slices, table, text_bytes, united
+from .common import column, shared_folder, slices, table, text_bytes, united
 
 ALPHA = 0.4
 MICRO = 1_000_000
 ORDER = 3
 #: Bytes of text counted together.
 SLICE = 9 << 20
+#: N-grams of all slices together that are counted in one task, at most and on average.
+PART = 2_000_000
 ONE, TWO = np.uint64(0x632BE59BD9B4E019), np.uint64(0x9E6C63D0876A9A47)
 
 
@@ -107,45 +114,123 @@ def slices_of(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(cut, f"slice long, size long, words long, rows long, data binary, lengths binary, ids array<{kind}>")
 
 
-def exploded(cuts: DataFrame, order: int) -> DataFrame:
-    """A row (key, slice, n) for each distinct n-gram of each slice."""
+def written(cuts: DataFrame) -> DataFrame:
+    """Slices as files in the shared folder, in buckets by name, so that answers travel to them and they stay where they are."""
+    spark, name = cuts.sparkSession, f"tallyweave_slices_{uuid.uuid4().hex}"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    cuts.write.bucketBy(buckets, "slice").option("path", f"{shared_folder(spark)}/{name}").option("compression", "none").saveAsTable(name)
+    out = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")  # the files stay
+    return out
+
+
+def parts_of(keys: np.ndarray, parts: int) -> np.ndarray:
+    """The part of the hash space, cut evenly, that each key lies in; keys in order are in order of parts."""
+    return ((keys >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+
+
+def placed(keys: np.ndarray, often: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """Parts of keys in order, and the order in which keys are dealt out: by part, those that come once first."""
+    part = parts_of(keys, parts)
+    return part, np.lexsort((often > 1, part))
+
+
+def dealt(cuts: DataFrame, order: int, parts: int) -> DataFrame:
+    """The distinct n-grams of each slice, dealt out by the part of the hash space that they are in: a row holds those of a slice and a part.
+
+    First those that come once (single), then the others with their counts, 128 * many + few; both in order of keys. A key is
+    cut into its upper 16 (top), next 16 (mid) and lower 32 bits (low). In order, top hardly changes from one to the next, so
+    the exchange's compression leaves little more than six bytes a key; a row for each would take eleven. Rows are never more
+    than n-grams.
+    """
+    kinds = {"top": np.int16, "mid": np.int16, "low": np.int32, "few": np.int8, "many": np.int32}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name, size, data, rows, lengths in zip(*(column(batch, x) for x in ("slice", "size", "data", "rows", "lengths")), strict=True):
                 h, counts = word_hashes(*_texts(size.as_py(), data.as_buffer(), rows.as_py(), lengths.as_buffer()))
                 of = np.repeat(np.arange(len(counts)), counts)
-                for keys, _ in grams(h, of, order):
-                    keys, often = np.unique(keys, return_counts=True)
-                    for first in range(0, len(keys), 200_000):
-                        part = slice(first, first + 200_000)
-                        n = len(keys[part])
-                        yield pa.RecordBatch.from_arrays([pa.array(keys[part].view(np.int64)), pa.array(np.full(n, name.as_py(), np.int64)), pa.array(often[part])], ["key", "slice", "n"])
+                keys, often = np.unique(np.concatenate([k for k, _ in grams(h, of, order)]), return_counts=True)
+                part, by = placed(keys, often, parts)
+                keys, often = keys[by], often[by]
+                told, begins = np.unique(part, return_index=True)
+                begins, above = np.append(begins, len(keys)), np.append(0, np.cumsum(often > 1))
+                for first in range(0, len(told), 64):
+                    bounds = begins[first : first + 65]
+                    here = slice(int(bounds[0]), int(bounds[-1]))
+                    k, n = keys[here], often[here][often[here] > 1]
+                    values = (k >> np.uint64(48), k >> np.uint64(32), k, n & 127, n >> 7)
+                    at = [x - x[0] for x in (bounds, bounds, bounds, above[bounds], above[bounds])]
+                    lists = [pa.ListArray.from_arrays(pa.array(a, pa.int32()), pa.array(v.astype(kind))) for a, v, kind in zip(at, values, kinds.values(), strict=True)]
+                    single = pa.array(np.diff(at[0]) - np.diff(at[3]), pa.int32())
+                    yield pa.RecordBatch.from_arrays([pa.array(told[first : first + 64], pa.int32()), pa.array(np.full(len(single), name.as_py(), np.int64)), single, *lists], ["part", "slice", "single", *kinds])
+
+    schema = "part int, slice long, single int, top array<smallint>, mid array<smallint>, low array<int>, few array<tinyint>, many array<int>"
+    return cuts.select("slice", "size", "rows", "data", "lengths").mapInArrow(run, schema).repartitionById(parts, "part")
+
+
+def exploded(runs: DataFrame) -> DataFrame:
+    """A row (part, slice, at, key, n) for each distinct n-gram of each slice, where dealt() put it; at is its place in the part's run."""
+    wide = lambda name, bits: F.get(name, "at").cast("long").bitwiseAND((1 << bits) - 1)
+    key = F.shiftleft(wide("top", 16), 48).bitwiseOR(F.shiftleft(wide("mid", 16), 32)).bitwiseOR(F.col("low_bits").cast("long").bitwiseAND((1 << 32) - 1))
+    after = F.col("at") - F.col("single")
+    n = F.coalesce(F.get("few", after) + F.get("many", after).cast("long") * 128, F.lit(1))
+    return runs.select("part", "slice", "single", "top", "mid", "few", "many", F.posexplode("low").alias("at", "low_bits")).select("part", "slice", "at", key.alias("key"), n.alias("n"))
+
+
+@F.arrow_udf(BinaryType())
+def packed(answers: pa.Array) -> pa.Array:
+    """Answers (at, elsewhere) of a run, in any order: those in order of at, as bytes by significance, zipped."""
+
+    def one(answer: pa.StructArray) -> bytes:
+        at, elsewhere = (answer.field(x).to_numpy(zero_copy_only=False).astype(np.int64) for x in ("at", "elsewhere"))
+        by = np.argsort(at)
+        return zipped(np.concatenate([np.diff(at[by], prepend=0), elsewhere[by]]).view(np.uint8).reshape(-1, 8).T.tobytes())
+
+    return pa.array([one(x.values) for x in answers], pa.binary())
+
 
-    return cuts.select("slice", "size", "rows", "data", "lengths").mapInArrow(run, "key long, slice long, n long")
+def unpacked(data: bytes, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """at and elsewhere of n answers."""
+    both = np.ascontiguousarray(np.frombuffer(unzipped(pa.py_buffer(data), 16 * n), np.uint8).reshape(8, -1).T).view(np.int64).ravel()
+    return np.cumsum(both[:n]), both[n:]
 
 
 def left_out_scores(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """id, n_words, micro_log (millionths, of the product of all words' scores) and score (mean log per word) for every row of docs."""
     kind, id_type = docs.schema[id_column].dataType.simpleString(), to_arrow_type(docs.schema[id_column].dataType)
-    cuts = checkpointed(slices_of(docs.select(docs[id_column].alias("id"), docs[text_column].alias("text"))))
+    cuts = written(slices_of(docs.select(docs[id_column].alias("id"), docs[text_column].alias("text"))))
     total = cuts.agg(F.coalesce(F.sum("words"), F.lit(0))).first()[0]
 
-    dealt = exploded(cuts, order).repartition("key")
-    # Sums, and the first and last slice that has the n-gram: both sides of the join read the same columns of the same exchange.
-    counts = dealt.groupBy("key").agg(F.sum("n").alias("total"), F.min("slice").alias("first"), F.max("slice").alias("last")).where("first < last")
-    answers = dealt.join(counts, "key").select("slice", "key", (F.col("total") - F.col("n")).alias("elsewhere"))
+    parts = total * order // PART + 1
+    rows = exploded(dealt(cuts, order, parts))
+    # Sums, and the first and last slice that has the n-gram; both sides of the join read the same exchange, and lie as it dealt them.
+    counts = rows.groupBy("key", "part").agg(F.sum("n").alias("total"), F.min("slice").alias("first"), F.max("slice").alias("last")).where("first < last")
+    found = rows.join(counts.hint("shuffle_hash"), ["key", "part"]).select("slice", "part", F.struct("at", (F.col("total") - F.col("n")).alias("elsewhere")).alias("answer"))
+    told = found.groupBy("slice", "part").agg(F.collect_list("answer").alias("answers"))
+    answers = told.select("slice", "part", F.size("answers").alias("n"), packed("answers").alias("packed"))
 
     def score(own: pa.Table, answers: pa.Table) -> pa.Table:
         held, ids = own.drop_columns(["ids"]).to_pylist()[0], own["ids"].combine_chunks()[0].values.cast(id_type)
         h, counts = word_hashes(*_texts(held["size"], pa.py_buffer(held["data"]), held["rows"], pa.py_buffer(held["lengths"])))
         of = np.repeat(np.arange(len(counts)), counts)
-        found = grams(h, of, order)
-        heads = [at for _, at in found]
-        distinct, all_at = np.unique(np.concatenate([k for k, _ in found]), return_inverse=True)
+        found, heads = zip(*grams(h, of, order), strict=True)
+        keys = np.concatenate(found)
         del found
+        # As np.unique(keys, return_inverse=True), in half its memory.
+        by, new, all_at = np.argsort(keys), np.ones(len(keys), bool), np.empty(len(keys), np.int64)
+        keys = keys[by]
+        new[1:] = keys[1:] != keys[:-1]
+        distinct, all_at[by] = keys[new], np.cumsum(new) - 1
+        del keys, by, new
         many, totals = len(distinct), np.bincount(all_at, minlength=len(distinct))
-        totals[np.searchsorted(distinct, answers["key"].to_numpy().view(np.uint64))] += answers["elsewhere"].to_numpy()
+        part, by = placed(distinct, totals, parts)
+        begins = np.searchsorted(part, answers["part"].to_numpy())
+        del part
+        for first, n, data in zip(begins, answers["n"].to_pylist(), answers["packed"], strict=True):
+            at, elsewhere = unpacked(data.as_py(), n)
+            totals[by[first + at]] += elsewhere
+        del by
         # What other documents have of the n-gram that begins at each word; 0 where none does.
         others, done = np.zeros((order, len(h)), np.int64), 0
         for n, at in enumerate(heads):
