@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
-from .materialize import stored, united
+from .materialize import dealt, stored, united
 from .store import deleted, upserted
 
 
@@ -104,14 +104,14 @@ class Table:
     def merge(self, new: DataFrame) -> int:
         """The next version: rows of new in place of those with their keys, the others added. Its number."""
         spark = new.sparkSession
-        new = stored(new.select(*self.schema.names))
+        new = dealt(stored(new.select(*self.schema.names)))
         names = self._touched(spark, new.select(*self.keys))
         return self._replaced(spark, names, upserted(self._files(spark, names), new, list(self.keys)))
 
     def delete(self, keys: DataFrame) -> int:
         """The next version, without the rows of these keys. Its number."""
         spark = keys.sparkSession
-        keys = stored(keys.select(*self.keys).distinct())
+        keys = dealt(stored(keys.select(*self.keys).distinct()))
         names = self._touched(spark, keys)
         return self._replaced(spark, names, self._files(spark, names).join(keys, list(self.keys), "left_anti"))
 

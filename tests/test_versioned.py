@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from tallyweave.operators import store, versioned
+from tallyweave.operators import materialize, store, versioned
 
 ROWS = "day long, id long, x string"
 
@@ -76,3 +76,21 @@ def test_odd_keys(spark, tmp_path):
         table.merge(spark.createDataFrame([(1, 2, "a"), (1, 2, "b")], ROWS))
     with pytest.raises(ValueError, match="there is a table"):
         versioned.create(spark.createDataFrame([], ROWS), f"{tmp_path}/t", ("day", "id"))
+
+
+def test_many_keys_are_not_broadcast(spark, tmp_path, monkeypatch):
+    """Sorted keys pack so well that the planner takes millions of them for a small table."""
+    joins, files = [], versioned.Table._written
+
+    def seen(table, session, rows):
+        joins.append(rows._jdf.queryExecution().executedPlan().toString())
+        return files(table, session, rows)
+
+    old, new = spark.createDataFrame(some(0, 400), ROWS), spark.createDataFrame(some(350, 420, "new"), ROWS)
+    table = versioned.create(old, f"{tmp_path}/t", ("day", "id"), 8)
+    monkeypatch.setattr(materialize, "FEW", 10, raising=False)
+    monkeypatch.setattr(versioned.Table, "_written", seen)
+    table.merge(new)
+    table.delete(new.where("id % 2 = 0"))
+    assert len(joins) == 2 and all("Join" in x and "Broadcast" not in x for x in joins)
+    assert sorted(r.id for r in table.read(spark).collect()) == [*range(350), *range(351, 420, 2)]
