@@ -49,6 +49,26 @@ def duplicates(staged: DataFrame, ledger: DataFrame) -> DataFrame:
     return keyed.join(there, ["_day", "_action", "_quantity", "_who"], "left").withColumn("is_duplicate", F.coalesce("_there", F.lit(False))).drop("_day", "_action", "_quantity", "_who", "_there")
 
 
+def _firsts(rows: DataFrame) -> DataFrame:
+    """rows (_probe() and _held: whether the ledger has it) with _first: whether a row leads its event, what the ledger has before what is staged, then by id.
+
+    One exchange by event, and none if rows lie by day of event_timestamp.
+    """
+    order = Window.partitionBy("_day", "_action", "_quantity", "_who").orderBy(F.desc("_held"), "id")
+    return rows.withColumn("_first", F.row_number().over(order) == 1)
+
+
+def promoted_together(rows: DataFrame, held: Column) -> DataFrame:
+    """promoted()[0] where ledger and staged rows are one table, of which each row is staged, and in the ledger if held; rows are not dealt out again if they lie by day."""
+    held = F.coalesce(held, F.lit(False))
+    last = rows.where(held).agg(F.coalesce(F.max("id"), F.lit(0)).cast("long")).scalar()
+    every = rows.withColumn("_held", F.explode(F.when(held, F.array(F.lit(True), F.lit(False))).otherwise(F.array(F.lit(False)))))
+    good = every.where(F.col("_held") | (validation.is_approvable() & F.col("approved_financial_record_id").isNull()))
+    out = _firsts(good.select("*", *_probe(good))).where("_held OR _first")
+    moved = {"id": F.when(F.col("_held"), F.col("id")).otherwise(last + F.col("id") + 1).cast("long"), "verification_status": F.when(F.col("_held"), F.col("verification_status")).otherwise("approved")}
+    return out.withColumns(moved).select(*(c for c in rows.columns if c != "approved_financial_record_id"))
+
+
 def promoted(staged: DataFrame, ledger: DataFrame, force: bool = False, where: Column | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(ledger with what may be promoted, staged with status and link, what was refused and why).
 
@@ -58,11 +78,11 @@ def promoted(staged: DataFrame, ledger: DataFrame, force: bool = False, where: C
     fresh = staged.where("approved_financial_record_id IS NULL").where(where if where is not None else F.lit(True))
     asked, good = duplicates(fresh, ledger), fresh.where(validation.is_approvable())
     if not force:
-        # The least id of each event, found by partial aggregation, unless the ledger has the event; ids are unique, so the join back has no hot key.
+        # Staged rows meet the ledger's events where they are dealt to. Parts of an event that are null would meet as well, but no row without them may be approved.
         # What is promoted comes about without asked, which only what is refused needs.
-        events = good.groupBy(*_probe(good)).agg(F.min("id").alias("_first"))
-        firsts = events.join(ledger.select(*_probe(ledger)).distinct(), ["_day", "_action", "_quantity", "_who"], "left_anti").select("_first")
-        good = good.join(firsts, good["id"] == firsts["_first"], "left_semi")
+        there = ledger.select(*_probe(ledger)).distinct().withColumn("_held", F.lit(True))
+        good = _firsts(good.select("*", *_probe(good), F.lit(False).alias("_held")).transform(united, there, allowMissingColumns=True)).where("_first AND NOT _held").select(good.columns)
+        firsts = good.select(F.col("id").alias("_first"))
         known = asked.join(firsts, asked["id"] == firsts["_first"], "left")
         asked = known.withColumn("is_duplicate", F.col("is_duplicate") | (validation.is_approvable() & F.col("_first").isNull())).drop("_first")
     reasons = F.array_compact(F.array(F.when(~validation.is_approvable(), F.concat(F.lit("missing: "), F.array_join(validation.missing_fields(), ", "))), F.when(F.lit(not force) & F.col("is_duplicate"), F.lit("duplicate"))))
